@@ -37,13 +37,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .screen import Screen, cut, parts
+from .screen import Screen, cut, parts, without
 from .textkit import chunks, set_key, shingles, signed, words
 
 #: Fragments of the order in which overlaps are counted.
 OVERLAP_FRAGMENTS = 4
-#: Rounds of leader verification before the rest is verified pair by pair.
+#: Rounds of leader verification at most, before the rest is verified pair by pair.
 LEADER_ROUNDS = 8
+#: Pairs for each index row that are verified without another leader round.
+PAIRS_A_ROW = 16
 
 
 class Threshold:
@@ -251,6 +253,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     roots = None
     links = None
     done = None
+    before = None
     for step in range(LEADER_ROUNDS + 1):
         at = index if roots is None else index.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
         if roots is None:
@@ -258,10 +261,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         blocks = at.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("gram")
         at = cut(at.join(blocks, "gram", "left_semi"))
         per = at.groupBy("gram", "root").agg(F.count("*").alias("c"))
-        rest = per.groupBy("gram").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p")).agg(F.sum("p"), F.sum(F.lit(1))).first()
+        rest = per.groupBy("gram").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"), F.sum("c").alias("c")).agg(F.sum("p"), F.count("*"), F.sum("c")).first()
         if not rest[1]:
             break
-        last = step == LEADER_ROUNDS or rest[0] <= 4 * at.count()
+        last = step == LEADER_ROUNDS or rest[0] <= PAIRS_A_ROW * rest[2] or (before is not None and rest[0] > 0.8 * before)
+        before = rest[0]
         if last:
             one = at.select("gram", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
         else:
@@ -295,14 +299,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, one of each component: that whose doc_id names it. Of
-    rows that repeat such a doc_id one stays. Rows without words stay."""
+    """The rows of docs, one document of each component: that whose doc_id names
+    it. Rows that repeat a doc_id stay or go together; rows without words stay."""
     groups = jaccard_components(docs, n, percent)
-    firsts = groups.where("n_shingles = 0 OR doc_id <=> component_id").select("doc_id", F.col("n_shingles").alias("__n"))
-    heads = firsts.where("__n > 0").select(F.xxhash64("doc_id").alias("__k")).unionAll(firsts.where("__n = 0").select(F.xxhash64("doc_id").alias("__k")))
-    keyed = docs.withColumn("__k", F.xxhash64(F.col("doc_id").cast("long")))
-    kept = keyed.join(heads.distinct(), "__k", "left_semi").drop("__k")
-    return kept
+    others = groups.where("n_shingles > 0 AND NOT doc_id <=> component_id").select(F.xxhash64("doc_id").alias("__k"))
+    return without(docs, F.xxhash64(F.col("doc_id").cast("long")), cut(others))
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:

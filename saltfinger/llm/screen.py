@@ -7,7 +7,8 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A screen never has more 64-bit words than this (16 MB). Beyond it, more keys
@@ -27,12 +28,12 @@ class Screen:
         self.words = spark.sparkContext.broadcast(words)
 
     @classmethod
-    def of(cls, keys: DataFrame, column: str) -> Screen:
+    def of(cls, keys: DataFrame, column: str, words_per_key: float = 0.25) -> Screen:
         spark = keys.sparkSession
         keys = keys.select(F.col(column).alias("k")).where("k IS NOT NULL")
         size = 1024
         count = keys.count()
-        while size < MAX_WORDS and size * 4 < count:
+        while size < MAX_WORDS and size < count * words_per_key:
             size *= 2
         bits = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned(k, {by}) & 63 AS int))" for by in (58, 52, 46))
         rows = (
@@ -55,6 +56,29 @@ class Screen:
         return (word & mask) == mask
 
 
+def split(docs: DataFrame, key: Column, screen: Screen) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be in the screen, rows whose key is not); the first
+    with the key as column __k. Neither is shuffled."""
+    keyed = docs.withColumn("__k", key)
+
+    def part(want: bool) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                ok = screen.may_hold(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
+                yield batch.filter(pa.array(ok if want else ~ok))
+
+        return keyed.mapInArrow(run, keyed.schema)
+
+    return part(True), part(False).drop("__k")
+
+
+def without(docs: DataFrame, key: Column, bad: DataFrame) -> DataFrame:
+    """docs less the rows whose 64-bit key is in bad(__k). Only rows that the
+    screen lets through are shuffled."""
+    maybe, clean = split(docs, key, Screen.of(bad, "__k"))
+    return maybe.join(bad.select("__k").distinct(), "__k", "left_anti").drop("__k").unionAll(clean)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only
     where it is unset, as in local tests, a temporary folder takes its place."""

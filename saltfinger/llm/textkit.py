@@ -22,6 +22,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_SOLID = ~_SPACE
+#: Letters and digits of ASCII, and all bytes beyond it.
+ALNUM = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
 _WORD_CODE = _BYTE_CODE[_LOWER]
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -88,13 +91,13 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return (sums[end] - sums[start]) * down[start]
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, offsets of the rows' words); words are runs without
-    space or 0x09-0x0D, with A-Z lower-cased."""
+def words(data: np.ndarray, at: np.ndarray, solid: np.ndarray = _SOLID) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, offsets of the rows' words); words are runs of bytes
+    that solid has, by default all but space and 0x09-0x0D, with A-Z lower-cased."""
     n = len(data)
     if n == 0:
         return np.empty(0, np.uint64), np.zeros(len(at), np.int64)
-    solid = ~_SPACE[data]
+    solid = solid[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[at] = True
     first = solid.copy()
