@@ -44,6 +44,8 @@ from .textkit import chunks, mix, rolling, signed, span_hash
 #: Bytes whose hash chooses the anchors.
 ANCHOR = 64
 _POSITION_BITS = 24
+#: Bytes of rows whose anchors are looked for at once, or one row.
+_AT_ONCE = 1 << 19
 
 
 def anchors(data: np.ndarray, at: np.ndarray, min_len: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +95,7 @@ def _repeated(docs: DataFrame, min_len: int, k: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for _, _, data, at in chunks(batch.column(0)):
+            for _, _, data, at in chunks(batch.column(0), _AT_ONCE):
                 place, hashes = anchors(data, at, min_len, k)
                 if len(place):
                     h, first, count = np.unique(hashes, return_index=True, return_counts=True)
@@ -116,7 +118,7 @@ def _runs(docs: DataFrame, screen: Screen, splitters: np.ndarray, min_len: int,
             keys = batch.column(1).to_numpy(zero_copy_only=False)
             entries: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
             held = 0
-            for row, _, data, at in chunks(batch.column(2)):
+            for row, _, data, at in chunks(batch.column(2), _AT_ONCE):
                 place, hashes = anchors(data, at, min_len, k)
                 place = place[screen.may_hold(hashes)]
                 owner = np.searchsorted(at, place, "right") - 1
@@ -126,7 +128,7 @@ def _runs(docs: DataFrame, screen: Screen, splitters: np.ndarray, min_len: int,
                     context = raw[p : min(p + min_len, e)], raw[max(b, p - before) : p]
                     entries.setdefault(context, []).append((d, p - b))
                 held += len(place) * (min_len + before)
-                if held > 24 << 20:
+                if held > 12 << 20:
                     yield from emit(entries, ids, keys)
                     entries, held = {}, 0
             if entries:
