@@ -16,9 +16,12 @@ n-gram order. The join has four Spark steps:
    arithmetic on that sum.
 4. Pairs inside a block are not all emitted. Every member is first verified
    against the block's leader; after each round, only pairs whose members are in
-   different components are left. Rounds go on while they shrink the rest, then
-   the rest is verified pair by pair. The components are therefore exactly those
-   of all links, although a group of m copies costs about m pairs, not m * m.
+   different components are left. Rounds go on while they shrink a large rest,
+   then the rest is verified pair by pair. The components are therefore exactly
+   those of all links, although a group of m copies costs about m pairs, not
+   m * m. Each class carries a parity bitmap of its set: n-grams of one set only
+   flip a bit at most, so two bitmaps bound the overlap from above, and pairs
+   whose bound is too low are not emitted at all.
 
 Nulls and empty texts have the empty set and link with nothing. Rows that
 repeat a doc_id are rows of their own. A null doc_id takes part in the join but
@@ -44,8 +47,10 @@ from .textkit import chunks, set_key, shingles, signed, words
 OVERLAP_FRAGMENTS = 4
 #: Rounds of leader verification at most, before the rest is verified pair by pair.
 LEADER_ROUNDS = 8
-#: Pairs for each index row that are verified without another leader round.
-PAIRS_A_ROW = 16
+#: Pairs for each index row that are left to the bitmaps without another round.
+PAIRS_A_ROW = 64
+#: Longs of a parity bitmap.
+BITMAP_LONGS = 16
 
 
 class Threshold:
@@ -74,8 +79,12 @@ class Threshold:
         """Shared prefix n-grams that a set of n has with any partner, at least."""
         return f"(1 + {self.least_sql(n)} * {100 - self.percent} DIV 125)"
 
-    def sizes_fit(self, a: Column, b: Column) -> Column:
-        return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
+    def may_link(self, na: Column, nb: Column, bits_a: Column, bits_b: Column) -> Column:
+        """False if sizes or bitmaps rule a link out. Differing bits are at most
+        the n-grams that only one set has, na + nb - 2 * overlap."""
+        differ = sum((F.bit_count(bits_a[i].bitwiseXOR(bits_b[i])) for i in range(1, BITMAP_LONGS)), F.bit_count(bits_a[0].bitwiseXOR(bits_b[0])))
+        both = na + nb
+        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * self.percent) & ((both - differ) * (100 + self.percent) >= both * (2 * self.percent))
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -85,18 +94,23 @@ def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def classes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, sig): the size and key of every row's set."""
+    """(doc_id, n_shingles, sig, bits): size, key and parity bitmap of every row's set."""
 
     def run(batches):
         for batch in batches:
             sizes = np.zeros(batch.num_rows, np.int64)
             sigs = np.zeros(batch.num_rows, np.int64)
+            bits = np.zeros((batch.num_rows, BITMAP_LONGS), np.int64)
             for i, own in _sets(batch.column(1), n):
-                sizes[i] = len(own)
-                sigs[i] = set_key(own) if len(own) else 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(sigs)], names=["doc_id", "n_shingles", "sig"])
+                if len(own):
+                    sizes[i], sigs[i] = len(own), set_key(own)
+                    odd = np.bincount(((own >> np.uint64(20)) & np.uint64(64 * BITMAP_LONGS - 1)).astype(np.int64), minlength=64 * BITMAP_LONGS) & 1
+                    bits[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            at = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BITMAP_LONGS)
+            lists = pa.ListArray.from_arrays(at, pa.array(bits.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(sigs), lists], names=["doc_id", "n_shingles", "sig", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, sig long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, sig long, bits array<long>")
 
 
 def _fragment(grams: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -241,52 +255,54 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     that links reach; both are the row's own doc_id if its set is empty."""
     rule = Threshold(percent)
     own = cut(classes(docs, n))
-    full = own.where("n_shingles > 0")
-    names = full.groupBy("sig").agg(F.min("doc_id").alias("class_id"))
+    names = own.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.first("bits").alias("bits"))
 
     index = cut(_index(docs, n, rule))
     met = index.groupBy("gram").agg(F.count("*").alias("met")).where("met > 1").select("gram")
     index = cut(index.join(met, "gram", "left_semi"))
-    asked = names.join(index.select("sig").distinct(), "sig", "left_semi").select(F.xxhash64("class_id").alias("k"))
-    pieces = cut(_pieces(docs, Screen.of(asked, "k"), n))
+    nodes = cut(names.join(index.select("sig").distinct(), "sig", "left_semi"))
+    pieces = cut(_pieces(docs, Screen.of(nodes.select(F.xxhash64("class_id").alias("k")), "k"), n))
+    names = names.drop("bits")
+    bits = nodes.select("sig", "bits")
 
-    roots = None
-    links = None
-    done = None
-    before = None
+    roots = links = done = before = None
     for step in range(LEADER_ROUNDS + 1):
-        at = index if roots is None else index.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-        if roots is None:
-            at = at.withColumn("root", F.col("sig"))
+        at = index.withColumn("root", F.col("sig")) if roots is None else index.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
         blocks = at.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("gram")
         at = cut(at.join(blocks, "gram", "left_semi"))
         per = at.groupBy("gram", "root").agg(F.count("*").alias("c"))
-        rest = per.groupBy("gram").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"), F.sum("c").alias("c")).agg(F.sum("p"), F.count("*"), F.sum("c")).first()
-        if not rest[1]:
+        pairs_of = (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2
+        rest, grams, rows = per.groupBy("gram").agg(pairs_of.alias("p"), F.sum("c").alias("c")).agg(F.sum("p"), F.count("*"), F.sum("c")).first()
+        if not grams:
             break
-        last = step == LEADER_ROUNDS or rest[0] <= PAIRS_A_ROW * rest[2] or (before is not None and rest[0] > 0.8 * before)
-        before = rest[0]
+        last = step and (step == LEADER_ROUNDS or rest <= PAIRS_A_ROW * rows or rest > 0.8 * before)
+        before = rest
         if last:
-            one = at.select("gram", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+            full = at.join(bits, "sig")
+            one = full.select("gram", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("bits").alias("xa"))
+            two = full.select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("bits").alias("xb"))
+            pairs = one.join(two, (one["gram"] == two["gram"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & rule.may_link(F.col("na"), F.col("nb"), F.col("xa"), F.col("xb")))
+            pairs = pairs.select("a", "b", "na", "nb").distinct()
         else:
             order = F.struct(F.xxhash64("sig", F.lit(step)), "sig", "n", "root")
-            lead = at.groupBy("gram").agg(F.min(order).alias("lead"))
-            one = lead.select("gram", F.col("lead.sig").alias("a"), F.col("lead.n").alias("na"), F.col("lead.root").alias("ra"))
-        two = at.select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-        pairs = one.join(two, "gram").where(F.col("ra") != F.col("rb"))
-        pairs = pairs.where("a < b") if last else pairs
-        pairs = pairs.where(rule.sizes_fit(F.col("na"), F.col("nb")))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+            lead = at.groupBy("gram").agg(F.min(order).alias("lead")).select("gram", "lead.sig", "lead.n", "lead.root")
+            met = at.alias("m").join(lead.alias("l"), "gram").where("m.root <> l.root")
+            mine, other = F.struct("m.sig", "m.n"), F.struct("l.sig", "l.n")
+            pairs = met.select(F.least(mine, other).alias("p"), F.greatest(mine, other).alias("q")).distinct()
+            pairs = pairs.select(F.col("p.sig").alias("a"), F.col("q.sig").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb"))
+            pairs = pairs.join(bits.select(F.col("sig").alias("a"), F.col("bits").alias("xa")), "a").join(bits.select(F.col("sig").alias("b"), F.col("bits").alias("xb")), "b")
+            pairs = pairs.where(rule.may_link(F.col("na"), F.col("nb"), F.col("xa"), F.col("xb"))).select("a", "b", "na", "nb")
         if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         found = _links(pairs, pieces, rule).select("a", "b")
         links = cut(found if links is None else links.unionAll(found))
         if last:
             break
         done = pairs.select("a", "b") if done is None else done.unionAll(pairs.select("a", "b"))
-        roots = connected_components(links).withColumnRenamed("node", "sig")
+        roots = cut(connected_components(links).withColumnRenamed("node", "sig"))
 
+    own = own.drop("bits")
     if links is None:
         out = own.join(names, "sig", "left").withColumn("component_id", F.col("class_id"))
     else:
