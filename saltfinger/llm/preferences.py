@@ -102,11 +102,11 @@ def op6_query(spark, sf_dir: str) -> DataFrame:
 OP6_SQL = """
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM t),
-a AS (SELECT conv_id, coalesce(max(i) FILTER (WHERE role = 'assistant'), 0) AS at, max(i) AS n FROM n GROUP BY conv_id),
-o AS (SELECT xor(n.conv_id, 1) AS conv_id, n.text AS other FROM n JOIN a ON a.conv_id = n.conv_id AND a.at = n.i),
-j AS (SELECT n.*, a.at, a.n, CASE WHEN a.at > 0 THEN o.other END AS other FROM n JOIN a USING (conv_id) LEFT JOIN o USING (conv_id)),
-p AS (SELECT *, CASE WHEN other IS NULL THEN greatest(at - 1, 0) WHEN max(CASE WHEN i = at AND text = other THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) = 1 THEN n ELSE at - 1 END AS k FROM j),
-r AS (SELECT *, '<|' || role || '|>' || chr(10) AS h, CASE WHEN i = at THEN other ELSE text END AS other_text FROM p),
+a AS (SELECT conv_id, coalesce(max(i) FILTER (WHERE role = 'assistant'), 0) AS pos, max(i) AS n FROM n GROUP BY conv_id),
+o AS (SELECT xor(n.conv_id, 1) AS conv_id, n.text AS other FROM n JOIN a ON a.conv_id = n.conv_id AND a.pos = n.i),
+j AS (SELECT n.*, a.pos, a.n, CASE WHEN a.pos > 0 THEN o.other END AS other FROM n JOIN a USING (conv_id) LEFT JOIN o USING (conv_id)),
+p AS (SELECT *, CASE WHEN other IS NULL THEN greatest(pos - 1, 0) WHEN max(CASE WHEN i = pos AND text = other THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) = 1 THEN n ELSE pos - 1 END AS k FROM j),
+r AS (SELECT *, '<|' || role || '|>' || chr(10) AS h, CASE WHEN i = pos THEN other ELSE text END AS other_text FROM p),
 s AS (SELECT *, h || text || '<|end|>' || chr(10) AS c, h || other_text || '<|end|>' || chr(10) AS d FROM r),
 q AS (SELECT *, coalesce(sum(CASE WHEN i > k THEN length(c) ELSE 0 END) OVER w, 0) AS ec, coalesce(sum(CASE WHEN i > k THEN length(d) ELSE 0 END) OVER w, 0) AS ed FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY i ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, CAST(max(k) AS INTEGER) AS n_prompt_turns,

@@ -91,7 +91,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _repeated(docs: DataFrame, min_len: int, k: int) -> DataFrame:
-    """(h, lead): hashes of anchors that occur more than once."""
+    """(h, lead, c): hashes of anchors that occur more than once."""
 
     def run(batches):
         for batch in batches:
@@ -102,7 +102,7 @@ def _repeated(docs: DataFrame, min_len: int, k: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(_lead7(data, place[first])), pa.array(count)], names=["h", "lead", "c"])
 
     found = docs.select(F.col("text").cast("string")).mapInArrow(run, "h long, lead long, c long")
-    return found.groupBy("h").agg(F.sum("c").alias("c"), F.min("lead").alias("lead")).where("c > 1").select("h", "lead")
+    return found.groupBy("h").agg(F.sum("c").alias("c"), F.min("lead").alias("lead")).where("c > 1")
 
 
 _RUN = "range int, shared binary, ends binary, tails binary, left_ends binary, lefts binary, places binary, counts binary, docs binary, keys binary, at binary"
@@ -264,8 +264,9 @@ def repeated_spans(docs: DataFrame, min_len: int = 400) -> DataFrame:
     if min_len < 16:
         raise ValueError("min_len must be 16 at least")
     repeated = cut(_repeated(docs, min_len, k))
-    pieces = parts(docs, 8 << 20)
-    splitters = np.unique(np.array(repeated.approxQuantile("lead", [i / pieces for i in range(1, pieces)], 1 / (4 * pieces)), np.int64)) if repeated.head(1) else np.empty(0, np.int64)
+    pieces = parts(docs, 6 << 20)
+    weighed = repeated.select("lead", F.explode(F.sequence(F.lit(1), F.least("c", F.lit(64)).cast("int"))).alias("n"))
+    splitters = np.unique(np.array(weighed.approxQuantile("lead", [i / pieces for i in range(1, pieces)], 1 / (4 * pieces)), np.int64)) if repeated.head(1) else np.empty(0, np.int64)
     runs = _runs(docs, Screen.of(repeated, "h"), splitters, min_len, k)
     covered = runs.groupBy("range").applyInArrow(lambda table: _merged(table, min_len, k), "doc_id long, text_key long, first long, end long")
     return covered.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
