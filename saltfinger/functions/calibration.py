@@ -10,7 +10,7 @@ on a type column. Register further types in ``CONVERTERS``.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -254,13 +254,14 @@ def convert(x: Column, kind: str, params: Mapping | Column) -> Column:
     return CONVERTERS[own][0](x, Coefficients(params)).cast("double")
 
 
-def convert_by_type(x: Column, kind: Column, params: Column) -> Column:
+def convert_by_type(x: Column, kind: Column, params: Column, kinds: Sequence[str] | None = None) -> Column:
     """x in physical units where the type is a column; unknown types and missing
-    coefficients leave the counts as they are."""
+    coefficients leave the counts as they are. ``kinds`` names the types that can
+    occur, which keeps the expression small."""
     kind = F.lower(kind)
     out = F.lit(None).cast("double")
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        for name in [*CONVERTERS, *ALIASES]:
+        for name in [*CONVERTERS, *ALIASES] if kinds is None else [k for k in kinds if k in CONVERTERS or k in ALIASES]:
             out = F.when(kind == name, convert(x, name, params)).otherwise(out)
     return F.coalesce(out, x.cast("double"))

@@ -49,16 +49,17 @@ def convert(spark: SparkSession, path: str | Sequence[str], output: str, variabl
     counts = pfile.read_counts(spark, path, min_file_size).withColumn("file_id", file_id()).drop("path")
     used = params.where(~F.col("type").isin(*exclude_types) | F.col("channel").isin(*KEPT_COUNTS))
     named = pfile.channels(counts, used.select("file_id", "channel", "params"), "file_id").join(used, ["file_id", "channel"])
+    kinds = sorted(r["type"] for r in used.select("type").distinct().collect())  # channel types: a few dozen at most
     rates = heads.where("error IS NULL").select("file_id", "fs_fast", "fs_slow", F.col("n_rows").alias("__rows"))
 
     # pre-emphasised channels X_dX: their signal, and the gradient of thermistors
     base = F.regexp_extract("channel", r"^(\w+)_d\1$", 1)
     pre = named.where(F.map_contains_key("params", "diff_gain") & ~F.col("type").isin("shear", "xmp_shear")).withColumn("base", base).where("base <> ''")
     slow_of = named.select("file_id", F.col("channel").alias("base"), "i", F.col("count").alias("low"), F.col("params").alias("base_params"))
-    hires = _deconvolved(pre.join(rates, "file_id"), slow_of, used, gradient)
+    hires = _deconvolved(pre.join(rates, "file_id"), slow_of, used, kinds, gradient)
 
     kept = named.where(~F.map_contains_key("params", "diff_gain") | F.col("type").isin("shear", "xmp_shear"))
-    physical = kept.select("file_id", "channel", "i", F.when(F.col("type").isin(*SKIPPED_TYPES), F.col("count").cast("double")).otherwise(convert_by_type(F.col("count"), F.col("type"), F.col("params"))).alias("value"))
+    physical = kept.select("file_id", "channel", "i", F.when(F.col("type").isin(*SKIPPED_TYPES), F.col("count").cast("double")).otherwise(convert_by_type(F.col("count"), F.col("type"), F.col("params"), kinds)).alias("value"))
     replaced = hires.where("channel = 'P'").select("file_id").distinct().withColumn("__new", F.lit(True))
     physical = physical.join(replaced, "file_id", "left").withColumn("channel", F.when((F.col("channel") == "P") & F.col("__new"), "P_raw").otherwise(F.col("channel"))).drop("__new")
     long = physical.unionByName(hires)
@@ -86,7 +87,7 @@ def convert(spark: SparkSession, path: str | Sequence[str], output: str, variabl
     return heads.select("file_id", "error")
 
 
-def _deconvolved(pre: DataFrame, low: DataFrame, params: DataFrame, gradient: str) -> DataFrame:
+def _deconvolved(pre: DataFrame, low: DataFrame, params: DataFrame, kinds: Sequence[str], gradient: str) -> DataFrame:
     """(file_id, channel, i, value) of the high-resolution signals, calibrated as
     their base channels, and of the gradients of thermistors. A pre-emphasised
     pressure takes the place of P."""
@@ -118,7 +119,7 @@ def _deconvolved(pre: DataFrame, low: DataFrame, params: DataFrame, gradient: st
     found = joined.groupBy("file_id", "base").applyInArrow(run, schema)
     base = params.select("file_id", F.col("channel").alias("base"), F.col("type").alias("base_type"), F.col("params").alias("base_params"))
     both = found.join(base, ["file_id", "base"], "left")
-    value = convert_by_type(F.col("counts"), F.coalesce("base_type", F.col("type")), F.coalesce("base_params", F.create_map().cast("map<string,string>")))
+    value = convert_by_type(F.col("counts"), F.coalesce("base_type", F.col("type")), F.coalesce("base_params", F.create_map().cast("map<string,string>")), kinds)
     name = F.when(F.col("base") == "P", "P").otherwise(F.concat("base", F.lit("_hires")))
     signal = both.select("file_id", name.alias("channel"), "i", value.alias("value"))
     slopes = both.where(~F.isnan("rate")).select("file_id", F.concat(F.lit("grad"), "base").alias("channel"), "i", F.col("rate").alias("value"))

@@ -75,10 +75,10 @@ for _name, (_kind, _params, _sql) in CALIBRATIONS.items():
 
     def _run(spark, sf_dir, kind=_kind, params=_params):
         x = F.col("x") * 65536 + F.col("l_linenumber") * 7 if kind == "jac_c" else F.col("x")
-        return counts(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(calibration.convert(x, kind, params), 6).alias("value"))
+        return counts(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(calibration.convert(x, kind, params), 9).alias("value"))
 
     _from = COUNTS_SQL if _kind != "jac_c" else f"SELECT *, (((x * 65536 + l_linenumber * 7) & 4294967295) >> 16) / CAST(CASE WHEN ((x * 65536 + l_linenumber * 7) & 65535) = 0 THEN 1 ELSE (x * 65536 + l_linenumber * 7) & 65535 END AS DOUBLE) AS r FROM ({COUNTS_SQL})"
-    query(_name, f"SELECT l_orderkey, l_linenumber, round(CAST({_sql} AS DOUBLE), 6) AS value FROM ({_from})")(_run)
+    query(_name, f"SELECT l_orderkey, l_linenumber, round(CAST({_sql} AS DOUBLE), 9) AS value FROM ({_from})")(_run)
 
 
 @query("cal_by_type", """
@@ -89,7 +89,7 @@ def cal_by_type(spark, sf_dir):
     own = table(spark, sf_dir, "lineitem").withColumn("x", (F.col("l_partkey") * 7919 + F.col("l_orderkey") * 13 + F.col("l_linenumber")) % 65536 - 32768)
     setups = spark.createDataFrame([("A", "poly", {"coef0": "1.5", "coef1": "0.25"}), ("N", "magn", {"coef0": "10", "coef1": "1.3"}), ("R", "raw", {"id": "3"})], "l_returnflag string, type string, params map<string,string>")
     joined = own.join(F.broadcast(setups), "l_returnflag")
-    return joined.select("l_orderkey", "l_linenumber", F.round(calibration.convert_by_type(F.col("x"), F.col("type"), F.col("params")), 6).alias("value"))
+    return joined.select("l_orderkey", "l_linenumber", F.round(calibration.convert_by_type(F.col("x"), F.col("type"), F.col("params"), ["poly", "magn", "raw"]), 6).alias("value"))
 
 
 @query("adis_flags", f"SELECT count(*) FILTER (WHERE x >= 0) AS old, count(*) FILTER (WHERE {SIGNED} >= 16384) AS error FROM ({COUNTS_SQL})")
@@ -283,8 +283,8 @@ def detect_profiles(spark, sf_dir):
 # order-dependent series
 
 @query("iir_lowpass", f"""WITH RECURSIVE s AS (SELECT user_id, i, value FROM ({SERIES_SQL})),
-    f AS (SELECT user_id, i, value AS x, b * value AS y FROM s, c WHERE i = 0 UNION ALL SELECT s.user_id, s.i, s.value, c.b * (s.value + f.x) - c.a * f.y FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1, c),
-    c AS (SELECT tan(pi() * 4 / 64) / (1 + tan(pi() * 4 / 64)) AS b, (tan(pi() * 4 / 64) - 1) / (tan(pi() * 4 / 64) + 1) AS a)
+    c AS (SELECT tan(pi() * 4 / 64) / (1 + tan(pi() * 4 / 64)) AS b, (tan(pi() * 4 / 64) - 1) / (tan(pi() * 4 / 64) + 1) AS a),
+    f AS (SELECT user_id, i, value AS x, b * value AS y FROM s, c WHERE i = 0 UNION ALL SELECT s.user_id, s.i, s.value, c.b * (s.value + f.x) - c.a * f.y FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1, c)
     SELECT user_id, i, round(y, 6) AS y FROM f""")
 def iir_lowpass(spark, sf_dir):
     return series.low_pass(samples(spark, sf_dir), ["user_id"], "value", 64.0, 4.0, "y").select("user_id", "i", F.round("y", 6).alias("y"))
@@ -431,48 +431,48 @@ MASK = "CASE WHEN (q = 2 AND e > 5e-8) OR (q = 4 AND e > 1e-8) THEN {} ELSE {} E
 MASKED_SQL = f"SELECT *, {MASK.format('NULL', 'e').replace('e >', 'eps_1 >').replace('ELSE e ', 'ELSE eps_1 ').replace('q =', 'eps_1_qc =')} AS m1, {MASK.format('-1', 'q').replace('e >', 'eps_1 >').replace('ELSE q ', 'ELSE eps_1_qc ').replace('q =', 'eps_1_qc =')} AS f1, {MASK.format('NULL', 'e').replace('e >', 'eps_2 >').replace('ELSE e ', 'ELSE eps_2 ').replace('q =', 'eps_2_qc =')} AS m2, {MASK.format('-1', 'q').replace('e >', 'eps_2 >').replace('ELSE q ', 'ELSE eps_2_qc ').replace('q =', 'eps_2_qc =')} AS f2 FROM ({WINDOWS_SQL})"
 
 
-@query("mask_low_quality", f"SELECT l_orderkey, l_linenumber, round(m1 * 1e9, 6) AS eps_1, f1 AS eps_1_qc, round(m2 * 1e9, 6) AS eps_2, f2 AS eps_2_qc FROM ({MASKED_SQL})")
+@query("mask_low_quality", f"SELECT l_orderkey, l_linenumber, round(m1 * 1e9, 8) AS eps_1, f1 AS eps_1_qc, round(m2 * 1e9, 8) AS eps_2, f2 AS eps_2_qc FROM ({MASKED_SQL})")
 def mask_low_quality(spark, sf_dir):
     own = quality.mask_low_quality(lines(spark, sf_dir), {"eps_1": "eps_1_qc", "eps_2": "eps_2_qc"}, 5e-8, 1e-8)
-    return own.select("l_orderkey", "l_linenumber", F.round(F.col("eps_1") * 1e9, 6).alias("eps_1"), "eps_1_qc", F.round(F.col("eps_2") * 1e9, 6).alias("eps_2"), "eps_2_qc")
+    return own.select("l_orderkey", "l_linenumber", F.round(F.col("eps_1") * 1e9, 8).alias("eps_1"), "eps_1_qc", F.round(F.col("eps_2") * 1e9, 8).alias("eps_2"), "eps_2_qc")
 
 
 PAIR = "CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL AND greatest({a}, {b}) <= 10 * least({a}, {b}) THEN ({a} + {b}) / 2 WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN least({a}, {b}) ELSE coalesce({a}, {b}) END"
 PAIR_QC = "CAST(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN greatest({p}, {q}) WHEN {a} IS NOT NULL THEN {p} WHEN {b} IS NOT NULL THEN {q} ELSE 9 END AS TINYINT)"
 
 
-@query("combine_eps_pair", f"SELECT l_orderkey, l_linenumber, round({PAIR.format(a='eps_1', b='eps_2')} * 1e9, 6) AS eps, {PAIR_QC.format(a='eps_1', b='eps_2', p='eps_1_qc', q='eps_2_qc')} AS eps_qc FROM ({WINDOWS_SQL})")
+@query("combine_eps_pair", f"SELECT l_orderkey, l_linenumber, round({PAIR.format(a='eps_1', b='eps_2')} * 1e9, 8) AS eps, {PAIR_QC.format(a='eps_1', b='eps_2', p='eps_1_qc', q='eps_2_qc')} AS eps_qc FROM ({WINDOWS_SQL})")
 def combine_eps_pair(spark, sf_dir):
     eps, flag = quality.combine_pair(F.col("eps_1"), F.col("eps_2"), F.col("eps_1_qc"), F.col("eps_2_qc"))
-    return lines(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(eps * 1e9, 6).alias("eps"), flag.alias("eps_qc"))
+    return lines(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(eps * 1e9, 8).alias("eps"), flag.alias("eps_qc"))
 
 
 BIN_SQL = "(CAST(ceil(pressure / 10) AS BIGINT) - 1)"
 
 
-@query("depth_bin", f"SELECT profile, ({BIN_SQL} + 0.5) * 10 AS depth, round(avg(eps_1) * 1e9, 6) AS eps_1, max(eps_1_qc) AS eps_1_qc FROM ({WINDOWS_SQL}) WHERE pressure > 0 AND pressure <= 150 GROUP BY profile, {BIN_SQL}")
+@query("depth_bin", f"SELECT profile, ({BIN_SQL} + 0.5) * 10 AS depth, round(avg(eps_1) * 1e9, 8) AS eps_1, max(eps_1_qc) AS eps_1_qc FROM ({WINDOWS_SQL}) WHERE pressure > 0 AND pressure <= 150 GROUP BY profile, {BIN_SQL}")
 def depth_bin(spark, sf_dir):
     own = binning.bin_profiles(lines(spark, sf_dir), ["profile"], ["eps_1", "eps_1_qc"], 0.0, 150.0, 10.0, as_depth=False)
-    return own.select("profile", "depth", F.round(F.col("eps_1") * 1e9, 6).alias("eps_1"), "eps_1_qc")
+    return own.select("profile", "depth", F.round(F.col("eps_1") * 1e9, 8).alias("eps_1"), "eps_1_qc")
 
 
-@query("depth_bin_dense", f"""SELECT g.profile, g.depth, round(avg(eps_1) * 1e9, 6) AS eps_1 FROM (SELECT profile, (b + 0.5) * 10 AS depth FROM (SELECT DISTINCT l_suppkey AS profile FROM lineitem), (SELECT unnest(range(0, 25)) AS b)) g
+@query("depth_bin_dense", f"""SELECT g.profile, g.depth, round(avg(eps_1) * 1e9, 8) AS eps_1 FROM (SELECT profile, (b + 0.5) * 10 AS depth FROM (SELECT DISTINCT l_suppkey AS profile FROM lineitem), (SELECT unnest(range(0, 25)) AS b)) g
     LEFT JOIN ({WINDOWS_SQL}) w ON w.profile = g.profile AND w.pressure > g.depth - 5 AND w.pressure <= g.depth + 5 GROUP BY 1, 2""")
 def depth_bin_dense(spark, sf_dir):
     own = binning.bin_profiles(lines(spark, sf_dir), ["profile"], ["eps_1"], 0.0, 250.0, 10.0, as_depth=False)
-    return binning.dense(own, ["profile"], 0.0, 250.0, 10.0).select("profile", "depth", F.round(F.col("eps_1") * 1e9, 6).alias("eps_1"))
+    return binning.dense(own, ["profile"], 0.0, 250.0, 10.0).select("profile", "depth", F.round(F.col("eps_1") * 1e9, 8).alias("eps_1"))
 
 
 BINNED_SQL = f"SELECT profile, ({BIN_SQL} + 0.5) * 10 AS depth, avg(m1) AS a, avg(m2) AS b, max(f1) AS p, max(f2) AS q FROM ({MASKED_SQL}) WHERE pressure > 0 AND pressure <= 200 GROUP BY profile, {BIN_SQL}"
 
 
-@query("bin_profiles", f"SELECT profile, depth, round({PAIR.format(a='a', b='b')} * 1e9, 6) AS eps, {PAIR_QC.format(a='a', b='b', p='p', q='q')} AS eps_qc FROM (SELECT profile, depth, a, b, CASE WHEN p < 0 THEN 9 ELSE p END AS p, CASE WHEN q < 0 THEN 9 ELSE q END AS q FROM ({BINNED_SQL}))")
+@query("bin_profiles", f"SELECT profile, depth, round({PAIR.format(a='a', b='b')} * 1e9, 8) AS eps, {PAIR_QC.format(a='a', b='b', p='p', q='q')} AS eps_qc FROM (SELECT profile, depth, a, b, CASE WHEN p < 0 THEN 9 ELSE p END AS p, CASE WHEN q < 0 THEN 9 ELSE q END AS q FROM ({BINNED_SQL}))")
 def bin_profiles(spark, sf_dir):
     """The level-3 job on one grid: mask, bin, restore flags, combine."""
     own = quality.mask_low_quality(lines(spark, sf_dir), {"eps_1": "eps_1_qc", "eps_2": "eps_2_qc"}, 5e-8, 1e-8)
     own = binning.bin_profiles(own, ["profile"], ["eps_1", "eps_2", "eps_1_qc", "eps_2_qc"], 0.0, 200.0, 10.0, as_depth=False)
     own = binning.combined(own.withColumns({c: quality.restore_missing(F.col(c)) for c in ("eps_1_qc", "eps_2_qc")}))
-    return own.select("profile", "depth", F.round(F.col("eps") * 1e9, 6).alias("eps"), "eps_qc")
+    return own.select("profile", "depth", F.round(F.col("eps") * 1e9, 8).alias("eps"), "eps_qc")
 
 
 @query("profile_order", f"SELECT profile, row_number() OVER (ORDER BY t NULLS LAST, profile) - 1 AS rank, t AS profile_time FROM (SELECT profile, min(time) AS t FROM ({WINDOWS_SQL}) GROUP BY 1)")
