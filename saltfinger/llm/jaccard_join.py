@@ -49,6 +49,9 @@ OVERLAP_FRAGMENTS = 4
 LEADER_ROUNDS = 8
 #: Pairs for each index row that are left to the bitmaps without another round.
 PAIRS_A_ROW = 64
+#: Members of a block from which on a pair comes from the first of its common
+#: blocks only, not from each.
+LARGE_BLOCK = 64
 #: Longs of a parity bitmap.
 BITMAP_LONGS = 16
 
@@ -258,8 +261,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     names = own.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.first("bits").alias("bits"))
 
     index = cut(_index(docs, n, rule))
-    met = index.groupBy("gram").agg(F.count("*").alias("met")).where("met > 1").select("gram")
-    index = cut(index.join(met, "gram", "left_semi"))
+    met = index.groupBy("gram").agg(F.count("*").alias("met")).where("met > 1")
+    index = cut(index.join(met, "gram").withColumn("keys", F.count("*").over(Window.partitionBy("sig")) / F.col("n")))
     nodes = cut(names.join(index.select("sig").distinct(), "sig", "left_semi"))
     pieces = cut(_pieces(docs, Screen.of(nodes.select(F.xxhash64("class_id").alias("k")), "k"), n))
     names = names.drop("bits")
@@ -278,13 +281,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         last = step and (step == LEADER_ROUNDS or rest <= PAIRS_A_ROW * rows or rest > 0.8 * before)
         before = rest
         if last:
-            full = at.join(bits, "sig")
-            one = full.select("gram", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("bits").alias("xa"))
-            two = full.select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("bits").alias("xb"))
-            pairs = one.join(two, (one["gram"] == two["gram"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & rule.may_link(F.col("na"), F.col("nb"), F.col("xa"), F.col("xb")))
+            large = F.col("met") > LARGE_BLOCK
+            blocks = at.where(large).groupBy("sig").agg(F.collect_list("gram").alias("large"))
+            full = at.join(bits, "sig").join(blocks, "sig", "left").withColumn("large", F.when(large, F.col("large")))
+            one = full.select("gram", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("bits").alias("xa"), F.col("large").alias("la"))
+            two = full.select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("bits").alias("xb"), F.col("large").alias("lb"))
+            first = F.col("la").isNull() | (F.array_min(F.array_intersect("la", "lb")) == one["gram"])
+            pairs = one.join(two, (one["gram"] == two["gram"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & rule.may_link(F.col("na"), F.col("nb"), F.col("xa"), F.col("xb")) & first)
             pairs = pairs.select("a", "b", "na", "nb").distinct()
         else:
-            order = F.struct(F.xxhash64("sig", F.lit(step)), "sig", "n", "root")
+            # first the member with most shared n-grams for its size: of near copies
+            # that is one with few changes, to which most others link
+            first = -F.col("keys") if step == 0 else F.xxhash64("sig", F.lit(step))
+            order = F.struct(first.alias("o"), "sig", "n", "root")
             lead = at.groupBy("gram").agg(F.min(order).alias("lead")).select("gram", "lead.sig", "lead.n", "lead.root")
             met = at.alias("m").join(lead.alias("l"), "gram").where("m.root <> l.root")
             mine, other = F.struct("m.sig", "m.n"), F.struct("l.sig", "l.n")
