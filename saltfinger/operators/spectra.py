@@ -15,7 +15,7 @@ from .windows import real
 
 
 def window_spectra(fast: DataFrame, keys: Sequence[str], probes: Sequence[str], fs: float, n_fft: int, n_diss: int, references: Sequence[str] = (), suffix: str = "_clean") -> DataFrame:
-    """(keys, w, probe, frequency, psd) for every probe's <probe>_clean that is
+    """(keys, win, probe, frequency, psd) for every probe's <probe>_clean that is
     there, without what is coherent with the references that are."""
     own = [p for p in probes if f"{p}{suffix}" in fast.columns]
     refs = [r for r in references if r in fast.columns]
@@ -23,7 +23,7 @@ def window_spectra(fast: DataFrame, keys: Sequence[str], probes: Sequence[str],
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("i")
-        rows: dict[str, list] = {"w": [], "probe": [], "frequency": [], "psd": []}
+        rows: dict[str, list] = {"win": [], "probe": [], "frequency": [], "psd": []}
         others = np.stack([values_of(table, r) for r in refs], axis=1) if refs else None
         if others is not None and not np.isfinite(others).all():
             others = None
@@ -33,16 +33,16 @@ def window_spectra(fast: DataFrame, keys: Sequence[str], probes: Sequence[str],
                 continue
             f, psd = spectral.clean_spectra(y, others, fs, n_fft, n_diss) if others is not None and p.startswith("sh") else spectral.window_psd(y, fs, n_fft, n_diss)
             for w, row in enumerate(psd):
-                rows["w"].append(w)
+                rows["win"].append(w)
                 rows["probe"].append(p)
                 rows["frequency"].append(f.tolist())
                 rows["psd"].append(row.tolist())
-        n = len(rows["w"])
+        n = len(rows["win"])
         doubles = pa.list_(pa.float64())
-        return pa.table({**{k: pa.array([table.column(k)[0].as_py()] * n, table.column(k).type) for k in keys}, "w": pa.array(rows["w"], pa.int64()), "probe": pa.array(rows["probe"], pa.string()), "frequency": pa.array(rows["frequency"], doubles), "psd": pa.array(rows["psd"], doubles)})
+        return pa.table({**{k: pa.array([table.column(k)[0].as_py()] * n, table.column(k).type) for k in keys}, "win": pa.array(rows["win"], pa.int64()), "probe": pa.array(rows["probe"], pa.string()), "frequency": pa.array(rows["frequency"], doubles), "psd": pa.array(rows["psd"], doubles)})
 
     need = [*keys, "i", *(f"{p}{suffix}" for p in own), *refs]
-    return fast.select(*need).groupBy(*keys).applyInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", w long, probe string, frequency array<double>, psd array<double>")
+    return fast.select(*need).groupBy(*keys).applyInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", win long, probe string, frequency array<double>, psd array<double>")
 
 
 def array_psd(x: Column, fs: float) -> Column:

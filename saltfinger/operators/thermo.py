@@ -48,38 +48,52 @@ def hydrography(means: DataFrame, keys: Sequence[str], pressure: str = "P_smooth
     has = set(means.columns)
     profile = Window.partitionBy(*keys)
     nothing = F.lit(None).cast("double")
-    p = real(pressure) if pressure in has else nothing
-    t_ctd = real(temperature) if temperature in has else None
-    t = t_ctd if t_ctd is not None else F.lit(default_temperature)
-    c = real("JAC_C") if "JAC_C" in has else None
-    wet = F.coalesce(F.median(c).over(profile) > 10, F.lit(False)) if c is not None and t_ctd is not None and "aux_salinity" not in has else None
-    from_ctd = physics.practical_salinity(c, t, F.coalesce(p, F.lit(0.0))) if wet is not None else None
-    s_known = real("aux_salinity") if "aux_salinity" in has else F.when(wet, from_ctd) if wet is not None else nothing
-    s = s_known if "aux_salinity" in has else F.when(wet, from_ctd).otherwise(F.lit(default_salinity)) if wet is not None else F.lit(default_salinity)
-    rho_known = real("aux_density") if "aux_density" in has else F.when(wet, in_situ_density(from_ctd, t, F.coalesce(p, F.lit(0.0)))) if wet is not None else nothing
-    rho = rho_known if "aux_density" in has else F.when(wet, rho_known).otherwise(F.lit(default_density)) if wet is not None else F.lit(default_density)
-    t_nu = real("aux_temperature") if "aux_temperature" in has else t
-    out = means.withColumns({"__p": p, "__s": s, "__rho": rho, "__t": t_nu, "__sk": s_known, "__rk": rho_known})
-    if "aux_latitude" in has:
-        fixed = F.first(real("aux_latitude"), ignorenulls=True).over(profile.orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        lat = F.when(stationary, fixed).otherwise(real("aux_latitude")) if stationary is not None else real("aux_latitude")
+    measured = temperature in has
+    from_sensor = "JAC_C" in has and measured and "aux_salinity" not in has
+    # in steps, so that each formula is evaluated once and reads plain columns
+    out = means.withColumns({
+        "__p": real(pressure) if pressure in has else nothing,
+        "__t": real(temperature) if measured else F.lit(default_temperature),
+        "__c": real("JAC_C") if "JAC_C" in has else nothing,
+        "__tv": real("aux_temperature") if "aux_temperature" in has else real(temperature) if measured else F.lit(default_temperature),
+    }).withColumn("__p0", F.coalesce("__p", F.lit(0.0)))
+    if from_sensor:
+        out = out.withColumn("__wet", F.coalesce(F.median("__c").over(profile) > 10, F.lit(False)))
+        out = out.withColumn("__sk", F.when(F.col("__wet"), physics.practical_salinity(F.col("__c"), F.col("__t"), F.col("__p0"))))
+        out = out.withColumn("__s", F.when(F.col("__wet"), F.col("__sk")).otherwise(F.lit(default_salinity)))
+    else:
+        out = out.withColumn("__sk", real("aux_salinity") if "aux_salinity" in has else nothing)
+        out = out.withColumn("__s", F.col("__sk") if "aux_salinity" in has else F.lit(default_salinity))
+    if "aux_density" in has:
+        out = out.withColumn("__rk", real("aux_density")).withColumn("__rho", F.col("__rk"))
+    elif from_sensor:
+        out = out.withColumn("__rk", in_situ_density(F.col("__sk"), F.col("__t"), F.col("__p0")))
+        out = out.withColumn("__rho", F.when(F.col("__wet"), F.col("__rk")).otherwise(F.lit(default_density)))
     else:
-        lat = F.lit(latitude)
-    new = {"pressure": F.col("__p"), "temperature": F.col("__t"), "salinity": F.col("__sk"), "density": F.col("__rk"), "z": -physics.depth(F.col("__p"), lat)}
-    if c is not None:
-        new["conductivity"] = c
+        out = out.withColumn("__rk", nothing).withColumn("__rho", F.lit(default_density))
+    lat = F.lit(latitude)
+    if "aux_latitude" in has:
+        lat = real("aux_latitude")
+        if stationary is not None:
+            whole = profile.orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            lat = F.when(stationary, F.first(lat, ignorenulls=True).over(whole)).otherwise(lat)
+    new = {"pressure": F.col("__p"), "temperature": F.col("__tv"), "salinity": F.col("__sk"), "density": F.col("__rk"), "z": -physics.depth(F.col("__p"), lat)}
+    if "JAC_C" in has:
+        new["conductivity"] = F.col("__c")
     if kinematics:
         new["W"] = real(speed) if speed in has else nothing
-        new["nu"] = physics.viscosity(F.col("__s"), F.col("__t"), F.col("__rho"))[0]
+        new["nu"] = physics.viscosity(F.col("__s"), F.col("__tv"), F.col("__rho"))[0]
     if "aux_latitude" in has:
         new["lat"] = lat
     if "aux_longitude" in has:
         new["lon"] = real("aux_longitude")
-    if thermo and (t_ctd is not None or "aux_temperature" in has):
-        sa = physics.absolute_salinity(F.col("__sk"))
-        theta = F.col("__t") - F.col("__p") * (3.6504e-5 + 8.3198e-6 * F.col("__t"))
-        new |= {"absolute_salinity": sa, "conservative_temperature": theta, "potential_density": physics.surface_density(F.col("__sk"), theta)}
-    return out.withColumns(new).drop("__p", "__s", "__rho", "__t", "__sk", "__rk")
+    if thermo and (measured or "aux_temperature" in has):
+        new["absolute_salinity"] = physics.absolute_salinity(F.col("__sk"))
+        new["conservative_temperature"] = F.col("__tv") - F.col("__p") * (3.6504e-5 + 8.3198e-6 * F.col("__tv"))
+    out = out.withColumns(new)
+    if "conservative_temperature" in new:
+        out = out.withColumn("potential_density", physics.surface_density(F.col("__sk"), F.col("conservative_temperature")))
+    return out.drop(*(c for c in out.columns if c.startswith("__")))
 
 
 def buoyancy_frequency(df: DataFrame, keys: Sequence[str], index: str, density: str = "potential_density", pressure: str = "pressure", out: str = "N2") -> DataFrame:

@@ -33,7 +33,7 @@ def window_of(index: Column, n_fft: int, n_diss: int) -> Column:
     return F.sequence(first.cast("long"), F.floor(index / step).cast("long"))
 
 
-def window_mean(df: DataFrame, keys: Sequence[str], values: Sequence[str], n_fft: int, n_diss: int, index: str = "i", out: str = "w") -> DataFrame:
+def window_mean(df: DataFrame, keys: Sequence[str], values: Sequence[str], n_fft: int, n_diss: int, index: str = "i", out: str = "win") -> DataFrame:
     """Means of the complete overlapping windows. Each sample goes to the one or
     two windows that hold it; partial sums are made before the shuffle."""
     spread = df.select(*keys, *(real(v).alias(v) for v in values), F.explode(window_of(F.col(index), n_fft, n_diss)).alias(out))
@@ -49,11 +49,12 @@ def kept_samples(n: Column, n_diss: int, n_fft: int, ratio: int = 1) -> Column:
     return F.when(n >= n_diss, n_diss + (windows(aligned) - 1) * step)
 
 
-def trim_windows(df: DataFrame, keys: Sequence[str], n_diss: int, n_fft: int, chop_start: bool = True, ratio: int = 1, index: str = "i") -> DataFrame:
+def trim_windows(df: DataFrame, keys: Sequence[str], n_diss: int, n_fft: int, chop_start: bool = True, ratio: int = 1, index: str = "i", keep: Column | None = None) -> DataFrame:
     """The samples of complete windows, from the end if chop_start, re-indexed.
-    Keys with less than one window have no rows."""
+    Keys with less than one window have no rows. ``keep`` gives the number of
+    samples where another table's windows decide."""
     own = Window.partitionBy(*keys)
-    sized = df.withColumn("__n", F.count("*").over(own)).withColumn("__keep", kept_samples(F.col("__n"), n_diss, n_fft, ratio))
+    sized = df.withColumn("__n", F.count("*").over(own)).withColumn("__keep", kept_samples(F.col("__n"), n_diss, n_fft, ratio) if keep is None else keep)
     start = F.col("__n") - F.col("__keep") if chop_start else F.lit(0)
     kept = sized.where((F.col(index) >= start) & (F.col(index) < start + F.col("__keep")))
     return kept.withColumn(index, (F.col(index) - start).cast("long")).drop("__n", "__keep")

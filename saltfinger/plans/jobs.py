@@ -173,17 +173,19 @@ def dissipation(fast: DataFrame, slow: DataFrame, table: DataFrame, config: Prof
     quick = series.despike(quick, KEYS, config.all_probes, fs_fast, max_passes=config.despike_max_passes, thresh=config.despike_thresh, smooth=config.despike_smooth, replace_sec=config.despike_replace_sec, force=config.force_despike)
     if config.shear_cutoff:
         quick = series.highpass(quick, KEYS, config.shear_probes, fs_fast, config.shear_cutoff)
+    whole = F.floor(windows.kept_samples(F.col("__fast"), n_diss, n_fft, ratio) / ratio)
+    slow_keep = quick.groupBy(*KEYS).agg(F.count("*").alias("__fast")).select(*KEYS, whole.alias("__slow"))
     quick = windows.trim_windows(quick, KEYS, n_diss, n_fft, config.chop_start, ratio)
     if config.match_conductivity and {"JAC_C", config.temperature} <= set(own.columns):
         own = series.match_conductivity(own, KEYS, fs_slow, speed=config.speed_smooth, lag=config.jac_lag, cutoff=config.jac_f_tc, reference=config.jac_reference_speed)
-    own = windows.trim_windows(own, KEYS, n_diss // ratio, n_fft // ratio, config.chop_start)
+    own = windows.trim_windows(own.join(slow_keep, list(KEYS)), KEYS, n_diss // ratio, n_fft // ratio, config.chop_start, keep=F.col("__slow")).drop("__slow")
 
     scalars = [v for v in ("t", config.pressure_smooth, config.speed_smooth, config.temperature, "JAC_C", "aux_latitude", "aux_longitude", "aux_temperature", "aux_salinity", "aux_density") if v in own.columns]
     options = {"pressure": config.pressure_smooth, "temperature": config.temperature, "speed": config.speed_smooth, "default_temperature": config.default_temperature, "default_salinity": config.default_salinity, "default_density": config.default_density, "latitude": config.default_latitude, "thermo": config.compute_thermo}
     means = windows.window_mean(own, KEYS, scalars, n_fft // ratio, n_diss // ratio)
     scalar = thermo.hydrography(means, KEYS, stationary=vehicle, **options).withColumnRenamed("t", "time")
     if config.compute_thermo and "potential_density" in scalar.columns:
-        scalar = thermo.buoyancy_frequency(scalar, KEYS, "w")
+        scalar = thermo.buoyancy_frequency(scalar, KEYS, "win")
     fine = None
     if config.ctd_bin_sec > 0 and ({config.temperature, "JAC_C"} & set(own.columns)):
         blocks = windows.block_mean(own, KEYS, scalars, max(1, round(config.ctd_bin_sec * fs_slow)))
@@ -195,19 +197,19 @@ def dissipation(fast: DataFrame, slow: DataFrame, table: DataFrame, config: Prof
 
     refs = [*(config.accel_channels if config.accel_clean else ()), *(config.emc_channels if config.emc_clean else ())]
     power = spectra.window_spectra(quick, KEYS, config.all_probes, fs_fast, n_fft, n_diss, refs)
-    speed = scalar.select(*KEYS, "w", F.col("W").cast("float").cast("double").alias("W"), F.col("nu").cast("float").cast("double").alias("nu"))
-    power = power.join(speed, [*KEYS, "w"]).withColumn("psd", spectra.to_wavenumber(F.col("psd"), F.col("W"), F.col("probe"))).withColumn("k", F.transform("frequency", lambda f: F.try_divide(f, F.col("W"))))
+    speed = scalar.select(*KEYS, "win", F.col("W").cast("float").cast("double").alias("W"), F.col("nu").cast("float").cast("double").alias("nu"))
+    power = power.join(speed, [*KEYS, "win"]).withColumn("psd", spectra.to_wavenumber(F.col("psd"), F.col("W"), F.col("probe"))).withColumn("k", F.transform("frequency", lambda f: F.try_divide(f, F.col("W"))))
     fits = power.where(F.col("probe").startswith("sh")).withColumn("fit", spectra.epsilon(F.col("frequency"), F.col("psd"), F.col("W"), F.col("nu")))
     spikes = [f"{p}_despike_mask" for p in config.all_probes if f"{p}_despike_mask" in quick.columns]
     shares = windows.window_mean(quick.withColumns({s: F.col(s).cast("double") for s in spikes}), KEYS, spikes, n_fft, n_diss) if spikes else None
     out = scalar
     if shares is not None:
-        out = out.join(shares.select(*KEYS, "w", *(F.col(s).alias(s.replace("_mask", "_frac")) for s in spikes)), [*KEYS, "w"], "left")
+        out = out.join(shares.select(*KEYS, "win", *(F.col(s).alias(s.replace("_mask", "_frac")) for s in spikes)), [*KEYS, "win"], "left")
     dof = quality.degrees_of_freedom(n_fft, n_diss) ** 0.5
     for p in config.shear_probes:
         n = p[-1]
-        fit = fits.where(F.col("probe") == p).select(*KEYS, "w", windows.real(F.col("fit.eps")).alias(f"eps_{n}"), windows.real(F.col("fit.k_max")).alias(f"k_max_{n}"), (windows.real(F.col("fit.mad")) * dof).alias(f"eps_{n}_fm"))
-        out = out.join(fit, [*KEYS, "w"], "left")
+        fit = fits.where(F.col("probe") == p).select(*KEYS, "win", windows.real(F.col("fit.eps")).alias(f"eps_{n}"), windows.real(F.col("fit.k_max")).alias(f"k_max_{n}"), (windows.real(F.col("fit.mad")) * dof).alias(f"eps_{n}_fm"))
+        out = out.join(fit, [*KEYS, "win"], "left")
         spike = F.col(f"{p}_despike_frac") if f"{p}_despike_frac" in out.columns else None
         flag = quality.compose_flag(F.col(f"eps_{n}"), F.col(f"eps_{n}_fm"), F.col("W") < config.min_speed, spike, (config.fm_good, config.fm_bad), (config.despike_frac_questionable, config.despike_frac_bad))
         out = out.withColumn(f"eps_{n}_qc", flag)

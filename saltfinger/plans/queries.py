@@ -200,7 +200,7 @@ def block_mean(spark, sf_dir):
 
 @query("window_mean", f"SELECT user_id, w, round(avg(value), 8) AS value FROM ({SERIES_SQL}) s JOIN (SELECT unnest(range(0, 100000)) AS w) g ON s.i >= g.w * 12 AND s.i < g.w * 12 + 16 AND g.w <= s.i GROUP BY 1, 2 HAVING count(*) = 16")
 def window_mean(spark, sf_dir):
-    return windows.window_mean(samples(spark, sf_dir), ["user_id"], ["value"], 8, 16).select("user_id", "w", F.round("value", 8).alias("value"))
+    return windows.window_mean(samples(spark, sf_dir), ["user_id"], ["value"], 8, 16).select("user_id", F.col("win").alias("w"), F.round("value", 8).alias("value"))
 
 
 @query("trim_windows", f"""SELECT user_id, i - (n - keep) AS i, event_id FROM (SELECT *, 16 + floor((n - 16) / 12) * 12 AS keep FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM ({SERIES_SQL})) WHERE n >= 16) WHERE i >= n - keep""")

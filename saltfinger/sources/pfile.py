@@ -52,6 +52,8 @@ class Layout:
         w = struct.unpack_from(f"{self.endian}{HEADER_WORDS}H", content)
         self.header_bytes, self.setup_bytes, self.block_bytes = w[HEADER_SIZE], w[SETUP_SIZE], w[BLOCK_SIZE]
         self.fast, self.slow, self.rows = w[FAST_COLUMNS], w[SLOW_COLUMNS], w[ROWS]
+        if not (self.fast + self.slow and self.rows and self.block_bytes):
+            raise ValueError("header has no columns, rows or records")
         self.version = (w[VERSION] >> 8) + (w[VERSION] & 255) / 1000
         clock = w[CLOCK] + w[CLOCK_FRACTION] / 1000
         self.fs_fast = clock / (self.fast + self.slow)
