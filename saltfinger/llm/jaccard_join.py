@@ -140,7 +140,7 @@ _KEPT_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 
 def _index(docs: DataFrame, n: int, rule: Threshold) -> DataFrame:
     """(gram, sig, n): the blocking keys of every class that may have a link."""
-    fragments = parts(docs, 16 << 20)
+    fragments = parts(docs, 8 << 20)
     share = min(1.0, 1 - rule.percent / 100 + (100 - rule.percent) / 125 + 0.02)
     low = max(1, fragments - max(1, fragments // 16))
     pivots = np.array([int(share * i / low * 2**64) for i in range(1, low)] + [int((share + (1 - share) * i / (fragments - low + 1)) * (2**64 - 1)) for i in range(fragments - low + 1)], dtype=np.uint64)[: fragments - 1]
