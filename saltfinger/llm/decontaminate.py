@@ -100,7 +100,7 @@ def _regions(docs: DataFrame, screen: Screen) -> DataFrame:
                 order = np.argsort(p, kind="stable")
                 p, h, owner = p[order], h[order], owner[order]
                 new = np.flatnonzero(np.concatenate(([True], (np.diff(p) > 2 * AROUND) | (np.diff(owner) > 0)))) if len(p) else []
-                for a, z in zip(new, [*new[1:], len(p)], strict=True):
+                for a, z in zip(new, [*new[1:], len(p)] if len(new) else [], strict=True):
                     d = int(owner[a])
                     begin, end = max(int(own[d]), int(p[a]) - AROUND), min(int(own[d + 1]), int(p[z - 1]) + AROUND + 16)
                     rows.append((ids[first + d], keys[first + d], begin - int(own[d]), hashes[begin:end].tobytes(), [{"h": int(x), "p": int(y) - begin} for x, y in zip(signed(h[a:z]), p[a:z], strict=True)]))
