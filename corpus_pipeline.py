@@ -16,8 +16,7 @@ from saltfinger.llm.screen import new_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language_id.identify(docs, language_id.fit(docs))
-    return found.where("NOT rejected").select(docs.columns)
+    return language_id.known(docs, language_id.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

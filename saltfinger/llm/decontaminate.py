@@ -40,8 +40,8 @@ _NONE = -(1 << 63)
 
 def _seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     """Hash of the mask at each position where it fits."""
-    m = len(hashes) - len(mask) + 1
-    h = np.full(max(m, 0), np.uint64(len(mask)), np.uint64)
+    m = max(len(hashes) - len(mask) + 1, 0)
+    h = np.full(m, np.uint64(len(mask)), np.uint64)
     for j, bit in enumerate(mask):
         if bit == "1":
             h = h * _STEP + hashes[j : j + m]

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .textkit import chunks, mix
 
@@ -267,11 +268,11 @@ _OUT = "lang_pred string, score double, rejected boolean, nats double"
 
 
 def identify(docs: DataFrame, models: Models | None) -> DataFrame:
-    """docs with lang_pred, score, rejected and nats (per character)."""
+    """docs with lang_pred, score, rejected and nats (per character). Columns of
+    docs with one of these names give way."""
     spark = docs.sparkSession
+    docs = docs.drop("lang_pred", "score", "rejected", "nats")
     names = docs.columns
-    if clash := {"lang_pred", "score", "rejected", "nats"} & set(names):
-        raise ValueError(f"docs already has {sorted(clash)}")
     held = spark.sparkContext.broadcast(models)
 
     def run(batches):
@@ -282,15 +283,29 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
             if model:
                 for a, z, data, at in chunks(batch.column("__text"), 1 << 20):
                     best[a:z], score[a:z], rejected[a:z], nats[a:z] = model.predict(data, at)
-            own = [batch.column(batch.schema.get_field_index(c)) for c in names]
+            own = batch.columns[: len(names)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(labels[best], pa.string()), pa.array(score), pa.array(rejected), pa.array(nats)], names=[*names, "lang_pred", "score", "rejected", "nats"])
 
-    schema = docs.schema
-    for field in _OUT.split(", "):
-        schema = schema.add(*field.split(" "))
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL(_OUT).fields])
     return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
+def known(docs: DataFrame, models: Models | None) -> DataFrame:
+    """The rows of docs that the models do not reject, with docs' own columns."""
+    held = docs.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches):
+        model = held.value
+        for batch in batches:
+            rejected = np.ones(batch.num_rows, bool)
+            if model:
+                for a, z, data, at in chunks(batch.column(batch.num_columns - 1), 1 << 20):
+                    rejected[a:z] = model.predict(data, at)[2]
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(~rejected))
+
+    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, docs.schema)
+
+
 def op9_query(spark, sf_dir: str) -> DataFrame:
     """Contract: doc_id, held_out, lang_pred, score (and rejected) of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

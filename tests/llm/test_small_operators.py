@@ -166,6 +166,8 @@ def test_raking_and_sampling(spark, no_docs):
     tokens = sum(len(t.split()) for _, t, *_ in rows)
     assert sum(r.tokens for r in kept) == pytest.approx(0.5 * tokens, rel=0.1)
     assert {r.doc_id for r in kept} == {r.doc_id for r in mixing.sample(docs, targets).collect()}
+    clashing = mixing.sample(docs.withColumns({"p": docs.text, "tokens": docs.lang, "topic": docs.doc_id}), targets)
+    assert {(r.doc_id, r.tokens) for r in clashing.collect()} == {(r.doc_id, r.tokens) for r in kept}
     assert mixing.sample(no_docs.drop("k", "sig")).count() == 0
     nothing = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     assert mixing.sample(nothing).count() == 0
@@ -215,6 +217,11 @@ def test_language(spark, no_docs):
     assert all(got[d].lang_pred == "und" and got[d].score == 0 and got[d].rejected for d in (900, 901, 902)) and got[903].lang_pred == "aa"
     noise = spark.createDataFrame([(1, "zzqx xqzj jqxz wqzx vvxq " * 40)], "doc_id long, text string")
     assert language_id.identify(noise, models).first().rejected
+    clashing = docs.withColumns({"score": docs.doc_id, "nats": docs.text, "rejected": docs.lang})
+    again = language_id.identify(clashing, models)
+    assert {r.doc_id: (r.lang_pred, r.score) for r in again.collect()} == {d: (r.lang_pred, r.score) for d, r in got.items()} and dict(again.dtypes)["score"] == "double"
+    known = language_id.known(clashing, models)
+    assert known.columns == clashing.columns and {r.doc_id for r in known.collect()} == {d for d, r in got.items() if not r.rejected}
     held = {r[0]: r[1] for r in docs.select("doc_id", language_id.held_out(docs.doc_id)).collect()}
     assert all(v == (zlib.crc32(str(d).encode()) % 4 == 2) for d, v in held.items())
     assert language_id.fit(no_docs) is None
