@@ -9,10 +9,9 @@ and digits, A-Z lower-cased.
    are dropped by a bounded screen; what is left, with the words around it, is a
    hit region. Documents are read once and never shuffled.
 3. Spark joins hits and item seeds on the hash. Each (region, item, diagonal) is
-   verified once: word by word along the diagonal, from the seed outwards, the
-   best stretch with substitutions must have ``min_words`` equal words (or all
-   words of a shorter item but one in five) and at least ``identity`` of its
-   words equal.
+   verified once: word by word along the diagonal, of the stretches with at
+   least ``identity`` of their words equal the one with most equal words must
+   have ``min_words`` of them (or all words of a shorter item but one in five).
 
 Items with fewer words than the shortest mask are not searched for. Null texts
 have no words. Rows that repeat a doc_id are searched each; one row for each
@@ -22,6 +21,8 @@ as long). A null doc_id is reported as null. Other columns are ignored.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -133,6 +134,24 @@ def best_stretch(same: np.ndarray, identity: float) -> tuple[int, int, int]:
     return best
 
 
+def widest_stretch(same: np.ndarray, identity: float) -> tuple[int, int, int]:
+    """(first, end, equal words) of the stretch with most equal words among those
+    that begin and end with an equal word and have at least ``identity`` of their
+    words equal; of several the shortest, then the first. In integers."""
+    ends = np.flatnonzero(same) + 1
+    if not len(ends):
+        return 0, 0, 0
+    share = Fraction(str(identity))
+    hits = np.concatenate(([0], np.cumsum(same, dtype=np.int64)))
+    total = share.denominator * hits - share.numerator * np.arange(len(hits))
+    # the first place from which the sum does not fall below 0 on the way to each end
+    first = np.searchsorted(-np.minimum.accumulate(total), -total[ends])
+    equal = hits[ends] - hits[first]
+    first = ends[hits[first]] - 1  # its first equal word
+    best = np.lexsort((first, ends - first, -equal))[0]
+    return int(first[best]), int(ends[best]), int(equal[best])
+
+
 def contamination(docs: DataFrame, items: DataFrame, min_words: int = 13, identity: float = 0.8) -> DataFrame:
     """(doc_id, item_id, n_equal, n_words, first_word): documents that hold a
     passage of an item. first_word counts from 0."""
@@ -152,9 +171,9 @@ def contamination(docs: DataFrame, items: DataFrame, min_words: int = 13, identi
             for doc, item, diagonal, start, text, other in zip(*cols, strict=True):
                 a, b = np.frombuffer(text, np.uint64), np.frombuffer(other, np.uint64)
                 low, high = max(0, diagonal), min(len(a), diagonal + len(b))
-                first, end, equal = best_stretch(a[low:high] == b[low - diagonal : high - diagonal], identity)
+                first, end, equal = widest_stretch(a[low:high] == b[low - diagonal : high - diagonal], identity)
                 need = min_words if len(b) > min_words else -(-4 * len(b) // 5)
-                if equal >= need and equal >= identity * (end - first):
+                if equal and equal >= need:
                     rows.append((doc, item, equal, end - first, start + low + first))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[f.split()[0] for f in out.split(", ")])

@@ -63,6 +63,30 @@ def test_best_stretch_is_brute_force():
             assert sum(0.2 if x else -0.8 for x in same[first:end]) == pytest.approx(max(scores)) and equal == same[first:end].sum()
 
 
+def test_widest_stretch_is_brute_force():
+    import numpy as np
+
+    rng = random.Random(14)
+    for _ in range(300):
+        same = np.array([rng.random() < 0.75 for _ in range(rng.randint(1, 30))])
+        first, end, equal = decontaminate.widest_stretch(same, 0.8)
+        rule = [(int(same[a:z].sum()), a - z, -a) for a in range(len(same)) for z in range(a + 1, len(same) + 1) if same[a] and same[z - 1] and 5 * same[a:z].sum() >= 4 * (z - a)]
+        assert (equal, first - end, -first) == max(rule, default=(0, 0, 0))
+
+
+def test_stretch_with_a_change_near_its_end(spark):
+    rng = random.Random(15)
+    items = [(0, words(rng, 16)), (1, words(rng, 10))]
+    rows = []
+    for item, at in ((0, 3), (0, 12), (1, 1), (1, 8)):
+        w = items[item][1].split(" ")
+        w[at] = "zzz" + w[at]
+        rows.append((10 * item + at, f"{words(rng, 30)} {' '.join(w)} {words(rng, 30)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.n_equal, r.n_words) for r in got} == {(3, 0, 15, 16), (12, 0, 15, 16), (11, 1, 9, 10), (18, 1, 9, 10)}
+
+
 # op3
 
 
