@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .screen import Screen, cut, without
+from .screen import Screen, cut, row_key, without
 from .textkit import ALNUM, chunks, mix, signed, words
 
 #: Masks of weight six; 0 is an ignored word.
@@ -78,9 +78,10 @@ def _item_words(items: DataFrame) -> DataFrame:
 
 
 def _regions(docs: DataFrame, screen: Screen) -> DataFrame:
-    """(doc_id, region, start, words, hits): the words around the seed hits of
-    each document; hits are (h, p) with p counted from the region's start."""
-    names = ["doc_id", "region", "start", "words", "hits"]
+    """(doc_id, key, region, start, words, hits): the words around the seed hits
+    of each document; key is the row's, hits are (h, p) with p counted from the
+    region's start."""
+    names = ["doc_id", "key", "start", "words", "hits"]
     hit = pa.struct([("h", pa.int64()), ("p", pa.int32())])
 
     def run(batches):
@@ -109,9 +110,9 @@ def _regions(docs: DataFrame, screen: Screen) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.list_(hit))], names=names)
 
     text = F.col("text").cast("string")
-    keyed = docs.select(F.col("doc_id").cast("long"), text, F.xxhash64("doc_id", text))
-    regions = keyed.mapInArrow(run, "doc_id long, region long, start long, words binary, hits array<struct<h: long, p: int>>")
-    return regions.withColumn("region", F.xxhash64("region", "start"))
+    keyed = docs.select(F.col("doc_id").cast("long"), text, row_key())
+    regions = keyed.mapInArrow(run, "doc_id long, key long, start long, words binary, hits array<struct<h: long, p: int>>")
+    return regions.withColumn("region", F.xxhash64("key", "start"))
 
 
 def best_stretch(same: np.ndarray, identity: float) -> tuple[int, int, int]:
@@ -152,41 +153,48 @@ def widest_stretch(same: np.ndarray, identity: float) -> tuple[int, int, int]:
     return int(first[best]), int(ends[best]), int(equal[best])
 
 
-def contamination(docs: DataFrame, items: DataFrame, min_words: int = 13, identity: float = 0.8) -> DataFrame:
-    """(doc_id, item_id, n_equal, n_words, first_word): documents that hold a
-    passage of an item. first_word counts from 0."""
+def _passages(docs: DataFrame, items: DataFrame, min_words: int, identity: float) -> DataFrame:
+    """(key, doc_id, item_id, n_equal, n_words, first_word): the passages found
+    on each diagonal of each row, which key names."""
     items = cut(items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL"))
     seeds = cut(_item_seeds(items))
     screen = Screen.of(seeds.select("h").distinct(), "h", words_per_key=16)
     regions = cut(_regions(docs, screen))
     hits = regions.select("region", F.inline("hits")).join(seeds, "h")
     lines = hits.select("region", "item_id", (F.col("p") - F.col("q")).alias("diagonal")).distinct()
-    asked = lines.join(regions.select("region", "doc_id", "start", "words"), "region").join(_item_words(items), "item_id")
-    out = "doc_id long, item_id long, n_equal long, n_words long, first_word long"
+    asked = lines.join(regions.select("region", "key", "doc_id", "start", "words"), "region").join(_item_words(items), "item_id")
+    out = "key long, doc_id long, item_id long, n_equal long, n_words long, first_word long"
 
     def verify(batches):
         for batch in batches:
             rows = []
-            cols = [batch.column(c).to_pylist() for c in ("doc_id", "item_id", "diagonal", "start", "words", "item_words")]
-            for doc, item, diagonal, start, text, other in zip(*cols, strict=True):
+            cols = [batch.column(c).to_pylist() for c in ("key", "doc_id", "item_id", "diagonal", "start", "words", "item_words")]
+            for key, doc, item, diagonal, start, text, other in zip(*cols, strict=True):
                 a, b = np.frombuffer(text, np.uint64), np.frombuffer(other, np.uint64)
                 low, high = max(0, diagonal), min(len(a), diagonal + len(b))
                 first, end, equal = widest_stretch(a[low:high] == b[low - diagonal : high - diagonal], identity)
                 need = min_words if len(b) > min_words else -(-4 * len(b) // 5)
                 if equal and equal >= need:
-                    rows.append((doc, item, equal, end - first, start + low + first))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                    rows.append((key, doc, item, equal, end - first, start + low + first))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[f.split()[0] for f in out.split(", ")])
 
-    found = asked.select("doc_id", "item_id", "diagonal", "start", "words", "item_words").mapInArrow(verify, out)
+    return asked.select("key", "doc_id", "item_id", "diagonal", "start", "words", "item_words").mapInArrow(verify, out)
+
+
+def contamination(docs: DataFrame, items: DataFrame, min_words: int = 13, identity: float = 0.8) -> DataFrame:
+    """(doc_id, item_id, n_equal, n_words, first_word): documents that hold a
+    passage of an item. first_word counts from 0."""
+    found = _passages(docs, items, min_words, identity)
     best = F.min(F.struct((-F.col("n_equal")).alias("e"), "first_word", "n_words")).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("b.e")).alias("n_equal"), "b.n_words", "b.first_word")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, min_words: int = 13, identity: float = 0.8) -> DataFrame:
-    """The rows of docs whose doc_id has no passage of an item."""
-    bad = contamination(docs, items, min_words, identity).select(F.xxhash64("doc_id").alias("__k"))
-    return without(docs, F.xxhash64(F.col("doc_id").cast("long")), cut(bad))
+    """The rows of docs that have no passage of an item, decided for each row also
+    where doc_id is null or repeated."""
+    bad = _passages(docs, items, min_words, identity).select(F.col("key").alias("__k"))
+    return without(docs, row_key(), cut(bad.distinct()))
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:

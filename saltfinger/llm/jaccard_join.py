@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .screen import Screen, cut, parts, without
+from .screen import Screen, cut, parts, row_key, split, without
 from .textkit import chunks, set_key, shingles, signed, words
 
 #: Fragments of the order in which overlaps are counted.
@@ -97,7 +97,8 @@ def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def classes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, sig, bits): size, key and parity bitmap of every row's set."""
+    """(doc_id, n_shingles, sig, bits, key): size, key and parity bitmap of every
+    row's set, and the row's own key."""
 
     def run(batches):
         for batch in batches:
@@ -111,9 +112,9 @@ def classes(docs: DataFrame, n: int) -> DataFrame:
                     bits[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
             at = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BITMAP_LONGS)
             lists = pa.ListArray.from_arrays(at, pa.array(bits.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(sigs), lists], names=["doc_id", "n_shingles", "sig", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(sigs), lists, batch.column(2)], names=["doc_id", "n_shingles", "sig", "bits", "key"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, sig long, bits array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key()).mapInArrow(run, "doc_id long, n_shingles long, sig long, bits array<long>, key long")
 
 
 def _fragment(grams: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -251,11 +252,9 @@ def _links(pairs: DataFrame, pieces: DataFrame, rule: Threshold) -> DataFrame:
     return total.where(f"100 * both >= {rule.percent} * (na + nb - both)").select("a", "b", "na", "nb", "both")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id): components of the links
-    100 * |x & y| >= percent * |x | y| between the rows' n-word shingle sets.
-    class_id is the least doc_id with the same set, component_id the least one
-    that links reach; both are the row's own doc_id if its set is empty."""
+def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The rows of jaccard_components with key, which names the row, and root,
+    which names the component, also where doc_id is null or repeated."""
     rule = Threshold(percent)
     own = cut(classes(docs, n))
     names = own.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.first("bits").alias("bits"))
@@ -313,22 +312,43 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
     own = own.drop("bits")
     if links is None:
-        out = own.join(names, "sig", "left").withColumn("component_id", F.col("class_id"))
+        out = own.join(names, "sig", "left").withColumn("component_id", F.col("class_id")).withColumn("root", F.col("sig"))
     else:
         roots = connected_components(links).withColumnRenamed("node", "sig")
         named = names.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
         heads = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
-        out = own.join(named.join(heads, "root").select("sig", "class_id", "component_id"), "sig", "left")
+        out = own.join(named.join(heads, "root").select("sig", "root", "class_id", "component_id"), "sig", "left")
     mine = lambda c: F.when(F.col("n_shingles") > 0, F.col(c)).otherwise(F.col("doc_id")).alias(c)
-    return out.select("doc_id", "n_shingles", mine("component_id"), mine("class_id"))
+    return out.select("doc_id", "n_shingles", mine("component_id"), mine("class_id"), "key", "root")
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_id): components of the links
+    100 * |x & y| >= percent * |x | y| between the rows' n-word shingle sets.
+    class_id is the least doc_id with the same set, component_id the least one
+    that links reach; both are the row's own doc_id if its set is empty."""
+    return _grouped(docs, n, percent).drop("key", "root")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, one document of each component: that whose doc_id names
-    it. Rows that repeat a doc_id stay or go together; rows without words stay."""
-    groups = jaccard_components(docs, n, percent)
-    others = groups.where("n_shingles > 0 AND NOT doc_id <=> component_id").select(F.xxhash64("doc_id").alias("__k"))
-    return without(docs, F.xxhash64(F.col("doc_id").cast("long")), cut(others))
+    """The rows of docs, one row of each component: that of the least doc_id, a
+    null only if all are. Of rows with one doc_id in a component, the least by the
+    hash of the text stays, of copies with one text the least by the hash of the
+    row. Rows without words stay."""
+    keys = _grouped(docs, n, percent).where("n_shingles > 0").groupBy("key", "root", "doc_id").agg(F.count("*").alias("c"))
+    keys = cut(keys)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "c")
+    heads = cut(keys.groupBy("root").agg(F.min(order).alias("h")).select(F.col("h.key").alias("__k"), F.col("h.c").alias("c")))
+    others = keys.select(F.col("key").alias("__k")).join(heads, "__k", "left_anti")
+    twins = heads.where("c > 1").select("__k")
+    if twins.isEmpty():
+        return without(docs, row_key(), cut(others))
+    plain = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    column = lambda name: F.col("`" + name.replace("`", "``") + "`")
+    some, _ = split(docs, row_key(), Screen.of(twins, "__k"))
+    one = some.groupBy("__k").agg(F.min_by(F.struct(*(column(c) for c in docs.columns)), F.xxhash64(*(column(c) for c in plain))).alias("__row"))
+    one = one.join(twins, "__k", "left_semi").select("__row.*")
+    return without(docs, row_key(), cut(others.unionAll(twins))).unionAll(one)
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:

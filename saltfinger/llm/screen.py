@@ -56,6 +56,11 @@ class Screen:
         return (word & mask) == mask
 
 
+def row_key() -> Column:
+    """Key of a document row: its doc_id and text. Rows of one key are copies."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def split(docs: DataFrame, key: Column, screen: Screen) -> tuple[DataFrame, DataFrame]:
     """(rows whose key may be in the screen, rows whose key is not); the first
     with the key as column __k. Neither is shuffled."""

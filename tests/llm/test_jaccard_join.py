@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -5,6 +6,8 @@ import pytest
 from saltfinger.llm import jaccard_join as J
 from saltfinger.llm.components import connected_components
 
+from .conftest import words
+
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -56,6 +59,19 @@ def test_keep_one(docs, corpus):
     assert sorted({r.doc_id for r in kept.collect()}, key=str) == sorted({d for d, n, c in want if not n or d == c}, key=str)
 
 
+def test_keep_one_decides_by_row(spark):
+    rng = random.Random(16)
+    x, y, z, u, v = (words(rng, 40) for _ in range(5))
+    near = z + " end"
+    rows = [(5, x), (5, y), (2, y), (None, z), (None, near), (None, u), (None, x), (7, v), (7, v), (7, v + " end"), (None, "")]
+    docs = spark.createDataFrame([(i, t, {"a": 1}) for i, t in rows], "doc_id long, text string, m map<string, int>").repartition(3)
+    kept = J.keep_one(docs, 5, 80)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert [r for r in got if r[1] not in (z, near) and r[0] != 7] == sorted([(5, x), (2, y), (None, u), (None, "")], key=str)
+    assert sum(r[1] in (z, near) for r in got) == 1 and sum(r[0] == 7 for r in got) == 1
+
+
 def test_empty(no_docs):
     assert J.jaccard_components(no_docs).count() == 0
     assert J.keep_one(no_docs).count() == 0

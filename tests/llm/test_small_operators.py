@@ -87,6 +87,15 @@ def test_stretch_with_a_change_near_its_end(spark):
     assert {(r.doc_id, r.item_id, r.n_equal, r.n_words) for r in got} == {(3, 0, 15, 16), (12, 0, 15, 16), (11, 1, 9, 10), (18, 1, 9, 10)}
 
 
+def test_decontaminate_decides_by_row(spark):
+    rng = random.Random(17)
+    item = words(rng, 30)
+    rows = [(None, item), (None, words(rng, 30)), (5, item), (5, words(rng, 30)), (6, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = decontaminate.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(str, left.collect())) == sorted(str(r) for r in docs.collect() if r.text != item)
+
+
 # op3
 
 
