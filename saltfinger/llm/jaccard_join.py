@@ -23,6 +23,10 @@ n-gram order. The join has four Spark steps:
    flip a bit at most, so two bitmaps bound the overlap from above, and pairs
    whose bound is too low are not emitted at all.
 
+``jaccard_links`` and ``link_counts`` give the links themselves: step 4 takes the
+pairs inside components too, all that bitmaps and sizes let through, in salted
+blocks. Their cost is that of the links, m * m / 2 for m different near copies.
+
 Nulls and empty texts have the empty set and link with nothing. Rows that
 repeat a doc_id are rows of their own. A null doc_id takes part in the join but
 is never the name of a component that has another member. Columns beside doc_id
@@ -52,6 +56,8 @@ PAIRS_A_ROW = 64
 #: Members of a block from which on a pair comes from the first of its common
 #: blocks only, not from each.
 LARGE_BLOCK = 64
+#: Members of a cell of a block, where all pairs of a block are verified.
+CELL = 256
 #: Longs of a parity bitmap.
 BITMAP_LONGS = 16
 
@@ -252,10 +258,9 @@ def _links(pairs: DataFrame, pieces: DataFrame, rule: Threshold) -> DataFrame:
     return total.where(f"100 * both >= {rule.percent} * (na + nb - both)").select("a", "b", "na", "nb", "both")
 
 
-def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The rows of jaccard_components with key, which names the row, and root,
-    which names the component, also where doc_id is null or repeated."""
-    rule = Threshold(percent)
+def _prepared(docs: DataFrame, n: int, rule: Threshold) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The rows' sets, their classes by name, the index of the classes that may
+    have a link, and the bitmaps and pieces of these."""
     own = cut(classes(docs, n))
     names = own.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.first("bits").alias("bits"))
 
@@ -264,8 +269,61 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     index = cut(index.join(met, "gram").withColumn("keys", F.count("*").over(Window.partitionBy("sig")) / F.col("n")))
     nodes = cut(names.join(index.select("sig").distinct(), "sig", "left_semi"))
     pieces = cut(_pieces(docs, Screen.of(nodes.select(F.xxhash64("class_id").alias("k")), "k"), n))
-    names = names.drop("bits")
-    bits = nodes.select("sig", "bits")
+    return own.drop("bits"), names.drop("bits"), index, nodes.select("sig", "bits"), pieces
+
+
+def _all_links(index: DataFrame, bits: DataFrame, pieces: DataFrame, rule: Threshold) -> DataFrame:
+    """(a, b, na, nb, both): every link between different sets, once. A block is
+    dealt by the members' hashes into cells of about ``CELL`` members; each pair of
+    cells meets in a partition key of its own, so no block is one task."""
+    large = F.col("met") > LARGE_BLOCK
+    blocks = index.where(large).groupBy("sig").agg(F.collect_list("gram").alias("large"))
+    cells = F.ceil(F.col("met") / CELL).cast("int")
+    full = index.join(bits, "sig").join(blocks, "sig", "left").withColumn("large", F.when(large, F.col("large")))
+    full = full.withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("sig"), "cells").cast("int"))
+    side = lambda x: [F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"x{x}"), F.col("large").alias(f"l{x}")]
+    one = full.select("gram", F.col("cell").alias("i"), F.explode(F.sequence("cell", F.col("cells") - 1)).alias("j"), *side("a"))
+    two = full.select("gram", F.explode(F.sequence(F.lit(0), "cell")).alias("i"), F.col("cell").alias("j"), *side("b"))
+    first = F.col("la").isNull() | (F.array_min(F.array_intersect("la", "lb")) == F.col("gram"))
+    met = one.join(two, ["gram", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))
+    met = met.where(rule.may_link(F.col("na"), F.col("nb"), F.col("xa"), F.col("xb")) & first)
+    p, q = F.struct(F.col("a").alias("s"), F.col("na").alias("n")), F.struct(F.col("b").alias("s"), F.col("nb").alias("n"))
+    pairs = met.select(F.least(p, q).alias("p"), F.greatest(p, q).alias("q")).distinct()
+    pairs = pairs.select(F.col("p.s").alias("a"), F.col("q.s").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb"))
+    return _links(cut(pairs), pieces, rule)
+
+
+def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """(class_a, class_b, a, b, n_a, n_b, overlap): every link between different
+    sets, once, inside a component too. a and b are the sets' keys, class_a and
+    class_b the least doc_ids with them."""
+    rule = Threshold(percent)
+    _, names, index, bits, pieces = _prepared(docs, n, rule)
+    found = _all_links(index, bits, pieces, rule)
+    name = lambda x: names.select(F.col("sig").alias(x), F.col("class_id").alias(f"class_{x}"))
+    return found.join(name("a"), "a").join(name("b"), "b").select("class_a", "class_b", "a", "b", F.col("na").alias("n_a"), F.col("nb").alias("n_b"), F.col("both").alias("overlap"))
+
+
+def link_counts(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, class_id, n_copies, n_links): for each row the number
+    of other rows with its set and of other sets that it links to. Both are 0, and
+    class_id the row's own doc_id, if its set is empty."""
+    rule = Threshold(percent)
+    own, names, index, bits, pieces = _prepared(docs, n, rule)
+    found = cut(_all_links(index, bits, pieces, rule))
+    ends = found.select(F.col("a").alias("sig")).unionAll(found.select(F.col("b").alias("sig"))).groupBy("sig").agg(F.count("*").alias("n_links"))
+    copies = own.where("n_shingles > 0").groupBy("sig").agg((F.count("*") - 1).alias("n_copies"))
+    out = own.join(names.join(copies, "sig").join(ends, "sig", "left"), "sig", "left")
+    has = F.col("n_shingles") > 0
+    count = lambda c: F.when(has, F.coalesce(c, F.lit(0))).otherwise(0).alias(c)
+    return out.select("doc_id", "n_shingles", F.when(has, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), count("n_copies"), count("n_links"))
+
+
+def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The rows of jaccard_components with key, which names the row, and root,
+    which names the component, also where doc_id is null or repeated."""
+    rule = Threshold(percent)
+    own, names, index, bits, pieces = _prepared(docs, n, rule)
 
     roots = links = done = before = None
     for step in range(LEADER_ROUNDS + 1):
@@ -310,7 +368,6 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
         done = pairs.select("a", "b") if done is None else done.unionAll(pairs.select("a", "b"))
         roots = cut(connected_components(links).withColumnRenamed("node", "sig"))
 
-    own = own.drop("bits")
     if links is None:
         out = own.join(names, "sig", "left").withColumn("component_id", F.col("class_id")).withColumn("root", F.col("sig"))
     else:

@@ -52,6 +52,24 @@ def test_leader_rounds_lose_no_link(docs, corpus, monkeypatch):
     assert sorted(got, key=str) == brute(corpus, 4, 70)
 
 
+@pytest.mark.parametrize(("n", "percent", "cell", "least"), [(4, 85, 256, 5), (1, 80, 4, 50)])
+def test_every_link_is_given(docs, corpus, monkeypatch, n, percent, cell, least):
+    monkeypatch.setattr(J, "CELL", cell)
+    monkeypatch.setattr(J, "LARGE_BLOCK", 8)
+    sets = [shingles(t, n) for _, t in corpus]
+    names = {}
+    for (d, _), s in zip(corpus, sets, strict=True):
+        names[s] = min((x for x in (d, names.get(s)) if x is not None), default=None)
+    kinds = [s for s in names if s]
+    linked = {(s, t): len(s & t) for s in kinds for t in kinds if s != t and 100 * len(s & t) >= percent * len(s | t)}
+    got = [(frozenset([(r.class_a, r.n_a), (r.class_b, r.n_b)]), r.overlap) for r in J.jaccard_links(docs, n, percent).collect()]
+    want = {(frozenset([(names[s], len(s)), (names[t], len(t))]), both) for (s, t), both in linked.items()}
+    assert len(got) == len(linked) // 2 and set(got) == want and len(got) > least
+    rows = [(r.doc_id, r.n_shingles, r.class_id, r.n_copies, r.n_links) for r in J.link_counts(docs, n, percent).collect()]
+    hand = [(d, len(s), names[s] if s else d, sets.count(s) - 1 if s else 0, sum(a == s for a, _ in linked)) for (d, _), s in zip(corpus, sets, strict=True)]
+    assert sorted(rows, key=str) == sorted(hand, key=str)
+
+
 def test_keep_one(docs, corpus):
     want = brute(corpus, 5, 80)
     kept = J.keep_one(docs, 5, 80)
