@@ -9,7 +9,9 @@ its doc_id and the seed alone.
 
 The cell table has a row for each combination of values, not of documents. Up to
 ``LOCAL_CELLS`` cells it is raked in the driver; beyond that each sweep is a
-Spark aggregation and join, with the same factors. Nulls in source or lang are a
+Spark aggregation and join, with the same factors and the same end: the marginals
+are met within 1e-9, or 200 sweeps are done. Target shares are Spark tables; only
+the driver's path, whose cells bound them, collects them. Nulls in source or lang are a
 value of their own. Texts that are null or have no word have no tokens; they get
 the probability of their cell, 0 if the whole cell is empty. Rows that repeat a
 doc_id stay or go together unless their cells differ.
@@ -50,13 +52,13 @@ def with_cells(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__source": F.col("source").cast("string"), "__lang": F.col("lang").cast("string"), "__topic": topic_of(text), "__tokens": token_count(text)})
 
 
-def tempered(cells: DataFrame, dimension: str, power: float) -> dict:
-    """Target shares of a dimension: its present shares to a power."""
-    rows = cells.groupBy(dimension).agg(F.sum("tokens").alias("t")).toArrow()
-    present = np.array(rows["t"].to_pylist(), float)
-    share = np.where(present > 0, present, 0) ** power if len(present) else present
-    share = np.where(present > 0, share, 0)
-    return dict(zip(rows[dimension].to_pylist(), (share / share.sum()).tolist() if share.sum() else [0.0] * len(share), strict=True))
+def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
+    """(__v, __share): target shares of a dimension, its present shares to a power."""
+    there = F.col("__t") > 0
+    own = cells.groupBy(F.col(dimension).alias("__v")).agg(F.sum("tokens").alias("__t"))
+    own = cut(own.select("__v", F.when(there, F.pow(F.col("__t").cast("double"), F.lit(float(power)))).otherwise(0.0).alias("__w")))
+    total = own.agg(F.sum("__w")).first()[0]
+    return own.select("__v", (F.col("__w") / F.lit(float(total or 1))).alias("__share"))
 
 
 def rake(codes: list[np.ndarray], tokens: np.ndarray, targets: list[np.ndarray], sweeps: int = 200, within: float = 1e-9) -> np.ndarray:
@@ -82,7 +84,7 @@ def rake(codes: list[np.ndarray], tokens: np.ndarray, targets: list[np.ndarray],
     return weight
 
 
-def _rake_in_spark(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int) -> DataFrame:
+def _rake_in_spark(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, within: float = 1e-9) -> DataFrame:
     """The same sweeps as joins, for cell tables beyond the driver's bound."""
     total = cells.agg(F.sum("tokens")).first()[0]
     now = cells.withColumn("weight", F.col("tokens") / F.lit(float(total or 1)))
@@ -90,13 +92,21 @@ def _rake_in_spark(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int)
     for d in DIMENSIONS:  # targets of values with tokens, made to sum to 1
         there = cells.groupBy(d).agg(F.sum("tokens").alias("__t")).where("__t > 0")
         goal = cut(targets[d].join(there, F.col(d).eqNullSafe(F.col("__v")), "left_semi"))
-        if share := goal.agg(F.sum("__share")).first()[0]:
-            goals[d] = goal.select("__v", (F.col("__share") / F.lit(share)).alias("__share"))
-    for _ in range(sweeps):
+        share = goal.agg(F.sum("__share")).first()[0]
+        goals[d] = goal.select("__v", (F.col("__share") / F.lit(share)).alias("__share")) if share else None
+        if not share and total:  # nothing asked for: the dimension keeps its shares
+            goals[d] = there.select(F.col(d).alias("__v"), (F.col("__t") / F.lit(float(total))).alias("__share"))
+        goals[d] = cut(goals[d]) if goals[d] is not None else None
+    for _ in range(sweeps if total else 0):
+        off = 0.0
         for d, goal in goals.items():
-            marginal = now.groupBy(d).agg(F.sum("weight").alias("__m")).where("__m > 0")
-            factor = goal.join(marginal, F.col(d).eqNullSafe(F.col("__v"))).select("__v", (F.col("__share") / F.col("__m")).alias("__f"))
-            now = cut(now.join(factor, F.col(d).eqNullSafe(F.col("__v")), "left").withColumn("weight", F.col("weight") * F.coalesce("__f", F.lit(0.0))).drop("__v", "__f"))
+            marginal = now.groupBy(d).agg(F.sum("weight").alias("__m"))
+            both = marginal.join(goal, F.col(d).eqNullSafe(F.col("__v")), "left").withColumn("__g", F.coalesce("__share", F.lit(0.0)))
+            factor = cut(both.select(F.col(d).alias("__v"), F.when(F.col("__m") > 0, F.col("__g") / F.col("__m")).otherwise(0.0).alias("__f"), F.abs(F.col("__m") - F.col("__g")).alias("__off")))
+            off = max(off, factor.agg(F.max("__off")).first()[0])
+            now = cut(now.join(factor.drop("__off"), F.col(d).eqNullSafe(F.col("__v"))).withColumn("weight", F.col("weight") * F.col("__f")).drop("__v", "__f"))
+        if off < within:
+            break
     return now
 
 
@@ -125,11 +135,11 @@ def probabilities(docs: DataFrame, targets: dict[str, dict] | None = None, power
     spark = docs.sparkSession
     cells = docs.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("tokens"))
     cells = cut(cells)
-    shares = {d: (targets or {}).get(d) or tempered(cells, d, power) for d in DIMENSIONS}
+    asked = lambda d: spark.createDataFrame([(k, float(v)) for k, v in targets[d].items()], "__v string, __share double")
+    shares = {d: asked(d) if (targets or {}).get(d) else tempered(cells, d, power) for d in DIMENSIONS}
     schema = "source string, lang string, topic string, tokens long, weight double, p double"
     if cells.count() > local_cells:
-        frames = {d: spark.createDataFrame([(k, float(v)) for k, v in s.items()], "__v string, __share double") for d, s in shares.items()}
-        raked = cut(_rake_in_spark(cells, frames, min(sweeps, 30)).withColumn("__r", F.try_divide("weight", "tokens")))
+        raked = cut(_rake_in_spark(cells, shares, sweeps).withColumn("__r", F.try_divide("weight", "tokens")))
         # cells that cannot give more than they have are kept whole; each round
         # gives the others what is left of the budget, until no cell is added
         c, whole = 0.0, -1
@@ -148,7 +158,11 @@ def probabilities(docs: DataFrame, targets: dict[str, dict] | None = None, power
         values = list(dict.fromkeys(own))
         at = {v: i for i, v in enumerate(values)}
         codes.append(np.array([at[v] for v in own], np.int64))
-        goals.append(np.array([shares[d].get(v, 0.0) for v in values]))
+        # asked values that no cell has do not matter: at most one row for each cell comes
+        there = cells.select(F.col(d).alias("__c")).distinct()
+        share = shares[d].join(there, F.col("__v").eqNullSafe(F.col("__c")), "left_semi").toArrow()
+        share = dict(zip(share["__v"].to_pylist(), share["__share"].to_pylist(), strict=True))
+        goals.append(np.array([share.get(v, 0.0) for v in values]))
     weight = rake(codes, tokens, goals, sweeps)
     ratio = np.divide(weight, tokens, out=np.zeros(len(tokens)), where=tokens > 0)
     c = scale_for(ratio, tokens, budget)

@@ -206,6 +206,23 @@ def test_raking_and_sampling(spark, no_docs):
     assert mixing.sample(nothing).count() == 0
 
 
+def test_raking_in_spark_ends_as_in_the_driver(spark, monkeypatch):
+    cells = [("s0", "en", 1000), ("s1", "en", 10), ("s1", "fr", 10), ("s2", "fr", 1000), (None, "de", 500)]
+    docs = spark.createDataFrame([(s, lang, "note", t) for s, lang, t in cells], "__source string, __lang string, __topic string, __tokens long")
+    targets = {"source": {"s0": 0.35, "s1": 0.2, "s2": 0.2, None: 0.25}, "lang": {"en": 0.45, "fr": 0.3, "de": 0.25}}
+    asked, rake = [], mixing._rake_in_spark
+
+    def watched(cells, shares, sweeps):
+        asked.append(sweeps)
+        return rake(cells, shares, sweeps)
+
+    monkeypatch.setattr(mixing, "_rake_in_spark", watched)
+    # the marginals are met after two sweeps; no path has a limit of its own
+    local, far = ({(r.source, r.lang): (r.weight, r.p) for r in mixing.probabilities(docs, targets, local_cells=n).collect()} for n in (100, 0))
+    assert asked == [200]
+    assert set(local) == set(far) and all(far[c] == pytest.approx(local[c], rel=0, abs=1e-12) for c in local)
+
+
 # op8
 
 
