@@ -8,8 +8,12 @@ rule is a sequence of identifiers that must follow each other, and the
 identifiers that an earlier rule has used are no longer there for a later one.
 Identifiers that no rule uses are reported as unknown.
 
-Everything is column expressions and one join with the sentence table, whose size
-is fixed by this module. Sentences without one of the license words are dropped
+``scan`` also finds sentences that go over several pieces of the cut: hard-wrapped
+ones, with or without comment marks, and those with ; : or "v." inside. From each
+piece that begins a known sentence, pieces are joined as long as they follow one;
+empty ones do not count. The longest is taken. ``op1_query`` is bound to its SQL,
+which looks up each piece alone: column expressions and one join with the sentence
+table, whose size is fixed by this module. There, sentences without one of the license words are dropped
 before they become rows, so most documents make none. Only documents with a known
 sentence come back. Null and empty texts have no sentence. Rows that repeat a
 doc_id are scanned as the one text whose parts they are, in the order of their
@@ -18,6 +22,9 @@ texts' hashes. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,11 +110,58 @@ def known_sentences(docs: DataFrame) -> DataFrame:
     return asked.join(F.broadcast(table), "sentence").select("doc_id", "part", "pos", "sentence_id")
 
 
+def _recognised(pieces: list[str], known: dict[str, str], heads: set[str]) -> list[tuple[int, str]]:
+    """(place, identifier) of the known sentences that pieces make up, in order."""
+    found, i = [], 0
+    while i < len(pieces):
+        line, best, j = pieces[i], None, i
+        while line in heads:
+            if line in known:
+                best = (known[line], j)
+            j += 1
+            while j < len(pieces) and not pieces[j]:
+                j += 1
+            if j == len(pieces):
+                break
+            line += " " + pieces[j]
+        if best:
+            found.append((i, best[0]))
+            i = best[1]
+        i += 1
+    return found
+
+
+def wrapped_sentences(docs: DataFrame) -> DataFrame:
+    """known_sentences, also those that go over several pieces."""
+    known = {s: i for i, own in SENTENCES.items() for s in own}
+    heads = {" ".join(s.split(" ")[: n + 1]) for s in known for n in range(s.count(" ") + 1)}
+    schema = "doc_id long, part long, pos int, sentence_id string"
+
+    def run(batches):
+        end, other = re.compile(SENTENCE_END.replace("(", "(?:")), re.compile("[^a-z0-9]+")
+        for batch in batches:
+            rows = []
+            for doc, part, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                pieces = [other.sub(" ", piece).strip() for piece in end.split(text)]
+                rows += [(doc, part, *hit) for hit in _recognised(pieces, known, heads)]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "part", "pos", "sentence_id"])
+
+    text = F.col("text").cast("string")
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("part"), F.lower(text).alias("text"))
+    return marked.where(F.col("text").rlike(LICENSE_WORDS)).mapInArrow(run, schema)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, sentence_ids, licenses, unknown): the known sentences in order,
     the licenses that the rules find, distinct and in the rules' order, and the
     identifiers that no rule used."""
-    found = known_sentences(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "pos", "sentence_id"))).alias("own"))
+    return _by_rules(wrapped_sentences(docs))
+
+
+def _by_rules(sentences: DataFrame) -> DataFrame:
+    found = sentences.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "pos", "sentence_id"))).alias("own"))
     ids = found.select("doc_id", F.transform("own", lambda x: x["sentence_id"]).alias("sentence_ids"))
     # " a  b  c ": each identifier between spaces of its own; a used one becomes "-"
     line = F.concat(F.lit(" "), F.array_join("sentence_ids", "  "), F.lit(" "))
@@ -124,8 +178,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def op1_query(spark, sf_dir: str) -> DataFrame:
-    """The documents that hold known license sentences, and their licenses."""
-    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The documents that hold known license sentences, and their licenses, by the
+    rules of OP1_SQL: each piece is a sentence."""
+    found = _by_rules(known_sentences(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return found.select("doc_id", F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), F.array_join("unknown", " ").alias("unknown"))
 
 
