@@ -11,15 +11,20 @@ matter, and the result is exactly that of the full suffix array:
    two equal strings have their anchors at the same place inside them. Spark
    counts anchor hashes; a string whose anchor is unique is not repeated.
 2. Runs. Suffixes at repeated anchors (``min_len`` bytes; and the bytes before
-   them) are sorted where they are read. Equal contexts of a run are sent once
-   with all their places. The runs are front-coded, cut at splitters of the
-   suffix order and exchanged.
+   them) are sorted where they are read. Equal contexts of a run are one entry
+   with a number. The runs are front-coded, cut at splitters of the suffix order
+   (whole anchor strings) and exchanged. Where the contexts stand is not sent
+   along: a place joins its context again by a 128-bit key, so copies do not
+   fill a range.
 3. Merge. Each range merges its runs with a loser tree that never re-compares
    known prefixes, which also yields the LCP array. For an anchor at distance d
    from the start of the string, the string is repeated iff another suffix
    shares min_len - d bytes to the right and d bytes to the left; both are runs
-   of the two LCP arrays.
-4. The covered ranges go to their rows, are united and cut out.
+   of the two LCP arrays. Several lengths are answered from one merge.
+4. Hot anchors. Suffixes with one anchor stay together in a range. An anchor with
+   more than ``HOT_PLACES`` places is no range: the strings around it are hashed
+   at every distance and counted by Spark, which gives the same answer.
+5. The covered ranges go to their rows, are united and cut out.
 
 Null texts are empty. Rows that repeat a doc_id are told apart by their texts'
 hashes; rows that repeat both are copies, whose bytes all go if there are
@@ -34,8 +39,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .merge_runs import front_code, merge
 from .screen import Screen, cut, parts
@@ -44,10 +51,31 @@ from .textkit import chunks, mix, rolling, signed, span_hash
 #: Bytes whose hash chooses the anchors.
 ANCHOR = 64
 _POSITION_BITS = 24
+#: Places of an anchor from which on its strings are counted, not sorted in a range.
+HOT_PLACES = 1 << 16
+#: Places of repeated anchors a range that the splitters are chosen from.
+SAMPLE = 16
+#: Bytes of a passage of some fifty words of four letters, with room for short words.
+PASSAGE = 200
+#: Bytes of the contexts of a run.
+_RUN_BYTES = 8 << 20
 #: Bytes of rows whose anchors are looked for at once, or one row.
 _AT_ONCE = 1 << 19
 
 
+class Shape:
+    """The lengths looked for at once and what they ask of the contexts. Anchors
+    are those of the least length; longer strings hold a string of that length at
+    their start, and so its anchor."""
+
+    def __init__(self, *lengths: int):
+        if min(lengths) < 16:
+            raise ValueError("a length must be 16 at least")
+        self.lengths, self.base, self.top = lengths, min(lengths), max(lengths)
+        self.k = min(ANCHOR, max(8, self.base // 16 * 8))
+        self.before = self.base - self.k
+
+
 def anchors(data: np.ndarray, at: np.ndarray, min_len: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of the anchors of a chunk of rows."""
     none = np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -77,78 +105,103 @@ def anchors(data: np.ndarray, at: np.ndarray, min_len: int, k: int) -> tuple[np.
     return place, hashes[place]
 
 
-def _lead7(data: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The first seven bytes at each place as a number in byte order."""
-    value = np.zeros(len(place), np.int64)
-    for j in range(7):
-        value = (value << 8) | data[place + j]
-    return value
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
-def _repeated(docs: DataFrame, min_len: int, k: int) -> DataFrame:
-    """(h, lead, c): hashes of anchors that occur more than once."""
+def _repeated(docs: DataFrame, shape: Shape) -> DataFrame:
+    """(h, c): hashes of anchors that occur more than once, with their number."""
 
     def run(batches):
         for batch in batches:
             for _, _, data, at in chunks(batch.column(0), _AT_ONCE):
-                place, hashes = anchors(data, at, min_len, k)
-                if len(place):
-                    h, first, count = np.unique(hashes, return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(_lead7(data, place[first])), pa.array(count)], names=["h", "lead", "c"])
+                _, hashes = anchors(data, at, shape.base, shape.k)
+                if len(hashes):
+                    h, count = np.unique(hashes, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(count)], names=["h", "c"])
+
+    found = docs.select(F.col("text").cast("string")).mapInArrow(run, "h long, c long")
+    return found.groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
+
+
+_RUN = "range int, shared binary, ends binary, tails binary, left_ends binary, lefts binary, counts binary"
+_NULL_ID = np.iinfo(np.int64).min
 
-    found = docs.select(F.col("text").cast("string")).mapInArrow(run, "h long, lead long, c long")
-    return found.groupBy("h").agg(F.sum("c").alias("c"), F.min("lead").alias("lead")).where("c > 1")
 
+def _contexts(batch_texts: pa.Array, screen: Screen, shape: Shape) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(row, place, right, left) of every anchor that the screen lets through."""
+    for row, _, data, at in chunks(batch_texts, _AT_ONCE):
+        place, hashes = anchors(data, at, shape.base, shape.k)
+        place = place[screen.may_hold(hashes)]
+        owner = np.searchsorted(at, place, "right") - 1
+        raw = data.tobytes()
+        for p, d, b, e in zip(place.tolist(), (owner + row).tolist(), at[owner].tolist(), at[owner + 1].tolist(), strict=True):
+            yield d, p - b, raw[p : min(p + shape.top, e)], raw[max(b, p - shape.before) : p]
 
-_RUN = "range int, shared binary, ends binary, tails binary, left_ends binary, lefts binary, places binary, counts binary, docs binary, keys binary, at binary"
 
+def _context_key(right: bytes, left: bytes) -> tuple[int, int]:
+    """128-bit key of a context, as two signed longs."""
+    x = xxhash.xxh3_128_digest(len(left).to_bytes(4, "big") + left + right)
+    return int.from_bytes(x[:8], "big", signed=True), int.from_bytes(x[8:], "big", signed=True)
 
-def _runs(docs: DataFrame, screen: Screen, splitters: np.ndarray, min_len: int, k: int) -> DataFrame:
-    """Front-coded sorted runs of the suffixes at repeated anchors, by range."""
-    before = min_len - k
+
+def _leads(raw: list[bytes], k: int) -> np.ndarray:
+    return np.array([x[:k] for x in raw], f"S{k}")
+
+
+def _runs(docs: DataFrame, screen: Screen, splitters: np.ndarray, shape: Shape) -> DataFrame:
+    """Front-coded sorted runs of the suffixes at repeated anchors, by range. Equal
+    contexts of a run are one entry with their number."""
 
     def run(batches):
+        entries: dict[tuple[bytes, bytes], int] = {}
+        held = 0
         for batch in batches:
-            ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-            keys = batch.column(1).to_numpy(zero_copy_only=False)
-            entries: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
-            held = 0
-            for row, _, data, at in chunks(batch.column(2), _AT_ONCE):
-                place, hashes = anchors(data, at, min_len, k)
-                place = place[screen.may_hold(hashes)]
-                owner = np.searchsorted(at, place, "right") - 1
-                begin, end = at[owner], at[owner + 1]
-                raw = data.tobytes()
-                for p, d, b, e in zip(place.tolist(), (owner + row).tolist(), begin.tolist(), end.tolist(), strict=True):
-                    context = raw[p : min(p + min_len, e)], raw[max(b, p - before) : p]
-                    entries.setdefault(context, []).append((d, p - b))
-                held += len(place) * (min_len + before)
-                if held > 12 << 20:
-                    yield from emit(entries, ids, keys)
+            for _, _, right, left in _contexts(batch.column(0), screen, shape):
+                if (right, left) not in entries:
+                    held += len(right) + len(left)
+                entries[right, left] = entries.get((right, left), 0) + 1
+                if held > _RUN_BYTES:
+                    yield from emit(entries)
                     entries, held = {}, 0
-            if entries:
-                yield from emit(entries, ids, keys)
+        if entries:
+            yield from emit(entries)
 
-    def emit(entries, ids, keys):
+    def emit(entries):
         order = sorted(entries)
-        lead = np.array([int.from_bytes(right[:7], "big") for right, _ in order], np.int64)
-        bounds = np.concatenate(([0], np.searchsorted(lead, splitters, "left"), [len(order)]))
-        for r, (a, z) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-            if z > a:
-                own = order[a:z]
-                shared, tails = front_code([right for right, _ in own])
-                refs = [entries[c] for c in own]
-                rows = np.array([x for ref in refs for x in ref], np.int64)
-                row = [r, np.array(shared, np.int32), np.cumsum([len(t) for t in tails]), b"".join(tails), np.cumsum([len(left) for _, left in own]), b"".join(left for _, left in own)]
-                row += [rows[:, 1], np.array([len(ref) for ref in refs], np.int32), ids[rows[:, 0]], keys[rows[:, 0]], b""]
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([x if isinstance(x, bytes) else np.ascontiguousarray(x, x.dtype if x.dtype == np.int32 else np.int64).tobytes()], pa.binary()) for x in row[1:])], names=[f.split()[0] for f in _RUN.split(", ")])
+        bounds = np.concatenate(([0], np.searchsorted(_leads([right for right, _ in order], shape.k), splitters, "left"), [len(order)]))
+        names = [f.split()[0] for f in _RUN.split(", ")]
+        for r in np.flatnonzero(np.diff(bounds)).tolist():
+            own = order[bounds[r] : bounds[r + 1]]
+            shared, tails = front_code([right for right, _ in own])
+            counts = [min(entries[c], (1 << 31) - 1) for c in own]
+            blobs = np.array(shared, np.int32), np.cumsum([len(t) for t in tails]), b"".join(tails), np.cumsum([len(left) for _, left in own]), b"".join(left for _, left in own), np.array(counts, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), *(pa.array([x if isinstance(x, bytes) else x.tobytes()], pa.binary()) for x in blobs)], names=names)
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, _RUN)
+
+
+def _places(docs: DataFrame, screen: Screen, shape: Shape) -> DataFrame:
+    """(c1, c2, places): where each context of the screened anchors stands. A batch
+    gives a row for each of its contexts, so that one which a third of all rows have
+    is as many rows as there are batches with it."""
+
+    def run(batches):
+        kind = pa.struct([("doc", pa.int64()), ("key", pa.int64()), ("at", pa.int64())])
+        for batch in batches:
+            ids = batch.column(0).fill_null(_NULL_ID).to_pylist()
+            keys = batch.column(1).to_pylist()
+            found: dict[tuple[int, int], dict[tuple[int, int, int], None]] = {}
+            for d, at, right, left in _contexts(batch.column(2), screen, shape):
+                found.setdefault(_context_key(right, left), {})[ids[d], keys[d], at] = None
+            flat = [x for own in found.values() for x in own]
+            cols = list(zip(*flat, strict=True)) or [(), (), ()]
+            items = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], fields=list(kind))
+            ends = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in found.values()]))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array([c[i] for c in found], pa.int64()) for i in (0, 1)] + [pa.ListArray.from_arrays(ends, items)], names=["c1", "c2", "places"])
 
-    return _keyed(docs).mapInArrow(run, _RUN)
+    return _keyed(docs).mapInArrow(run, "c1 long, c2 long, places array<struct<doc: long, key: long, at: long>>")
 
 
 def _left_order(group: np.ndarray, lefts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,12 +226,11 @@ def _left_order(group: np.ndarray, lefts: list[bytes], width: int) -> tuple[np.n
     return order, lcp
 
 
-def covers(rights: list[int], lefts: list[bytes], lcp: np.ndarray, count: np.ndarray, min_len: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+def covers(rights: list[int], lefts: list[bytes], lcp: np.ndarray, count: np.ndarray, min_len: int, shape: Shape, by_left: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Of suffixes in order: the least and the greatest distance d for which the
     min_len-byte string starting d bytes before the anchor is repeated; (1, 0)
     if there is none. rights are their lengths, lcp[i] the prefix that i and
     i - 1 share, count the number of places of each."""
-    width = min_len - k
     m = len(rights)
     low, high = np.ones(m, np.int64), np.zeros(m, np.int64)
     if not m:
@@ -190,15 +242,12 @@ def covers(rights: list[int], lefts: list[bytes], lcp: np.ndarray, count: np.nda
     good = several[least[several] <= left[several]]
     low[good], high[good] = least[good], left[good]
     # groups that share an anchor and have several members go through the distances
-    group = np.cumsum(lcp < k)
-    sizes = np.bincount(group)
-    todo = np.flatnonzero(sizes[group] > 1)
+    todo, order, back = by_left or left_order(lefts, lcp, shape)
     if not len(todo):
         return low, high
-    g, h = group[todo], lcp[todo].copy()
-    order, back = _left_order(g, [lefts[i] for i in todo.tolist()], width)
+    h = lcp[todo].copy()
     place = np.empty(len(todo), np.int64)
-    for d in range(width + 1):
+    for d in range(shape.before + 1):
         a = np.cumsum(h < min_len - d)
         place[order] = np.cumsum(back < d)
         pair = a << 32 | place
@@ -214,19 +263,29 @@ def covers(rights: list[int], lefts: list[bytes], lcp: np.ndarray, count: np.nda
     return low, high
 
 
-def _merged(table: pa.Table, min_len: int, k: int) -> pa.Table:
-    cols = {c: table.column(c).to_pylist() for c in table.column_names if c != "range"}
-    runs, lefts, places, counts, docs, keys = [], [], [], [], [], []
+def left_order(lefts: list[bytes], lcp: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes whose anchor another one has too, and ``_left_order`` of them."""
+    group = np.cumsum(lcp < shape.k)
+    todo = np.flatnonzero(np.bincount(group)[group] > 1)
+    if not len(todo):
+        return todo, todo, todo
+    return todo, *_left_order(group[todo], [lefts[i] for i in todo.tolist()], shape.before)
+
+
+_COVER = "c1 long, c2 long, low array<int>, high array<int>"
+
+
+def _merged(table: pa.Table, shape: Shape) -> pa.Table:
+    """The contexts of a range that hold a repeated string, with the least and the
+    greatest distance for each length."""
+    runs, lefts, counts = [], [], []
     for i in range(table.num_rows):
-        tails, ends = cols["tails"][i], np.frombuffer(cols["ends"][i], np.int64).tolist()
-        runs.append((np.frombuffer(cols["shared"][i], np.int32).tolist(), [tails[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]))
-        own, ends = cols["lefts"][i], np.frombuffer(cols["left_ends"][i], np.int64).tolist()
-        lefts.append([own[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)])
-        counts.append(np.frombuffer(cols["counts"][i], np.int32))
-        places.append(np.split(np.frombuffer(cols["places"][i], np.int64), np.cumsum(counts[-1])[:-1]))
-        docs.append(np.split(np.frombuffer(cols["docs"][i], np.int64), np.cumsum(counts[-1])[:-1]))
-        keys.append(np.split(np.frombuffer(cols["keys"][i], np.int64), np.cumsum(counts[-1])[:-1]))
-    lengths, left, lcp, count, refs = [], [], [], [], []
+        row = {c: table.column(c)[i].as_py() for c in table.column_names if c != "range"}
+        cut_up = lambda blob, ends: [blob[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
+        runs.append((np.frombuffer(row["shared"], np.int32).tolist(), cut_up(row["tails"], np.frombuffer(row["ends"], np.int64).tolist())))
+        lefts.append(cut_up(row["lefts"], np.frombuffer(row["left_ends"], np.int64).tolist()))
+        counts.append(np.frombuffer(row["counts"], np.int32))
+    lengths, left, lcp, count, keys = [], [], [], [], []
     spare: dict[bytes, int] = {}
     for r, i, shared, item in merge(runs):
         here = lefts[r][i]
@@ -234,42 +293,101 @@ def _merged(table: pa.Table, min_len: int, k: int) -> pa.Table:
             spare = {}
         if (same := spare.get(here)) is not None:  # the same context came in another run
             count[same] += int(counts[r][i])
-            refs[same].append((r, i))
             continue
         spare[here] = len(lengths)
         lengths.append(len(item))
         left.append(here)
         lcp.append(shared)
         count.append(int(counts[r][i]))
-        refs.append([(r, i)])
-    low, high = covers(lengths, left, np.array(lcp, np.int64), np.array(count, np.int64), min_len, k)
-    out = [[], [], [], []]
-    for i in np.flatnonzero(low <= high).tolist():
-        for r, j in refs[i]:
-            p = places[r][j]
-            out[0].append(docs[r][j])
-            out[1].append(keys[r][j])
-            out[2].append(p - high[i])
-            out[3].append(p - low[i] + min_len)
-    both = [np.concatenate(x) if x else np.empty(0, np.int64) for x in out]
-    ids = pa.array(both[0], mask=both[0] == np.iinfo(np.int64).min)
-    return pa.table({"doc_id": ids, "text_key": both[1], "first": both[2], "end": both[3]})
-
-
-def repeated_spans(docs: DataFrame, min_len: int = 400) -> DataFrame:
-    """(doc_id, text_key, spans): for each row that has any, the byte ranges
-    [first, end) that repeated min_len-byte strings cover, one of each anchor.
-    text_key is xxhash64 of the text."""
-    k = min(ANCHOR, max(8, min_len // 2))
-    if min_len < 16:
-        raise ValueError("min_len must be 16 at least")
-    repeated = cut(_repeated(docs, min_len, k))
-    pieces = parts(docs, 6 << 20)
-    weighed = repeated.select("lead", F.explode(F.sequence(F.lit(1), F.least("c", F.lit(64)).cast("int"))).alias("n"))
-    splitters = np.unique(np.array(weighed.approxQuantile("lead", [i / pieces for i in range(1, pieces)], 1 / (4 * pieces)), np.int64)) if repeated.head(1) else np.empty(0, np.int64)
-    runs = _runs(docs, Screen.of(repeated, "h"), splitters, min_len, k)
-    covered = runs.groupBy("range").applyInArrow(lambda table: _merged(table, min_len, k), "doc_id long, text_key long, first long, end long")
-    return covered.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+        keys.append(_context_key(item, here))
+    steps, many = np.array(lcp, np.int64), np.array(count, np.int64)
+    by_left = left_order(left, steps, shape)
+    found = [covers(lengths, left, steps, many, size, shape, by_left) for size in shape.lengths]
+    some = np.flatnonzero(np.any([low <= high for low, high in found], axis=0)) if lengths else np.empty(0, np.int64)
+    at = pa.array(np.arange(len(some) + 1, dtype=np.int32) * len(shape.lengths))
+    side = lambda i: pa.ListArray.from_arrays(at, pa.array(np.stack([x[i][some] for x in found], axis=1).ravel().astype(np.int32)))
+    return pa.table({"c1": pa.array([keys[i][0] for i in some], pa.int64()), "c2": pa.array([keys[i][1] for i in some], pa.int64()), "low": side(0), "high": side(1)})
+
+
+def _counted(docs: DataFrame, hot: Screen, shape: Shape) -> DataFrame:
+    """What ``_merged`` gives, for the contexts of hot anchors, of which no number is
+    one group: every string of each length around the anchor is hashed, and Spark
+    counts the hashes with partial sums."""
+    names = ["s1", "s2", "c1", "c2", "which", "d", "c"]
+
+    def run(batches):
+        for batch in batches:
+            seen: dict[tuple[bytes, bytes], int] = {}
+            for _, _, right, left in _contexts(batch.column(0), hot, shape):
+                seen[right, left] = seen.get((right, left), 0) + 1
+            rows: list[tuple] = []
+            for (right, left), c in seen.items():
+                key, both = _context_key(right, left), left + right
+                for which, size in enumerate(shape.lengths):
+                    for d in range(max(0, size - len(right)), len(left) + 1):
+                        x = xxhash.xxh3_128_digest(both[len(left) - d : len(left) - d + size])
+                        rows.append((int.from_bytes(x[:8], "big", signed=True), int.from_bytes(x[8:], "big", signed=True), *key, which, d, c))
+                if len(rows) > 1 << 16:
+                    yield emit(rows)
+                    rows = []
+            if rows:
+                yield emit(rows)
+
+    def emit(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+
+    each = docs.select(F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    each = cut(each.groupBy(*names[:-1]).agg(F.sum("c").alias("c")))
+    # with the distance: one place of a string may hold two anchors
+    string = ["which", "d", "s1", "s2"]
+    twice = each.groupBy(*string).agg(F.sum("c").alias("n")).where("n > 1")
+    hit = each.join(twice, string, "left_semi")
+    per = hit.groupBy("c1", "c2").agg(*(f(F.when(F.col("which") == w, F.col("d"))).alias(f"{n}{w}") for w in range(len(shape.lengths)) for n, f in (("low", F.min), ("high", F.max))))
+    side = lambda n, none: F.array(*(F.coalesce(F.col(f"{n}{w}"), F.lit(none)).cast("int") for w in range(len(shape.lengths)))).alias(n)
+    return per.select("c1", "c2", side("low", 1), side("high", 0))
+
+
+def repeated_spans(docs: DataFrame, *lengths: int) -> DataFrame:
+    """(doc_id, text_key, spans, spans1, ...): for each row that has any, the byte
+    ranges [first, end) that repeated strings of the first length cover, one of
+    each anchor, and the same for the further lengths. text_key is xxhash64 of
+    the text."""
+    shape = Shape(*lengths or (400,))
+    repeated = cut(_repeated(docs, shape))
+    hot = repeated.where(f"c > {HOT_PLACES}")
+    plain = repeated.where(f"c <= {HOT_PLACES}")
+    pieces = parts(docs, 3 << 20, most=1 << 18)
+    screen = Screen.of(plain, "h")
+    runs = _runs(docs, screen, _splitters(docs, plain, screen, pieces, shape), shape)
+    covered = runs.groupBy("range").applyInArrow(lambda table: _merged(table, shape), _COVER)
+    if not hot.isEmpty():
+        # an anchor that both screens let through is counted in full by either way
+        covered = covered.unionAll(_counted(docs, Screen.of(hot, "h"), shape))
+    spots = covered.join(_places(docs, Screen.of(repeated, "h"), shape), ["c1", "c2"]).select("low", "high", F.explode("places").alias("p"))
+    name = lambda i: f"spans{i or ''}"
+    ranges = [F.when(F.col("low")[i] <= F.col("high")[i], F.struct((F.col("p.at") - F.col("high")[i]).alias("first"), (F.col("p.at") - F.col("low")[i] + size).alias("end"))).alias(name(i)) for i, size in enumerate(shape.lengths)]
+    spots = spots.select(F.nullif(F.col("p.doc"), F.lit(int(_NULL_ID))).alias("doc_id"), F.col("p.key").alias("text_key"), *ranges)
+    return spots.groupBy("doc_id", "text_key").agg(*(F.collect_set(name(i)).alias(name(i)) for i in range(len(shape.lengths))))
+
+
+def _splitters(docs: DataFrame, repeated: DataFrame, screen: Screen, pieces: int, shape: Shape) -> np.ndarray:
+    """Anchor strings that cut the suffix order into about equal pieces. They come
+    from some ``SAMPLE`` places of repeated anchors a piece, in texts chosen by their
+    hashes; where the cuts lie has no part in the result."""
+    places = repeated.agg(F.sum("c")).first()[0]
+    if not places:
+        return np.empty(0, f"S{shape.k}")
+    share = max(1, places // (SAMPLE * pieces))
+
+    def run(batches):
+        for batch in batches:
+            own = {right[: shape.k] for _, _, right, _ in _contexts(batch.column(0), screen, shape)}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(own), pa.binary())], names=["lead"])
+
+    some = docs.select(F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(share)) == 0)
+    found = some.mapInArrow(run, "lead binary").distinct().orderBy(F.xxhash64("lead")).limit(4 * SAMPLE * pieces).toArrow()
+    leads = np.sort(_leads(found["lead"].to_pylist(), shape.k))
+    return np.unique(leads[len(leads) * np.arange(1, pieces) // pieces]) if len(leads) else leads
 
 
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -283,41 +401,49 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
-def _with_spans(docs: DataFrame, min_len: int, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows of docs that may have spans, with them; rows that have none)."""
-    spans = cut(repeated_spans(docs, min_len))
+def _with_spans(docs: DataFrame, lengths: tuple[int, ...], run, schema) -> DataFrame:
+    """run on the batches of docs, whose rows have the columns of repeated_spans as
+    __spans, __spans1, ...; only rows that may have spans are shuffled."""
+    spans = cut(repeated_spans(docs, *lengths))
     screen = Screen.of(spans.select(F.xxhash64("doc_id", "text_key").alias("k")), "k")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(*columns, F.xxhash64(text).alias("__text_key"), F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("__key"))
+    keyed = docs.select("*", F.xxhash64(text).alias("__text_key"), F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("__key"))
+
+    def may_have(batch: pa.RecordBatch) -> np.ndarray:
+        return screen.may_hold(batch.column("__key").to_numpy(zero_copy_only=False))
 
-    def passing(want: bool):
-        def run(batches) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ok = screen.may_hold(batch.column("__key").to_numpy(zero_copy_only=False))
-                yield batch.filter(pa.array(ok if want else ~ok))
+    def passing(batches):
+        return (batch.filter(pa.array(may_have(batch))) for batch in batches)
 
-        return keyed.mapInArrow(run, keyed.schema)
+    def others(batches):
+        return run(batch.filter(pa.array(~may_have(batch))) for batch in batches)
 
-    right = spans.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__tk"), F.col("spans").alias("__spans"))
-    some = passing(True)
+    here = [c for c in spans.columns if c.startswith("spans")]
+    right = spans.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__tk"), *(F.col(c).alias(f"__{c}") for c in here))
+    some = keyed.mapInArrow(passing, keyed.schema)
     some = some.join(right, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__text_key") == F.col("__tk")), "left")
-    return some.select(*columns, "__spans"), passing(False).select(*columns)
+    return some.mapInArrow(run, schema).unionAll(keyed.mapInArrow(others, schema))
 
 
-def _spans_of(batch: pa.RecordBatch) -> list[list[tuple[int, int]]]:
-    at = batch.schema.get_field_index("__spans")
+def _spans_of(batch: pa.RecordBatch, which: int = 0) -> list[list[tuple[int, int]]]:
+    at = batch.schema.get_field_index(f"__spans{which or ''}")
     if at < 0:
         return [[] for _ in range(batch.num_rows)]
     return [united([(s["first"], s["end"]) for s in x or ()]) for x in batch.column(at).to_pylist()]
 
 
-def removal_digest(docs: DataFrame, min_len: int = 400) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
+def removal_digest(docs: DataFrame, min_len: int = 400, passage_len: int | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row. With
+    passage_len also n_passage_bytes: the bytes that strings of this length cover
+    which start elsewhere too; they are reported, not removed."""
+    lengths = (min_len,) if passage_len is None else (min_len, passage_len)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"]
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             spans = _spans_of(batch)
+            short = _spans_of(batch, 1) if passage_len is not None else [[]] * batch.num_rows
             for first, end, data, at in chunks(batch.column(1)):
                 view = memoryview(data)
                 for row in range(first, end):
@@ -327,13 +453,13 @@ def removal_digest(docs: DataFrame, min_len: int = 400) -> DataFrame:
                         digest.update(view[done : a + s])
                         done = a + e
                     digest.update(view[done:z])
-                    for column, value in zip(out, (z - a, sum(e - s for s, e in spans[row]), len(spans[row]), digest.hexdigest()), strict=True):
+                    for column, value in zip(out, (z - a, sum(e - s for s, e in spans[row]), len(spans[row]), digest.hexdigest(), sum(e - s for s, e in short[row])), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string()), pa.array(out[4], pa.int64())], names=names)
 
-    some, none = _with_spans(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), min_len, ["doc_id", "text"])
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return some.mapInArrow(run, schema).unionAll(none.mapInArrow(run, schema))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long"
+    own = _with_spans(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), lengths, run, schema)
+    return own.select(names if passage_len is not None else names[:-1])
 
 
 def drop_repeats(docs: DataFrame, min_len: int = 400) -> DataFrame:
@@ -363,15 +489,17 @@ def drop_repeats(docs: DataFrame, min_len: int = 400) -> DataFrame:
                     texts[i] = b"".join(left).decode()
                     keep[i] = bool(texts[i])
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([bool(x) for x in spans])], names=[*names, "__cut"]).filter(pa.array(keep))
 
-    some, none = _with_spans(docs.withColumn("text", F.col("text").cast("string")), min_len, names)
-    cut_out = some.mapInArrow(run, none.schema)
+    texts = docs.withColumn("text", F.col("text").cast("string"))
+    left = _with_spans(texts, (min_len,), run, StructType([*texts.schema, StructField("__cut", BooleanType())]))
     if "n_chars" in names:
-        cut_out = cut_out.withColumn("n_chars", F.coalesce(F.length("text").cast(dict(docs.dtypes)["n_chars"]), F.col("n_chars")))
-    return cut_out.select(names).unionAll(none)
+        own = F.coalesce(F.length("text").cast(dict(docs.dtypes)["n_chars"]), F.col("n_chars"))
+        left = left.withColumn("n_chars", F.when(F.col("__cut"), own).otherwise(F.col("n_chars")))
+    return left.select(names)
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:
-    """Contract: bytes covered by 400-byte strings that also start elsewhere."""
-    return removal_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), 400)
+    """Contract: bytes covered by 400-byte strings that also start elsewhere. The
+    further column n_passage_bytes is the same at ``PASSAGE`` bytes."""
+    return removal_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), 400, PASSAGE)

@@ -21,7 +21,7 @@ def test_stages(spark, small, tmp_path):
             groups = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs, 5, 80).collect()}
             assert gone == {d for d, c in groups.items() if d != c} and gone
         if name == "repeats":
-            left = {r.doc_id: r for r in suffix_dedup.removal_digest(docs, 400).collect()}
+            left = {r.doc_id: r for r in suffix_dedup.removal_digest(docs, suffix_dedup.PASSAGE).collect()}
             assert gone == {d for d, r in left.items() if r.n_bytes and r.n_bytes == r.n_removed}
             assert all(ids[d] == kept[d] for d in ids if not left[d].n_removed)
             assert all(len(ids[d]) < len(kept[d]) for d in ids if left[d].n_removed > 8)

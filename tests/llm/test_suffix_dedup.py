@@ -67,3 +67,32 @@ def test_drop_repeats(docs, corpus, no_docs):
     long = {d: n for d, n, gone, *_ in brute(corpus, 90) if not gone}
     assert all(d in rows for d in long if d is not None)
     assert S.drop_repeats(no_docs).count() == S.removal_digest(no_docs).count() == 0
+
+
+def test_passages_of_a_second_length(docs, corpus):
+    got = sorted((tuple(r) for r in S.removal_digest(docs, 400, 90).collect()), key=str)
+    long, short = {}, {}
+    for (d, n, gone, runs, digest), (_, _, passages, *_) in zip(brute(corpus, 400), brute(corpus, 90), strict=True):
+        long.setdefault((d, n, gone, runs, digest), []).append(passages)
+    for *key, passages in got:
+        short.setdefault(tuple(key), []).append(passages)
+    assert {k: sorted(v) for k, v in short.items()} == {k: sorted(v) for k, v in long.items()}
+
+
+@pytest.mark.parametrize("hot", [0, 6])
+def test_hot_anchors_are_counted(docs, corpus, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT_PLACES", hot)
+    got = [tuple(r) for r in S.removal_digest(docs, 90).collect()]
+    assert sorted(got, key=str) == brute(corpus, 90)
+
+
+def test_equal_rows_do_not_multiply_spans(spark):
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(2000))
+    counts = []
+    for n in (3, 60):
+        docs = spark.createDataFrame([(1, text)] * n, "doc_id long, text string").repartition(3)
+        found = S.repeated_spans(docs, 100).collect()
+        assert len(found) == 1 and S.removal_digest(docs, 100).where("n_removed = 2000").count() == n
+        counts.append(len(found[0].spans))
+    assert counts[0] == counts[1]
