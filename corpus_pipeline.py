@@ -2,7 +2,7 @@
 
 language: language ID; documents that the models reject go.
 near_duplicates: n-gram Jaccard join (five words, 0.8); one of each group stays.
-repeats: repeated passages of 400 bytes are cut out of what is left.
+repeats: repeated passages of 200 bytes (some fifty short words) are cut out of what is left.
 benchmark: documents that hold a benchmark passage go.
 mixture: documents are sampled to tempered source, language and topic weights.
 """
@@ -24,7 +24,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.drop_repeats(docs, 400)
+    return suffix_dedup.drop_repeats(docs, suffix_dedup.PASSAGE)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
