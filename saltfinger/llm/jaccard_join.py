@@ -16,12 +16,13 @@ n-gram order. The join has four Spark steps:
    arithmetic on that sum.
 4. Pairs inside a block are not all emitted. Every member is first verified
    against the block's leader; after each round, only pairs whose members are in
-   different components are left. Rounds go on while they shrink a large rest,
-   then the rest is verified pair by pair. The components are therefore exactly
-   those of all links, although a group of m copies costs about m pairs, not
-   m * m. Each class carries a parity bitmap of its set: n-grams of one set only
-   flip a bit at most, so two bitmaps bound the overlap from above, and pairs
-   whose bound is too low are not emitted at all.
+   different components are left. Each class carries a parity bitmap of its set:
+   n-grams of one set only flip a bit at most, so two bitmaps bound the overlap
+   from above, and pairs whose bound is too low are not emitted at all. When
+   leaders no longer shrink the rest, each two components have one pair verified
+   a round, the one with the most similar bitmaps, and last what is left. The
+   components are therefore exactly those of all links, although a group of m
+   copies costs about m pairs, not m * m.
 
 ``jaccard_links`` and ``link_counts`` give the links themselves: step 4 takes the
 pairs inside components too, all that bitmaps and sizes let through, in salted
@@ -53,6 +54,8 @@ OVERLAP_FRAGMENTS = 4
 LEADER_ROUNDS = 8
 #: Pairs for each index row that are left to the bitmaps without another round.
 PAIRS_A_ROW = 64
+#: Rounds in which two components have one pair verified, before all of the rest.
+BEST_ROUNDS = 4
 #: Members of a block from which on a pair comes from the first of its common
 #: blocks only, not from each.
 LARGE_BLOCK = 64
@@ -62,6 +65,11 @@ CELL = 256
 BITMAP_LONGS = 16
 
 
+def differing(bits_a: Column, bits_b: Column) -> Column:
+    """Number of bits in which two bitmaps differ."""
+    return sum((F.bit_count(bits_a[i].bitwiseXOR(bits_b[i])) for i in range(1, BITMAP_LONGS)), F.bit_count(bits_a[0].bitwiseXOR(bits_b[0])))
+
+
 class Threshold:
     """100 * |x & y| >= percent * |x | y|, in integers."""
 
@@ -91,9 +99,8 @@ class Threshold:
     def may_link(self, na: Column, nb: Column, bits_a: Column, bits_b: Column) -> Column:
         """False if sizes or bitmaps rule a link out. Differing bits are at most
         the n-grams that only one set has, na + nb - 2 * overlap."""
-        differ = sum((F.bit_count(bits_a[i].bitwiseXOR(bits_b[i])) for i in range(1, BITMAP_LONGS)), F.bit_count(bits_a[0].bitwiseXOR(bits_b[0])))
         both = na + nb
-        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * self.percent) & ((both - differ) * (100 + self.percent) >= both * (2 * self.percent))
+        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * self.percent) & ((both - differing(bits_a, bits_b)) * (100 + self.percent) >= both * (2 * self.percent))
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -214,17 +221,19 @@ def _index(docs: DataFrame, n: int, rule: Threshold) -> DataFrame:
 
 def _pieces(docs: DataFrame, screen: Screen, n: int) -> DataFrame:
     """(sig, fragment, grams): the sets of the classes to verify, cut into
-    fragments of the order. Only rows whose doc_id passes the screen are cut."""
+    fragments of the order. Only rows whose key passes the screen are cut."""
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             batch = batch.filter(pa.array(screen.may_hold(batch.column(1).to_numpy(zero_copy_only=False))))
             sigs: list[int] = []
             grams: list[np.ndarray] = []
             held = 0
             for _, own in _sets(batch.column(0), n):
-                if len(own):
-                    sigs.append(set_key(own))
+                if len(own) and (key := set_key(own)) not in seen:
+                    seen.add(key)
+                    sigs.append(key)
                     grams.append(own)
                     held += len(own)
                 if held > 1 << 20:
@@ -240,7 +249,7 @@ def _pieces(docs: DataFrame, screen: Screen, n: int) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(signed(np.concatenate(grams))))
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(sigs, np.int64), OVERLAP_FRAGMENTS)), pa.array(np.tile(np.arange(OVERLAP_FRAGMENTS, dtype=np.int32), len(sigs))), lists], names=["sig", "fragment", "grams"])
 
-    keyed = docs.select(F.col("text").cast("string"), F.xxhash64(F.col("doc_id").cast("long")).alias("k"))
+    keyed = docs.select(F.col("text").cast("string"), row_key().alias("k"))
     return keyed.mapInArrow(run, "sig long, fragment int, grams array<long>")
 
 
@@ -252,9 +261,7 @@ def _links(pairs: DataFrame, pieces: DataFrame, rule: Threshold) -> DataFrame:
         pairs.join(left, "b").join(right, ["a", "fragment"])
         .select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ga", "gb")).alias("part"))
     )
-    # a class may have come twice through the screen: its pieces are equal
-    once = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("part").alias("part"))
-    total = once.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
+    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
     return total.where(f"100 * both >= {rule.percent} * (na + nb - both)").select("a", "b", "na", "nb", "both")
 
 
@@ -262,14 +269,16 @@ def _prepared(docs: DataFrame, n: int, rule: Threshold) -> tuple[DataFrame, Data
     """The rows' sets, their classes by name, the index of the classes that may
     have a link, and the bitmaps and pieces of these."""
     own = cut(classes(docs, n))
-    names = own.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.first("bits").alias("bits"))
+    names = own.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.min("key").alias("key"), F.first("bits").alias("bits"))
 
     index = cut(_index(docs, n, rule))
     met = index.groupBy("gram").agg(F.count("*").alias("met")).where("met > 1")
     index = cut(index.join(met, "gram").withColumn("keys", F.count("*").over(Window.partitionBy("sig")) / F.col("n")))
     nodes = cut(names.join(index.select("sig").distinct(), "sig", "left_semi"))
-    pieces = cut(_pieces(docs, Screen.of(nodes.select(F.xxhash64("class_id").alias("k")), "k"), n))
-    return own.drop("bits"), names.drop("bits"), index, nodes.select("sig", "bits"), pieces
+    pieces = cut(_pieces(docs, Screen.of(nodes, "key"), n))
+    if pieces.count() > OVERLAP_FRAGMENTS * pieces.select("sig").distinct().count():  # rows repeat
+        pieces = cut(pieces.dropDuplicates(["sig", "fragment"]))
+    return own.drop("bits"), names.select("sig", "class_id"), index, nodes.select("sig", "bits"), pieces
 
 
 def _all_links(index: DataFrame, bits: DataFrame, pieces: DataFrame, rule: Threshold) -> DataFrame:
@@ -319,14 +328,67 @@ def link_counts(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(has, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), count("n_copies"), count("n_links"))
 
 
-def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The rows of jaccard_components with key, which names the row, and root,
-    which names the component, also where doc_id is null or repeated."""
-    rule = Threshold(percent)
-    own, names, index, bits, pieces = _prepared(docs, n, rule)
-
-    roots = links = done = before = None
-    for step in range(LEADER_ROUNDS + 1):
+def _merge_roots(roots: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(sig, root) of every class that a link has reached, after the links found.
+    Only the components that these links touch are contracted again."""
+    ends = found.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    if roots is None:
+        return cut(connected_components(found).withColumnRenamed("node", "sig"))
+    at = lambda x: roots.select(F.col("sig").alias(x), F.col("root").alias(f"r{x}"))
+    edges = found.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    moved = connected_components(edges).select(F.col("node").alias("root"), F.col("root").alias("__to"))
+    every = roots.unionByName(ends.join(roots, "sig", "left_anti").withColumn("root", F.col("sig")))
+    return cut(every.join(moved, "root", "left").select("sig", F.coalesce("__to", "root").alias("root")))
+
+
+def _leader_pairs(at: DataFrame, bits: DataFrame, rule: Threshold, step: int) -> DataFrame:
+    """(a, b, na, nb): each member of a block with the block's leader."""
+    # first the member with most shared n-grams for its size: of near copies
+    # that is one with few changes, to which most others link
+    first = -F.col("keys") if step == 0 else F.xxhash64("sig", F.lit(step))
+    order = F.struct(first.alias("o"), "sig", "n", "root")
+    lead = at.groupBy("gram").agg(F.min(order).alias("lead")).select("gram", "lead.sig", "lead.n", "lead.root")
+    met = at.alias("m").join(lead.alias("l"), "gram").where("m.root <> l.root")
+    mine, other = F.struct("m.sig", "m.n"), F.struct("l.sig", "l.n")
+    pairs = met.select(F.least(mine, other).alias("p"), F.greatest(mine, other).alias("q")).distinct()
+    pairs = pairs.select(F.col("p.sig").alias("a"), F.col("q.sig").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb"))
+    pairs = pairs.join(bits.select(F.col("sig").alias("a"), F.col("bits").alias("xa")), "a").join(bits.select(F.col("sig").alias("b"), F.col("bits").alias("xb")), "b")
+    return pairs.where(rule.may_link(F.col("na"), F.col("nb"), F.col("xa"), F.col("xb"))).select("a", "b", "na", "nb")
+
+
+def _candidates(at: DataFrame, per: DataFrame, bits: DataFrame, rule: Threshold) -> DataFrame:
+    """(a, b, na, nb, ra, rb, far): the pairs of different components that share a
+    block and that sizes and bitmaps let through; far is the share of bits that
+    differ. In a block the members of its largest component meet only the others."""
+    large = F.col("met") > LARGE_BLOCK
+    blocks = at.where(large).groupBy("sig").agg(F.collect_list("gram").alias("large"))
+    full = at.join(bits, "sig").join(blocks, "sig", "left").withColumn("large", F.when(large, F.col("large")))
+    full = full.join(per.groupBy("gram").agg(F.max_by("root", F.struct("c", "root")).alias("top")), "gram")
+    side = lambda x: [F.col("gram").alias(f"g{x}"), F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}"), F.col("bits").alias(f"x{x}"), F.col("large").alias(f"l{x}"), (F.col("root") == F.col("top")).alias(f"t{x}")]
+    one, two = full.where("root <> top").select(*side("a")), full.select(*side("b"))
+    first = F.col("la").isNull() | (F.array_min(F.array_intersect("la", "lb")) == F.col("ga"))
+    once = F.col("tb") | (F.col("a") < F.col("b"))
+    met = one.join(two, (F.col("ga") == F.col("gb")) & once & (F.col("ra") != F.col("rb")) & rule.may_link(F.col("na"), F.col("nb"), F.col("xa"), F.col("xb")) & first)
+    far = differing(F.col("xa"), F.col("xb")) / (F.col("na") + F.col("nb"))
+    p = F.struct(F.col("a").alias("s"), F.col("na").alias("n"), F.col("ra").alias("r"))
+    q = F.struct(F.col("b").alias("s"), F.col("nb").alias("n"), F.col("rb").alias("r"))
+    pairs = met.select(F.least(p, q).alias("p"), F.greatest(p, q).alias("q"), far.alias("far"))
+    return pairs.select(*(F.col(f"{x}.{f}").alias(name) for f, names in (("s", "ab"), ("n", ("na", "nb")), ("r", ("ra", "rb"))) for x, name in zip("pq", names, strict=True)), "far")
+
+
+def _roots(index: DataFrame, bits: DataFrame, pieces: DataFrame, rule: Threshold) -> DataFrame | None:
+    """(sig, root) of the classes that have a link, with the least key of their
+    component.
+
+    First each block's members are verified against a leader, for as long as that
+    leaves clearly fewer pairs of different components. Then, of all pairs that
+    two components have, that with the most similar bitmaps is verified; if it is
+    a link, the others need not be. After ``BEST_ROUNDS`` such rounds what is left
+    are pairs that the bitmaps do not tell apart, and all of them are verified."""
+    roots = done = before = None
+    step = best = 0
+    leading = True
+    while True:
         at = index.withColumn("root", F.col("sig")) if roots is None else index.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
         blocks = at.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("gram")
         at = cut(at.join(blocks, "gram", "left_semi"))
@@ -334,47 +396,41 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
         pairs_of = (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2
         rest, grams, rows = per.groupBy("gram").agg(pairs_of.alias("p"), F.sum("c").alias("c")).agg(F.sum("p"), F.count("*"), F.sum("c")).first()
         if not grams:
-            break
-        last = step and (step == LEADER_ROUNDS or rest <= PAIRS_A_ROW * rows or rest > 0.8 * before)
+            return roots
+        leading = leading and not (step and (step == LEADER_ROUNDS or rest <= PAIRS_A_ROW * rows or rest > 0.8 * before))
         before = rest
-        if last:
-            large = F.col("met") > LARGE_BLOCK
-            blocks = at.where(large).groupBy("sig").agg(F.collect_list("gram").alias("large"))
-            full = at.join(bits, "sig").join(blocks, "sig", "left").withColumn("large", F.when(large, F.col("large")))
-            one = full.select("gram", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("bits").alias("xa"), F.col("large").alias("la"))
-            two = full.select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("bits").alias("xb"), F.col("large").alias("lb"))
-            first = F.col("la").isNull() | (F.array_min(F.array_intersect("la", "lb")) == one["gram"])
-            pairs = one.join(two, (one["gram"] == two["gram"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & rule.may_link(F.col("na"), F.col("nb"), F.col("xa"), F.col("xb")) & first)
-            pairs = pairs.select("a", "b", "na", "nb").distinct()
+        if leading:
+            pairs = _leader_pairs(at, bits, rule, step)
         else:
-            # first the member with most shared n-grams for its size: of near copies
-            # that is one with few changes, to which most others link
-            first = -F.col("keys") if step == 0 else F.xxhash64("sig", F.lit(step))
-            order = F.struct(first.alias("o"), "sig", "n", "root")
-            lead = at.groupBy("gram").agg(F.min(order).alias("lead")).select("gram", "lead.sig", "lead.n", "lead.root")
-            met = at.alias("m").join(lead.alias("l"), "gram").where("m.root <> l.root")
-            mine, other = F.struct("m.sig", "m.n"), F.struct("l.sig", "l.n")
-            pairs = met.select(F.least(mine, other).alias("p"), F.greatest(mine, other).alias("q")).distinct()
-            pairs = pairs.select(F.col("p.sig").alias("a"), F.col("q.sig").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb"))
-            pairs = pairs.join(bits.select(F.col("sig").alias("a"), F.col("bits").alias("xa")), "a").join(bits.select(F.col("sig").alias("b"), F.col("bits").alias("xb")), "b")
-            pairs = pairs.where(rule.may_link(F.col("na"), F.col("nb"), F.col("xa"), F.col("xb"))).select("a", "b", "na", "nb")
+            pairs = _candidates(at, per, bits, rule)
+            best += 1
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
+        if not leading:
+            nearest = F.min_by(F.struct("a", "b", "na", "nb"), F.struct("far", "a", "b")).alias("x")
+            pairs = pairs.groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(nearest).select("x.*") if best <= BEST_ROUNDS else pairs.select("a", "b", "na", "nb").distinct()
         pairs = cut(pairs)
-        found = _links(pairs, pieces, rule).select("a", "b")
-        links = cut(found if links is None else links.unionAll(found))
-        if last:
-            break
+        found = cut(_links(pairs, pieces, rule).select("a", "b"))
+        if not found.isEmpty():
+            roots = _merge_roots(roots, found)
+        elif not leading and pairs.isEmpty():
+            return roots
+        if best > BEST_ROUNDS:
+            return roots
         done = pairs.select("a", "b") if done is None else done.unionAll(pairs.select("a", "b"))
-        roots = cut(connected_components(links).withColumnRenamed("node", "sig"))
-
-    if links is None:
-        out = own.join(names, "sig", "left").withColumn("component_id", F.col("class_id")).withColumn("root", F.col("sig"))
-    else:
-        roots = connected_components(links).withColumnRenamed("node", "sig")
-        named = names.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-        heads = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
-        out = own.join(named.join(heads, "root").select("sig", "root", "class_id", "component_id"), "sig", "left")
+        step += 1
+
+
+def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The rows of jaccard_components with key, which names the row, and root,
+    which names the component, also where doc_id is null or repeated."""
+    rule = Threshold(percent)
+    own, names, index, bits, pieces = _prepared(docs, n, rule)
+    roots = _roots(index, bits, pieces, rule)
+    named = names.withColumn("root", F.col("sig")) if roots is None else names.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    heads = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
+    named = named.join(heads, "root")
+    out = own.join(named.select("sig", "root", "class_id", "component_id"), "sig", "left")
     mine = lambda c: F.when(F.col("n_shingles") > 0, F.col(c)).otherwise(F.col("doc_id")).alias(c)
     return out.select("doc_id", "n_shingles", mine("component_id"), mine("class_id"), "key", "root")
 
