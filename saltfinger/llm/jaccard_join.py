@@ -357,37 +357,30 @@ def _leader_pairs(at: DataFrame, bits: DataFrame, rule: Threshold, step: int) ->
 
 
 def _candidates(at: DataFrame, per: DataFrame, bits: DataFrame, rule: Threshold) -> DataFrame:
-    """(a, b, na, nb, ra, rb, far): the pairs of different components that share a
-    block and that sizes and bitmaps let through; far is the share of bits that
-    differ. In a block the members of its largest component meet only the others."""
+    """(a, b, na, nb): the pairs of different components that share a block and that
+    sizes and bitmaps let through. In a block the members of its largest component
+    meet only the others."""
     large = F.col("met") > LARGE_BLOCK
     blocks = at.where(large).groupBy("sig").agg(F.collect_list("gram").alias("large"))
     full = at.join(bits, "sig").join(blocks, "sig", "left").withColumn("large", F.when(large, F.col("large")))
-    full = full.join(per.groupBy("gram").agg(F.max_by("root", F.struct("c", "root")).alias("top")), "gram")
+    full = full.join(per.groupBy("gram").agg(F.max(F.struct("c", "root"))["root"].alias("top")), "gram")
     side = lambda x: [F.col("gram").alias(f"g{x}"), F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}"), F.col("bits").alias(f"x{x}"), F.col("large").alias(f"l{x}"), (F.col("root") == F.col("top")).alias(f"t{x}")]
     one, two = full.where("root <> top").select(*side("a")), full.select(*side("b"))
     first = F.col("la").isNull() | (F.array_min(F.array_intersect("la", "lb")) == F.col("ga"))
     once = F.col("tb") | (F.col("a") < F.col("b"))
     met = one.join(two, (F.col("ga") == F.col("gb")) & once & (F.col("ra") != F.col("rb")) & rule.may_link(F.col("na"), F.col("nb"), F.col("xa"), F.col("xb")) & first)
-    far = differing(F.col("xa"), F.col("xb")) / (F.col("na") + F.col("nb"))
-    p = F.struct(F.col("a").alias("s"), F.col("na").alias("n"), F.col("ra").alias("r"))
-    q = F.struct(F.col("b").alias("s"), F.col("nb").alias("n"), F.col("rb").alias("r"))
-    pairs = met.select(F.least(p, q).alias("p"), F.greatest(p, q).alias("q"), far.alias("far"))
-    return pairs.select(*(F.col(f"{x}.{f}").alias(name) for f, names in (("s", "ab"), ("n", ("na", "nb")), ("r", ("ra", "rb"))) for x, name in zip("pq", names, strict=True)), "far")
-
+    p, q = F.struct(F.col("a").alias("s"), F.col("na").alias("n")), F.struct(F.col("b").alias("s"), F.col("nb").alias("n"))
+    pairs = met.select(F.least(p, q).alias("p"), F.greatest(p, q).alias("q")).distinct()
+    return pairs.select(F.col("p.s").alias("a"), F.col("q.s").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb"))
 
-def _roots(index: DataFrame, bits: DataFrame, pieces: DataFrame, rule: Threshold) -> DataFrame | None:
-    """(sig, root) of the classes that have a link, with the least key of their
-    component.
 
-    First each block's members are verified against a leader, for as long as that
-    leaves clearly fewer pairs of different components. Then, of all pairs that
-    two components have, that with the most similar bitmaps is verified; if it is
-    a link, the others need not be. After ``BEST_ROUNDS`` such rounds what is left
-    are pairs that the bitmaps do not tell apart, and all of them are verified."""
+def _led(index: DataFrame, bits: DataFrame, pieces: DataFrame, rule: Threshold) -> tuple[DataFrame | None, DataFrame | None]:
+    """(roots, candidates) after the rounds in which each block's members are verified
+    against a leader, for as long as that leaves clearly fewer pairs of different
+    components: sig and root of the classes that have a link so far, and the pairs
+    of different components that are left."""
     roots = done = before = None
-    step = best = 0
-    leading = True
+    step = 0
     while True:
         at = index.withColumn("root", F.col("sig")) if roots is None else index.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
         blocks = at.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("gram")
@@ -396,29 +389,45 @@ def _roots(index: DataFrame, bits: DataFrame, pieces: DataFrame, rule: Threshold
         pairs_of = (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2
         rest, grams, rows = per.groupBy("gram").agg(pairs_of.alias("p"), F.sum("c").alias("c")).agg(F.sum("p"), F.count("*"), F.sum("c")).first()
         if not grams:
-            return roots
-        leading = leading and not (step and (step == LEADER_ROUNDS or rest <= PAIRS_A_ROW * rows or rest > 0.8 * before))
-        before = rest
-        if leading:
-            pairs = _leader_pairs(at, bits, rule, step)
-        else:
-            pairs = _candidates(at, per, bits, rule)
-            best += 1
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        if not leading:
-            nearest = F.min_by(F.struct("a", "b", "na", "nb"), F.struct("far", "a", "b")).alias("x")
-            pairs = pairs.groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(nearest).select("x.*") if best <= BEST_ROUNDS else pairs.select("a", "b", "na", "nb").distinct()
-        pairs = cut(pairs)
+            return roots, None
+        last = step and (step == LEADER_ROUNDS or rest <= PAIRS_A_ROW * rows or rest > 0.8 * before)
+        pairs = _candidates(at, per, bits, rule) if last else _leader_pairs(at, bits, rule, step)
+        pairs = cut(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
+        if last:
+            return roots, pairs
+        found = cut(_links(pairs, pieces, rule).select("a", "b"))
+        roots = roots if found.isEmpty() else _merge_roots(roots, found)
+        done = pairs.select("a", "b") if done is None else done.unionAll(pairs.select("a", "b"))
+        before, step = rest, step + 1
+
+
+def _roots(index: DataFrame, bits: DataFrame, pieces: DataFrame, rule: Threshold) -> DataFrame | None:
+    """(sig, root) of the classes that have a link, with the least key of their
+    component.
+
+    Of all pairs that two components have after the leaders, that with the most
+    similar bitmaps is verified; if it is a link, the others need not be. After
+    ``BEST_ROUNDS`` such rounds all of what is left are verified."""
+    roots, rest = _led(index, bits, pieces, rule)
+    if rest is None:
+        return roots
+    side = lambda x: bits.select(F.col("sig").alias(x), F.col("bits").alias(f"x{x}"))
+    rest = cut(rest.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", (differing(F.col("xa"), F.col("xb")) / (F.col("na") + F.col("nb"))).alias("far")))
+    for step in range(BEST_ROUNDS + 1):
+        at = lambda x: roots.select(F.col("sig").alias(x), F.col("root").alias(f"r{x}"))  # noqa: E731, B023
+        live = rest.withColumns({"ra": F.col("a"), "rb": F.col("b")}) if roots is None else rest.join(at("a"), "a", "left").join(at("b"), "b", "left").withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")})
+        live = cut(live.where("ra <> rb"))
+        pairs = live.select("a", "b", "na", "nb")
+        if step < BEST_ROUNDS:
+            nearest = F.min(F.struct("far", "a", "b", "na", "nb")).alias("x")
+            pairs = cut(live.groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(nearest).select("x.a", "x.b", "x.na", "x.nb"))
+        if pairs.isEmpty():
+            break
         found = cut(_links(pairs, pieces, rule).select("a", "b"))
         if not found.isEmpty():
             roots = _merge_roots(roots, found)
-        elif not leading and pairs.isEmpty():
-            return roots
-        if best > BEST_ROUNDS:
-            return roots
-        done = pairs.select("a", "b") if done is None else done.unionAll(pairs.select("a", "b"))
-        step += 1
+        rest = live.drop("ra", "rb").join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    return roots
 
 
 def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
