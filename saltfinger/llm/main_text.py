@@ -11,7 +11,8 @@ The weights are trained in the driver by gradient ascent on the likelihood of
 ``labelled_pages``: whole pages, generated from a grammar of page layouts, whose
 every text run is labelled. Their number is a parameter.
 
-Script, style, template, form controls and the head never have text. Character
+Script, style, template, form controls, inner documents and the head never have
+text; that of formulas, drawings and fallbacks is for the model to decide. Character
 references are decoded; white space inside a block becomes one space; blocks are
 joined in page order by one space. Markup that is not well-formed is read as
 browsers do in the common cases: paragraphs and list items close each other,
@@ -32,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_HEAD_END = re.compile(r"</head\s*>|<body\b", re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|itemprop|aria-label)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe svg math canvas object select option datalist button audio video noframes".split())
+#: Elements without text of the page: code, form controls, other documents.
+_RAW = frozenset("script style template title textarea select option datalist button iframe noframes".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
@@ -61,13 +64,89 @@ _STRONG = frozenset("nav header footer aside form article main section p li body
 Node = tuple[int, str, list[str], str, float]  # parent, tag, families, text of a run, share of it in links
 
 
+class _Finder:
+    """Places of what comes next in a page, each part of it looked at once."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.found: dict[str, int] = {}
+        self.closes: dict[str, re.Pattern | None] = {}
+        self.quoted = True
+
+    def next(self, what: str, at: int) -> int:
+        """The next ``what`` from at on, or -1. Calls come with growing at."""
+        known = self.found.get(what, -2)
+        if known == -1 or known >= at:
+            return known
+        self.found[what] = known = self.page.find(what, at)
+        return known
+
+    def close(self, name: str, at: int) -> int:
+        """The end of the next end tag of that name, or -1."""
+        pattern = self.closes.setdefault(name, re.compile(rf"</{name}\s*>", re.IGNORECASE))
+        found = pattern.search(self.page, at) if pattern else None
+        if not found:
+            self.closes[name] = None  # nor will there be one later
+        return found.end() if found else -1
+
+    def tag_end(self, at: int) -> int:
+        """The > of a tag, not one in quotes; -1 if there is none. A page whose quotes
+        do not close has tags end at the first >, from there on."""
+        first = self.next(">", at)
+        while self.quoted and first >= 0:
+            end = self.next(">", at)
+            quotes = [q for q in (self.next('"', at), self.next("'", at)) if q >= 0 and (q < end or end < 0)]
+            if end >= 0 and not quotes:
+                return end
+            close = self.next(self.page[min(quotes)], min(quotes) + 1) if quotes else -1
+            if close < 0:
+                self.quoted = False
+                self.found.pop(">", None)
+                return first
+            at = close + 1
+        return first
+
+
+class _Open:
+    """The open elements, with the places of each name and of those that bound
+    searches, so that no search walks the stack."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = [("html", 0)]  # inline ones with the node around them
+        self.places: dict[str, list[int]] = {}
+        self.blocks, self.scopes = [0], [0]
+
+    def push(self, name: str, node: int) -> None:
+        at = len(self.stack)
+        self.stack.append((name, node))
+        self.places.setdefault(name, []).append(at)
+        if name not in _INLINE:
+            self.blocks.append(at)
+        if name in _SCOPES:
+            self.scopes.append(at)
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            name, _ = self.stack.pop()
+            self.places[name].pop()
+            if name not in _INLINE:
+                self.blocks.pop()
+            if name in _SCOPES:
+                self.scopes.pop()
+
+    def last(self, *names: str) -> int:
+        return max((x[-1] for name in names if (x := self.places.get(name))), default=0)
+
+
 def parse(page: str) -> list[Node]:
     """The block tree of a page, parents before children, runs in page order."""
     nodes: list[Node] = [(-1, "html", [], "", 0.0)]
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements, inline ones with the node around them
+    own, find = _Open(), _Finder(page)
+    stack = own.stack
     run: list[str] = []
     links = total = 0
     anchors = 0
+    no_head_end = False
 
     def flush() -> None:
         nonlocal links, total
@@ -86,20 +165,28 @@ def parse(page: str) -> list[Node]:
         if anchors:
             links += n
 
-    at = 0
-    size = len(page)
+    at, size = 0, len(page)
     while at < size:
-        found = _TOKEN.search(page, at)
-        if not found:
+        start = find.next("<", at)
+        if start < 0:
             take(page[at:])
             break
-        if found.start() > at:
-            take(page[at : found.start()])
-        at = found.end()
-        name = found[2]
-        if name is None:
+        if start > at:
+            take(page[at:start])
+        if page.startswith("<!--", start):
+            end = find.next("-->", start + 4)
+            at = end + 3 if end >= 0 else size
+            continue
+        found = _NAME.match(page, start)
+        end = find.tag_end(found.end()) if found else find.next(">", start) if page[start + 1 : start + 2] in ("!", "?") else -1
+        if end < 0:
+            take("<")
+            at = start + 1
             continue
-        name = name.lower()
+        at = end + 1
+        if not found:
+            continue
+        name = found[2].lower()
         if found[1]:
             if name == "a" and anchors:
                 anchors -= 1
@@ -107,19 +194,16 @@ def parse(page: str) -> list[Node]:
                 if name == "br":
                     flush()
                 continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    if any(s[0] not in _INLINE for s in stack[i:]):
-                        flush()
-                    del stack[i:]
-                    break
-                if name in _INLINE and stack[i][0] not in _INLINE or name == "p" and stack[i][0] in _SCOPES:
-                    break
+            place = own.last(name)
+            if place > (own.blocks[-1] if name in _INLINE else own.scopes[-1] if name == "p" else 0):
+                if own.blocks[-1] >= place:
+                    flush()
+                own.cut(place)
             continue
         if name in _RAW:
-            close = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
-            if not found[3].endswith("/"):
-                at = close.end() if close else size if name in ("script", "style") else at
+            if page[end - 1] != "/":
+                close = find.close(name, at)
+                at = close if close >= 0 else size if name in ("script", "style") else at
             continue
         if name in _VOID:
             if name in ("br", "hr"):
@@ -128,38 +212,29 @@ def parse(page: str) -> list[Node]:
         if name == "a":
             anchors += 1
         if name in _INLINE:
-            stack.append((name, stack[-1][1]))
+            own.push(name, stack[-1][1])
             continue
         flush()
         anchors = 0
-        if name in _CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] in _SCOPES:
-                    break
-        if name in _SIBLINGS:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in _SIBLINGS[name]:
-                    del stack[i:]
-                    break
-                if stack[i][0] in ("ul", "ol", "dl", "table", "select"):
-                    break
-        while len(stack) > 1 and stack[-1][0] in _INLINE:
-            stack.pop()
-        words: list[str] = []
-        if name in ("head",):
-            close = re.compile(r"</head\s*>|<body\b", re.IGNORECASE).search(page, at)
+        if name in _CLOSES_P and own.last("p") > own.scopes[-1]:
+            own.cut(own.last("p"))
+        if name in _SIBLINGS and (place := own.last(*_SIBLINGS[name])) > own.last("ul", "ol", "dl", "table", "select"):
+            own.cut(place)
+        while stack[-1][0] in _INLINE:
+            own.cut(len(stack) - 1)
+        if name == "head":
+            close = None if no_head_end else _HEAD_END.search(page, at)
+            no_head_end = close is None
             if close:
                 at = close.start() if close[0][1] != "/" else close.end()
             continue
-        for key, *value in _ATTRIBUTE.findall(found[3]):
+        words: list[str] = ["note"] if name == "noscript" else []
+        for key, *value in _ATTRIBUTE.findall(page[found.end() : end]):
             if key.lower() == "hidden":
                 words.append("note")
             words += [f for w in _WORDS.findall(" ".join(value)) if (f := _FAMILY.get(w.lower()))]
         nodes.append((stack[-1][1], name, words, "", 0.0))
-        stack.append((name, len(nodes) - 1))
+        own.push(name, len(nodes) - 1)
     flush()
     return nodes
 

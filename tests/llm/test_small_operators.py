@@ -162,6 +162,31 @@ def test_main_text():
         main_text.main_text(broken, model)
 
 
+HOSTILE = {
+    "unclosed tags": "<a " * 100_000, "unclosed tags and an end": "<a " * 100_000 + ">", "stray ends": "<b>" * 50_000 + "</i>" * 50_000, "bounded ends": "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000,
+    "open quote": "<a x=1 " * 50_000 + '"' + ">", "quoted ends": '<a ">" ' * 50_000, "attributes": "<a " + 'x="1" ' * 50_000 + ">text", "comments": "<!-" * 100_000, "no head": "<head>" * 50_000, "scripts": "<textarea>" * 30_000,
+    "deep": "<div>" * 60_000 + "<p>" * 60_000, "lists": "<ul><li>" * 30_000, "less": "<" * 300_000, "tables": "<table><td>" * 20_000 + "</p>" * 20_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_hostile_pages_take_linear_time(name):
+    import time
+
+    model = main_text.trained()
+    began = time.perf_counter()
+    main_text.main_text(HOSTILE[name], model)
+    assert time.perf_counter() - began < 10
+
+
+def test_markup_inside_an_article():
+    texts = lambda page: [n[3] for n in main_text.parse(page) if n[1] == "#run"]
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo>2</math> be.</p>") == ["Let", "x", "=", "2", "be."]
+    assert texts("<p title='a > b'>one</p><p data-x=\"<p>\">two</p>") == ["one", "two"]
+    assert texts("<p>a<script>if (a</b) '<p>'</script>b") == ["ab"] and texts("<ul><li>a<li>b</ul>c") == ["a", "b", "c"]
+    assert texts("<p>a<p>b</i></p>c<!-- <p>no --> d") == ["a", "b", "c d"] and texts("a <b>c</b> < d & e") == ["a c < d & e"]
+
+
 def test_marginals_are_brute_force():
     import itertools
     import math
