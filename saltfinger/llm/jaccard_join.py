@@ -14,15 +14,14 @@ n-gram order. The join has four Spark steps:
    of the order, the overlap in each fragment is counted on its own, and the
    partial overlaps are summed per pair. Links are decided by exact integer
    arithmetic on that sum.
-4. Pairs inside a block are not all emitted. Every member is first verified
-   against the block's leader; after each round, only pairs whose members are in
-   different components are left. Each class carries a parity bitmap of its set:
-   n-grams of one set only flip a bit at most, so two bitmaps bound the overlap
-   from above, and pairs whose bound is too low are not emitted at all. When
-   leaders no longer shrink the rest, each two components have one pair verified
-   a round, the one with the most similar bitmaps, and last what is left. The
-   components are therefore exactly those of all links, although a group of m
-   copies costs about m pairs, not m * m.
+4. Pairs inside a block are not all emitted. Its members are first verified against
+   a few leaders; then only pairs whose members are in different components are
+   left. Each class carries a parity bitmap of its set: n-grams of one set only
+   flip a bit at most, so two bitmaps bound the overlap from above, and pairs whose
+   bound is too low are not emitted at all. Of what is left, each two components
+   have one pair verified a round, the one with the most similar bitmaps, and last
+   all the others. The components are therefore exactly those of all links, although
+   a group of m copies costs about m pairs, not m * m.
 
 ``jaccard_links`` and ``link_counts`` give the links themselves: step 4 takes the
 pairs inside components too, all that bitmaps and sizes let through, in salted
@@ -50,12 +49,10 @@ from .textkit import chunks, set_key, shingles, signed, words
 
 #: Fragments of the order in which overlaps are counted.
 OVERLAP_FRAGMENTS = 4
-#: Rounds of leader verification at most, before the rest is verified pair by pair.
-LEADER_ROUNDS = 8
-#: Pairs for each index row that are left to the bitmaps without another round.
-PAIRS_A_ROW = 64
+#: Leaders of a block that its members are verified against.
+LEADERS = 3
 #: Rounds in which two components have one pair verified, before all of the rest.
-BEST_ROUNDS = 4
+BEST_ROUNDS = 2
 #: Members of a block from which on a pair comes from the first of its common
 #: blocks only, not from each.
 LARGE_BLOCK = 64
@@ -341,29 +338,32 @@ def _merge_roots(roots: DataFrame | None, found: DataFrame) -> DataFrame:
     return cut(every.join(moved, "root", "left").select("sig", F.coalesce("__to", "root").alias("root")))
 
 
-def _leader_pairs(at: DataFrame, bits: DataFrame, rule: Threshold, step: int) -> DataFrame:
-    """(a, b, na, nb): each member of a block with the block's leader."""
-    # first the member with most shared n-grams for its size: of near copies
-    # that is one with few changes, to which most others link
-    first = -F.col("keys") if step == 0 else F.xxhash64("sig", F.lit(step))
-    order = F.struct(first.alias("o"), "sig", "n", "root")
-    lead = at.groupBy("gram").agg(F.min(order).alias("lead")).select("gram", "lead.sig", "lead.n", "lead.root")
-    met = at.alias("m").join(lead.alias("l"), "gram").where("m.root <> l.root")
-    mine, other = F.struct("m.sig", "m.n"), F.struct("l.sig", "l.n")
-    pairs = met.select(F.least(mine, other).alias("p"), F.greatest(mine, other).alias("q")).distinct()
-    pairs = pairs.select(F.col("p.sig").alias("a"), F.col("q.sig").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb"))
+def _leader_pairs(index: DataFrame, bits: DataFrame, rule: Threshold) -> DataFrame:
+    """(a, b, na, nb): each member of a block with the block's leaders. The first is
+    the member with most shared n-grams for its size: of near copies that is one with
+    few changes, to which most others link. The others are drawn."""
+    order = [-F.col("keys"), *(F.xxhash64("sig", F.lit(i)) for i in range(1, LEADERS))]
+    lead = index.groupBy("gram").agg(*(F.min(F.struct(o.alias("o"), "sig", "n")).alias(f"x{i}") for i, o in enumerate(order)))
+    lead = lead.select("gram", F.array_distinct(F.array(*(F.struct(F.col(f"x{i}.sig").alias("s"), F.col(f"x{i}.n").alias("n")) for i in range(LEADERS)))).alias("leads"))
+    mine = F.struct(F.col("sig").alias("s"), "n")
+    met = index.join(lead, "gram").select(mine.alias("m"), F.explode("leads").alias("l")).where("m.s <> l.s")
+    pairs = met.select(F.least("m", "l").alias("p"), F.greatest("m", "l").alias("q")).distinct()
+    pairs = pairs.select(F.col("p.s").alias("a"), F.col("q.s").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb"))
     pairs = pairs.join(bits.select(F.col("sig").alias("a"), F.col("bits").alias("xa")), "a").join(bits.select(F.col("sig").alias("b"), F.col("bits").alias("xb")), "b")
     return pairs.where(rule.may_link(F.col("na"), F.col("nb"), F.col("xa"), F.col("xb"))).select("a", "b", "na", "nb")
 
 
-def _candidates(at: DataFrame, per: DataFrame, bits: DataFrame, rule: Threshold) -> DataFrame:
+def _candidates(index: DataFrame, roots: DataFrame | None, bits: DataFrame, rule: Threshold) -> DataFrame:
     """(a, b, na, nb): the pairs of different components that share a block and that
     sizes and bitmaps let through. In a block the members of its largest component
     meet only the others."""
+    at = index.withColumn("root", F.col("sig")) if roots is None else index.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    # one row for each block of several components, with the largest of these
+    tops = at.groupBy("gram", "root").agg(F.count("*").alias("c")).groupBy("gram").agg(F.count("*").alias("k"), F.max(F.struct("c", "root"))["root"].alias("top")).where("k > 1")
+    at = cut(at.join(tops.drop("k"), "gram"))
     large = F.col("met") > LARGE_BLOCK
     blocks = at.where(large).groupBy("sig").agg(F.collect_list("gram").alias("large"))
     full = at.join(bits, "sig").join(blocks, "sig", "left").withColumn("large", F.when(large, F.col("large")))
-    full = full.join(per.groupBy("gram").agg(F.max(F.struct("c", "root"))["root"].alias("top")), "gram")
     side = lambda x: [F.col("gram").alias(f"g{x}"), F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}"), F.col("bits").alias(f"x{x}"), F.col("large").alias(f"l{x}"), (F.col("root") == F.col("top")).alias(f"t{x}")]
     one, two = full.where("root <> top").select(*side("a")), full.select(*side("b"))
     first = F.col("la").isNull() | (F.array_min(F.array_intersect("la", "lb")) == F.col("ga"))
@@ -374,43 +374,18 @@ def _candidates(at: DataFrame, per: DataFrame, bits: DataFrame, rule: Threshold)
     return pairs.select(F.col("p.s").alias("a"), F.col("q.s").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb"))
 
 
-def _led(index: DataFrame, bits: DataFrame, pieces: DataFrame, rule: Threshold) -> tuple[DataFrame | None, DataFrame | None]:
-    """(roots, candidates) after the rounds in which each block's members are verified
-    against a leader, for as long as that leaves clearly fewer pairs of different
-    components: sig and root of the classes that have a link so far, and the pairs
-    of different components that are left."""
-    roots = done = before = None
-    step = 0
-    while True:
-        at = index.withColumn("root", F.col("sig")) if roots is None else index.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-        blocks = at.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("gram")
-        at = cut(at.join(blocks, "gram", "left_semi"))
-        per = at.groupBy("gram", "root").agg(F.count("*").alias("c"))
-        pairs_of = (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2
-        rest, grams, rows = per.groupBy("gram").agg(pairs_of.alias("p"), F.sum("c").alias("c")).agg(F.sum("p"), F.count("*"), F.sum("c")).first()
-        if not grams:
-            return roots, None
-        last = step and (step == LEADER_ROUNDS or rest <= PAIRS_A_ROW * rows or rest > 0.8 * before)
-        pairs = _candidates(at, per, bits, rule) if last else _leader_pairs(at, bits, rule, step)
-        pairs = cut(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
-        if last:
-            return roots, pairs
-        found = cut(_links(pairs, pieces, rule).select("a", "b"))
-        roots = roots if found.isEmpty() else _merge_roots(roots, found)
-        done = pairs.select("a", "b") if done is None else done.unionAll(pairs.select("a", "b"))
-        before, step = rest, step + 1
-
-
 def _roots(index: DataFrame, bits: DataFrame, pieces: DataFrame, rule: Threshold) -> DataFrame | None:
     """(sig, root) of the classes that have a link, with the least key of their
     component.
 
-    Of all pairs that two components have after the leaders, that with the most
-    similar bitmaps is verified; if it is a link, the others need not be. After
-    ``BEST_ROUNDS`` such rounds all of what is left are verified."""
-    roots, rest = _led(index, bits, pieces, rule)
-    if rest is None:
-        return roots
+    First the members of each block are verified against its leaders. Of all pairs
+    that two components then still have, that with the most similar bitmaps is
+    verified; if it is a link, the others need not be. After ``BEST_ROUNDS`` such
+    rounds all of what is left are verified."""
+    pairs = cut(_leader_pairs(index, bits, rule))
+    found = cut(_links(pairs, pieces, rule).select("a", "b"))
+    roots = None if found.isEmpty() else _merge_roots(None, found)
+    rest = _candidates(index, roots, bits, rule).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     side = lambda x: bits.select(F.col("sig").alias(x), F.col("bits").alias(f"x{x}"))
     rest = cut(rest.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", (differing(F.col("xa"), F.col("xb")) / (F.col("na") + F.col("nb"))).alias("far")))
     for step in range(BEST_ROUNDS + 1):

@@ -46,8 +46,10 @@ def test_components_are_those_of_all_links(docs, corpus, n, percent):
     assert sorted(got, key=str) == brute(corpus, n, percent)
 
 
-def test_leader_rounds_lose_no_link(docs, corpus, monkeypatch):
-    monkeypatch.setattr(J, "PAIRS_A_ROW", 0)
+@pytest.mark.parametrize(("leaders", "rounds"), [(1, 0), (1, 3)])
+def test_leaders_and_rounds_lose_no_link(docs, corpus, monkeypatch, leaders, rounds):
+    monkeypatch.setattr(J, "LEADERS", leaders)
+    monkeypatch.setattr(J, "BEST_ROUNDS", rounds)
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_components(docs, 4, 70).collect()]
     assert sorted(got, key=str) == brute(corpus, 4, 70)
 
