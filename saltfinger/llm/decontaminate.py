@@ -13,8 +13,8 @@ and digits, A-Z lower-cased.
    least ``identity`` of their words equal the one with most equal words must
    have ``min_words`` of them (or all words of a shorter item but one in five).
 
-Items with fewer words than the shortest mask are not searched for. Null texts
-have no words. Rows that repeat a doc_id are searched each; one row for each
+An item with fewer words than the shortest mask has one seed, its words without a
+gap, and is found where it stands whole. Null texts have no words. Rows that repeat a doc_id are searched each; one row for each
 doc_id and item comes back, with the longest stretch (the first, if several are
 as long). A null doc_id is reported as null. Other columns are ignored.
 """
@@ -49,6 +49,15 @@ def _seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     return mix(h)
 
 
+#: Words of the shortest mask.
+SHORTEST = min(map(len, MASKS))
+
+
+def _masks(n: int) -> tuple[str, ...]:
+    """The masks of an item of n words."""
+    return MASKS if n >= SHORTEST else ("1" * n,) if n else ()
+
+
 def _item_seeds(items: DataFrame) -> DataFrame:
     """(item_id, h, q): the seeds of every item and their word positions."""
 
@@ -57,7 +66,7 @@ def _item_seeds(items: DataFrame) -> DataFrame:
             for first, _, data, at in chunks(batch.column(1)):
                 hashes, own = words(data, at, ALNUM)
                 for row, (a, z) in enumerate(zip(own[:-1].tolist(), own[1:].tolist(), strict=True), first):
-                    for mask in MASKS:
+                    for mask in _masks(z - a):
                         h = _seeds(hashes[a:z], mask)
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(h), row))), pa.array(signed(h)), pa.array(np.arange(len(h), dtype=np.int32))], names=["item_id", "h", "q"])
 
@@ -77,7 +86,7 @@ def _item_words(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, "item_id long, item_words binary")
 
 
-def _regions(docs: DataFrame, screen: Screen) -> DataFrame:
+def _regions(docs: DataFrame, screen: Screen, masks: list[str]) -> DataFrame:
     """(doc_id, key, region, start, words, hits): the words around the seed hits
     of each document; key is the row's, hits are (h, p) with p counted from the
     region's start."""
@@ -92,7 +101,7 @@ def _regions(docs: DataFrame, screen: Screen) -> DataFrame:
             for first, _, data, at in chunks(batch.column(1)):
                 hashes, own = words(data, at, ALNUM)
                 found = []
-                for mask in MASKS:
+                for mask in masks:
                     h = _seeds(hashes, mask)
                     p = np.flatnonzero(screen.may_hold(h)) if len(h) else np.empty(0, np.int64)
                     owner = np.searchsorted(own, p, "right") - 1
@@ -115,26 +124,6 @@ def _regions(docs: DataFrame, screen: Screen) -> DataFrame:
     return regions.withColumn("region", F.xxhash64("key", "start"))
 
 
-def best_stretch(same: np.ndarray, identity: float) -> tuple[int, int, int]:
-    """(first, end, equal words) of the stretch with most equal words among those
-    that begin and end with an equal word and have the identity throughout its
-    best-scoring form: equal words gain 1 - identity, others lose identity."""
-    if not same.any():
-        return 0, 0, 0
-    gain = np.where(same, 1 - identity, -identity)
-    best, low, at, start, top = (0, 0, 0), 0.0, 0, 0, -1.0
-    total = np.concatenate(([0.0], np.cumsum(gain)))
-    hits = np.concatenate(([0], np.cumsum(same)))
-    for i in range(len(same)):
-        if total[i] < low or i == 0:
-            low, at = total[i], i
-        if same[i] and total[i + 1] - low > top:
-            top = total[i + 1] - low
-            start = at
-            best = (start, i + 1, int(hits[i + 1] - hits[start]))
-    return best
-
-
 def widest_stretch(same: np.ndarray, identity: float) -> tuple[int, int, int]:
     """(first, end, equal words) of the stretch with most equal words among those
     that begin and end with an equal word and have at least ``identity`` of their
@@ -159,7 +148,8 @@ def _passages(docs: DataFrame, items: DataFrame, min_words: int, identity: float
     items = cut(items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL"))
     seeds = cut(_item_seeds(items))
     screen = Screen.of(seeds.select("h").distinct(), "h", words_per_key=16)
-    regions = cut(_regions(docs, screen))
+    short = _item_words(items).select(F.floor(F.octet_length("item_words") / 8).cast("int").alias("n")).where(f"n < {SHORTEST}").distinct().collect()  # a few lengths
+    regions = cut(_regions(docs, screen, [*MASKS, *(m for r in short for m in _masks(r["n"]))]))
     hits = regions.select("region", F.inline("hits")).join(seeds, "h")
     lines = hits.select("region", "item_id", (F.col("p") - F.col("q")).alias("diagonal")).distinct()
     asked = lines.join(regions.select("region", "key", "doc_id", "start", "words"), "region").join(_item_words(items), "item_id")

@@ -5,10 +5,10 @@ space made one space and the ends trimmed. Its fingerprint is the 128-bit xxhash
 (XXH3) of that form's UTF-8 in hex. Being exact, two fingerprints are alike by 1
 if they are equal, else by 0.
 
-``fingerprints`` has one column-parallel pass. ``copy_classes`` groups equal
-fingerprints and compares the canonical bytes of every member with those of its
-bucket's least doc_id, in Spark joins that split hot buckets; members that differ
-(a hash collision) are compared again among themselves until none is left.
+``fingerprints`` has one column-parallel pass. ``copy_kinds`` groups the texts whose
+fingerprint several rows have by fingerprint and canonical bytes; copies collapse in
+the task that reads them, so a hot text is a row for each task, and texts that only
+share a fingerprint (a hash collision) stay apart.
 ``neighbours`` needs each text beside that of the next doc_id: texts travel once,
 compressed, to ranges of doc_id, and the first text of each range also to the
 range before.
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,49 +46,95 @@ def canonical(text: str) -> str:
     return " ".join(text.split())
 
 
-def fingerprint(text: str) -> str:
-    return xxhash.xxh3_128_hexdigest(canonical(text).encode("utf-8", "surrogatepass"))
+Digest = Callable[[bytes], str]
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def wide(raw: bytes) -> str:
+    """128 bits of XXH3 in hex."""
+    return xxhash.xxh3_128_hexdigest(raw)
+
+
+def fingerprint(text: str, digest: Digest = wide) -> str:
+    return digest(canonical(text).encode("utf-8", "surrogatepass"))
+
+
+def print_keys(prints: list[str]) -> np.ndarray:
+    """What Spark's xxhash64 gives for the fingerprints."""
+    return np.array([xxhash.xxh64_intdigest(p, 42) for p in prints], np.uint64)
+
+
+def fingerprints(docs: DataFrame, digest: Digest = wide) -> DataFrame:
     """(doc_id, fingerprint) of every row."""
 
     def run(batches):
         for batch in batches:
-            own = pa.array([fingerprint(t.as_py() or "") for t in batch.column(1)], pa.string())
+            own = pa.array([fingerprint(t.as_py() or "", digest) for t in batch.column(1)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), own], names=["doc_id", "fingerprint"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def copy_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, class_id) of the rows whose canonical text another
-    row has too: class_id is the least such doc_id, checked byte by byte."""
+def copy_kinds(docs: DataFrame, digest: Digest = wide) -> DataFrame:
+    """(fingerprint, form, class_id, copies) of the canonical texts that several rows
+    have: class_id is the least doc_id. Buckets are grouped by the canonical bytes
+    themselves, whole, so equal fingerprints of different texts stay apart. A task
+    sends one row for each text that it holds, however many rows have it."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    marks = cut(fingerprints(docs))
-    buckets = marks.groupBy("fingerprint").agg(F.count("*").alias("c"), F.min("doc_id").alias("least")).where("c > 1")
-    members = cut(marks.join(buckets, "fingerprint").select("doc_id", "fingerprint", "least"))
-    screen = Screen.of(members.select(F.xxhash64("doc_id").alias("k")), "k")
-    texts, _ = split(docs, F.xxhash64("doc_id"), screen)
+    marks = fingerprints(docs, digest)
+    buckets = cut(marks.groupBy("fingerprint").agg(F.count("*").alias("c")).where("c > 1").select("fingerprint", F.xxhash64("fingerprint").alias("k")))
+    screen = Screen.of(buckets, "k")
 
     def form(batches):
+        press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            out = [canonical(t.as_py() or "") for t in batch.column(1)]
-            packed = [zstandard.ZstdCompressor(level=1).compress(x.encode("utf-8", "surrogatepass")) for x in out]
-            prints = [xxhash.xxh3_128_hexdigest(x.encode("utf-8", "surrogatepass")) for x in out]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), pa.array(packed, pa.binary())], names=["doc_id", "fingerprint", "form"])
-
-    rest = texts.select("doc_id", "text").mapInArrow(form, "doc_id long, fingerprint string, form binary")
-    done = None
-    while True:
-        heads = rest.join(rest.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("c")).where("c > 1"), "fingerprint")
-        first = heads.where("doc_id <=> class_id").groupBy("fingerprint", "class_id").agg(F.min("form").alias("head"))
-        told = cut(heads.select("doc_id", "fingerprint", "form").join(first, "fingerprint").select("doc_id", "fingerprint", "class_id", (F.col("form") == F.col("head")).alias("same"), F.when(F.col("form") != F.col("head"), F.col("form")).alias("form")))
-        good = told.where("same").select("doc_id", "fingerprint", "class_id")
-        done = good if done is None else done.unionAll(good)
-        rest = told.where("NOT same").select("doc_id", "fingerprint", "form")
-        if not rest.head(1):
-            return done.groupBy("doc_id", "fingerprint").agg(F.min("class_id").alias("class_id"))
+            kinds: dict[bytes, list] = {}
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = canonical(text.as_py() or "").encode("utf-8", "surrogatepass")
+                own = kinds.setdefault(raw, [doc, 0])
+                own[0] = doc if own[0] is None or doc is not None and doc < own[0] else own[0]
+                own[1] += 1
+            prints = [digest(raw) for raw in kinds]
+            rows = [(p, press.compress(raw), *own) for ok, p, (raw, own) in zip(screen.may_hold(print_keys(prints)), prints, kinds.items(), strict=True) if ok]
+            cols = zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.string(), pa.binary(), pa.int64(), pa.int64()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["fingerprint", "form", "doc_id", "c"])
+
+    kinds = docs.mapInArrow(form, "fingerprint string, form binary, doc_id long, c long").groupBy("fingerprint", "form").agg(F.min("doc_id").alias("class_id"), F.sum("c").alias("copies"))
+    return kinds.where("copies > 1")
+
+
+def with_classes(rows: DataFrame, docs: DataFrame, digest: Digest = wide) -> DataFrame:
+    """rows(doc_id, fingerprint, ...) of docs with class_id: the least doc_id with the
+    same canonical text, the row's own if no other has it."""
+    kinds = cut(copy_kinds(docs, digest))
+    several = cut(kinds.groupBy("fingerprint").agg(F.count("*").alias("c")).where("c > 1").select("fingerprint"))
+    plain = kinds.join(several, "fingerprint", "left_anti").select("fingerprint", "class_id")
+    out = rows.join(plain, "fingerprint", "left")
+    if not several.isEmpty():  # texts of one fingerprint: rows are told apart by their bytes
+        own = _collided(docs, kinds.join(several, "fingerprint", "left_semi"), digest).groupBy("doc_id", "fingerprint").agg(F.min("class_id").alias("__class"))
+        own = own.withColumnRenamed("doc_id", "__doc").withColumnRenamed("fingerprint", "__print")
+        out = out.join(own, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("fingerprint") == F.col("__print")), "left").withColumn("class_id", F.coalesce("class_id", "__class")).drop("__doc", "__print", "__class")
+    return out.withColumn("class_id", F.coalesce("class_id", "doc_id"))
+
+
+def copy_classes(docs: DataFrame, digest: Digest = wide) -> DataFrame:
+    """(doc_id, fingerprint, class_id) of every row."""
+    return with_classes(fingerprints(docs, digest), docs, digest).select("doc_id", "fingerprint", "class_id")
+
+
+def _collided(docs: DataFrame, kinds: DataFrame, digest: Digest) -> DataFrame:
+    """The classes of rows whose fingerprint is that of several texts, by the bytes."""
+    screen = Screen.of(kinds.select(F.xxhash64("fingerprint").alias("k")), "k")
+
+    def form(batches):
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            own = [canonical(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
+            prints = [digest(x) for x in own]
+            cols = [batch.column(0), pa.array(prints, pa.string()), pa.array([press.compress(x) for x in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fingerprint", "form"]).filter(pa.array(screen.may_hold(print_keys(prints))))
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(form, "doc_id long, fingerprint string, form binary")
+    return rows.join(kinds.select("fingerprint", "form", "class_id"), ["fingerprint", "form"]).select("doc_id", "fingerprint", "class_id")
 
 
 _PACKED = "range int, ghost boolean, key long, text binary"
@@ -114,14 +160,15 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
     found = ids.mapInArrow(least, "range int, key long").groupBy("range").agg(F.min("key").alias("key")).toArrow()
     heads = dict(sorted(zip(found["range"].to_pylist(), found["key"].to_pylist(), strict=True)))  # a row for each range
-    order = list(heads)
-    before = {heads[r]: order[i - 1] for i, r in enumerate(order)}
+    dense = np.cumsum(np.isin(np.arange(len(cuts) + 1), list(heads))) - 1  # of those that have rows
+    keys = list(heads.values())
+    before = {k: (i - 1) % len(keys) for i, k in enumerate(keys)}
 
     def pack(batches):
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            own = np.searchsorted(cuts, keys, "right")
+            own = dense[np.searchsorted(cuts, keys, "right")]
             for at in range(0, len(keys), 512):
                 rows = []
                 for i, t in enumerate(batch.column(1)[at : at + 512], at):
@@ -174,7 +221,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in _OUT.split(", ")])
 
     packed = docs.mapInArrow(pack, _PACKED)
-    dealt = packed.repartition(max(1, len(order)), "range").sortWithinPartitions("range", "ghost", "key")
+    dealt = packed.repartitionById(max(1, len(heads)), F.col("range")).sortWithinPartitions("range", "ghost", "key")
     return dealt.mapInArrow(walk, _OUT)
 
 
@@ -183,6 +230,4 @@ def op4_query(spark, sf_dir: str) -> DataFrame:
     text (the row's own if no other has it)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     near = neighbours(docs)
-    copies = copy_classes(docs).withColumnRenamed("doc_id", "__doc")
-    both = near.join(copies.withColumnRenamed("fingerprint", "__f"), (F.col("doc_id") == F.col("__doc")) & (F.col("fingerprint") == F.col("__f")), "left")
-    return both.select(*near.columns, F.coalesce("class_id", "doc_id").alias("class_id"))
+    return with_classes(near, docs).select(*near.columns, "class_id")

@@ -9,9 +9,16 @@ one binary search. n-grams that no language has seen back off order by order.
 
 A text gets the language of the lowest cross-entropy per character. Its score is
 the posterior over languages at a temperature fitted on a part of the sample
-that the counts leave out. The same part calibrates rejection: a text is
-rejected if its cross-entropy lies further above its language's mean than chance
-allows for its length (``reject_z`` deviations), or if it has no letter.
+that the counts leave out. The same part calibrates rejection: a text is rejected if its
+cross-entropy lies further above its language's mean than chance allows for its
+length, or if it has no letter. The bound is that language's own, ``REJECT_MARGIN``
+times the deviation that all but ``FALSE_REJECTIONS`` of its calibration texts stay
+within (``reject_z`` at least); texts that another language fits better are taken
+for mislabelled and do not lift it. ``Models.false_rejections`` is the share of
+calibration texts that the bounds reject.
+
+The arrays are dense in languages: some 20 bytes for each n-gram and language, for
+corpora of dozens of languages.
 
 Only letters count, lower-cased; everything else is a word break. Null texts and
 texts without letters are ``und`` with score 0 and are rejected, and so are all
@@ -30,6 +37,9 @@ from pyspark.sql.types import StructType
 from .textkit import chunks, mix
 
 ORDER = 5
+#: Share of a language's calibration texts that may lie beyond its own quantile, and
+#: the margin put on that for texts that were not seen.
+FALSE_REJECTIONS, REJECT_MARGIN = 0.01, 1.5
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _LETTERS: dict[str, np.ndarray] = {}
 
@@ -115,7 +125,8 @@ class Models:
             lower_keys, lower = keys, prob
         self.unseen = np.log(uniform).astype(np.float32)
         self.temperature, self.mean, self.between, self.within = 1.0, np.zeros(len(langs)), np.ones(len(langs)), np.ones(len(langs))
-        self.reject_z = np.inf
+        self.reject_z = np.full(len(langs), np.inf)
+        self.false_rejections = 0.0
 
     @staticmethod
     def _counts(texts: list[str]) -> dict:
@@ -211,10 +222,12 @@ class Models:
                 self.mean[i] = np.average(x, weights=m)
                 self.within[i] = max(1.0, float(np.median((x - self.mean[i]) ** 2 * m)))
                 self.between[i] = max(0.01, float(np.median((x[m > 500] - self.mean[i]) ** 2)) if (m > 500).any() else 0.01)
-        self.reject_z = reject_z
-        if len(n):
-            z = self._z(nats, n, right)
-            self.reject_z = float(max(reject_z, 1.5 * z.max()))
+        best = nats.argmin(axis=1) if len(n) else np.empty(0, np.int64)
+        z = self._z(nats, n, best)
+        for i in range(len(self.langs)):
+            own = z[(right == i) & (best == i)]
+            self.reject_z[i] = max(reject_z, REJECT_MARGIN * float(np.quantile(own, 1 - FALSE_REJECTIONS))) if len(own) else reject_z
+        self.false_rejections = float((z > self.reject_z[best]).mean()) if len(n) else 0.0
 
     def _z(self, nats, n, best):
         return (nats[np.arange(len(n)), best] - self.mean[best]) / np.sqrt(self.between[best] + self.within[best] / np.maximum(n, 1))
@@ -226,7 +239,7 @@ class Models:
         rows = np.arange(len(n))
         z = -(nats - nats[rows, best][:, None]) * n[:, None] / self.temperature
         score = 1 / np.exp(z).sum(axis=1)
-        rejected = (letters == 0) | (self._z(nats, n, best) > self.reject_z)
+        rejected = (letters == 0) | (self._z(nats, n, best) > self.reject_z[best])
         none = letters == 0
         return np.where(none, -1, best), np.where(none, 0.0, score), rejected, np.where(none, 0.0, nats[rows, best])
 
@@ -238,9 +251,10 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, sample_rows: int = 400, sample_chars: int = 20_000, reject_z: float = 8.0) -> Models | None:
     """Models from the rows of docs that have a lang and are not held out. The
-    sample is bounded by sample_rows * sample_chars characters a language."""
+    sample is bounded by sample_rows * sample_chars characters a language: of a text
+    that is longer than sample_chars its beginning is learned from."""
     labelled = docs.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string")).where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    labelled = labelled.where(f"lang IS NOT NULL AND text RLIKE '\\\\p{{L}}' AND length(text) <= {sample_chars}")
+    labelled = labelled.withColumn("text", F.left("text", F.lit(sample_chars))).where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'")
     drawn = F.xxhash64("doc_id", F.lit("language sample"))
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().toLocalIterator()}
     if not counts:

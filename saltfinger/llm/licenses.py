@@ -8,14 +8,12 @@ rule is a sequence of identifiers that must follow each other, and the
 identifiers that an earlier rule has used are no longer there for a later one.
 Identifiers that no rule uses are reported as unknown.
 
-``scan`` also finds sentences that go over several pieces of the cut: hard-wrapped
-ones, with or without comment marks, and those with ; : or "v." inside. From each
-piece that begins a known sentence, pieces are joined as long as they follow one;
-empty ones do not count. The longest is taken. ``op1_query`` is bound to its SQL,
-which looks up each piece alone: column expressions and one join with the sentence
-table, whose size is fixed by this module. There, sentences without one of the license words are dropped
-before they become rows, so most documents make none. Only documents with a known
-sentence come back. Null and empty texts have no sentence. Rows that repeat a
+Sentences may go over several pieces of the cut: hard-wrapped ones, with or without
+comment marks, and those with ; : or "v." inside. From each piece that begins a
+known sentence, pieces are joined as long as they follow one; empty ones do not
+count. The longest is taken, and the search goes on behind it. Documents without one
+of the license words are left out before that; only documents with a known sentence
+come back. Null and empty texts have no sentence. Rows that repeat a
 doc_id are scanned as the one text whose parts they are, in the order of their
 texts' hashes. Other columns are ignored.
 """
@@ -25,7 +23,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Normalised sentences of public license texts and notices.
@@ -57,14 +55,48 @@ SENTENCES = {
     "ccbync_notice": ["licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
     "cc0_notice": ["released under cc0 1 0", "licensed under cc0 1 0", "this work is released into the public domain under cc0 1 0"],
     "unlicense": ["this is free and unencumbered software released into the public domain"],
+    "mit_liability": ["in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"],
+    "isc_warranty": ["the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"],
+    "isc_liability": ["in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"],
+    "bsd_warranty": ["this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"],
+    "bsd_liability": ["in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"],
+    "apache2_title": ["apache license version 2 0 january 2004"],
+    "apache2_grant": ["subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form"],
+    "gpl_copy": ["you should have received a copy of the gnu general public license along with this program"],
+    "lgpl_free": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"],
+    "lgpl3_free": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "lgpl_hope": ["this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
+    "agpl3_free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "mpl2_copy": ["if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"],
+    "zlib_asis": ["this software is provided as is without any express or implied warranty"],
+    "zlib_liability": ["in no event will the authors be held liable for any damages arising from the use of this software"],
+    "zlib_grant": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "epl2_notice": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0", "licensed under the eclipse public license version 2 0"],
+    "epl1_notice": ["all rights reserved this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution"],
+    "boost_notice": ["distributed under the boost software license version 1 0"],
+    "ccbynd_notice": ["licensed under cc by nd 4 0", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"],
+    "ccbyncsa_notice": ["licensed under cc by nc sa 4 0", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license"],
     "reserved": ["all rights reserved", "copyright all rights reserved"],
 }
 #: Rules in order, license <- identifiers that follow each other.
 RULES = [
+    ("BSD-3-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse", "bsd_warranty", "bsd_liability"]),
+    ("BSD-2-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_warranty", "bsd_liability"]),
     ("BSD-3-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse"]),
     ("BSD-2-Clause", ["bsd_grant", "bsd_source", "bsd_binary"]),
+    ("MIT", ["mit_title", "mit_grant", "mit_keep", "asis_mit", "mit_liability"]),
+    ("MIT", ["mit_grant", "mit_keep", "asis_mit", "mit_liability"]),
     ("MIT", ["mit_title", "mit_grant", "mit_keep", "asis_mit"]),
     ("MIT", ["mit_grant", "mit_keep", "asis_mit"]),
+    ("ISC", ["isc_grant", "isc_warranty", "isc_liability"]),
+    ("Zlib", ["zlib_asis", "zlib_liability", "zlib_grant"]),
+    ("Apache-2.0", ["apache2_title", "apache2_grant"]),
+    ("GPL-3.0-or-later", ["gpl_free", "gpl_hope", "gpl_copy"]),
+    ("GPL-2.0-or-later", ["gpl2_free", "gpl_hope", "gpl_copy"]),
+    ("LGPL-2.1-or-later", ["lgpl_free", "lgpl_hope"]),
+    ("LGPL-3.0-or-later", ["lgpl3_free", "lgpl_hope"]),
+    ("AGPL-3.0-or-later", ["agpl3_free", "gpl_hope"]),
+    ("MPL-2.0", ["mpl2_notice", "mpl2_copy"]),
     ("MIT", ["mit_grant", "mit_keep"]),
     ("Apache-2.0", ["apache2_notice", "apache2_copy", "apache2_copy", "asis_software"]),
     ("Apache-2.0", ["apache2_notice", "apache2_copy"]),
@@ -86,30 +118,29 @@ RULES = [
     ("CC-BY-NC-4.0", ["ccbync_notice"]),
     ("CC0-1.0", ["cc0_notice"]),
     ("Unlicense", ["unlicense"]),
+    ("LGPL-2.1-or-later", ["lgpl_free"]),
+    ("LGPL-3.0-or-later", ["lgpl3_free"]),
+    ("AGPL-3.0-or-later", ["agpl3_free"]),
+    ("Zlib", ["zlib_grant"]),
+    ("EPL-2.0", ["epl2_notice"]),
+    ("EPL-1.0", ["epl1_notice"]),
+    ("BSL-1.0", ["boost_notice"]),
+    ("CC-BY-ND-4.0", ["ccbynd_notice"]),
+    ("CC-BY-NC-SA-4.0", ["ccbyncsa_notice"]),
+    ("Apache-2.0", ["apache2_title"]),
     ("MIT", ["mit_title"]),
     ("all-rights-reserved", ["reserved"]),
 ]
+# a line "SPDX-License-Identifier: <name>" is a sentence and a rule of its own for each name
+for _name in sorted({name for name, _ in RULES} - {"all-rights-reserved"}):
+    SENTENCES[f"spdx_{_name}"] = ["spdx license identifier " + re.sub("[^a-z0-9]+", " ", _name.lower())]
+    RULES.append((_name, [f"spdx_{_name}"]))
 #: A word that every known sentence has.
-LICENSE_WORDS = "licen|permission|permitted|redistribut|copyright|warrant|public domain|free software|unencumbered|cc0|rights reserved|compliance|endorse|merchantab"
+LICENSE_WORDS = "in no event|of the mpl|licen|permission|permitted|redistribut|copyright|warrant|public domain|free software|unencumbered|cc0|rights reserved|compliance|endorse|merchantab"
 #: A sentence ends at a line end, or at . ! ? ; : before white space or the end.
 SENTENCE_END = r"\n|[.!?;:]+(\s+|$)"
 
 
-def normal(sentence: Column) -> Column:
-    """Lower case; everything but a-z and 0-9 is a space; spaces folded."""
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
-
-
-def known_sentences(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, sentence_id) of the known sentences of every document."""
-    text = F.col("text").cast("string")
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(F.lower("text").rlike(LICENSE_WORDS))
-    cut = marked.select("doc_id", F.xxhash64("text").alias("part"), F.posexplode(F.split(F.lower("text"), SENTENCE_END)).alias("pos", "sentence"))
-    asked = cut.where(F.col("sentence").rlike(LICENSE_WORDS)).select("doc_id", "part", "pos", normal(F.col("sentence")).alias("sentence"))
-    table = docs.sparkSession.createDataFrame([(s, i) for i, own in SENTENCES.items() for s in own], "sentence string, sentence_id string")
-    return asked.join(F.broadcast(table), "sentence").select("doc_id", "part", "pos", "sentence_id")
-
-
 def _recognised(pieces: list[str], known: dict[str, str], heads: set[str]) -> list[tuple[int, str]]:
     """(place, identifier) of the known sentences that pieces make up, in order."""
     found, i = [], 0
@@ -131,14 +162,14 @@ def _recognised(pieces: list[str], known: dict[str, str], heads: set[str]) -> li
     return found
 
 
-def wrapped_sentences(docs: DataFrame) -> DataFrame:
-    """known_sentences, also those that go over several pieces."""
+def known_sentences(docs: DataFrame) -> DataFrame:
+    """(doc_id, part, pos, sentence_id) of the known sentences of every document."""
     known = {s: i for i, own in SENTENCES.items() for s in own}
     heads = {" ".join(s.split(" ")[: n + 1]) for s in known for n in range(s.count(" ") + 1)}
     schema = "doc_id long, part long, pos int, sentence_id string"
 
     def run(batches):
-        end, other = re.compile(SENTENCE_END.replace("(", "(?:")), re.compile("[^a-z0-9]+")
+        end, other = re.compile(SENTENCE_END.replace("(", "(?:"), re.ASCII), re.compile("[^a-z0-9]+")
         for batch in batches:
             rows = []
             for doc, part, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -157,7 +188,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, sentence_ids, licenses, unknown): the known sentences in order,
     the licenses that the rules find, distinct and in the rules' order, and the
     identifiers that no rule used."""
-    return _by_rules(wrapped_sentences(docs))
+    return _by_rules(known_sentences(docs))
 
 
 def _by_rules(sentences: DataFrame) -> DataFrame:
@@ -178,9 +209,8 @@ def _by_rules(sentences: DataFrame) -> DataFrame:
 
 
 def op1_query(spark, sf_dir: str) -> DataFrame:
-    """The documents that hold known license sentences, and their licenses, by the
-    rules of OP1_SQL: each piece is a sentence."""
-    found = _by_rules(known_sentences(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    """The documents that hold known license sentences, and their licenses."""
+    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), F.array_join("unknown", " ").alias("unknown"))
 
 
@@ -191,10 +221,15 @@ def _oracle() -> str:
     for n, (license_, rule) in enumerate(RULES):
         want = " " + "  ".join(rule) + " "
         steps.append(f"s{n + 1} AS (SELECT doc_id, sentence_ids, replace(l, '{want}', ' - ') AS l, CASE WHEN contains(l, '{want}') AND NOT contains(',' || f || ',', ',{license_},') THEN CASE WHEN f = '' THEN '{license_}' ELSE f || ',{license_}' END ELSE f END AS f FROM s{n})")
-    return f"""WITH known(sentence, sentence_id) AS (VALUES {table}),
+    return f"""WITH RECURSIVE known(sentence, sentence_id) AS (VALUES {table}),
+heads AS (SELECT DISTINCT array_to_string(list_slice(w, 1, n), ' ') AS head FROM (SELECT w, unnest(range(1, len(w) + 1)) AS n FROM (SELECT string_split(sentence, ' ') AS w FROM known))),
 cut AS (SELECT doc_id, unnest(string_split_regex(lower(text), '\\n|[.!?;:]+(\\s+|$)')) AS s, generate_subscripts(string_split_regex(lower(text), '\\n|[.!?;:]+(\\s+|$)'), 1) AS pos FROM documents WHERE regexp_matches(lower(text), '{LICENSE_WORDS}')),
-hit AS (SELECT doc_id, pos, sentence_id FROM cut JOIN known ON trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) = known.sentence),
-own AS (SELECT doc_id, string_agg(sentence_id, ' ' ORDER BY pos) AS sentence_ids, string_agg(sentence_id, '  ' ORDER BY pos) AS sentence_ids_2 FROM hit GROUP BY doc_id),
+piece AS (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM (SELECT doc_id, pos, trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) AS n FROM cut) WHERE n <> ''),
+line AS (SELECT doc_id, r AS r0, r, n AS l FROM piece JOIN heads ON head = n UNION ALL SELECT line.doc_id, r0, piece.r, l || ' ' || n FROM line JOIN piece ON piece.doc_id = line.doc_id AND piece.r = line.r + 1 JOIN heads ON head = l || ' ' || n),
+hit AS (SELECT doc_id, r0, max(r) AS e, arg_max(sentence_id, r) AS sentence_id FROM line JOIN known ON l = sentence GROUP BY doc_id, r0),
+next AS (SELECT a.*, (SELECT min(b.r0) FROM hit b WHERE b.doc_id = a.doc_id AND b.r0 > a.e) AS r1 FROM hit a),
+taken AS (SELECT * FROM next QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY r0) = 1 UNION ALL SELECT next.* FROM taken JOIN next ON next.doc_id = taken.doc_id AND next.r0 = taken.r1),
+own AS (SELECT doc_id, string_agg(sentence_id, ' ' ORDER BY r0) AS sentence_ids, string_agg(sentence_id, '  ' ORDER BY r0) AS sentence_ids_2 FROM taken GROUP BY doc_id),
 s0 AS (SELECT doc_id, sentence_ids, {left} AS l, {found} AS f FROM own),
 {", ".join(steps)}
 SELECT doc_id, sentence_ids, f AS licenses, array_to_string(list_filter(string_split_regex(trim(l), ' +'), lambda x: x <> '-' AND x <> ''), ' ') AS unknown FROM s{len(RULES)}"""

@@ -1,7 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting (operator 7).
 
-Documents fall into cells (source, language, topic). One aggregation gives the
-tokens of each cell; raking multiplies the cells by a factor for each source,
+Documents fall into cells (source, language, topic). Topics are word clusters fitted
+to the corpus: every document's hashed word shares, whose means and covariances
+Spark sums over all documents, are split by the sign of their leading principal
+components. One aggregation gives the tokens of each cell; raking multiplies the cells by a factor for each source,
 language and topic in turn until all three marginals are met. A cell's documents
 are then kept with a probability in proportion to raked over present tokens, so
 that the expected mixture is the raked one; whether a document is kept depends on
@@ -12,44 +14,100 @@ The cell table has a row for each combination of values, not of documents. Up to
 Spark aggregation and join, with the same factors and the same end: the marginals
 are met within 1e-9, or 200 sweeps are done. Target shares are Spark tables; only
 the driver's path, whose cells bound them, collects them. Nulls in source or lang are a
-value of their own. Texts that are null or have no word have no tokens; they get
-the probability of their cell, 0 if the whole cell is empty. Rows that repeat a
-doc_id stay or go together unless their cells differ.
+value of their own. Texts that are null or have no word have no tokens and the topic
+"none"; they get the probability of their cell, 0 if the whole cell is empty. Rows
+that repeat a doc_id stay or go together unless their cells differ; so do rows
+without doc_id, which have one draw.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .screen import cut
+from .textkit import chunks, words
 
 #: Cells that the driver rakes at most (about 100 bytes each).
 LOCAL_CELLS = 200_000
 DIMENSIONS = ("source", "lang", "topic")
 
 
-def token_count(text: Column) -> Column:
-    """White-space-separated words of a text, by its inner spaces and line ends."""
-    own = F.trim(F.translate(F.coalesce(text, F.lit("")), "\n\t\r", "   "))
-    return F.when(own == "", F.lit(0)).otherwise(F.length(own) - F.length(F.replace(own, F.lit(" "), F.lit(""))) + 1).cast("long")
+#: Buckets of hashed words, and principal components that topics are split by.
+BUCKETS, AXES = 64, 3
+
+
+def _shares(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, words of each row, shares of their hashed words)."""
+    for first, end, data, at in chunks(column):
+        hashes, own = words(data, at)
+        tokens = np.diff(own)
+        place = np.repeat(np.arange(end - first), tokens) * BUCKETS + (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
+        counts = np.bincount(place, minlength=(end - first) * BUCKETS).reshape(-1, BUCKETS)
+        yield first, end, tokens, counts / np.maximum(tokens, 1)[:, None]
+
+
+class Topics:
+    """Word clusters: the signs of the components of a text's hashed word shares."""
+
+    def __init__(self, mean: np.ndarray, axes: np.ndarray):
+        self.mean, self.axes = mean, axes
+
+    def of(self, tokens: np.ndarray, shares: np.ndarray) -> np.ndarray:
+        signs = (shares - self.mean) @ self.axes > 0
+        return np.where(tokens > 0, signs @ (1 << np.arange(self.axes.shape[1])), -1)
+
+
+def fit_topics(docs: DataFrame, axes: int = AXES) -> Topics:
+    """Topics from the word shares of all rows of docs that have words. A task sums
+    its rows; only these sums are shuffled, by their place in the matrix."""
+    size = BUCKETS + 1
+    upper = np.triu_indices(size)
+
+    def run(batches):
+        total = np.zeros((size, size))
+        for batch in batches:
+            for _, _, tokens, shares in _shares(batch.column(0)):
+                own = np.concatenate([np.ones((len(tokens), 1)), shares], axis=1)[tokens > 0]
+                total += own.T @ own
+        if total[0, 0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(upper[0]), dtype=np.int32)), pa.array(total[upper])], names=["at", "value"])
+
+    sums = docs.select(F.col("text").cast("string")).mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
+    total = np.zeros((size, size))
+    at = sums["at"].to_numpy()
+    total[upper[0][at], upper[1][at]] = sums["value"].to_numpy()
+    total = np.maximum(total, total.T)
+    n = max(total[0, 0], 1.0)
+    mean = total[0, 1:] / n
+    spread = total[1:, 1:] / n - np.outer(mean, mean)
+    # sums come in any order: what is below the rounding of the input is dropped
+    _, vectors = np.linalg.eigh(np.round(spread, 9))
+    lead = vectors[:, ::-1][:, :axes]
+    lead = lead * np.where(lead[np.abs(lead).argmax(axis=0), np.arange(lead.shape[1])] < 0, -1.0, 1.0)
+    return Topics(np.round(mean, 9), np.round(lead, 6))
 
 
-def topic_of(text: Column) -> Column:
-    """A coarse topic by form: table, record (many digits), notice (no small
-    letter), note (short) or prose; empty without letters."""
-    t = F.coalesce(text, F.lit(""))
-    return (
-        F.when(~t.rlike(r"\p{L}"), "empty").when(t.contains(" | "), "table").when(t.rlike(r"[0-9]{6}"), "record")
-        .when(~t.rlike(r"\p{Ll}"), "notice").when(F.length(t) < 400, "note").otherwise("prose")
-    )
+def with_cells(docs: DataFrame, topics: Topics, columns: list[str] | None = None) -> DataFrame:
+    """docs (or these columns of it) with __source, __lang, __topic and __tokens."""
+    keyed = docs.withColumns({"__source": F.col("source").cast("string"), "__lang": F.col("lang").cast("string"), "__text": F.col("text").cast("string")})
+    keyed = keyed.select(*(docs.columns if columns is None else columns), "__source", "__lang", "__text")
+    held = docs.sparkSession.sparkContext.broadcast(topics)
 
+    def run(batches):
+        for batch in batches:
+            tokens, topic = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, -1)
+            for first, end, own, shares in _shares(batch.column(batch.num_columns - 1)):
+                tokens[first:end], topic[first:end] = own, held.value.of(own, shares)
+            names = pa.array(["none", *(f"t{i}" for i in range(1 << held.value.axes.shape[1]))]).take(pa.array(topic + 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], names, pa.array(tokens)], names=[*batch.schema.names[:-1], "__topic", "__tokens"])
 
-def with_cells(docs: DataFrame) -> DataFrame:
-    """docs with __source, __lang, __topic and __tokens."""
-    text = F.col("text").cast("string")
-    return docs.withColumns({"__source": F.col("source").cast("string"), "__lang": F.col("lang").cast("string"), "__topic": topic_of(text), "__tokens": token_count(text)})
+    return keyed.mapInArrow(run, StructType([*keyed.drop("__text").schema, StructField("__topic", StringType()), StructField("__tokens", LongType())]))
 
 
 def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
@@ -176,12 +234,12 @@ def sample(docs: DataFrame, targets: dict[str, dict] | None = None, power: float
     of these names give way."""
     docs = docs.drop("topic", "tokens", "p")
     names = docs.columns
-    celled = with_cells(docs)
-    p = probabilities(celled.select("__source", "__lang", "__topic", "__tokens"), targets, power, budget, local_cells=local_cells)
+    topics = fit_topics(docs)
+    p = probabilities(with_cells(docs, topics, []), targets, power, budget, local_cells=local_cells)
     p = p.select(*(F.col(d).alias(f"__c_{d}") for d in DIMENSIONS), "p")
     match = [F.col(f"__{d}").eqNullSafe(F.col(f"__c_{d}")) for d in DIMENSIONS]
     drawn = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 1) / float(2**63)
-    kept = celled.join(p, match[0] & match[1] & match[2]).where(drawn < F.col("p"))
+    kept = with_cells(docs, topics).join(p, match[0] & match[1] & match[2]).where(drawn < F.col("p"))
     return kept.select(*names, F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"), "p")
 
 

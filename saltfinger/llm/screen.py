@@ -95,12 +95,23 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Spark's setting by which a query's shuffle files go when the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there."""
+    """Write df to the shared checkpoint folder and go on from there. The shuffle
+    files that df was made from are of no more use and go at once, so that rounds of
+    a job do not fill the executors' disks."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -14,9 +14,13 @@ length is WARC-Segment-Total-Length, takes off the HTTP head and decodes the
 chunked framing. A group holds the segments of one record.
 
 A null html is an empty payload, a null url has no WARC-Target-URI, and line ends
-in an url are dropped. Rows that repeat both page_id and html are one page, which
-comes back once; a page_id with several payloads comes back once for each. Rows
-without page_id are kept and are responses where no other has the payload.
+in an url are dropped. Every row is a record of its own and comes back, also where
+rows repeat; of a repeated payload all rows with the least page_id are responses.
+Rows without page_id are responses, unless a row with one has the payload.
+
+A record has ``segment_bytes`` bytes and its head at most, so ``per_file`` records
+bound the bytes of an archive too (33 MB as set, before compression). Archives from
+elsewhere may be as large as binaryFile loads, 2 GB.
 """
 
 from __future__ import annotations
@@ -91,13 +95,15 @@ def _uuid(*parts: object) -> str:
     return f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}"
 
 
-def records_of(page_id, url, html: str, digest: str, head, segment_bytes: int) -> Iterator[str]:
-    """The records of a page; head is the response's page_id for a revisit."""
+def records_of(page_id, url, html: str, digest: str, row: str, head, head_url, segment_bytes: int) -> Iterator[str]:
+    """The records of a page; row names it among all, head and head_url are the
+    response's page_id and url for a revisit."""
     raw = html.encode("utf-8")
-    rid = _uuid(page_id, digest)
+    rid = _uuid(row, page_id, digest)
     common = {"WARC_Target_URI": re.sub(r"[\r\n]+", "", url) if url else None, "WARC_Payload_Digest": f"sha256:{digest}", "X_Payload_Length": len(raw), "X_Page_Id": page_id}
     if head is not None and head != page_id:
-        yield _record("revisit", rid, b"", **common, WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", WARC_Refers_To=f"<urn:uuid:{_uuid(head, digest)}>", X_Refers_To_Page_Id=head)
+        target = re.sub(r"[\r\n]+", "", head_url) if head_url else None
+        yield _record("revisit", rid, b"", **common, WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", WARC_Refers_To_Target_URI=target, WARC_Refers_To_Date=_DATE, X_Refers_To_Page_Id=head)
         return
     block = _HEAD.encode() + chunked(raw)
     if len(block) <= segment_bytes:
@@ -113,10 +119,13 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 16384, leas
     """Write pages(page_id, url, html) as gzip WARC files to path."""
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     pages = pages.withColumn("digest", F.sha2("html", 256))
-    heads = pages.where(F.octet_length("html") >= least_revisit).groupBy("digest").agg(F.min("page_id").alias("head"), F.count("*").alias("c")).where("c > 1")
-    heads = cut(heads.select(F.xxhash64("digest").alias("k"), F.col("digest").alias("d"), "head"))
+    heads = pages.where(F.octet_length("html") >= least_revisit).groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("head"), F.count("*").alias("c")).where("c > 1")
+    heads = cut(heads.select(F.xxhash64("digest").alias("k"), F.col("digest").alias("d"), F.col("head.page_id").alias("head"), F.col("head.url").alias("head_url")))
     several, single = split(pages, F.xxhash64("digest"), Screen.of(heads, "k"))
-    several = several.join(heads, F.col("digest") == F.col("d"), "left").select(*single.columns, "head")
+    # a name for each row, unlike those of the other branch
+    row = lambda branch: F.concat(F.lit(branch), F.monotonically_increasing_id().cast("string")).alias("row")
+    several = several.join(heads, F.col("digest") == F.col("d"), "left").select(*single.columns, row("m"), "head", "head_url")
+    single = single.select("*", row("s"), F.lit(None).cast("long").alias("head"), F.lit(None).cast("string").alias("head_url"))
 
     def run(batches):
         for batch in batches:
@@ -124,8 +133,7 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 16384, leas
             for a in range(0, batch.num_rows, 256):
                 out = []
                 for row in zip(*(c[a : a + 256].to_pylist() for c in cols), strict=True):
-                    page_id, url, html, digest = row[:4]
-                    out += records_of(page_id, url, html, digest, row[4] if len(row) > 4 else None, segment_bytes)
+                    out += records_of(*row, segment_bytes)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
     records = single.mapInArrow(run, "value string").unionAll(several.mapInArrow(run, "value string"))
