@@ -39,6 +39,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("files", nargs="+")
     p.add_argument("-o", "--output", required=True)
     p.add_argument("--compress", metavar="CODEC", nargs="?", const="zstd")
+    p.add_argument("--compression-level", type=int, help="of zstd")
     p.add_argument("--min-file-size", type=int, default=100_000)
     p.add_argument("--overwrite", action="store_true")
     p.add_argument("--despike", help="passes,thresh,smooth,replace_sec")
@@ -78,6 +79,7 @@ def parser() -> argparse.ArgumentParser:
     _profile_options(p)
     p.add_argument("--materialize", action="store_true")
     p.add_argument("--compress", metavar="CODEC", nargs="?", const="zstd")
+    p.add_argument("--compression-level", type=int, help="of zstd")
     p.add_argument("--overwrite", action="store_true")
 
     p = commands.add_parser("bin", help="dissipation rates to the depth grid")
@@ -126,12 +128,12 @@ def main(argv: list[str] | None = None) -> int:
         spark = session(a.command)
         if a.command == "p2l1":
             despike = jobs.parse_list(a.despike, "--despike", DESPIKE) if a.despike else None
-            done = jobs.convert(spark, a.files, a.output, overwrite=a.overwrite, min_file_size=a.min_file_size, compression=a.compress, despike=despike)
+            done = jobs.convert(spark, a.files, a.output, overwrite=a.overwrite, min_file_size=a.min_file_size, compression=a.compress, despike=despike, compression_level=a.compression_level)
         elif a.command == "eps":
             aux = spark.read.parquet(a.aux) if a.aux else None
             done = jobs.compute_epsilon(spark, a.level1, a.output, config_of(a), aux, a.overwrite, a.skip_existing)
         elif a.command == "profiles":
-            done = jobs.index_job(spark, a.level1, a.output, config_of(a), a.overwrite, a.materialize, a.compress)
+            done = jobs.index_job(spark, a.level1, a.output, config_of(a), a.overwrite, a.materialize, a.compress, a.compression_level)
         elif a.command == "bin":
             limits = jobs.parse_list(a.qc_thresh, "--qc-thresh", {"questionable": float, "bad": float})
             names = [v.strip() for v in a.vars.split(",")] if a.vars else None

@@ -1,9 +1,10 @@
-"""Physical models as column expressions."""
+"""Physical models as column expressions; those that kernels share take arrays too."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,18 +23,21 @@ def viscosity(salinity: Number, temperature: Number, density: Number) -> tuple[C
     return mu / rho, mu
 
 
-def nasmyth(k: Number, eps: Number, nu: Number = 1e-6) -> Column:
-    """Nasmyth shear spectrum at wavenumber k (cpm)."""
-    k, eps, nu = _c(k), _c(eps), _c(nu)
-    x = k * F.pow(nu * nu * nu / eps, F.lit(0.25))
-    return F.pow(eps, F.lit(0.75)) / F.pow(nu, F.lit(0.25)) * 8.05 * F.pow(x, F.lit(0.33333333)) / (1 + F.pow(20.6 * x, F.lit(3.715)))
+def _apply(name: str, x):
+    """A function of that name of columns or of arrays."""
+    return getattr(F if isinstance(x, Column) else np, name)(x)
 
 
-def nasmyth_resolved(k_max: Number, eps: Number, nu: Number = 1e-6) -> Column:
-    """Share of the Nasmyth variance below k_max."""
-    k, eps, nu = _c(k_max), _c(eps), _c(nu)
-    x = F.pow(k * F.pow(nu * nu * nu / eps, F.lit(0.25)), F.lit(1.3333333))
-    return F.tanh(48 * x) - 2.9 * x * F.exp(-22.3 * x)
+def nasmyth(k, eps, nu=1e-6):
+    """Nasmyth shear spectrum at wavenumber k (cpm), of columns or arrays."""
+    x = k * (nu**3 / eps) ** 0.25
+    return eps**0.75 / nu**0.25 * 8.05 * x**0.33333333 / (1 + (20.6 * x) ** 3.715)
+
+
+def nasmyth_resolved(k_max, eps, nu=1e-6):
+    """Share of the Nasmyth variance below k_max, of columns or numbers."""
+    x = (k_max * (nu**3 / eps) ** 0.25) ** 1.3333333
+    return _apply("tanh", 48 * x) - 2.9 * x * _apply("exp", -22.3 * x)
 
 
 def kraichnan(k: Number, chi: Number, eps: Number, nu: Number = 1e-6, kappa: Number = 1.4e-7, q: Number = 5.26) -> Column:
@@ -43,10 +47,10 @@ def kraichnan(k: Number, chi: Number, eps: Number, nu: Number = 1e-6, kappa: Num
     return 2 * math.pi * k * chi * F.sqrt(nu / eps) * q * F.exp(-F.sqrt(6 * q) * 2 * math.pi * k / batchelor)
 
 
-def single_pole(k: Number, k0: float = 48.0, k_max: float = 150.0) -> Column:
-    """Shear probe wavenumber correction."""
-    k = _c(k)
-    return F.when(k <= k_max, 1 + (k / k0) * (k / k0)).otherwise(F.lit(1.0))
+def single_pole(k, k0: float = 48.0, k_max: float = 150.0):
+    """Shear probe wavenumber correction, of columns or arrays."""
+    over = 1 + (k / k0) * (k / k0)
+    return F.when(k <= k_max, over).otherwise(F.lit(1.0)) if isinstance(k, Column) else np.where(k <= k_max, over, 1.0)
 
 
 def _flicker(f: Column, knee: float) -> Column:
@@ -102,24 +106,138 @@ def _series(x: Column, ascending: list[float]) -> Column:
     return value
 
 
-def surface_density(salinity: Number, temperature: Number) -> Column:
-    """EOS-80 density at one atmosphere (kg/m^3)."""
-    s, t = _c(salinity), _c(temperature)
-    water = _series(t, [999.842594, 6.793952e-2, -9.095290e-3, 1.001685e-4, -1.120083e-6, 6.536332e-9])
-    a = _series(t, [0.824493, -4.0899e-3, 7.6438e-5, -8.2467e-7, 5.3875e-9])
-    b = _series(t, [-5.72466e-3, 1.0227e-4, -1.6546e-6])
-    return water + a * s + b * s * F.sqrt(s) + 4.8314e-4 * s * s
+# Sea water by TEOS-10 (www.teos-10.org); its formulas are public.
+
+#: Scales of the polynomials' arguments, heat capacity, standard ocean.
+_SALT, _SALT_SHIFT, _CP0, _SSO = 0.0248826675584615, 0.5971840214030754, 3991.86795711963, 35.16504
+#: The 75 terms of specific volume by powers of (salinity, temperature, pressure).
+VOLUME = {
+    (0, 0, 0): 1.0769995862e-3, (1, 0, 0): -3.1038981976e-4, (2, 0, 0): 6.6928067038e-4, (3, 0, 0): -8.5047933937e-4, (4, 0, 0): 5.8086069943e-4, (5, 0, 0): -2.1092370507e-4, (6, 0, 0): 3.1932457305e-5,
+    (0, 1, 0): -1.5649734675e-5, (1, 1, 0): 3.5009599764e-5, (2, 1, 0): -4.3592678561e-5, (3, 1, 0): 3.4532461828e-5, (4, 1, 0): -1.1959409788e-5, (5, 1, 0): 1.3864594581e-6,
+    (0, 2, 0): 2.7762106484e-5, (1, 2, 0): -3.7435842344e-5, (2, 2, 0): 3.5907822760e-5, (3, 2, 0): -1.8698584187e-5, (4, 2, 0): 3.8595339244e-6,
+    (0, 3, 0): -1.6521159259e-5, (1, 3, 0): 2.4141479483e-5, (2, 3, 0): -1.4353633048e-5, (3, 3, 0): 2.2863324556e-6,
+    (0, 4, 0): 6.9111322702e-6, (1, 4, 0): -8.7595873154e-6, (2, 4, 0): 4.3703680598e-6, (0, 5, 0): -8.0539615540e-7, (1, 5, 0): -3.3052758900e-7, (0, 6, 0): 2.0543094268e-7,
+    (0, 0, 1): -6.0799143809e-5, (1, 0, 1): 2.4262468747e-5, (2, 0, 1): -3.4792460974e-5, (3, 0, 1): 3.7470777305e-5, (4, 0, 1): -1.7322218612e-5, (5, 0, 1): 3.0927427253e-6,
+    (0, 1, 1): 1.8505765429e-5, (1, 1, 1): -9.5677088156e-6, (2, 1, 1): 1.1100834765e-5, (3, 1, 1): -9.8447117844e-6, (4, 1, 1): 2.5909225260e-6,
+    (0, 2, 1): -1.1716606853e-5, (1, 2, 1): -2.3678308361e-7, (2, 2, 1): 2.9283346295e-6, (3, 2, 1): -4.8826139200e-7, (0, 3, 1): 7.9279656173e-6, (1, 3, 1): -3.4558773655e-6, (2, 3, 1): 3.1655306078e-7,
+    (0, 4, 1): -3.4102187482e-6, (1, 4, 1): 1.2956717783e-6, (0, 5, 1): 5.0736766814e-7,
+    (0, 0, 2): 9.9856169219e-6, (1, 0, 2): -5.8484432984e-7, (2, 0, 2): -4.8122251597e-6, (3, 0, 2): 4.9263106998e-6, (4, 0, 2): -1.7811974727e-6,
+    (0, 1, 2): -1.1736386731e-6, (1, 1, 2): -5.5699154557e-6, (2, 1, 2): 5.4620748834e-6, (3, 1, 2): -1.3544185627e-6, (0, 2, 2): 2.1305028740e-6, (1, 2, 2): 3.9137387080e-7, (2, 2, 2): -6.5731104067e-7,
+    (0, 3, 2): -4.6132540037e-7, (1, 3, 2): 7.7618888092e-9, (0, 4, 2): -6.3352916514e-8,
+    (0, 0, 3): -1.1309361437e-6, (1, 0, 3): 3.6310188515e-7, (2, 0, 3): 1.6746303780e-8, (0, 1, 3): -3.6527006553e-7, (1, 1, 3): -2.7295696237e-7, (0, 2, 3): 2.8695905159e-7,
+    (0, 0, 4): 1.0531153080e-7, (1, 0, 4): -1.1147125423e-7, (0, 1, 4): 3.1454099902e-7, (0, 0, 5): -1.2647261286e-8, (0, 0, 6): 1.9613503930e-9,
+}
+#: Enthalpy of conservative temperature by powers of (root of salinity, temperature).
+ENTHALPY = {
+    (0, 0): 61.01362420681071, (0, 1): 168776.46138048015, (0, 2): -2735.2785605119625, (0, 3): 2574.2164453821433, (0, 4): -1536.6644434977543, (0, 5): 545.7340497931629, (0, 6): -50.91091728474331, (0, 7): -18.30489878927802,
+    (2, 0): 268.5520265845071, (2, 1): -12019.028203559312, (2, 2): 3734.858026725145, (2, 3): -2046.7671145057618, (2, 4): 465.28655623826234, (2, 5): -0.6370820302376359, (2, 6): -10.650848542359153,
+    (3, 0): 937.2099110620707, (3, 1): 588.1802812170108, (3, 2): 248.39476522971285, (3, 3): -3.871557904936333, (3, 4): -2.6268019854268356,
+    (4, 0): -1687.914374187449, (4, 1): 936.3206544460336, (4, 2): -942.7827304544439, (4, 3): 369.4389437509002, (4, 4): -33.83664947895248, (4, 5): -9.987880382780322,
+    (5, 0): 246.9598888781377, (6, 0): 123.59576582457964, (7, 0): -48.5891069025409,
+}
+#: Entropy less its terms of salinity alone, by powers of (root of salinity, temperature, pressure).
+ENTROPY = {
+    (0, 0, 1): -270.983805184062, (0, 0, 2): 776.153611613101, (0, 0, 3): -196.51255088122, (0, 0, 4): 28.9796526294175, (0, 0, 5): -2.13290083518327,
+    (0, 1, 0): -24715.571866078, (0, 1, 1): 2910.0729080936, (0, 1, 2): -1513.116771538718, (0, 1, 3): 546.959324647056, (0, 1, 4): -111.1208127634436, (0, 1, 5): 8.68841343834394,
+    (0, 2, 0): 2210.2236124548363, (0, 2, 1): -2017.52334943521, (0, 2, 2): 1498.081172457456, (0, 2, 3): -718.6359919632359, (0, 2, 4): 146.4037555781616, (0, 2, 5): -4.9892131862671505,
+    (0, 3, 0): -592.743745734632, (0, 3, 1): 1591.873781627888, (0, 3, 2): -1207.261522487504, (0, 3, 3): 608.785486935364, (0, 3, 4): -105.4993508931208,
+    (0, 4, 0): 290.12956292128547, (0, 4, 1): -973.091553087975, (0, 4, 2): 602.603274510125, (0, 4, 3): -276.361526170076, (0, 4, 4): 32.40953340386105,
+    (0, 5, 0): -113.90630790850321, (0, 5, 1): 381.06836198507096, (0, 5, 2): -133.7383902842754, (0, 5, 3): 49.023632509086724, (0, 6, 0): 21.35571525415769, (0, 6, 1): -67.41756835751434,
+    (2, 0, 1): 729.116529735046, (2, 0, 2): -343.956902961561, (2, 0, 3): 124.687671116248, (2, 0, 4): -31.656964386073, (2, 0, 5): 7.04658803315449,
+    (2, 1, 0): 1760.062705994408, (2, 1, 1): -1721.528607567954, (2, 1, 2): 674.819060538734, (2, 1, 3): -356.629112415276, (2, 1, 4): 88.4080716616, (2, 1, 5): -15.84003094423364,
+    (2, 2, 0): -675.802947790203, (2, 2, 1): 2082.7344423998043, (2, 2, 2): -614.668925894709, (2, 2, 3): 340.685093521782, (2, 2, 4): -33.3848202979239,
+    (2, 3, 0): 365.7041791005036, (2, 3, 1): -1190.914967948748, (2, 3, 2): 298.904564555024, (2, 3, 3): -145.9491676006352, (2, 4, 0): -108.30162043765552, (2, 5, 0): 12.78101825083098,
+    (3, 0, 1): -175.292041186547, (3, 0, 2): 83.1923927801819, (3, 0, 3): -29.483064349429,
+    (3, 1, 0): -86.1329351956084, (3, 1, 1): 766.116132004952, (3, 1, 2): -108.3834525034224, (3, 1, 3): 51.2796974779828,
+    (3, 2, 0): -30.0682112585625, (3, 2, 1): -1380.9597954037708, (3, 3, 0): 3.50240264723578, (3, 3, 1): 938.26075044542,
+    (4, 0, 1): -22.6683558512829, (4, 1, 0): -137.1145018408982, (4, 2, 0): 148.10030845687618, (4, 3, 0): -68.5590309679152, (4, 4, 0): 12.4848504784754,
+}
+
+
+def _nested(terms: dict[tuple[int, ...], float], *x):
+    """Sum of c * x0^i * x1^j * ... in Horner form, of columns or numbers."""
+    if not x:
+        return next(iter(terms.values()))
+    by: dict[int, dict] = {}
+    for powers, c in terms.items():
+        by.setdefault(powers[-1], {})[powers[:-1]] = c
+    out = None
+    for n in range(max(by), -1, -1):
+        inner = _nested(by[n], *x[:-1]) if n in by else 0.0
+        out = inner if out is None else out * x[-1] + inner
+    return out
 
 
-def depth(pressure: Number, latitude: Number) -> Column:
-    """Depth (m, positive down) from pressure (UNESCO 1983)."""
-    p = _c(pressure)
+def absolute_salinity(salinity: Number) -> Column:
+    """Absolute salinity (g/kg) without the regional anomaly, whose atlas is not here."""
+    return _c(salinity) * (_SSO / 35)
+
+
+def _let(fn, *values: Number) -> Column:
+    """fn of the values, each evaluated once: it gets lambda variables, so that long
+    formulas do not repeat what their arguments are made of."""
+    if not values:
+        return fn()
+    return F.transform(F.array(_c(values[0]).cast("double")), lambda x: _let(lambda *rest: fn(x, *rest), *values[1:]))[0]
+
+
+def _entropy_part(sa: Column, t: Column, p: Column) -> Column:
+    return _let(lambda x, y, z: _nested(ENTROPY, x, y, z) * -0.025, F.sqrt(_SALT * sa), t * 0.025, p * 1e-4)
+
+
+def conservative_temperature(sa: Number, t: Number, p: Number) -> Column:
+    """Conservative temperature of absolute salinity, in-situ temperature and
+    pressure. The potential temperature with the same entropy comes by Newton steps
+    with the heat capacity's approximate slope; five reach the last digits."""
+
+    def of(sa: Column, t: Column, p: Column) -> Column:
+        def step(pt: Column, entropy: Column) -> Column:
+            slope = _CP0 / ((273.15 + pt) * (1 - 0.05 * (1 - sa / _SSO)))
+            return pt - (_entropy_part(sa, pt, F.lit(0.0)) - entropy) / slope
+
+        potential = lambda entropy: F.aggregate(F.sequence(F.lit(1), F.lit(5)), t, lambda pt, _: step(pt, entropy))
+        heat = lambda x, y: _nested(ENTHALPY, x, y) / _CP0
+        return _let(heat, F.sqrt(_SALT * sa), _let(potential, _entropy_part(sa, t, p)) * 0.025)
+
+    return _let(of, sa, t, p)
+
+
+def _volume_arguments(sa: Number, ct: Number, p: Number) -> tuple[Column, Column, Column]:
+    return F.sqrt(_SALT * _c(sa) + _SALT_SHIFT), _c(ct) * 0.025, _c(p) * 1e-4
+
+
+def density(sa: Number, ct: Number, p: Number) -> Column:
+    """In-situ density (kg/m^3) of absolute salinity, conservative temperature and pressure."""
+    return _let(lambda s, y, z: 1 / _nested(VOLUME, s, y, z), *_volume_arguments(sa, ct, p))
+
+
+def _surface_gravity(latitude: Number) -> Column:
     sine = F.sin(F.radians(_c(latitude)))
     x = sine * sine
-    gravity = 9.780318 * (1 + (5.2788e-3 + 2.36e-5 * x) * x) + 1.092e-6 * p
-    return p * (9.72659 + p * (-2.2512e-5 + p * (2.279e-10 + p * -1.82e-15))) / gravity
+    return 9.780327 * (1 + (5.2792e-3 + 2.32e-5 * x) * x)
 
 
-def absolute_salinity(salinity: Number) -> Column:
-    """Absolute salinity without the regional anomaly."""
-    return _c(salinity) * (35.16504 / 35)
+def depth(pressure: Number, latitude: Number) -> Column:
+    """Depth (m, positive down) from pressure (dbar) at the standard ocean."""
+    g = _surface_gravity(latitude)
+    enthalpy = 1e8 * _series(_c(pressure) * 1e-4, [0.0, 9.726613854843870e-4, -2.252956605630465e-5, 2.376909655387404e-6, -1.664294869986011e-7, -5.988108894465758e-9, -2.1078768810e-9, 2.8019291329e-10])
+    return 2 * enthalpy / (g + F.sqrt(g * g + 2 * 2.26e-7 * g * enthalpy))
+
+
+def gravity(pressure: Number, latitude: Number) -> Column:
+    return _surface_gravity(latitude) * (1 + 2.26e-7 * depth(pressure, latitude))
+
+
+#: Slopes of the volume's terms by their first and second argument.
+_BY_ROOT = {(i - 1, j, k): c * i for (i, j, k), c in VOLUME.items() if i}
+_BY_HEAT = {(i, j - 1, k): c * j for (i, j, k), c in VOLUME.items() if j}
+
+
+def squared_buoyancy(sa: Number, ct: Number, p: Number, d_sa: Number, d_ct: Number, d_p: Number, g: Number) -> Column:
+    """N^2 (1/s^2) from middle values and steps of a pair of neighbours."""
+
+    def of(s: Column, y: Column, z: Column) -> Column:
+        change = _nested(_BY_ROOT, s, y, z) * (_SALT / 2) / s * _c(d_sa) + _nested(_BY_HEAT, s, y, z) * 0.025 * _c(d_ct)
+        return _let(lambda volume: -change / (volume * volume), _nested(VOLUME, s, y, z))
+
+    return F.try_divide(_c(g) * _c(g) * _let(of, *_volume_arguments(sa, ct, p)), _c(d_p) * 1e4)

@@ -6,6 +6,8 @@ import math
 
 import numpy as np
 
+from .physics import nasmyth, nasmyth_resolved, single_pole
+
 
 def _check(y: np.ndarray, n_fft: int, n_diss: int) -> None:
     if y.ndim != 1:
@@ -70,21 +72,11 @@ def clean_spectra(y: np.ndarray, references: np.ndarray, fs: float, n_fft: int,
     return np.fft.rfftfreq(n_fft, 1 / fs), np.maximum(clean * bias, 0)
 
 
-def nasmyth(k: np.ndarray, eps: float, nu: float) -> np.ndarray:
-    x = k * (nu**3 / eps) ** 0.25
-    return eps**0.75 / nu**0.25 * 8.05 * x**0.33333333 / (1 + (20.6 * x) ** 3.715)
-
-
-def resolved_share(k: float, eps: float, nu: float) -> float:
-    x = (k * (nu**3 / eps) ** 0.25) ** 1.3333333
-    return math.tanh(48 * x) - 2.9 * x * math.exp(-22.3 * x)
-
-
 def whole_variance(e: float, k_max: float, nu: float = 1e-6) -> float:
     """Dissipation that with its variance below k_max has e: fixed-point steps."""
     eps = e
     for _ in range(12):
-        share = min(max(resolved_share(k_max, eps, nu), 0.05), 0.999)
+        share = min(max(float(nasmyth_resolved(k_max, eps, nu)), 0.05), 0.999)
         new = e / share
         done = new / eps < 1.02
         eps = new
@@ -156,7 +148,7 @@ def estimate_epsilon(f: np.ndarray, spectrum: np.ndarray, speed: float, nu: floa
         return none
     k, phi = (f, spectrum) if is_wavenumber else (f / speed, spectrum * speed)
     if correct:
-        phi = phi * np.where(k <= 150.0, 1 + (k / 48.0) ** 2, 1.0)
+        phi = phi * single_pole(k)
     area = lambda m: 7.5 * nu * float(np.trapezoid(phi[m], k[m]))
     low = k <= 10
     if low.sum() < 3:

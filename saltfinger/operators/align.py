@@ -76,3 +76,49 @@ def concatenate(tables: DataFrame, order: Sequence[str], epoch: str, time: str =
     offsets = sizes.select(*order, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))  # a row for each file
     inside = Window.partitionBy(*order).orderBy(index)
     return tables.withColumn("__r", F.row_number().over(inside) - 1).join(offsets, list(order)).withColumns({time: F.col(time) + F.col(epoch), index: F.col("__o") + F.col("__r")}).drop("__o", "__r")
+
+
+def near(points: DataFrame, spans: DataFrame, variables: Sequence[str], keys: Sequence[str], time: str = "t", bucket: float = 3600.0) -> DataFrame:
+    """(keys, time, variables): of one series the points that a key's span first to
+    last needs for interpolation and for extrapolation: all in its buckets of time,
+    and the two nearest valid ones before and after, of each variable on its own.
+
+    The join is on buckets. What lies outside comes from a table with a row for
+    each bucket that has points, so no task sorts the series itself.
+    """
+    valid = None
+    for v in variables:
+        own = points.where(F.col(time).isNotNull() & real(v).isNotNull()).select(F.lit(v).alias("__var"), F.col(time).cast("double").alias("t"), real(v).alias("v"))
+        valid = own if valid is None else valid.unionAll(own)
+    valid = valid.withColumn("__b", F.floor(F.col("t") / bucket).cast("long"))
+    low, high = (F.floor(F.col(c) / bucket).cast("long") for c in ("first", "last"))
+    asked = spans.select(*keys, low.alias("__low"), high.alias("__high"))
+    inside = valid.join(asked.withColumn("__b", F.explode(F.sequence("__low", "__high"))), "__b").select(*keys, "__var", "t", "v")
+
+    held = F.array_sort(F.collect_list(F.struct("t", "v")))
+    ends = valid.groupBy("__var", "__b").agg(F.slice(held, 1, 2).alias("head"), F.slice(F.reverse(held), 1, 2).alias("tail"))
+    order, kind = Window.partitionBy("__var").orderBy("__b"), "array<struct<t:double,v:double>>"
+    two = lambda here, next_: F.slice(F.concat(here, F.coalesce(next_, F.array().cast(kind))), 1, 2)
+    rows = ends.select("__var", "__b", two(F.col("tail"), F.lag("tail").over(order)).alias("before"), two(F.col("head"), F.lead("head").over(order)).alias("after"))
+    names = F.explode(F.array(*(F.lit(v) for v in variables))).alias("__var")
+    outside = None
+    for edge, side in (("__low", "before"), ("__high", "after")):
+        marks = asked.select(names, F.col(edge).alias("__b"), F.lit(None).cast(kind).alias(side), F.lit(True).alias("__mark")).distinct()
+        mixed = rows.select("__var", "__b", side, F.lit(False).alias("__mark")).unionAll(marks)
+        # a span's own bucket does not answer for it: its points are inside
+        ordered = Window.partitionBy("__var").orderBy("__b", F.desc("__mark") if side == "before" else F.asc("__mark"))
+        frame = ordered.rowsBetween(Window.unboundedPreceding, -1) if side == "before" else ordered.rowsBetween(1, Window.unboundedFollowing)
+        take = F.last if side == "before" else F.first
+        found = mixed.withColumn("__near", take(side, ignorenulls=True).over(frame)).where("__mark")
+        found = found.select("__var", F.col("__b").alias(edge), F.explode("__near").alias("p")).join(asked, edge).select(*keys, "__var", "p.t", "p.v")
+        outside = found if outside is None else outside.unionAll(found)
+    every = inside.unionAll(outside)
+    return every.select(*keys, F.col("t").alias(time), *(F.when(F.col("__var") == v, F.col("v")).alias(v) for v in variables))
+
+
+def without_prefixed(stems: DataFrame, stem: str, names: DataFrame, name: str) -> DataFrame:
+    """The rows of stems that no name begins with. The prefixes of the names make it
+    an equi-join."""
+    known = names.select(F.col(name).alias("__name")).where("__name IS NOT NULL").distinct()
+    prefixes = known.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("__name")), lambda n: F.left("__name", n))).alias(stem)).distinct()
+    return stems.join(prefixes, stem, "left_anti")

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .windows import real
 
 
-def degrees_of_freedom(n_fft: int, n_diss: int) -> float:
-    return 1.9 * (2 * (n_diss // n_fft) - 1)
+def degrees_of_freedom(n_fft: Column, n_diss: Column) -> Column:
+    return 1.9 * (2 * F.floor(n_diss / n_fft) - 1)
 
 
 def _over(x: Column, good: float, bad: float) -> Column:

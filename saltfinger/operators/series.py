@@ -22,9 +22,17 @@ def values_of(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).cast(pa.float64()).to_numpy().astype(float, copy=True)
 
 
-def by_key(df: DataFrame, keys: Sequence[str], fn: Callable[[pa.Table], dict[str, np.ndarray | list]], added: Sequence[str], index: str = "i") -> DataFrame:
+def rate_of(table: pa.Table, fs: float | str) -> float:
+    """A sampling rate: known now, or the column of that name."""
+    return float(table.column(fs)[0].as_py()) if isinstance(fs, str) else fs
+
+
+def by_key(df: DataFrame, keys: Sequence[str], fn: Callable[[pa.Table], dict[str, np.ndarray | list]], added: Sequence[str], index: str = "i", error: str | None = None) -> DataFrame:
     """df with columns from fn, called with each key's rows in order. ``added``
-    are 'name type' strings; a name that df has is replaced."""
+    are 'name type' strings; a name that df has is replaced. With ``error`` a key
+    for which fn fails has nulls, and what went wrong in the column of that name."""
+    if error:
+        added = [*added, f"{error} string"]
     schema = T.StructType([f for f in df.schema if f.name not in {a.split()[0] for a in added}])
     for a in added:
         schema = schema.add(*a.split(" ", 1))
@@ -32,15 +40,34 @@ def by_key(df: DataFrame, keys: Sequence[str], fn: Callable[[pa.Table], dict[str
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(index)
-        new = fn(table)
-        return pa.table({**{c: table.column(c) for c in kept}, **{a.split()[0]: pa.array(new[a.split()[0]], from_pandas=True) for a in added}})
+        try:
+            new = fn(table)
+            if error:
+                new[error] = pa.nulls(table.num_rows, pa.string())
+        except Exception as e:
+            if not error:
+                raise
+            kinds = {"double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+            new = {name: pa.nulls(table.num_rows, kinds[kind]) for name, kind in (a.split(" ", 1) for a in added)} | {error: [f"{type(e).__name__}: {e}"] * table.num_rows}
+        return pa.table({**{c: table.column(c) for c in kept}, **{name: x if isinstance(x := new[name], pa.Array) else pa.array(x, from_pandas=True) for name in (a.split()[0] for a in added)}})
 
     return df.groupBy(*keys).applyInArrow(run, schema)
 
 
-def despike(df: DataFrame, keys: Sequence[str], variables: Sequence[str], fs: float, suffix: str = "_clean", max_passes: int = 6, thresh: float = 8.0, smooth: float = 0.5, replace_sec: float = 0.04, force: bool = False) -> DataFrame:
+def despiked(x: np.ndarray, fs: float, max_passes: int = 6, thresh: float = 8.0, smooth: float = 0.5, replace_sec: float = 0.04) -> tuple[np.ndarray, np.ndarray]:
+    """(cleaned, changed) of a series; as it is if it is short or has gaps."""
+    clean = kernels.despike(x, thresh, smooth, fs, int(replace_sec * fs), max_passes)[0] if len(x) >= 5 and np.isfinite(x).all() else x
+    return clean, (clean != x) & ~(np.isnan(clean) & np.isnan(x))
+
+
+def highpassed(x: np.ndarray, fs: float, cutoff: float) -> np.ndarray:
+    return kernels.sosfiltfilt(kernels.butter1("high", cutoff, fs), x) if len(x) > 6 and np.isfinite(x).all() else x
+
+
+def despike(df: DataFrame, keys: Sequence[str], variables: Sequence[str], fs: float | str, suffix: str = "_clean", force: bool = False, **options) -> DataFrame:
     """df with <v>_clean and <v>_despike_mask for each variable that is there. A
-    variable that has both already is left alone unless force is set."""
+    variable that has both already is left alone unless force is set. Options are
+    those of ``despiked``."""
     todo = [v for v in variables if v in df.columns and (force or not {f"{v}{suffix}", f"{v}_despike_mask"} <= set(df.columns))]
     if not todo:
         return df
@@ -48,44 +75,54 @@ def despike(df: DataFrame, keys: Sequence[str], variables: Sequence[str], fs: fl
     def run(table):
         out = {}
         for v in todo:
-            x = values_of(table, v)
-            clean = kernels.despike(x, thresh, smooth, fs, int(replace_sec * fs), max_passes)[0] if len(x) >= 5 and np.isfinite(x).all() else x
-            out[f"{v}{suffix}"], out[f"{v}_despike_mask"] = clean, (clean != x) & ~(np.isnan(clean) & np.isnan(x))
+            out[f"{v}{suffix}"], out[f"{v}_despike_mask"] = despiked(values_of(table, v), rate_of(table, fs), **options)
         return out
 
     return by_key(df, keys, run, [c for v in todo for c in (f"{v}{suffix} double", f"{v}_despike_mask boolean")])
 
 
-def highpass(df: DataFrame, keys: Sequence[str], variables: Sequence[str], fs: float, cutoff: float, suffix: str = "_clean") -> DataFrame:
+def highpass(df: DataFrame, keys: Sequence[str], variables: Sequence[str], fs: float | str, cutoff: float, suffix: str = "_clean") -> DataFrame:
     """Zero-phase first-order high pass of <v>_clean."""
     names = [f"{v}{suffix}" for v in variables if f"{v}{suffix}" in df.columns]
     if not names:
         return df
-    sos = kernels.butter1("high", cutoff, fs)
+    return by_key(df, keys, lambda table: {n: highpassed(values_of(table, n), rate_of(table, fs), cutoff) for n in names}, [f"{n} double" for n in names])
+
+
+def speed(df: DataFrame, keys: Sequence[str], pressure: str, fs: float | str, out: str, pitch: str | None = None, attack: float = 3.0, dbar_to_m: float = 1.005) -> DataFrame:
+    """|dP/dt| in m/s, along the path if pitch (degrees) is given."""
 
     def run(table):
-        return {n: kernels.sosfiltfilt(sos, x) if len(x := values_of(table, n)) > 6 and np.isfinite(x).all() else x for n in names}
+        p = values_of(table, pressure)
+        angle = values_of(table, pitch) if pitch else None
+        return {out: kernels.gradient_speed(p, rate_of(table, fs), angle, attack, dbar_to_m) if len(p) > 1 else np.full(len(p), np.nan)}
+
+    return by_key(df, keys, run, [f"{out} double"])
+
 
-    return by_key(df, keys, run, [f"{n} double" for n in names])
+def lag(df: DataFrame, keys: Sequence[str], value: str, samples: float, out: str) -> DataFrame:
+    """value delayed by a fractional number of samples."""
+    return by_key(df, keys, lambda table: {out: kernels.lag_series(values_of(table, value), samples)}, [f"{out} double"])
 
 
-def smooth_slow(df: DataFrame, keys: Sequence[str], fs: float, pressure: str = "P", speed: str = "W", period: float = 0.5, order: int = 4, pitch: str | None = None, attack: float = 3.0, dbar_to_m: float = 1.005, gap: float = 2.0, factor: float = 4.0) -> DataFrame:
+def smooth_slow(df: DataFrame, keys: Sequence[str], fs: float | str, pressure: str = "P", speed: str = "W", period: float = 0.5, order: int = 4, pitch: str | None = None, attack: float = 3.0, dbar_to_m: float = 1.005, gap: float = 2.0, factor: float = 4.0, error: str | None = None) -> DataFrame:
     """df with <pressure>_smooth, <speed>_smooth and, where it is not there, speed
     from pressure; filters do not cross gaps in time."""
     if pressure not in df.columns:
         raise ValueError(f"no pressure column {pressure!r}")
-    sos = kernels.butter_low(order, 1 / period, fs)
     has_speed = speed in df.columns
 
     def run(table):
+        rate = rate_of(table, fs)
+        sos = kernels.butter_low(order, 1 / period, rate)
         t, p = values_of(table, "t"), values_of(table, pressure)
         pressure_smooth = kernels.gap_aware_filtfilt(sos, p, t, gap, factor)
         angle = values_of(table, pitch) if pitch else None
-        w = values_of(table, speed) if has_speed else kernels.gradient_speed(pressure_smooth, fs, angle, attack, dbar_to_m) if len(p) > 1 else np.full(len(p), np.nan)
+        w = values_of(table, speed) if has_speed else kernels.gradient_speed(pressure_smooth, rate, angle, attack, dbar_to_m) if len(p) > 1 else np.full(len(p), np.nan)
         return {f"{pressure}_smooth": pressure_smooth, f"{speed}_smooth": kernels.gap_aware_filtfilt(sos, w, t, gap, factor), speed: w}
 
     added = [f"{pressure}_smooth double", f"{speed}_smooth double"] + ([] if has_speed else [f"{speed} double"])
-    return by_key(df, keys, run, added)
+    return by_key(df, keys, run, added, error=error)
 
 
 def low_pass(df: DataFrame, keys: Sequence[str], value: str, fs: float, cutoff: float, out: str) -> DataFrame:
@@ -94,14 +131,14 @@ def low_pass(df: DataFrame, keys: Sequence[str], value: str, fs: float, cutoff:
     return by_key(df, keys, lambda table: {out: kernels.sosfilt(sos, values_of(table, value))[0]}, [f"{out} double"])
 
 
-def match_conductivity(df: DataFrame, keys: Sequence[str], fs: float, conductivity: str = "JAC_C", speed: str = "W_smooth", lag: float = 0.0234, cutoff: float = 0.73, reference: float = 0.62) -> DataFrame:
+def match_conductivity(df: DataFrame, keys: Sequence[str], fs: float | str, conductivity: str = "JAC_C", speed: str = "W_smooth", lag: float = 0.0234, cutoff: float = 0.73, reference: float = 0.62) -> DataFrame:
     """conductivity delayed and smoothed to the thermometer's response at each
     key's mean absolute speed."""
 
     def run(table):
         w = np.abs(values_of(table, speed))
         mean = float(np.nanmean(w)) if np.isfinite(w).any() else float("nan")
-        return {conductivity: kernels.match_conductivity(values_of(table, conductivity), fs, mean, lag, cutoff, reference)}
+        return {conductivity: kernels.match_conductivity(values_of(table, conductivity), rate_of(table, fs), mean, lag, cutoff, reference)}
 
     return by_key(df, keys, run, [f"{conductivity} double"])
 

@@ -1,8 +1,7 @@
 """Hydrography of windows and fine bins: temperature, salinity, density, N2.
 
-Salinity is PSS-78 and density EOS-80 at the surface plus a linear pressure term;
-conservative temperature is approximated by potential temperature. They agree
-with TEOS-10 to about 0.01 in the open ocean, but are not identical with it.
+Practical salinity is PSS-78; the rest is TEOS-10, but for the regional anomaly of
+absolute salinity, whose atlas is not here.
 """
 
 from __future__ import annotations
@@ -31,12 +30,7 @@ def scalar_position(samples: DataFrame, keys: Sequence[str], lat: str = "aux_lat
     return samples.groupBy(*keys).agg(first_valid(lat).alias("lat"), first_valid(lon).alias("lon"))
 
 
-def in_situ_density(salinity: Column, temperature: Column, pressure: Column) -> Column:
-    """EOS-80 surface density with a mean compressibility of sea water."""
-    return physics.surface_density(salinity, temperature) * (1 + real(pressure) * 4.4e-6)
-
-
-def hydrography(means: DataFrame, keys: Sequence[str], pressure: str = "P_smooth", temperature: str = "JAC_T", default_temperature: float = 10.0, default_salinity: float = 35.0, default_density: float = 1025.0, latitude: float = 45.0, kinematics: bool = True, speed: str = "W_smooth", thermo: bool = False, stationary: Column | None = None) -> DataFrame:
+def hydrography(means: DataFrame, keys: Sequence[str], pressure: str = "P_smooth", temperature: str = "JAC_T", default_temperature: float = 10.0, default_salinity: float = 35.0, default_density: float = 1025.0, latitude: float = 45.0, kinematics: bool = True, speed: str = "W_smooth", thermo: bool = False) -> DataFrame:
     """Window or bin means with pressure, z, temperature, salinity, density,
     conductivity, and W, nu, lat, lon, absolute_salinity,
     conservative_temperature, potential_density where asked for or possible.
@@ -67,16 +61,15 @@ def hydrography(means: DataFrame, keys: Sequence[str], pressure: str = "P_smooth
     if "aux_density" in has:
         out = out.withColumn("__rk", real("aux_density")).withColumn("__rho", F.col("__rk"))
     elif from_sensor:
-        out = out.withColumn("__rk", in_situ_density(F.col("__sk"), F.col("__t"), F.col("__p0")))
+        out = out.withColumn("__sa", physics.absolute_salinity(F.col("__sk")))
+        out = out.withColumn("__ct", physics.conservative_temperature(F.col("__sa"), F.col("__t"), F.col("__p0")))
+        out = out.withColumn("__rk", physics.density(F.col("__sa"), F.col("__ct"), F.col("__p0")))
         out = out.withColumn("__rho", F.when(F.col("__wet"), F.col("__rk")).otherwise(F.lit(default_density)))
     else:
         out = out.withColumn("__rk", nothing).withColumn("__rho", F.lit(default_density))
     lat = F.lit(latitude)
     if "aux_latitude" in has:
         lat = real("aux_latitude")
-        if stationary is not None:
-            whole = profile.orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            lat = F.when(stationary, F.first(lat, ignorenulls=True).over(whole)).otherwise(lat)
     new = {"pressure": F.col("__p"), "temperature": F.col("__tv"), "salinity": F.col("__sk"), "density": F.col("__rk"), "z": -physics.depth(F.col("__p"), lat)}
     if "JAC_C" in has:
         new["conductivity"] = F.col("__c")
@@ -87,26 +80,29 @@ def hydrography(means: DataFrame, keys: Sequence[str], pressure: str = "P_smooth
         new["lat"] = lat
     if "aux_longitude" in has:
         new["lon"] = real("aux_longitude")
-    if thermo and (measured or "aux_temperature" in has):
+    whole_sea = thermo and (measured or "aux_temperature" in has)
+    if whole_sea:
         new["absolute_salinity"] = physics.absolute_salinity(F.col("__sk"))
-        new["conservative_temperature"] = F.col("__tv") - F.col("__p") * (3.6504e-5 + 8.3198e-6 * F.col("__tv"))
     out = out.withColumns(new)
-    if "conservative_temperature" in new:
-        out = out.withColumn("potential_density", physics.surface_density(F.col("__sk"), F.col("conservative_temperature")))
+    if whole_sea:
+        out = out.withColumn("conservative_temperature", physics.conservative_temperature(F.col("absolute_salinity"), F.col("temperature"), F.col("pressure")))
+        out = out.withColumn("potential_density", physics.density(F.col("absolute_salinity"), F.col("conservative_temperature"), 0.0))
     return out.drop(*(c for c in out.columns if c.startswith("__")))
 
 
-def buoyancy_frequency(df: DataFrame, keys: Sequence[str], index: str, density: str = "potential_density", pressure: str = "pressure", out: str = "N2") -> DataFrame:
+def buoyancy_frequency(df: DataFrame, keys: Sequence[str], index: str, salinity: str = "absolute_salinity", temperature: str = "conservative_temperature", pressure: str = "pressure", latitude: float = 45.0, out: str = "N2") -> DataFrame:
     """df with N2 from neighbouring valid bins in index order, taken at their
     middle pressures and interpolated to each bin's own pressure; null outside,
-    and where a profile has less than two valid bins."""
-    valid = df.where(real(density).isNotNull() & real(pressure).isNotNull())
+    and where a profile has less than two valid bins. Gravity is that of lat
+    where df has it."""
+    own = {"__sa": real(salinity), "__ct": real(temperature), "__p": real(pressure)}
+    valid = df.withColumns(own).where("__sa IS NOT NULL AND __ct IS NOT NULL AND __p IS NOT NULL")
+    lat = F.coalesce(real("lat"), F.lit(latitude)) if "lat" in df.columns else F.lit(latitude)
     order = Window.partitionBy(*keys).orderBy(index)
-    rho, p = real(density), real(pressure)
-    d_rho, d_p = F.lead(rho).over(order) - rho, F.lead(p).over(order) - p
-    middle = (F.lead(rho).over(order) + rho) / 2
-    n2 = 9.81 * 9.81 * middle * F.try_divide(d_rho, d_p * 1e4)
-    mids = valid.select(*keys, ((F.lead(p).over(order) + p) / 2).alias("__p"), n2.alias(out)).where("__p IS NOT NULL")
-    rows = valid.withColumn("__p", p)
-    found = interpolate(rows, mids, [out], keys, "__p", extrapolate=False).select(*keys, index, out)
-    return df.join(found, [*keys, index], "left")
+    own = valid.select(*keys, index, "__sa", "__ct", "__p", physics.gravity(F.col("__p"), lat).alias("__g"))
+    names = ("__sa", "__ct", "__p", "__g")
+    pairs = own.select(*keys, *names, *(F.lead(c).over(order).alias(f"{c}2") for c in names)).where("__p2 IS NOT NULL")
+    mids = pairs.select(*keys, *(((F.col(c) + F.col(f"{c}2")) / 2).alias(c) for c in names), *((F.col(f"{c}2") - F.col(c)).alias(f"d{c}") for c in names[:3]))
+    n2 = physics.squared_buoyancy(F.col("__sa"), F.col("__ct"), F.col("__p"), F.col("d__sa"), F.col("d__ct"), F.col("d__p"), F.col("__g"))
+    found = interpolate(own.select(*keys, index, "__p"), mids.select(*keys, "__p", n2.alias(out)), [out], keys, "__p", extrapolate=False)
+    return df.join(found.select(*keys, index, out), [*keys, index], "left")

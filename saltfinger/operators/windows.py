@@ -7,6 +7,7 @@ made null before any aggregate, since Spark orders NaN above everything.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,51 +20,64 @@ def real(x: Column | str) -> Column:
     return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
 
 
-def block_mean(df: DataFrame, keys: Sequence[str], values: Sequence[str], n: int, index: str = "i", out: str = "b") -> DataFrame:
+def _size(n: int | str) -> Column:
+    """A number of samples: known now, or a column of the key's rows."""
+    return F.col(n) if isinstance(n, str) else F.lit(n)
+
+
+def block_mean(df: DataFrame, keys: Sequence[str], values: Sequence[str], n: int | str, index: str = "i", out: str = "b") -> DataFrame:
     """Means of blocks of n samples; a last block that is not full has no row."""
-    b = F.floor(F.col(index) / n).alias(out)
-    rows = df.groupBy(*keys, b).agg(F.count("*").alias("__n"), *(F.avg(real(v)).alias(v) for v in values))
-    return rows.where(F.col("__n") == n).drop("__n")
+    b = F.floor(F.col(index) / _size(n)).alias(out)
+    rows = df.groupBy(*keys, b).agg(F.count("*").alias("__n"), F.first(_size(n)).alias("__all"), *(F.avg(real(v)).alias(v) for v in values))
+    return rows.where("__n = __all").drop("__n", "__all")
 
 
-def window_of(index: Column, n_fft: int, n_diss: int) -> Column:
+def window_of(index: Column, n_fft: Column, n_diss: Column) -> Column:
     """The windows of n_diss samples, n_diss - n_fft / 2 apart, that hold index."""
-    step = n_diss - n_fft // 2
+    step = n_diss - F.floor(n_fft / 2)
     first = F.greatest(F.lit(0), F.ceil((index - n_diss + 1) / step))
     return F.sequence(first.cast("long"), F.floor(index / step).cast("long"))
 
 
-def window_mean(df: DataFrame, keys: Sequence[str], values: Sequence[str], n_fft: int, n_diss: int, index: str = "i", out: str = "win") -> DataFrame:
+def window_mean(df: DataFrame, keys: Sequence[str], values: Sequence[str], n_fft: int | str, n_diss: int | str, index: str = "i", out: str = "win") -> DataFrame:
     """Means of the complete overlapping windows. Each sample goes to the one or
     two windows that hold it; partial sums are made before the shuffle."""
-    spread = df.select(*keys, *(real(v).alias(v) for v in values), F.explode(window_of(F.col(index), n_fft, n_diss)).alias(out))
-    rows = spread.groupBy(*keys, out).agg(F.count("*").alias("__n"), *(F.avg(v).alias(v) for v in values))
-    return rows.where(F.col("__n") == n_diss).drop("__n")
-
-
-def kept_samples(n: Column, n_diss: int, n_fft: int, ratio: int = 1) -> Column:
-    """Samples that complete windows take of n, aligned to ratio; null if none fits."""
-    step = n_diss - n_fft // 2
-    windows = lambda m: F.floor((m - n_diss) / step) + 1
-    aligned = F.floor((n_diss + (windows(n) - 1) * step) / ratio) * ratio
-    return F.when(n >= n_diss, n_diss + (windows(aligned) - 1) * step)
-
-
-def trim_windows(df: DataFrame, keys: Sequence[str], n_diss: int, n_fft: int, chop_start: bool = True, ratio: int = 1, index: str = "i", keep: Column | None = None) -> DataFrame:
+    spread = df.select(*keys, *(real(v).alias(v) for v in values), _size(n_diss).alias("__all"), F.explode(window_of(F.col(index), _size(n_fft), _size(n_diss))).alias(out))
+    rows = spread.groupBy(*keys, out).agg(F.count("*").alias("__n"), F.first("__all").alias("__all"), *(F.avg(v).alias(v) for v in values))
+    return rows.where("__n = __all").drop("__n", "__all")
+
+
+def kept_samples(n, n_diss, n_fft, ratio=1):
+    """Samples that complete windows take of n, aligned to ratio; null or None if
+    none fits. Columns or numbers."""
+    columns = any(isinstance(x, Column) for x in (n, n_diss, n_fft, ratio))
+    down = F.floor if columns else math.floor
+    step = n_diss - down(n_fft / 2)
+    windows = lambda m: down((m - n_diss) / step) + 1
+    if not columns and n < n_diss:
+        return None
+    aligned = down((n_diss + (windows(n) - 1) * step) / ratio) * ratio
+    kept = n_diss + (windows(aligned) - 1) * step
+    return F.when(n >= n_diss, kept) if columns else kept if aligned >= n_diss else None
+
+
+def trim_windows(df: DataFrame, keys: Sequence[str], n_diss: int | str, n_fft: int | str, chop_start: bool = True, ratio: int = 1, index: str = "i", keep: Column | None = None) -> DataFrame:
     """The samples of complete windows, from the end if chop_start, re-indexed.
     Keys with less than one window have no rows. ``keep`` gives the number of
     samples where another table's windows decide."""
     own = Window.partitionBy(*keys)
-    sized = df.withColumn("__n", F.count("*").over(own)).withColumn("__keep", kept_samples(F.col("__n"), n_diss, n_fft, ratio) if keep is None else keep)
+    sized = df.withColumn("__n", F.count("*").over(own)).withColumn("__keep", kept_samples(F.col("__n"), _size(n_diss), _size(n_fft), ratio) if keep is None else keep)
     start = F.col("__n") - F.col("__keep") if chop_start else F.lit(0)
     kept = sized.where((F.col(index) >= start) & (F.col(index) < start + F.col("__keep")))
     return kept.withColumn(index, (F.col(index) - start).cast("long")).drop("__n", "__keep")
 
 
-def window_parameters(fs_fast: float, fs_slow: float, fft_len: float, diss_len: float) -> dict[str, int]:
-    """Sizes of FFT segments and windows (half to even, as Python rounds)."""
-    n_fft, n_diss = round(fft_len * fs_fast), round(diss_len * fs_fast)
-    return {"n_fft": n_fft, "n_diss": n_diss, "fft_overlap": n_fft // 2, "diss_overlap": n_fft // 2, "sampling_ratio": int(fs_fast / fs_slow)}
+def with_window_sizes(files: DataFrame, fft_len: float, diss_len: float) -> DataFrame:
+    """files with n_fft, n_diss and ratio by their rates fs_fast and fs_slow, and
+    both sizes in slow samples (half to even, as Python rounds)."""
+    size = lambda seconds: F.bround(F.col("fs_fast") * seconds, 0).cast("int")
+    own = files.withColumns({"n_fft": size(fft_len), "n_diss": size(diss_len), "ratio": (F.col("fs_fast") / F.col("fs_slow")).cast("int")})
+    return own.withColumns({f"{n}_slow": F.floor(F.col(n) / F.col("ratio")).cast("int") for n in ("n_fft", "n_diss")})
 
 
 def gap_segments(df: DataFrame, keys: Sequence[str], gap: float = 5.0, factor: float = 10.0, time: str = "t", index: str = "i") -> DataFrame:
@@ -78,16 +92,17 @@ def gap_segments(df: DataFrame, keys: Sequence[str], gap: float = 5.0, factor: f
 
 def segment_shape(df: DataFrame, keys: Sequence[str], pressure: str, index: str = "i", time: str = "t") -> DataFrame:
     """For each (keys, segment): bounds, greatest pressure, rising and falling
-    steps, dominant fraction, direction by ends."""
+    steps, dominant fraction, pressures at and direction by the ends."""
     by = [*keys, "segment"]
     step = F.col(pressure) - F.lag(pressure).over(Window.partitionBy(*by).orderBy(index))
     rows = df.withColumn("__d", step).groupBy(*by).agg(
         F.min(index).alias("start_idx"), F.max(index).alias("end_idx"), F.min(time).alias("start_time"), F.max(time).alias("end_time"), F.max(real(pressure)).alias("max_pressure"),
-        F.count_if(F.col("__d") > 0).alias("n_pos"), F.count_if(F.col("__d") < 0).alias("n_neg"), F.min_by(pressure, index).alias("__p0"), F.max_by(pressure, index).alias("__p1"),
+        F.count_if(F.col("__d") > 0).alias("n_pos"), F.count_if(F.col("__d") < 0).alias("n_neg"), F.min_by(pressure, index).alias("first_pressure"), F.max_by(pressure, index).alias("last_pressure"),
+        F.count("*").alias("n_samples"), F.count(real(pressure)).alias("n_valid"),
     )
     moved = F.col("n_pos") + F.col("n_neg")
     fraction = F.when(moved > 0, F.greatest("n_pos", "n_neg") / moved).otherwise(F.lit(1.0))
-    return rows.withColumn("fraction", fraction).withColumn("direction", F.when(F.col("__p1") >= F.col("__p0"), "down").otherwise("up")).drop("__p0", "__p1")
+    return rows.withColumn("fraction", fraction).withColumn("direction", F.when(F.col("last_pressure") >= F.col("first_pressure"), "down").otherwise("up"))
 
 
 def monotonic_profiles(shape: DataFrame, direction: str = "down", min_pressure: float = 1.0, least: float = 0.8) -> DataFrame:
@@ -122,34 +137,11 @@ def extract_profile(samples: DataFrame, profiles: DataFrame, keys: Sequence[str]
     return samples_of(samples, own, keys, time)
 
 
-def speed_from_pressure(df: DataFrame, keys: Sequence[str], pressure: str, fs: float | Column, pitch: str | None = None, attack: float = 3.0, dbar_to_m: float = 1.005, index: str = "i") -> Column:
-    """|dP/dt| by central differences, one-sided at the ends of each key."""
-    order = Window.partitionBy(*keys).orderBy(index)
-    before, after = F.lag(pressure).over(order), F.lead(pressure).over(order)
-    here = F.col(pressure)
-    rate = F.when(before.isNull(), after - here).when(after.isNull(), here - before).otherwise((after - before) / 2)
-    speed = F.abs(rate * dbar_to_m * fs)
-    return speed if pitch is None else speed / F.sin(F.radians(F.abs(F.col(pitch)) + attack))
-
-
 def first_valid(value: str, index: str = "i") -> Column:
     """Aggregate: the first value that is not missing, null if all are."""
     return F.min_by(real(value), F.when(real(value).isNotNull(), F.col(index)))
 
 
-def lag_filter(value: str, keys: Sequence[str], lag: float, index: str = "i") -> Column:
-    """value delayed by a fractional number of samples; what came before the first
-    sample lies on the line through the head of the series."""
-    n = -int(-lag // 1)
-    if n < 1:
-        return F.col(value)
-    head, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(index)
-    at, y = F.when(F.col(index) < n + 2, F.col(index).cast("double")), F.when(F.col(index) < n + 2, F.col(value))
-    slope, level = F.regr_slope(y, at).over(head), F.regr_intercept(y, at).over(head)
-    past = lambda m: F.coalesce(F.lag(value, m).over(order), level + slope * (F.col(index) - m)) if m else F.col(value)
-    return (n - lag) * past(n - 1) + (1 - n + lag) * past(n)
-
-
 def deepest_first(df: DataFrame, keys: Sequence[str], value: str, k: int) -> DataFrame:
     """The k samples of greatest value of each key, ties by index."""
     order = Window.partitionBy(*keys).orderBy(F.desc(value), "i")

@@ -12,6 +12,8 @@ class ProfileConfig:
     """All settings from samples to dissipation rates. Times are in seconds,
     frequencies in Hz, pressures in dbar, angles in degrees."""
 
+    # The names and defaults of the settings below.
+
     # names of channels
     pressure: str = "P"
     speed: str = "W"

@@ -32,14 +32,20 @@ def _there(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _compression(codec: str | None, level: int | None) -> dict[str, str]:
+    own = {"compression": codec} if codec else {}
+    return own | {"parquet.compression.codec.zstd.level": str(level)} if level is not None else own
+
+
 def file_id(path: str = "path"):
     """A file's name without folder and suffix."""
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
 
 
-def convert(spark: SparkSession, path: str | Sequence[str], output: str, variables: Sequence[str] | None = None, exclude_types: Sequence[str] = SKIPPED_TYPES, overwrite: bool = False, min_file_size: int = 100_000, compression: str | None = None, despike: Mapping | None = None, gradient: str = "high_pass") -> DataFrame:
+def convert(spark: SparkSession, path: str | Sequence[str], output: str, variables: Sequence[str] | None = None, exclude_types: Sequence[str] = SKIPPED_TYPES, overwrite: bool = False, min_file_size: int = 100_000, compression: str | None = None, despike: Mapping | None = None, gradient: str = "high_pass", compression_level: int | None = None) -> DataFrame:
     """Level 0 to 1: decode, calibrate, deconvolve, differentiate, write. Returns
-    (file_id, error). Existing output is an error unless overwrite is set."""
+    (file_id, error). Existing output is an error unless overwrite is set. The level
+    is that of zstd."""
     if not overwrite and _there(spark, f"{output}/files"):
         raise FileExistsError(output)
     heads = pfile.read_headers(spark, path, min_file_size).withColumn("file_id", file_id())
@@ -72,17 +78,16 @@ def convert(spark: SparkSession, path: str | Sequence[str], output: str, variabl
     def table(fast: bool) -> DataFrame:
         wide = placed.where("is_fast" if fast else "NOT is_fast").groupBy("file_id", "i").pivot("channel", wanted).agg(F.first("value").cast("float"))
         rate = F.col("fs_fast" if fast else "fs_slow")
-        return wide.join(rates.drop("__rows"), "file_id").withColumn("t", F.col("i") / rate).drop("fs_fast", "fs_slow")
+        return wide.join(rates.drop("__rows"), "file_id").withColumn("t", F.col("i") / rate)
 
     fast = table(True)
     if despike is not None:
-        for row in rates.select("fs_fast").distinct().collect():
-            fast = series.despike(fast, ["file_id"], [v for v in ("sh1", "sh2", "gradT1", "gradT2") if v in wanted], row["fs_fast"], **despike)
+        fast = series.despike(fast, ["file_id"], [v for v in ("sh1", "sh2", "gradT1", "gradT2") if v in wanted], "fs_fast", **despike)
     get = lambda k: F.try_element_at("info", F.lit(k))
     files = heads.where("error IS NULL").join(info, "file_id", "left").select("file_id", F.col("path").alias("source_file"), "filetime", "fs_fast", "fs_slow", "header_version", "n_rows", "fast_cols", "slow_cols", get("vehicle").alias("instrument_vehicle"), get("model").alias("instrument_model"), get("sn").alias("instrument_sn"), "setup")
     mode = "overwrite" if overwrite else "errorifexists"
-    options = {"compression": compression} if compression else {}
-    for name, df in (("fast", fast), ("slow", table(False)), ("files", files)):
+    options = _compression(compression, compression_level)
+    for name, df in (("fast", fast.drop("fs_fast", "fs_slow")), ("slow", table(False).drop("fs_fast", "fs_slow")), ("files", files)):
         df.write.mode(mode).options(**options).partitionBy("file_id").parquet(f"{output}/{name}")
     return heads.select("file_id", "error")
 
@@ -131,10 +136,11 @@ def read_level1(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
     return tuple(spark.read.parquet(f"{path}/{name}") for name in ("fast", "slow", "files"))
 
 
-def prepared(slow: DataFrame, config: ProfileConfig, fs_slow: float, keys: Sequence[str] = ("file_id",)) -> DataFrame:
-    """slow with smoothed pressure and speed."""
+def prepared(slow: DataFrame, config: ProfileConfig, keys: Sequence[str] = ("file_id",)) -> DataFrame:
+    """slow, which has fs_slow, with smoothed pressure and speed. A file for which
+    that fails has nulls there, and what went wrong in the column error."""
     pitch = config.pitch if config.use_pitch_correction and config.pitch in slow.columns else None
-    return series.smooth_slow(slow, keys, fs_slow, config.pressure, config.speed, config.pressure_smoothing_period, config.filter_order, pitch, config.angle_of_attack, config.dbar_to_m, config.gap_threshold, config.gap_factor)
+    return series.smooth_slow(slow, keys, "fs_slow", config.pressure, config.speed, config.pressure_smoothing_period, config.filter_order, pitch, config.angle_of_attack, config.dbar_to_m, config.gap_threshold, config.gap_factor, error="error")
 
 
 def index_profiles(slow: DataFrame, config: ProfileConfig, keys: Sequence[str] = ("file_id",)) -> DataFrame:
@@ -153,67 +159,79 @@ def attach_auxiliary(slow: DataFrame, files: DataFrame, aux: DataFrame, config:
     epoch = F.unix_micros(F.col("filetime").cast("timestamp")) / 1e6
     timed = slow.join(files.select("file_id", epoch.alias("__epoch")), "file_id").withColumn("__at", F.col("__epoch") + F.col("t"))
     points = aux.select((F.unix_micros(F.col(config.aux_time).cast("timestamp")) / 1e6).alias("__at"), *(F.col(a).alias(b) for a, b in named))
-    # each file takes the whole auxiliary series, so that files stay apart
-    own = points.crossJoin(F.broadcast(files.select("file_id"))) if files.limit(2).count() > 1 else points.withColumn("file_id", F.lit(files.select("file_id").first()[0]))
-    return align.interpolate(timed, own, [b for _, b in named], ["file_id"], "__at").drop("__at", "__epoch")
+    spans = timed.groupBy("file_id").agg(F.min("__at").alias("first"), F.max("__at").alias("last"))
+    variables = [b for _, b in named]
+    own = align.near(points, spans, variables, ["file_id"], "__at")
+    return align.interpolate(timed, own, variables, ["file_id"], "__at").drop("__at", "__epoch")
 
 
-def dissipation(fast: DataFrame, slow: DataFrame, table: DataFrame, config: ProfileConfig, fs_fast: float, fs_slow: float, vehicle=None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(windows, spectra, ctd bins) of the profiles of a profile table, from
-    prepared slow samples and fast samples of one pair of rates."""
-    size = windows.window_parameters(fs_fast, fs_slow, config.fft_len_sec, config.diss_len_sec)
-    n_fft, n_diss, ratio = size["n_fft"], size["n_diss"], size["sampling_ratio"]
-    own = windows.samples_of(slow, table, ["file_id"])
+def _of_profiles(samples: DataFrame, table: DataFrame) -> DataFrame:
+    """The samples of the profiles, their index from 0 in each profile."""
+    own = windows.samples_of(samples, table, ["file_id"])
     first = own.groupBy(*KEYS).agg(F.min("i").alias("__i0"))
-    own = own.join(first, list(KEYS)).withColumn("i", F.col("i") - F.col("__i0")).drop("__i0")
-    quick = windows.samples_of(fast, table, ["file_id"])
-    first = quick.groupBy(*KEYS).agg(F.min("i").alias("__i0"))
-    quick = quick.join(first, list(KEYS)).withColumn("i", F.col("i") - F.col("__i0")).drop("__i0")
-
-    quick = series.despike(quick, KEYS, config.all_probes, fs_fast, max_passes=config.despike_max_passes, thresh=config.despike_thresh, smooth=config.despike_smooth, replace_sec=config.despike_replace_sec, force=config.force_despike)
-    if config.shear_cutoff:
-        quick = series.highpass(quick, KEYS, config.shear_probes, fs_fast, config.shear_cutoff)
-    whole = F.floor(windows.kept_samples(F.col("__fast"), n_diss, n_fft, ratio) / ratio)
-    slow_keep = quick.groupBy(*KEYS).agg(F.count("*").alias("__fast")).select(*KEYS, whole.alias("__slow"))
-    quick = windows.trim_windows(quick, KEYS, n_diss, n_fft, config.chop_start, ratio)
+    return own.join(first, list(KEYS)).withColumn("i", F.col("i") - F.col("__i0")).drop("__i0")
+
+
+def spectra_of_profiles(fast: DataFrame, table: DataFrame, config: ProfileConfig) -> DataFrame:
+    """``spectra.profile_spectra`` of the profiles of a profile table; fast has the
+    rates and window sizes of its file."""
+    refs = [*(config.accel_channels if config.accel_clean else ()), *(config.emc_channels if config.emc_clean else ())]
+    options = {"max_passes": config.despike_max_passes, "thresh": config.despike_thresh, "smooth": config.despike_smooth, "replace_sec": config.despike_replace_sec}
+    return spectra.profile_spectra(windows.samples_of(fast, table, ["file_id"]), KEYS, config.all_probes, config.shear_probes, refs, config.shear_cutoff, config.chop_start, config.force_despike, options)
+
+
+def hydrography_of_profiles(slow: DataFrame, fast: DataFrame, table: DataFrame, config: ProfileConfig) -> tuple[DataFrame, DataFrame | None]:
+    """(scalars of the dissipation windows, fine CTD bins) of the profiles of a
+    profile table, from prepared slow samples. Both sample tables have the rates
+    and window sizes of their file; of fast only the times are read."""
+    own = _of_profiles(slow, table)
+    whole = F.floor(windows.kept_samples(F.col("__fast"), F.col("n_diss"), F.col("n_fft"), F.col("ratio")) / F.col("ratio"))
+    quick = windows.samples_of(fast.select("file_id", "t", "n_fft", "n_diss", "ratio"), table, ["file_id"])
+    sized = quick.groupBy(*KEYS, "n_fft", "n_diss", "ratio").agg(F.count("*").alias("__fast")).select(*KEYS, whole.alias("__slow"))
     if config.match_conductivity and {"JAC_C", config.temperature} <= set(own.columns):
-        own = series.match_conductivity(own, KEYS, fs_slow, speed=config.speed_smooth, lag=config.jac_lag, cutoff=config.jac_f_tc, reference=config.jac_reference_speed)
-    own = windows.trim_windows(own.join(slow_keep, list(KEYS)), KEYS, n_diss // ratio, n_fft // ratio, config.chop_start, keep=F.col("__slow")).drop("__slow")
+        own = series.match_conductivity(own, KEYS, "fs_slow", speed=config.speed_smooth, lag=config.jac_lag, cutoff=config.jac_f_tc, reference=config.jac_reference_speed)
+    own = windows.trim_windows(own.join(sized, list(KEYS)), KEYS, "n_diss_slow", "n_fft_slow", config.chop_start, keep=F.col("__slow")).drop("__slow")
+    own = own.withColumns({"__still": F.col("stationary").cast("double"), "__ctd": F.greatest(F.lit(1), F.bround(config.ctd_bin_sec * F.col("fs_slow"), 0).cast("int"))})
 
     scalars = [v for v in ("t", config.pressure_smooth, config.speed_smooth, config.temperature, "JAC_C", "aux_latitude", "aux_longitude", "aux_temperature", "aux_salinity", "aux_density") if v in own.columns]
     options = {"pressure": config.pressure_smooth, "temperature": config.temperature, "speed": config.speed_smooth, "default_temperature": config.default_temperature, "default_salinity": config.default_salinity, "default_density": config.default_density, "latitude": config.default_latitude, "thermo": config.compute_thermo}
-    means = windows.window_mean(own, KEYS, scalars, n_fft // ratio, n_diss // ratio)
-    scalar = thermo.hydrography(means, KEYS, stationary=vehicle, **options).withColumnRenamed("t", "time")
+    # a platform that stays has one position, that of its first sample with one
+    here = [v for v in ("aux_latitude", "aux_longitude") if v in own.columns]
+    if len(here) == 2:
+        spots = thermo.scalar_position(own.where("stationary"), KEYS)
+        own = own.join(spots, list(KEYS), "left").withColumns({a: F.when(F.col("stationary"), F.col(b)).otherwise(F.col(a)) for a, b in zip(here, ("lat", "lon"), strict=True)}).drop("lat", "lon")
+    means = windows.window_mean(own, KEYS, [*scalars, "__still"], "n_fft_slow", "n_diss_slow").withColumn("stationary", F.col("__still") > 0.5).drop("__still")
+    scalar = thermo.hydrography(means, KEYS, **options).withColumnRenamed("t", "time")
+    deep = {"latitude": config.default_latitude}
     if config.compute_thermo and "potential_density" in scalar.columns:
-        scalar = thermo.buoyancy_frequency(scalar, KEYS, "win")
-    fine = None
-    if config.ctd_bin_sec > 0 and ({config.temperature, "JAC_C"} & set(own.columns)):
-        blocks = windows.block_mean(own, KEYS, scalars, max(1, round(config.ctd_bin_sec * fs_slow)))
-        fine = thermo.hydrography(blocks, KEYS, stationary=vehicle, kinematics=False, **options)
-        if config.compute_thermo and "potential_density" in fine.columns:
-            fine = thermo.buoyancy_frequency(fine, KEYS, "b")
-        keep = [c for c in ("pressure", "z", "temperature", "salinity", "density", "conductivity", "lat", "lon", "absolute_salinity", "conservative_temperature", "potential_density", "N2") if c in fine.columns]
-        fine = fine.select(*KEYS, "b", F.col("t").alias("ctd_time"), *(F.col(c).cast("float").alias(f"{c}_hires") for c in keep))
-
-    refs = [*(config.accel_channels if config.accel_clean else ()), *(config.emc_channels if config.emc_clean else ())]
-    power = spectra.window_spectra(quick, KEYS, config.all_probes, fs_fast, n_fft, n_diss, refs)
+        scalar = thermo.buoyancy_frequency(scalar, KEYS, "win", **deep)
+    if config.ctd_bin_sec <= 0 or not {config.temperature, "JAC_C"} & set(own.columns):
+        return scalar, None
+    blocks = windows.block_mean(own, KEYS, scalars, "__ctd")
+    fine = thermo.hydrography(blocks, KEYS, kinematics=False, **options)
+    if config.compute_thermo and "potential_density" in fine.columns:
+        fine = thermo.buoyancy_frequency(fine, KEYS, "b", **deep)
+    keep = [c for c in ("pressure", "z", "temperature", "salinity", "density", "conductivity", "lat", "lon", "absolute_salinity", "conservative_temperature", "potential_density", "N2") if c in fine.columns]
+    return scalar, fine.select(*KEYS, "b", F.col("t").alias("ctd_time"), *(F.col(c).cast("float").alias(f"{c}_hires") for c in keep))
+
+
+def dissipation(scalar: DataFrame, power: DataFrame, files: DataFrame, config: ProfileConfig) -> tuple[DataFrame, DataFrame]:
+    """(windows, spectra over wavenumber) from the windows' scalars and their spectra
+    over frequency."""
     speed = scalar.select(*KEYS, "win", F.col("W").cast("float").cast("double").alias("W"), F.col("nu").cast("float").cast("double").alias("nu"))
     power = power.join(speed, [*KEYS, "win"]).withColumn("psd", spectra.to_wavenumber(F.col("psd"), F.col("W"), F.col("probe"))).withColumn("k", F.transform("frequency", lambda f: F.try_divide(f, F.col("W"))))
-    fits = power.where(F.col("probe").startswith("sh")).withColumn("fit", spectra.epsilon(F.col("frequency"), F.col("psd"), F.col("W"), F.col("nu")))
-    spikes = [f"{p}_despike_mask" for p in config.all_probes if f"{p}_despike_mask" in quick.columns]
-    shares = windows.window_mean(quick.withColumns({s: F.col(s).cast("double") for s in spikes}), KEYS, spikes, n_fft, n_diss) if spikes else None
-    out = scalar
-    if shares is not None:
-        out = out.join(shares.select(*KEYS, "win", *(F.col(s).alias(s.replace("_mask", "_frac")) for s in spikes)), [*KEYS, "win"], "left")
-    dof = quality.degrees_of_freedom(n_fft, n_diss) ** 0.5
+    dof = files.select("file_id", F.sqrt(quality.degrees_of_freedom(F.col("n_fft"), F.col("n_diss"))).alias("__dof"))
+    fits = power.join(dof, "file_id").withColumn("fit", F.when(F.col("probe").startswith("sh"), spectra.epsilon(F.col("frequency"), F.col("psd"), F.col("W"), F.col("nu"))))
+    mine = lambda p, c: F.max(F.when(F.col("probe") == p, c))
+    parts = [mine(p, F.col("spikes")).alias(f"{p}_despike_frac") for p in config.all_probes]
+    for p in config.shear_probes:
+        parts += [mine(p, windows.real("fit.eps")).alias(f"eps_{p[-1]}"), mine(p, windows.real("fit.k_max")).alias(f"k_max_{p[-1]}"), mine(p, windows.real("fit.mad") * F.col("__dof")).alias(f"eps_{p[-1]}_fm")]
+    out = scalar.join(fits.groupBy(*KEYS, "win").agg(*parts), [*KEYS, "win"], "left")
     for p in config.shear_probes:
         n = p[-1]
-        fit = fits.where(F.col("probe") == p).select(*KEYS, "win", windows.real(F.col("fit.eps")).alias(f"eps_{n}"), windows.real(F.col("fit.k_max")).alias(f"k_max_{n}"), (windows.real(F.col("fit.mad")) * dof).alias(f"eps_{n}_fm"))
-        out = out.join(fit, [*KEYS, "win"], "left")
-        spike = F.col(f"{p}_despike_frac") if f"{p}_despike_frac" in out.columns else None
-        flag = quality.compose_flag(F.col(f"eps_{n}"), F.col(f"eps_{n}_fm"), F.col("W") < config.min_speed, spike, (config.fm_good, config.fm_bad), (config.despike_frac_questionable, config.despike_frac_bad))
+        flag = quality.compose_flag(F.col(f"eps_{n}"), F.col(f"eps_{n}_fm"), F.col("W") < config.min_speed, F.col(f"{p}_despike_frac"), (config.fm_good, config.fm_bad), (config.despike_frac_questionable, config.despike_frac_bad))
         out = out.withColumn(f"eps_{n}_qc", flag)
-    return out.drop("aux_latitude", "aux_longitude", "aux_temperature", "aux_salinity", "aux_density"), power, fine
+    return out.drop("stationary", "aux_latitude", "aux_longitude", "aux_temperature", "aux_salinity", "aux_density"), power.drop("nu")
 
 
 def _stamped(df: DataFrame, config: ProfileConfig) -> DataFrame:
@@ -226,50 +244,67 @@ def without_existing(spark: SparkSession, files: DataFrame, output: str) -> Data
     """files less those with output: some output file_id begins with their own."""
     if not _there(spark, f"{output}/windows"):
         return files
-    done = spark.read.parquet(f"{output}/windows").select(F.col("file_id").alias("__done")).distinct()
-    return files.join(done, F.startswith("__done", "file_id"), "left_anti")
+    return align.without_prefixed(files, "file_id", spark.read.parquet(f"{output}/windows"), "file_id")
+
+
+def _indexed(spark: SparkSession, ready: DataFrame, config: ProfileConfig, path: str, mode: str) -> DataFrame:
+    """The profile table of prepared samples, written and read again: the samples of
+    both rates are cut by it, and peaks are looked for once."""
+    good = ready.where("error IS NULL")
+    _stamped(index_profiles(good, config), config).write.mode(mode).partitionBy("file_id").parquet(path)
+    return spark.read.parquet(path).withColumn("file_id", F.col("file_id").cast("string"))
 
 
 def compute_epsilon(spark: SparkSession, level1: str, output: str, config: ProfileConfig | None = None, aux: DataFrame | None = None, overwrite: bool = False, skip_existing: bool = False) -> DataFrame:
-    """Level 1 to 2. Returns (file_id, profiles, windows)."""
+    """Level 1 to 2. Returns the status table (file_id, profile_index, windows,
+    error): a row for each profile, and one without profile for a file that fails
+    before it has any."""
     config = config or ProfileConfig()
     fast, slow, files = read_level1(spark, level1)
     if skip_existing:
         files = without_existing(spark, files, output)
     mode = "overwrite" if overwrite else "append" if skip_existing else "errorifexists"
-    for fs_fast, fs_slow in [tuple(r) for r in files.select("fs_fast", "fs_slow").distinct().collect()]:
-        own = files.where((F.col("fs_fast") == fs_fast) & (F.col("fs_slow") == fs_slow))
-        mine = lambda df: df.join(own.select("file_id"), "file_id", "left_semi")  # noqa: E731, B023
-        ready = prepared(mine(slow), config, fs_slow)
-        if aux is not None:
-            ready = attach_auxiliary(ready, own, aux, config)
-        out, power, fine = dissipation(mine(fast), ready, index_profiles(ready, config), config, fs_fast, fs_slow)
-        info = own.select("file_id", "source_file", "instrument_vehicle", "instrument_sn", F.col("filetime"))
-        _stamped(out.join(info, "file_id"), config).write.mode(mode).partitionBy("file_id").parquet(f"{output}/windows")
-        power.write.mode(mode).partitionBy("file_id").parquet(f"{output}/spectra")
-        if fine is not None:
-            fine.write.mode(mode).partitionBy("file_id").parquet(f"{output}/ctd")
-        mode = "append"
-    done = spark.read.parquet(f"{output}/windows")
-    return done.groupBy("file_id").agg(F.count_distinct("profile_index").alias("profiles"), F.count("*").alias("windows"))
-
-
-def index_job(spark: SparkSession, level1: str, output: str, config: ProfileConfig | None = None, overwrite: bool = False, materialize: bool = False, compression: str | None = None) -> DataFrame:
-    """The profile table of level 1, and the samples of each profile if asked for."""
+    still = thermo.is_stationary(F.col("instrument_vehicle"), config.stationary_platform)
+    files = windows.with_window_sizes(files, config.fft_len_sec, config.diss_len_sec).withColumn("stationary", still)
+    rates = files.select("file_id", "fs_fast", "fs_slow", "n_fft", "n_diss", "n_fft_slow", "n_diss_slow", "ratio", "stationary")
+    fast, slow = fast.join(rates, "file_id"), slow.join(rates, "file_id")
+    ready = prepared(slow, config)
+    broken = ready.groupBy("file_id").agg(F.max("error").alias("error")).where("error IS NOT NULL")
+    if aux is not None:
+        ready = attach_auxiliary(ready, files, aux, config)
+    table = _indexed(spark, ready, config, f"{output}/profiles", mode).join(files.select("file_id"), "file_id", "left_semi")
+
+    spectra_of_profiles(fast, table, config).write.mode(mode).partitionBy("file_id").parquet(f"{output}/frequency_spectra")
+    raw = spark.read.parquet(f"{output}/frequency_spectra").withColumn("file_id", F.col("file_id").cast("string")).join(files.select("file_id"), "file_id", "left_semi")
+    scalar, fine = hydrography_of_profiles(ready, fast, table, config)
+    out, power = dissipation(scalar, raw.where("error IS NULL").drop("error"), files, config)
+    info = files.select("file_id", "source_file", "instrument_vehicle", "instrument_sn", "filetime")
+    _stamped(out.join(info, "file_id"), config).write.mode(mode).partitionBy("file_id").parquet(f"{output}/windows")
+    power.drop("spikes").write.mode(mode).partitionBy("file_id").parquet(f"{output}/spectra")
+    if fine is not None:
+        fine.write.mode(mode).partitionBy("file_id").parquet(f"{output}/ctd")
+
+    status = raw.groupBy(*KEYS).agg(F.count_distinct("win").alias("windows"), F.max("error").alias("error"))
+    status = table.select(*KEYS).join(status, list(KEYS), "left").withColumn("windows", F.coalesce("windows", F.lit(0)))
+    none = files.select("file_id").join(table, "file_id", "left_anti").join(broken, "file_id", "left")
+    none = none.select("file_id", F.lit(None).cast("long").alias("profile_index"), F.lit(0).cast("long").alias("windows"), F.coalesce("error", F.lit("file has no samples")).alias("error"))
+    return status.unionByName(none)
+
+
+def index_job(spark: SparkSession, level1: str, output: str, config: ProfileConfig | None = None, overwrite: bool = False, materialize: bool = False, compression: str | None = None, compression_level: int | None = None) -> DataFrame:
+    """The profile table of level 1, and the samples of each profile if asked for. A
+    file that fails has a row without profile_index that says what went wrong."""
     config = config or ProfileConfig()
     fast, slow, files = read_level1(spark, level1)
     mode = "overwrite" if overwrite else "errorifexists"
-    for fs_slow in [r[0] for r in files.select("fs_slow").distinct().collect()]:
-        own = files.where(F.col("fs_slow") == fs_slow).select("file_id")
-        ready = prepared(slow.join(own, "file_id", "left_semi"), config, fs_slow)
-        _stamped(index_profiles(ready, config), config).write.mode(mode).parquet(f"{output}/profiles")
-        if materialize:
-            table = spark.read.parquet(f"{output}/profiles").select(*KEYS, "start_time", "end_time")
-            options = {"compression": compression} if compression else {}
-            for name, df in (("slow", ready), ("fast", fast)):
-                windows.samples_of(df, table, ["file_id"]).write.mode(mode).options(**options).partitionBy(*KEYS).parquet(f"{output}/hires_{name}")
-        mode = "append"
-    return spark.read.parquet(f"{output}/profiles")
+    ready = prepared(slow.join(files.select("file_id", "fs_slow"), "file_id"), config).drop("fs_slow")
+    table = _indexed(spark, ready, config, f"{output}/profiles", mode)
+    if materialize:
+        options = _compression(compression, compression_level)
+        for name, df in (("slow", ready.drop("error")), ("fast", fast)):
+            windows.samples_of(df, table, ["file_id"]).write.mode(mode).options(**options).partitionBy(*KEYS).parquet(f"{output}/hires_{name}")
+    broken = ready.groupBy("file_id").agg(F.max("error").alias("error")).where("error IS NOT NULL")
+    return table.withColumn("error", F.lit(None).cast("string")).unionByName(broken, allowMissingColumns=True)
 
 
 def bin_job(spark: SparkSession, level2: str, output: str | None = None, overwrite: bool = False, low: float = 0.0, high: float = 1000.0, width: float = 2.0, variables: Sequence[str] | None = None, latitude: float = 45.0, questionable: float = 1e-7, bad: float = 1e-9, ctd_width: float | None = None) -> DataFrame:

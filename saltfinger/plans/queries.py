@@ -8,6 +8,7 @@ whole tables.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,6 +37,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def significant(x, digits: int = 8):
+    """x rounded to significant digits, which last-bit differences do not move."""
+    scale = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.abs(x))))
+    return F.when(x.cast("double") == 0, F.lit(0.0)).otherwise(F.round(x * scale, 0) / scale)
+
+
+def significant_sql(x: str, digits: int = 8) -> str:
+    scale = f"power(10.0, {digits - 1} - floor(log10(abs({x}))))"
+    return f"CASE WHEN {x} = 0 THEN 0.0 ELSE round({x} * {scale}, 0) / {scale} END"
+
+
 # counts -> physical units
 
 COUNTS_SQL = "SELECT l_orderkey, l_linenumber, (l_partkey * 7919 + l_orderkey * 13 + l_linenumber) % 65536 - 32768 AS x FROM lineitem"
@@ -75,11 +87,10 @@ for _name, (_kind, _params, _sql) in CALIBRATIONS.items():
 
     def _run(spark, sf_dir, kind=_kind, params=_params):
         x = F.col("x") * 65536 + F.col("l_linenumber") * 7 if kind == "jac_c" else F.col("x")
-        # rounded in doubles, as SQL does; decimal rounding differs in the last bit of large values
-        return counts(spark, sf_dir).select("l_orderkey", "l_linenumber", (F.round(calibration.convert(x, kind, params) * 1e9) / 1e9).alias("value"))
+        return counts(spark, sf_dir).select("l_orderkey", "l_linenumber", significant(calibration.convert(x, kind, params)).alias("value"))
 
     _from = COUNTS_SQL if _kind != "jac_c" else f"SELECT *, (((x * 65536 + l_linenumber * 7) & 4294967295) >> 16) / CAST(CASE WHEN ((x * 65536 + l_linenumber * 7) & 65535) = 0 THEN 1 ELSE (x * 65536 + l_linenumber * 7) & 65535 END AS DOUBLE) AS r FROM ({COUNTS_SQL})"
-    query(_name, f"SELECT l_orderkey, l_linenumber, round(CAST({_sql} AS DOUBLE), 9) AS value FROM ({_from})")(_run)
+    query(_name, f"SELECT l_orderkey, l_linenumber, {significant_sql('value')} AS value FROM (SELECT l_orderkey, l_linenumber, CAST({_sql} AS DOUBLE) AS value FROM ({_from}))")(_run)
 
 
 @query("cal_by_type", """
@@ -109,17 +120,6 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("event_id", (0.5 + F.col("value") / 4).alias("k"), F.pow(F.lit(10.0), -9 + F.col("event_id") % 6).alias("eps"), (1e-6 * (1 + (F.col("event_id") % 7) / 10.0)).alias("nu"), "value")
 
 
-def significant(x, digits: int = 8):
-    """x rounded to significant digits, which last-bit differences do not move."""
-    scale = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.abs(x))))
-    return F.when(x == 0, F.lit(0.0)).otherwise(F.round(x * scale, 0) / scale)
-
-
-def significant_sql(x: str, digits: int = 8) -> str:
-    scale = f"power(10.0, {digits - 1} - floor(log10(abs({x}))))"
-    return f"CASE WHEN {x} = 0 THEN 0.0 ELSE round({x} * {scale}, 0) / {scale} END"
-
-
 NASMYTH_X = "k * power(nu * nu * nu / eps, 0.25)"
 NASMYTH = f"power(eps, 0.75) / power(nu, 0.25) * 8.05 * power({NASMYTH_X}, 0.33333333) / (1 + power(20.6 * {NASMYTH_X}, 3.715))"
 FLICKER = lambda knee: f"sqrt(1 + (k / {knee}) * (k / {knee})) / (k / {knee})"
@@ -153,25 +153,47 @@ def sea(spark, sf_dir):
     return own.select("event_id", (5 + (F.col("event_id") % 200) / 10.0).alias("t"), (30 + (F.col("event_id") % 90) / 10.0).alias("s"), (F.col("value") * 10).alias("p"))
 
 
-DENSITY = """(999.842594 + t * (6.793952e-2 + t * (-9.095290e-3 + t * (1.001685e-4 + t * (-1.120083e-6 + t * 6.536332e-9)))) + (0.824493 + t * (-4.0899e-3 + t * (7.6438e-5 + t * (-8.2467e-7 + t * 5.3875e-9)))) * s
-    + (-5.72466e-3 + t * (1.0227e-4 + t * -1.6546e-6)) * s * sqrt(s) + 4.8314e-4 * s * s)"""
+def terms_sql(terms: dict, *x: str) -> str:
+    """The sum of a table of terms, written out."""
+    power = lambda v, n: "*".join([v] * n) if n else ""
+    return "(" + " + ".join("*".join(t for t in (f"({c!r})", *(power(v, n) for v, n in zip(x, own, strict=True))) if t) for own, c in terms.items()) + ")"
+
+
+BY_ROOT = {(i - 1, j, k): c * i for (i, j, k), c in physics.VOLUME.items() if i}
+BY_HEAT = {(i, j - 1, k): c * j for (i, j, k), c in physics.VOLUME.items() if j}
+ARGUMENTS = "sqrt(0.0248826675584615 * sa + 0.5971840214030754) AS a, ct * 0.025 AS y, p * 1e-4 AS z"
 
 
 @query("viscosity", f"""SELECT event_id, {significant_sql('mu / rho')} AS nu, {significant_sql('mu')} AS mu FROM (SELECT event_id, rho,
     1.002e-3 * power(10.0, (1.1709 * (20 - t) - 1.827e-3 * (t - 20) * (t - 20)) / (t + 89.93)) * (1 + (2.5116e-6 + 1.2199e-6 * t) * sqrt(rho * s) + (1.4342e-6 + 1.8267e-8 * t) * rho * s) AS mu
-    FROM (SELECT *, {DENSITY} AS rho FROM ({SEA_SQL})))""")
+    FROM (SELECT *, 1000 + 0.7 * s AS rho FROM ({SEA_SQL})))""")
 def viscosity(spark, sf_dir):
-    nu, mu = physics.viscosity(F.col("s"), F.col("t"), physics.surface_density(F.col("s"), F.col("t")))
+    nu, mu = physics.viscosity(F.col("s"), F.col("t"), 1000 + 0.7 * F.col("s"))
     return sea(spark, sf_dir).select("event_id", significant(nu).alias("nu"), significant(mu).alias("mu"))
 
 
-@query("surface_density", f"SELECT event_id, round({DENSITY}, 6) AS rho FROM ({SEA_SQL})")
-def surface_density(spark, sf_dir):
-    return sea(spark, sf_dir).select("event_id", F.round(physics.surface_density(F.col("s"), F.col("t")), 6).alias("rho"))
+@query("density", f"SELECT event_id, round(1 / {terms_sql(physics.VOLUME, 'a', 'y', 'z')}, 7) AS rho FROM (SELECT event_id, {ARGUMENTS} FROM (SELECT event_id, s AS sa, t AS ct, p FROM ({SEA_SQL})))")
+def density(spark, sf_dir):
+    """TEOS-10 in-situ density."""
+    return sea(spark, sf_dir).select("event_id", F.round(physics.density(F.col("s"), F.col("t"), F.col("p")), 7).alias("rho"))
+
+
+_ENTROPY = lambda y, z: f"(-0.025 * {terms_sql(physics.ENTROPY, 'x', y, z)})"
+
+
+@query("conservative_temperature", f"""WITH RECURSIVE q AS (SELECT event_id, s, t AS pt, sqrt(0.0248826675584615 * s) AS x, {_ENTROPY('y', 'z')} AS e, 0 AS n FROM (SELECT *, sqrt(0.0248826675584615 * s) AS x, t * 0.025 AS y, p * 1e-4 AS z FROM ({SEA_SQL}))
+    UNION ALL SELECT event_id, s, pt - ({_ENTROPY('y', '0.0')} - e) * (273.15 + pt) * (1 - 0.05 * (1 - s / 35.16504)) / 3991.86795711963, x, e, n + 1 FROM (SELECT *, pt * 0.025 AS y FROM q) WHERE n < 5)
+    SELECT event_id, round({terms_sql(physics.ENTHALPY, 'x', 'y')} / 3991.86795711963, 8) AS ct FROM (SELECT *, pt * 0.025 AS y FROM q WHERE n = 5)""")
+def conservative_temperature(spark, sf_dir):
+    return sea(spark, sf_dir).select("event_id", F.round(physics.conservative_temperature(F.col("s"), F.col("t"), F.col("p")), 8).alias("ct"))
 
 
-@query("depth_from_pressure", f"""SELECT event_id, round(p * (9.72659 + p * (-2.2512e-5 + p * (2.279e-10 + p * -1.82e-15))) / (9.780318 * (1 + (5.2788e-3 + 2.36e-5 * x) * x) + 1.092e-6 * p), 6) AS z
-    FROM (SELECT *, sin(radians(t)) * sin(radians(t)) AS x FROM ({SEA_SQL}))""")
+GRAVITY_SQL = "9.780327 * (1 + (5.2792e-3 + 2.32e-5 * x) * x)"
+ENTHALPY_SQL = "1e8 * z * (9.726613854843870e-4 + z * (-2.252956605630465e-5 + z * (2.376909655387404e-6 + z * (-1.664294869986011e-7 + z * (-5.988108894465758e-9 + z * (-2.1078768810e-9 + z * 2.8019291329e-10))))))"
+
+
+@query("depth_from_pressure", f"""SELECT event_id, round(2 * h / (g + sqrt(g * g + 4.52e-7 * g * h)), 6) AS z
+    FROM (SELECT event_id, {GRAVITY_SQL} AS g, {ENTHALPY_SQL} AS h FROM (SELECT *, p * 1e-4 AS z, sin(radians(t)) * sin(radians(t)) AS x FROM ({SEA_SQL})))""")
 def depth_from_pressure(spark, sf_dir):
     return sea(spark, sf_dir).select("event_id", F.round(physics.depth(F.col("p"), F.col("t")), 6).alias("z"))
 
@@ -230,17 +252,19 @@ def monotonic_fraction(spark, sf_dir):
     return own.select("user_id", "segment", F.round("fraction", 9).alias("fraction"), "direction")
 
 
-INDEX_SQL = f"SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY start_idx, end_idx) - 1 AS profile_index FROM ({SHAPE_SQL}) WHERE end_idx > start_idx AND max_pressure >= 50 AND greatest(n_pos, n_neg) >= 0.8 * (n_pos + n_neg)"
+INDEX_SQL = f"""SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY start_idx, end_idx) - 1 AS profile_index
+    FROM (SELECT *, max(segment) OVER (PARTITION BY user_id) AS gaps FROM ({SHAPE_SQL})) WHERE gaps > 0 AND end_idx > start_idx AND max_pressure >= 50 AND greatest(n_pos, n_neg) >= 0.8 * (n_pos + n_neg)"""
+#: No peak is so wide: only whole stretches are profiles.
+WHOLE = {"height": 50.0, "width": 1e9}
 
 
 def index_of(spark, sf_dir):
-    shape = windows.segment_shape(windows.gap_segments(samples(spark, sf_dir), ["user_id"], 5.0, 4.0), ["user_id"], "value")
-    return windows.number_profiles(windows.monotonic_profiles(shape, "both", 50.0), ["user_id"])
+    return profiles.profile_index(samples(spark, sf_dir), ["user_id"], "value", whole_file=False, direction="both", peaks=WHOLE, gap=5.0, factor=4.0)
 
 
 @query("profile_index", f"SELECT user_id, profile_index, start_idx, end_idx, direction FROM ({INDEX_SQL})")
 def profile_index(spark, sf_dir):
-    return index_of(spark, sf_dir).select("user_id", F.col("profile_index").cast("long").alias("profile_index"), "start_idx", "end_idx", "direction")
+    return index_of(spark, sf_dir).select("user_id", "profile_index", "start_idx", "end_idx", "direction")
 
 
 @query("extract_profile", f"SELECT s.user_id, p.profile_index, s.i, s.event_id FROM ({SERIES_SQL}) s JOIN ({INDEX_SQL}) p ON s.user_id = p.user_id AND s.i BETWEEN p.start_idx AND p.end_idx")
@@ -253,7 +277,7 @@ def extract_profile(spark, sf_dir):
     FROM (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b FROM ({SERIES_SQL}) WINDOW w AS (PARTITION BY user_id ORDER BY i))""")
 def speed_from_pressure(spark, sf_dir):
     own = samples(spark, sf_dir).withColumn("pitch", F.abs("value") % 40)
-    return own.select("user_id", "i", F.round(windows.speed_from_pressure(own, ["user_id"], "value", 64.0, "pitch"), 6).alias("speed"))
+    return series.speed(own, ["user_id"], "value", 64.0, "speed", "pitch").select("user_id", "i", F.round("speed", 6).alias("speed"))
 
 
 @query("first_valid", f"SELECT user_id, arg_min(value, i) FILTER (WHERE event_type <> 'click') AS value FROM ({SERIES_SQL}) GROUP BY 1")
@@ -266,7 +290,7 @@ def first_valid(spark, sf_dir):
     FROM (SELECT *, regr_slope(CASE WHEN i < 4 THEN value END, CASE WHEN i < 4 THEN i END) OVER (PARTITION BY user_id) AS m, regr_intercept(CASE WHEN i < 4 THEN value END, CASE WHEN i < 4 THEN i END) OVER (PARTITION BY user_id) AS c FROM ({SERIES_SQL}))
     WINDOW o AS (PARTITION BY user_id ORDER BY i)""")
 def lag_filter(spark, sf_dir):
-    return samples(spark, sf_dir).select("user_id", "i", F.round(windows.lag_filter("value", ["user_id"], 1.4), 6).alias("value"))
+    return series.lag(samples(spark, sf_dir), ["user_id"], "value", 1.4, "moved").select("user_id", "i", F.round("moved", 6).alias("value"))
 
 
 @query("top_samples", f"SELECT user_id, i, value FROM ({SERIES_SQL}) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, i) <= 3")
@@ -275,10 +299,18 @@ def top_samples(spark, sf_dir):
     return windows.deepest_first(samples(spark, sf_dir), ["user_id"], "value", 3).select("user_id", "i", "value")
 
 
-@query("detect_profiles")
+@query("detect_profiles", f"""WITH s AS (SELECT user_id, i, value, count(*) OVER (PARTITION BY user_id) AS n FROM ({SERIES_SQL})),
+    k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i) AS r FROM (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b FROM s WINDOW w AS (PARTITION BY user_id ORDER BY i)) WHERE value > a AND value > b AND value >= 50),
+    e AS (SELECT k.user_id, k.i, k.value, k.n, coalesce((SELECT max(x.i) FROM s x WHERE x.user_id = k.user_id AND x.i < k.i AND x.value > k.value) + 1, 0) AS l, coalesce((SELECT min(x.i) FROM s x WHERE x.user_id = k.user_id AND x.i > k.i AND x.value > k.value) - 1, k.n - 1) AS h FROM k),
+    g AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i) AS r FROM (SELECT *, value - greatest((SELECT min(x.value) FROM s x WHERE x.user_id = e.user_id AND x.i BETWEEN l AND e.i), (SELECT min(x.value) FROM s x WHERE x.user_id = e.user_id AND x.i BETWEEN e.i AND h)) AS rise FROM e) WHERE rise >= 150),
+    c AS (SELECT user_id, i, coalesce(lag(i) OVER w, 0) AS a, coalesce(lead(i) OVER w, n - 1) AS z FROM g WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+    t AS (SELECT c.*, (SELECT arg_min(x.i, (x.value, -x.i)) FROM s x WHERE x.user_id = c.user_id AND x.i BETWEEN c.a AND c.i) AS f, (SELECT arg_min(x.i, (x.value, x.i)) FROM s x WHERE x.user_id = c.user_id AND x.i BETWEEN c.i AND c.z) AS l FROM c),
+    p AS (SELECT user_id, f AS start_idx, i AS end_idx, 'down' AS direction FROM t WHERE i > f UNION ALL SELECT user_id, i, l, 'up' FROM t WHERE l > i)
+    SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY start_idx, end_idx) - 1 AS profile_index, start_idx, end_idx, direction FROM p""")
 def detect_profiles(spark, sf_dir):
-    own = samples(spark, sf_dir)
-    return profiles.profile_index(own, ["user_id"], "value", direction="both", peaks={"height": 50, "distance": 3, "width": 1, "prominence": 25}, gap=5.0, factor=40.0)
+    """The peak finder on series that no gap cuts."""
+    own = profiles.profile_index(samples(spark, sf_dir), ["user_id"], "value", whole_file=False, direction="both", peaks={"height": 50, "prominence": 150}, gap=1e12)
+    return own.select("user_id", "profile_index", "start_idx", "end_idx", "direction")
 
 
 # order-dependent series
@@ -303,7 +335,27 @@ def despike_fraction(spark, sf_dir):
     return windows.window_mean(own.withColumn("frac", F.col("value_despike_mask").cast("double")), ["user_id"], ["frac"], 8, 16)
 
 
-@query("highpass")
+def filter_sql(name: str, src: str, b0: str, b1: str, a1: str, state: str) -> str:
+    """A recursion y of the series x of src(user_id, i, x, first), from a state."""
+    return f"""{name} AS (SELECT user_id, i, x, {b0} * x + ({state}) AS y FROM {src} WHERE i = first
+        UNION ALL SELECT s.user_id, s.i, s.x, {b0} * s.x + {b1} * f.x - ({a1}) * f.y FROM {name} f JOIN {src} s ON s.user_id = f.user_id AND s.i = f.i + 1)"""
+
+
+def section_sql(kind: str, cutoff: str, fs: float) -> tuple[str, str, str]:
+    """b0, b1 and a1 of a first-order Butterworth section, as numbers."""
+    w = math.tan(math.pi * cutoff / fs)
+    return (repr(w / (1 + w)), repr(w / (1 + w)), repr((w - 1) / (w + 1))) if kind == "low" else (repr(1 / (1 + w)), repr(-1 / (1 + w)), repr((w - 1) / (w + 1)))
+
+
+_HIGH = section_sql("high", 0.5, 64.0)
+
+
+@query("highpass", f"""WITH RECURSIVE s AS (SELECT user_id, i, value, count(*) OVER (PARTITION BY user_id) AS n FROM ({SERIES_SQL})),
+    x0 AS (SELECT user_id, i, value AS x FROM s UNION ALL SELECT a.user_id, -b.i, 2 * a.value - b.value FROM s a JOIN s b ON a.user_id = b.user_id AND a.i = 0 AND b.i BETWEEN 1 AND 6
+        UNION ALL SELECT a.user_id, 2 * (a.n - 1) - b.i, 2 * a.value - b.value FROM s a JOIN s b ON a.user_id = b.user_id AND a.i = a.n - 1 AND b.i BETWEEN a.n - 7 AND a.n - 2),
+    f0 AS (SELECT user_id, i, x, -6 AS first FROM x0), {filter_sql('f1', 'f0', *_HIGH, f'{_HIGH[1]} * x')},
+    g0 AS (SELECT f1.user_id, n + 5 - f1.i AS i, y AS x, 0 AS first FROM f1 JOIN (SELECT DISTINCT user_id, n FROM s) m ON m.user_id = f1.user_id), {filter_sql('g1', 'g0', *_HIGH, f'{_HIGH[1]} * x')}
+    SELECT s.user_id, s.i, round(g1.y, 6) AS value_clean FROM s JOIN g1 ON g1.user_id = s.user_id AND g1.i = s.n + 5 - s.i""")
 def highpass(spark, sf_dir):
     own = samples(spark, sf_dir).withColumn("value_clean", F.col("value"))
     return series.highpass(own, ["user_id"], ["value"], 64.0, 0.5).select("user_id", "i", F.round("value_clean", 6).alias("value_clean"))
@@ -315,39 +367,86 @@ def prepare_profile(spark, sf_dir):
     return own.select("user_id", "i", *(F.round(c, 6).alias(c) for c in ("P_smooth", "W_smooth", "W")))
 
 
-@query("match_conductivity")
+_LAG = 0.0234 * 0.62 / 0.6 * 64.0
+_MATCH = section_sql("low", 0.73 * math.sqrt(0.6 / 0.62), 64.0)
+
+
+@query("match_conductivity", f"""WITH RECURSIVE h AS (SELECT *, regr_slope(CASE WHEN i < 4 THEN value END, CASE WHEN i < 4 THEN i END) OVER (PARTITION BY user_id) AS m, regr_intercept(CASE WHEN i < 4 THEN value END, CASE WHEN i < 4 THEN i END) OVER (PARTITION BY user_id) AS c FROM ({SERIES_SQL})),
+    l AS (SELECT user_id, i, {2 - _LAG!r} * coalesce(lag(value, 1) OVER o, c + m * (i - 1)) + {_LAG - 1!r} * coalesce(lag(value, 2) OVER o, c + m * (i - 2)) AS x FROM h WINDOW o AS (PARTITION BY user_id ORDER BY i)),
+    s AS (SELECT *, 0 AS first, regr_slope(CASE WHEN i < 16 THEN x END, CASE WHEN i < 16 THEN i END) OVER (PARTITION BY user_id) AS m, regr_intercept(CASE WHEN i < 16 THEN x END, CASE WHEN i < 16 THEN i END) OVER (PARTITION BY user_id) AS c FROM l),
+    {filter_sql('f', 's', *_MATCH, f'{_MATCH[1]} * (c - m) - ({_MATCH[2]}) * (c - 15 * m)')} SELECT user_id, i, round(y, 6) AS "JAC_C" FROM f""")
 def match_conductivity(spark, sf_dir):
     own = samples(spark, sf_dir).select("user_id", "i", F.col("value").alias("JAC_C"), F.lit(0.6).alias("W_smooth"))
     return series.match_conductivity(own, ["user_id"], 64.0).select("user_id", "i", F.round("JAC_C", 6).alias("JAC_C"))
 
 
+_RESTORE = section_sql("low", 1 / (2 * math.pi * 0.9), 64.0)
+RESTORED_SQL = f"""s AS (SELECT user_id, i, value AS x, 0 AS first, regr_slope(CASE WHEN i < 116 THEN value END, CASE WHEN i < 116 THEN i / 64.0 END) OVER (PARTITION BY user_id) AS m, regr_intercept(CASE WHEN i < 116 THEN value END, CASE WHEN i < 116 THEN i / 64.0 END) OVER (PARTITION BY user_id) AS c FROM ({SERIES_SQL})),
+    {filter_sql('f', 's', *_RESTORE, f'{_RESTORE[1]} * x - ({_RESTORE[2]}) * (c - 0.9 * m)')}"""
+
+
+@query("deconvolve_alone", f"WITH RECURSIVE {RESTORED_SQL} SELECT user_id, i, round(y, 6) AS hires FROM f")
+def deconvolve_alone(spark, sf_dir):
+    """Without the slow channel: no regression, a start on the line through the head."""
+    return series.deconvolve(samples(spark, sf_dir), ["user_id"], "value", 64.0, 0.9, "hires").select("user_id", "i", F.round("hires", 6).alias("hires"))
+
+
 @query("deconvolve")
 def deconvolve(spark, sf_dir):
     own = samples(spark, sf_dir).withColumn("low", F.when(F.col("i") % 8 == 0, F.col("value")))
     return series.deconvolve(own, ["user_id"], "value", 64.0, 0.9, "hires", "low").select("user_id", "i", F.round("hires", 6).alias("hires"))
 
 
-@query("gradient")
+_STEEP = section_sql("high", 1 / (2 * math.pi * 0.9), 64.0)
+_ETA = 0.5 * 65536 * 6 * 0.68 / 4.096
+
+
+@query("gradient", f"""WITH RECURSIVE {RESTORED_SQL}, {filter_sql('g', 's', *_STEEP, f'{_STEEP[1]} * x')},
+    r AS (SELECT f.user_id, f.i, g.y / 0.9 AS rate, (1 - z) / (1 + z) AS ratio FROM (SELECT *, y * (4.096 / 65536.0) * 2 / (6 * 0.68) AS z FROM f) f JOIN g ON g.user_id = f.user_id AND g.i = f.i)
+    SELECT user_id, i, round(power(1 / (1 / 289.3 + ln(q) / 3143.5), 2) * (1 + q) * (1 + q) / (2 * {_ETA!r} * 3143.5 * q) * rate, 9) AS grad FROM (SELECT *, CASE WHEN ratio < 0.1 THEN 1.0 ELSE ratio END AS q FROM r)""")
 def gradient(spark, sf_dir):
-    params = {"type": "therm", "diff_gain": 0.94, "a": 0, "b": 1, "adc_fs": 4.096, "adc_bits": 16, "g": 6, "e_b": 0.68, "t_0": 289.3, "beta": 3143.5}
+    params = {"type": "therm", "diff_gain": 0.9, "a": 0, "b": 1, "adc_fs": 4.096, "adc_bits": 16, "g": 6, "e_b": 0.68, "t_0": 289.3, "beta": 3143.5}
     return series.temperature_gradient(samples(spark, sf_dir), ["user_id"], "value", params, 64.0, "grad").select("user_id", "i", F.round("grad", 9).alias("grad"))
 
 
 # spectra and dissipation
 
-PSD_SQL = """SELECT vec_id, f AS bin, (CASE WHEN f IN (0, 32) THEN 0.5 ELSE 1.0 END) * 2 * (power(sum(x * h * cos(2 * pi() * f * n / 64)), 2) + power(sum(x * h * sin(2 * pi() * f * n / 64)), 2)) / (24.0 * 64.0) AS psd
-    FROM (SELECT vec_id, n, CAST(embedding[n + 1] AS DOUBLE) AS x, 0.5 - 0.5 * cos(2 * pi() * n / 64) AS h FROM embeddings, (SELECT unnest(range(0, 64)) AS n)), (SELECT unnest(range(0, 33)) AS f) GROUP BY 1, 2"""
+#: A window of 32 samples of a user's series has seven segments of 8 that half overlap.
+SEGMENTS_SQL = f"""SELECT user_id, CAST(floor(s / 7) AS BIGINT) AS win, s, n, x * (0.5 - 0.5 * cos(2 * pi() * n / 8)) AS x, r * (0.5 - 0.5 * cos(2 * pi() * n / 8)) AS r
+    FROM (SELECT b.user_id, g.s, b.i - 4 * g.s AS n, b.value AS x, CAST(b.event_id % 17 AS DOUBLE) AS r, count(*) OVER (PARTITION BY b.user_id, g.s) AS m FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS len FROM ({SERIES_SQL})) b, (SELECT unnest(range(0, 10000)) AS s) g
+    WHERE b.i >= 4 * g.s AND b.i < 4 * g.s + 8 AND g.s < 7 * floor((b.len - 4) / 28)) WHERE m = 8"""
+_FOURIER = lambda src, cols: f"SELECT user_id, win, s, f AS bin, {', '.join(f'sum({c} * cos(2 * pi() * f * n / 8)) AS {c}re, -sum({c} * sin(2 * pi() * f * n / 8)) AS {c}im' for c in cols)} FROM ({src}), (SELECT unnest(range(0, 5)) AS f) GROUP BY 1, 2, 3, 4"
+_HALF = "(CASE WHEN bin IN (0, 4) THEN 0.5 ELSE 1.0 END) * 2 / (3.0 * 64.0)"
+#: The windowed segments less their lines, as coherent noise removal takes them.
+_LEVELLED = f"SELECT user_id, win, s, n, x - avg(x) OVER w - (n - 3.5) * sum((n - 3.5) * x) OVER w / 42.0 AS x, r - avg(r) OVER w - (n - 3.5) * sum((n - 3.5) * r) OVER w / 42.0 AS r FROM ({SEGMENTS_SQL}) WINDOW w AS (PARTITION BY user_id, s)"
+
 
+def _spectra(spark, sf_dir, references=()):
+    own = samples(spark, sf_dir).withColumns({"sh1_clean": F.col("value"), "r": (F.col("event_id") % 17).cast("double")})
+    power = spectra.window_spectra(own, ["user_id"], ["sh1"], 64.0, 8, 32, references)
+    return power.select("user_id", "win", F.posexplode("psd").alias("bin", "psd")).select("user_id", "win", "bin", F.round("psd", 6).alias("psd"))
 
-@query("window_psd", f"SELECT vec_id, CAST(bin AS INTEGER) AS bin, round(psd, 9) AS psd FROM ({PSD_SQL})")
+
+@query("window_psd", f"SELECT user_id, win, CAST(bin AS INTEGER) AS bin, round({_HALF} * p, 6) AS psd FROM (SELECT user_id, win, bin, avg(xre * xre + xim * xim) AS p FROM ({_FOURIER(SEGMENTS_SQL, 'x')}) GROUP BY 1, 2, 3)")
 def window_psd(spark, sf_dir):
-    own = table(spark, sf_dir, "embeddings").select("vec_id", spectra.array_psd(F.col("embedding").cast("array<double>"), 64.0).alias("p"))
-    return own.select("vec_id", F.posexplode("p").alias("bin", "psd")).select("vec_id", "bin", F.round("psd", 9).alias("psd"))
+    return _spectra(spark, sf_dir)
+
+
+@query("goodman_clean", f"""SELECT user_id, win, CAST(bin AS INTEGER) AS bin, round({_HALF} * greatest((yy - (a * a + b * b) / cc) / (1 - 1.02 / 7), 0), 6) AS psd
+    FROM (SELECT user_id, win, bin, avg(xre * xre + xim * xim) AS yy, avg(rre * rre + rim * rim) AS cc, avg(xre * rre + xim * rim) AS a, avg(xim * rre - xre * rim) AS b FROM ({_FOURIER(_LEVELLED, 'xr')}) GROUP BY 1, 2, 3)""")
+def goodman_clean(spark, sf_dir):
+    """Spectra without what is coherent with one reference."""
+    return _spectra(spark, sf_dir, ["r"])
+
+
+PSD_SQL = """SELECT vec_id, f AS bin, (CASE WHEN f IN (0, 32) THEN 0.5 ELSE 1.0 END) * 2 * (power(sum(x * h * cos(2 * pi() * f * n / 64)), 2) + power(sum(x * h * sin(2 * pi() * f * n / 64)), 2)) / (24.0 * 64.0) AS psd
+    FROM (SELECT vec_id, n, CAST(embedding[n + 1] AS DOUBLE) AS x, 0.5 - 0.5 * cos(2 * pi() * n / 64) AS h FROM embeddings, (SELECT unnest(range(0, 64)) AS n)), (SELECT unnest(range(0, 33)) AS f) GROUP BY 1, 2"""
 
 
 def spectrum_of(spark, sf_dir):
     """A Nasmyth-like spectrum for each embedding: its own power around a model."""
-    own = table(spark, sf_dir, "embeddings").select("vec_id", spectra.array_psd(F.col("embedding").cast("array<double>"), 64.0).alias("p"))
+    own = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "sh1_clean"))
+    own = spectra.window_spectra(own, ["vec_id"], ["sh1"], 64.0, 64, 64).select("vec_id", F.col("psd").alias("p"))
     bins = F.sequence(F.lit(1), F.lit(32))
     k = F.transform(bins, lambda b: b.cast("double"))
     phi = F.transform(bins, lambda b: physics.nasmyth(b.cast("double"), 1e-7, 1e-6) * (0.5 + F.element_at("p", b + 1) * 10))
@@ -355,19 +454,25 @@ def spectrum_of(spark, sf_dir):
 
 
 SPECTRUM_SQL = f"SELECT vec_id, CAST(bin AS DOUBLE) AS k, 5.623413251903491e-06 / 0.03162277660168379 * 8.05 * power(bin * power(1e-18 / 1e-7, 0.25), 0.33333333) / (1 + power(20.6 * bin * power(1e-18 / 1e-7, 0.25), 3.715)) * (0.5 + psd * 10) AS phi FROM ({PSD_SQL}) WHERE bin > 0"
-LEVEL_SQL = lambda src, e: f"SELECT vec_id, {e} * power(10.0, 1.5 * avg(log10(phi / (power({e}, 0.75) / power(1e-6, 0.25) * 8.05 * power(k * power(1e-18 / {e}, 0.25), 0.33333333) / (1 + power(20.6 * k * power(1e-18 / {e}, 0.25), 3.715)))))) AS e FROM {src} GROUP BY vec_id, {e}"
 
+_RATIO = "log10(phi / (power(e, 0.75) / power(1e-6, 0.25) * 8.05 * power(k * power(1e-18 / e, 0.25), 0.33333333) / (1 + power(20.6 * k * power(1e-18 / e, 0.25), 3.715))))"
+_LEVEL = lambda name, src: f"{name} AS (SELECT {src}.* REPLACE (e * power(10.0, 1.5 * avg({_RATIO}) OVER (PARTITION BY vec_id)) AS e) FROM {src})"
 
-@query("isr_fit", f"""WITH p AS ({SPECTRUM_SQL}), a AS (SELECT *, 1e-8 AS e FROM p), b AS ({LEVEL_SQL('a', 'e')}), c AS (SELECT p.*, b.e FROM p JOIN b USING (vec_id)), d AS ({LEVEL_SQL('c', 'e')}), f AS (SELECT p.*, d.e FROM p JOIN d USING (vec_id)), g AS ({LEVEL_SQL('f', 'e')})
-    SELECT vec_id, {significant_sql('e', 7)} AS eps FROM g""")
+
+@query("isr_fit", f"""WITH a AS (SELECT vec_id, k, phi, CAST(1e-7 AS DOUBLE) AS e FROM ({SPECTRUM_SQL})), {_LEVEL('b', 'a')}, {_LEVEL('c', 'b')}, {_LEVEL('d', 'c')},
+    o AS (SELECT *, abs({_RATIO}) AS off FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY off DESC, k) AS place FROM o), g AS (SELECT vec_id, k, phi, e, max(off) OVER (PARTITION BY vec_id) > 0.5 AS again FROM r WHERE NOT (off > 0.5 AND place <= 6)),
+    {_LEVEL('h', 'g')}, {_LEVEL('j', 'h')}
+    SELECT g.vec_id, {significant_sql("any_value(CASE WHEN x.n < 32 THEN j.e ELSE g.e END)", 7)} AS eps, max(g.k) AS k_max, count(*) AS used FROM g JOIN j ON j.vec_id = g.vec_id AND j.k = g.k JOIN (SELECT vec_id, count(*) AS n FROM g GROUP BY 1) x ON x.vec_id = g.vec_id GROUP BY 1""")
 def isr_fit(spark, sf_dir):
-    own = spectrum_of(spark, sf_dir)
-    return own.select("vec_id", significant(spectra.inertial_level(F.col("k"), F.col("phi"), F.lit(1e-8), 1e-6), 7).alias("eps"))
+    """The level fit over all 32 bins, with its second round without outliers."""
+    fit = spectra.inertial(F.col("k"), F.col("phi"), F.lit(1e-7), F.lit(1e-6), F.lit(1e6), F.lit(1e6))
+    own = spectrum_of(spark, sf_dir).withColumn("fit", fit)
+    return own.select("vec_id", significant(F.col("fit.eps"), 7).alias("eps"), F.col("fit.k_max").alias("k_max"), F.col("fit.used").alias("used"))
 
 
 @query("mad", f"SELECT vec_id, round(avg(abs(log10(phi / (5.623413251903491e-06 / 0.03162277660168379 * 8.05 * power(k * power(1e-18 / 1e-7, 0.25), 0.33333333) / (1 + power(20.6 * k * power(1e-18 / 1e-7, 0.25), 3.715)))))), 8) AS mad FROM ({SPECTRUM_SQL}) WHERE k > 1 GROUP BY 1")
 def mad(spark, sf_dir):
-    return spectrum_of(spark, sf_dir).select("vec_id", F.round(spectra.misfit(F.col("k"), F.col("phi"), F.lit(1e-7), 1e-6), 8).alias("mad"))
+    return spectrum_of(spark, sf_dir).select("vec_id", F.round(spectra.misfit(F.col("k"), F.col("phi"), F.lit(1e-7), F.lit(1e-6)), 8).alias("mad"))
 
 
 _SHARE = "least(greatest(tanh(48 * power(k * power(nu * nu * nu / e, 0.25), 1.3333333)) - 2.9 * power(k * power(nu * nu * nu / e, 0.25), 1.3333333) * exp(-22.3 * power(k * power(nu * nu * nu / e, 0.25), 1.3333333)), 0.05), 0.999)"
@@ -386,26 +491,6 @@ def epsilon(spark, sf_dir):
     return own.select("vec_id", significant(F.col("fit.eps"), 7).alias("eps"), F.col("fit.k_max").alias("k_max"), F.round("fit.mad", 7).alias("mad"))
 
 
-@query("goodman_clean", f"""WITH s AS (SELECT vec_id, label, n, CAST(embedding[n + 1] AS DOUBLE) * (0.5 - 0.5 * cos(2 * pi() * n / 64)) AS x FROM embeddings, (SELECT unnest(range(0, 64)) AS n)),
-    f AS (SELECT vec_id, label, f AS bin, sum(x * cos(2 * pi() * f * n / 64)) AS re, -sum(x * sin(2 * pi() * f * n / 64)) AS im FROM s, (SELECT unnest(range(0, 33)) AS f) GROUP BY 1, 2, 3),
-    c AS (SELECT y.label, y.bin, avg(y.re * y.re + y.im * y.im) AS yy, avg(c.re * c.re + c.im * c.im) AS cc, avg(y.re * c.re + y.im * c.im) AS r, avg(y.im * c.re - y.re * c.im) AS j, count(*) AS n FROM f y JOIN f c ON c.vec_id = y.vec_id + 1 AND c.bin = y.bin GROUP BY 1, 2)
-    SELECT label, CAST(bin AS INTEGER) AS bin, round(greatest((yy - (r * r + j * j) / cc) / (1 - 1.02 / n), 0), 6) AS clean FROM c WHERE n > 1""")
-def goodman_clean(spark, sf_dir):
-    """The next vector as the only reference, averaged over the vectors of a label."""
-    own = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode(F.col("embedding").cast("array<double>")).alias("n", "x"))
-    windowed = own.withColumn("x", F.col("x") * (0.5 - 0.5 * F.cos(2 * 3.141592653589793 * F.col("n") / 64)))
-    angle = F.col("n") * F.col("bin") * (2 * 3.141592653589793 / 64)
-    spread = windowed.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(32))))
-    f = spread.groupBy("vec_id", "label", "bin").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), (-F.sum(F.col("x") * F.sin(angle))).alias("im"))
-    c = f.select((F.col("vec_id") - 1).alias("vec_id"), "bin", F.col("re").alias("cr"), F.col("im").alias("ci"))
-    both = f.join(c, ["vec_id", "bin"]).groupBy("label", "bin").agg(
-        F.avg(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("yy"), F.avg(F.col("cr") * F.col("cr") + F.col("ci") * F.col("ci")).alias("cc"),
-        F.avg(F.col("re") * F.col("cr") + F.col("im") * F.col("ci")).alias("r"), F.avg(F.col("im") * F.col("cr") - F.col("re") * F.col("ci")).alias("j"), F.count("*").alias("n"),
-    ).where("n > 1")
-    clean = spectra.coherent_clean(F.array("yy"), F.array("r"), F.array("j"), F.array("cc"), F.col("n"))
-    return both.select("label", "bin", F.round(F.element_at(clean, 1), 6).alias("clean"))
-
-
 # quality, combination, binning
 
 WINDOWS_SQL = """SELECT l_orderkey, l_linenumber, l_suppkey AS profile, l_quantity * 4 - 2 AS pressure, l_extendedprice / 1e12 AS eps_1, CASE WHEN l_linenumber % 5 <> 0 THEN l_extendedprice / 1e12 * (1 + l_discount * 150) END AS eps_2, l_discount * 30 AS fm, l_tax * 3 AS frac,
@@ -522,12 +607,9 @@ def merge_union(spark, sf_dir):
 
 @query("skip_existing_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE starts_with(CAST(o_custkey AS VARCHAR), CAST(c_custkey AS VARCHAR)))")
 def skip_existing_anti(spark, sf_dir):
-    """Stems without an output that begins with them. The prefixes of the outputs'
-    names make the test an equi-join."""
+    """Stems without an output that begins with them."""
     stems = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("stem"))
-    names = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("name")).distinct()
-    prefixes = names.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.left("name", n))).alias("stem")).distinct()
-    return stems.join(prefixes, "stem", "left_anti").select("c_custkey")
+    return align.without_prefixed(stems, "stem", table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("name")), "name").select("c_custkey")
 
 
 @query("stationary_position", """SELECT c_nationkey, c_mktsegment IN ('BUILDING') AS stationary, arg_min(c_acctbal, c_custkey) FILTER (WHERE c_acctbal > 0) AS lat FROM customer GROUP BY 1, 2""")
@@ -537,14 +619,19 @@ def stationary_position(spark, sf_dir):
     return thermo.scalar_position(own, ["c_nationkey", "stationary"]).select("c_nationkey", "stationary", "lat")
 
 
-@query("n2_interp", f"""WITH s AS (SELECT user_id, i, i * 2.0 AS p, 1000 + value / 50 AS r FROM ({SERIES_SQL}) WHERE event_type <> 'click'),
-    m AS (SELECT user_id, (p + p2) / 2 AS pm, 9.81 * 9.81 * ((r + r2) / 2) * (r2 - r) / ((p2 - p) * 1e4) AS n2 FROM (SELECT *, lead(p) OVER w AS p2, lead(r) OVER w AS r2 FROM s WINDOW w AS (PARTITION BY user_id ORDER BY i)) WHERE p2 IS NOT NULL),
+_VOLUME, _BY_ROOT, _BY_HEAT = (terms_sql(x, "a", "y", "z") for x in (physics.VOLUME, BY_ROOT, BY_HEAT))
+
+
+@query("n2_interp", f"""WITH s AS (SELECT user_id, i, i * 2.0 AS p, 34 + value / 500 AS sa, 12 - i * 0.01 AS ct FROM ({SERIES_SQL}) WHERE event_type <> 'click'),
+    g AS (SELECT user_id, i, p, sa, ct, g0 * (1 + 4.52e-7 * h / (g0 + sqrt(g0 * g0 + 4.52e-7 * g0 * h))) AS g FROM (SELECT *, {ENTHALPY_SQL} AS h, {GRAVITY_SQL} AS g0 FROM (SELECT *, p * 1e-4 AS z, 0.5 AS x FROM s))),
+    m AS (SELECT user_id, p AS pm, -g * g * ({_BY_ROOT} * 0.01244133377923075 / a * dsa + {_BY_HEAT} * 0.025 * dct) / ({_VOLUME} * {_VOLUME} * dp * 1e4) AS n2 FROM (SELECT *, {ARGUMENTS} FROM
+        (SELECT user_id, (p + p2) / 2 AS p, (sa + sa2) / 2 AS sa, (ct + ct2) / 2 AS ct, (g + g2) / 2 AS g, sa2 - sa AS dsa, ct2 - ct AS dct, p2 - p AS dp FROM (SELECT *, lead(p) OVER w AS p2, lead(sa) OVER w AS sa2, lead(ct) OVER w AS ct2, lead(g) OVER w AS g2 FROM g WINDOW w AS (PARTITION BY user_id ORDER BY i)) WHERE p2 IS NOT NULL))),
     a AS (SELECT s.user_id, s.i, s.p, m.pm, m.n2 FROM s ASOF LEFT JOIN m ON s.user_id = m.user_id AND s.p >= m.pm),
     b AS (SELECT a.*, n.pm AS pm2, n.n2 AS n22 FROM a ASOF LEFT JOIN m n ON a.user_id = n.user_id AND a.p < n.pm)
-    SELECT e.user_id, e.i, round(b.n2 + (b.p - b.pm) * (b.n22 - b.n2) / (b.pm2 - b.pm), 8) AS n2 FROM ({SERIES_SQL}) e LEFT JOIN b ON b.user_id = e.user_id AND b.i = e.i""")
+    SELECT e.user_id, e.i, round((b.n2 + (b.p - b.pm) * (b.n22 - b.n2) / (b.pm2 - b.pm)) * 1e4, 7) AS n2 FROM ({SERIES_SQL}) e LEFT JOIN b ON b.user_id = e.user_id AND b.i = e.i""")
 def n2_interp(spark, sf_dir):
-    own = samples(spark, sf_dir).select("user_id", "i", (F.col("i") * 2.0).alias("pressure"), F.when(F.col("event_type") != "click", 1000 + F.col("value") / 50).alias("potential_density"))
-    return thermo.buoyancy_frequency(own, ["user_id"], "i").select("user_id", "i", F.round("N2", 8).alias("n2"))
+    own = samples(spark, sf_dir).select("user_id", "i", (F.col("i") * 2.0).alias("pressure"), F.when(F.col("event_type") != "click", 34 + F.col("value") / 500).alias("absolute_salinity"), (12 - F.col("i") * 0.01).alias("conservative_temperature"))
+    return thermo.buoyancy_frequency(own, ["user_id"], "i").select("user_id", "i", F.round(F.col("N2") * 1e4, 7).alias("n2"))
 
 
 # setup text
@@ -556,3 +643,27 @@ def setup_parse(spark, sf_dir):
     text = F.concat(F.lit("[Root]\nrate="), F.col("o_custkey").cast("string"), F.lit(" ; inline\n; comment\n[Empty]\n[Channel]\nName = "), "o_orderstatus")
     sections = pfile.setup_sections(own.select("o_orderkey", text.alias("setup")), "o_orderkey")
     return sections.select("o_orderkey", "section", F.explode("params").alias("key", "value"))
+
+
+def _sections(spark, sf_dir):
+    text = F.concat(F.lit("[Root]\nrate="), F.col("o_custkey").cast("string"), F.lit("\n[Channel]\nname = "), "o_orderstatus", F.lit("\nid = "), F.col("o_orderkey").cast("string"), F.lit("\n[CHANNEL]\nName=P\nid = 7\n[channel]\nname = p\nid = 8\n[Last]"))
+    return pfile.setup_sections(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("setup")), "o_orderkey")
+
+
+@query("setup_section_names", "SELECT o_orderkey, unnest([3, 4]) AS section_idx, 'channel' AS section FROM orders UNION ALL SELECT o_orderkey, 2, 'channel' FROM orders UNION ALL SELECT o_orderkey, 5, 'last' FROM orders")
+def setup_section_names(spark, sf_dir):
+    """Names by pattern, in any case; a last section without parameters stays."""
+    return pfile.sections_like(_sections(spark, sf_dir), "CHAN|^last$").select("o_orderkey", F.col("section_idx").cast("int").alias("section_idx"), "section")
+
+
+@query("setup_value", "SELECT o_orderkey, o_orderstatus AS first, 'P' AS second, 'none' AS other FROM orders")
+def setup_value(spark, sf_dir):
+    sections = _sections(spark, sf_dir)
+    value = lambda name, parameter, index, out: pfile.setup_value(sections, name, parameter, "none", index, "o_orderkey").withColumnRenamed("value", out)
+    return value("channel", "NAME", 0, "first").join(value("Channel", "name", 1, "second"), "o_orderkey").join(value("channel", "gain", 0, "other"), "o_orderkey")
+
+
+@query("setup_channel_params", "SELECT o_orderkey, channel, id FROM (SELECT o_orderkey, o_orderstatus AS channel, CAST(o_orderkey AS VARCHAR) AS id FROM orders UNION ALL SELECT o_orderkey, 'P', '7' FROM orders WHERE o_orderstatus <> 'P')")
+def setup_channel_params(spark, sf_dir):
+    """The first channel of a name counts, whatever its case."""
+    return pfile.channel_params(_sections(spark, sf_dir), "o_orderkey").select("o_orderkey", "channel", F.element_at("params", F.lit("id")).alias("id"))

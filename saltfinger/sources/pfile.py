@@ -76,7 +76,8 @@ class Layout:
 
 def parse_setup(text: str) -> list[tuple[str, dict[str, str]]]:
     """Sections in order with their parameters; names may repeat. Sections other
-    than the first, unnamed one are left out if they have no parameter."""
+    than the first, unnamed one are left out if they have no parameter and another
+    follows."""
     out: list[tuple[str, dict[str, str]]] = [("root", {})]
     for line in text.splitlines():
         line = line.partition(";")[0].strip()
@@ -139,8 +140,19 @@ def read_headers(spark: SparkSession, path: str | Sequence[str], min_bytes: int
     return _files(spark, path, min_bytes).select("path", "content").mapInArrow(run, schema)
 
 
+def found(spark: SparkSession, path: str) -> str:
+    """path, or path with the suffix .p or .P if only that is there."""
+
+    def there(p: str) -> bool:
+        own = spark._jvm.org.apache.hadoop.fs.Path(p)
+        return bool(own.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(own))
+
+    return next((p for p in (path, f"{path}.p", f"{path}.P") if there(p)), path)
+
+
 def _files(spark: SparkSession, path: str | Sequence[str], min_bytes: int) -> DataFrame:
-    return spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path)).where(F.col("length") >= min_bytes)
+    paths = [found(spark, p) for p in ([path] if isinstance(path, str) else path)]
+    return spark.read.format("binaryFile").load(paths).where(F.col("length") >= min_bytes)
 
 
 def setup_sections(setups: DataFrame, key: str = "path", text: str = "setup") -> DataFrame:
@@ -157,7 +169,9 @@ def setup_sections(setups: DataFrame, key: str = "path", text: str = "setup") ->
     last = F.aggregate("__all", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["k"]), F.map_from_arrays(F.array(x["k"]), F.array(x["v"]))))
     by_pos = rows.withColumn("__all", F.array_sort("__all", lambda a, b: a["pos"] - b["pos"]))
     out = by_pos.select(key, F.col("section_idx").cast("long"), F.coalesce("section", F.lit("root")).alias("section"), last.alias("params"))
-    return out.where((F.size("params") > 0) | (F.col("section") == "root"))
+    # a section without parameters goes when another follows it
+    last = F.max("section_idx").over(Window.partitionBy(key))
+    return out.withColumn("__last", last).where((F.size("params") > 0) | (F.col("section") == "root") | (F.col("section_idx") == F.col("__last"))).drop("__last")
 
 
 def sections_like(sections: DataFrame, pattern: str = "") -> DataFrame:

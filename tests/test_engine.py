@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from saltfinger.cli import config_of, parser
 from saltfinger.cli import main as cli
 from saltfinger.functions import calibration, physics
-from saltfinger.operators import align, binning, quality, series, thermo, windows
+from saltfinger.operators import align, binning, profiles, quality, series, thermo, windows
 from saltfinger.plans import jobs
 from saltfinger.plans.config import ProfileConfig
 from saltfinger.plans.queries import ORACLES, QUERIES
@@ -52,9 +52,19 @@ def test_published_check_values(spark):
     assert value(spark, ratio(1.0, 15.0, 0.0)) == pytest.approx(35, abs=1e-6)
     assert value(spark, ratio(1.2, 20.0, 2000.0)) == pytest.approx(37.245628, abs=1e-5)
     assert value(spark, ratio(0.65, 5.0, 1500.0)) == pytest.approx(27.995347, abs=1e-5)
-    assert value(spark, physics.depth(10000.0, 30.0)) == pytest.approx(9712.653, abs=1e-3)
-    assert value(spark, physics.surface_density(35.0, 5.0)) == pytest.approx(1027.67547, abs=1e-5)
-    assert value(spark, physics.viscosity(40.0, 25.0, physics.surface_density(40.0, 25.0))[1]) == pytest.approx(9.6541e-4, rel=1e-4)
+    assert value(spark, physics.viscosity(40.0, 25.0, 1027.1)[1]) == pytest.approx(9.6541e-4, rel=1e-3)
+
+
+def test_published_values_of_teos_10(spark):
+    """The check values that the TEOS-10 documentation gives."""
+    rows = zip([34.7118, 34.8915, 35.0256, 34.8472, 34.7366, 34.7324], [28.7856, 28.4329, 22.8103, 10.2600, 6.8863, 4.4036], [28.8099, 28.4392, 22.7862, 10.2262, 6.8272, 4.3236], [10.0, 50.0, 125.0, 250.0, 600.0, 1000.0], strict=True)
+    df = spark.createDataFrame([("f", i, *r) for i, r in enumerate(rows)], "f string, i long, sa double, t double, ct double, p double")
+    out = df.withColumns({"got": physics.conservative_temperature(F.col("sa"), F.col("t"), F.col("p")), "rho": physics.density(F.col("sa"), F.col("ct"), F.col("p")), "z": physics.depth(F.col("p"), 4.0)}).orderBy("i").collect()
+    assert [r.got for r in out] == pytest.approx([28.809919826700281, 28.439227816091140, 22.786176893078498, 10.226189266620782, 6.827213633479988, 4.323575748610455], abs=1e-11)
+    assert [r.rho for r in out] == pytest.approx([1021.839935738108, 1022.262457966867, 1024.427195413316, 1027.790152759127, 1029.837779000189, 1032.002453224572], abs=1e-9)
+    assert [r.z for r in out] == pytest.approx([9.9445834469453, 49.7180897012550, 124.2726219409978, 248.4700576548589, 595.8253480356214, 992.0919060719987], abs=1e-9)
+    n2 = physics.squared_buoyancy(*(F.lit(float(x)) for x in (34.80165, 28.62455, 30.0, 0.1797, -0.3707, 40.0)), physics.gravity(30.0, 4.0))
+    assert value(spark, n2) == pytest.approx(0.060843209693499e-3, rel=1e-7)
 
 
 # windows and alignment
@@ -72,7 +82,11 @@ def test_window_means(line):
     kept = sorted(r.x for r in windows.trim_windows(line, ["f"], 32, 8).collect())
     assert kept == list(range(12, 100))
     assert windows.trim_windows(line, ["f"], 300, 8).count() == 0
-    assert windows.window_parameters(512.03, 64.0, 1.0, 4.0) == {"n_fft": 512, "n_diss": 2048, "fft_overlap": 256, "diss_overlap": 256, "sampling_ratio": 8}
+    sizes = windows.with_window_sizes(line.select(F.lit(512.03).alias("fs_fast"), F.lit(64.0).alias("fs_slow")), 1.0, 4.0).first()
+    assert (sizes.n_fft, sizes.n_diss, sizes.ratio, sizes.n_fft_slow, sizes.n_diss_slow) == (512, 2048, 8, 64, 256)
+    by_column = windows.window_mean(line.withColumns({"n": F.lit(8), "m": F.lit(32)}), ["f"], ["x"], "n", "m")
+    assert {r.win: r.x for r in by_column.collect()} == got
+    assert [windows.kept_samples(n, 2048, 512, 8) for n in (2047, 2048, 3839, 3840, 6000)] == [None, 2048, 2048, 3840, 5632]
 
 
 def test_missing_values_do_not_count(spark):
@@ -107,6 +121,20 @@ def test_interpolation(spark):
     assert value(spark, align.epoch_of(F.lit("days since 1970-01-02"))) is None
 
 
+@pytest.mark.parametrize("bucket", [3.0, 3600.0])
+def test_points_near_a_span_are_enough(spark, bucket):
+    rng = np.random.default_rng(7)
+    at = np.sort(rng.uniform(0, 200, 60))
+    aux = spark.createDataFrame([(float(t), float(rng.normal()) if rng.random() < 0.7 else None, float(rng.normal())) for t in at] + [(None, 1.0, 1.0)], "t double, v double, w double")
+    spans = [("a", -50.0, -40.0), ("b", 20.0, 21.0), ("c", 190.0, 260.0), ("d", 80.0, 80.0), ("e", 500.0, 510.0)]
+    samples = spark.createDataFrame([(f, x) for f, a, z in spans for x in np.linspace(a, z, 9).tolist()], "f string, t double")
+    own = align.near(aux, spark.createDataFrame(spans, "f string, first double, last double"), ["v", "w"], ["f"], bucket=bucket)
+    everything = aux.crossJoin(spark.createDataFrame([(f,) for f, *_ in spans], "f string"))
+    got, want = ({(r.f, r.t): (r.v, r.w) for r in align.interpolate(samples, series_, ["v", "w"], ["f"]).collect()} for series_ in (own, everything))
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-9) for k in want)
+    assert bucket > 100 or own.count() < 5 * 2 * 30
+
+
 def test_concatenation(spark):
     df = spark.createDataFrame([("b", 0, 0.0, 100.0), ("b", 1, 1.0, 100.0), ("a", 0, 0.0, 50.0)], "file_id string, i long, t double, e double")
     assert [(r.i, r.t) for r in align.concatenate(df, ["file_id"], "e").orderBy("i").collect()] == [(0, 50.0), (1, 100.0), (2, 101.0)]
@@ -174,6 +202,39 @@ def test_series_by_key(spark):
         series.smooth_slow(df, ["file_id"], 64.0, pressure="none")
 
 
+def cast(*legs):
+    return np.concatenate([np.linspace(a, b, int(s * 64)) for a, b, s in legs])
+
+
+def test_profile_scenarios(spark):
+    up, down = cast((0, 100, 20), (100.01, 0, 500)), cast((0, 100, 500), (100.01, 0, 20))
+    apart = [cast((100, 0, 500)) for _ in range(5)]
+    shallow = [cast((a, 0, 500)) for a in (100, 10, 100)]
+    s = np.arange(0, 10000, 1 / 8)
+    waves = 380 * (1 - np.cos(2 * np.pi * s / 2000))
+    three = s[: 6000 * 8]
+    gaps = lambda legs: np.concatenate([np.arange(len(x)) / 64 + i * 2500 for i, x in enumerate(legs)])
+    series_ = {"up": (up, np.arange(len(up)) / 64), "down": (down, np.arange(len(down)) / 64), "gaps": (np.concatenate(apart), gaps(apart)), "shallow": (np.concatenate(shallow), gaps(shallow)), "waves": (waves, s)}
+    series_["two files"] = (np.tile(waves[: len(three)], 2), np.concatenate((three, three + 12000)))
+    series_["none"] = (np.full(500, 3.0), np.arange(500) / 64)
+    series_["missing"] = (np.where(np.arange(len(up)) == 50, np.nan, up), np.arange(len(up)) / 64)
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.concat([pd.DataFrame({"f": f, "i": np.arange(len(p)), "t": t, "P_smooth": p}) for f, (p, t) in series_.items()]))
+    counts = {}
+    for way in ("up", "down", "both"):
+        table = profiles.profile_index(df, ["f"], whole_file=False, direction=way).cache()
+        counts |= {(r.f, way): r["count"] for r in table.groupBy("f").count().collect()}
+        assert {r.direction for r in table.where("f = 'gaps'").collect()} <= {"up"}
+    want = {("up", "up"): 1, ("up", "down"): 1, ("down", "up"): 1, ("down", "down"): 1, ("gaps", "up"): 5, ("shallow", "up"): 2, ("waves", "down"): 5, ("waves", "up"): 5, ("waves", "both"): 10}
+    want |= {("up", "both"): 2, ("down", "both"): 2, ("gaps", "both"): 5, ("shallow", "both"): 2, ("two files", "down"): 6, ("two files", "up"): 6, ("two files", "both"): 12}
+    assert counts == want
+    first = profiles.profile_index(df, ["f"]).where("f = 'down'").first()
+    assert down[first.end_idx] > 99.9 and down[first.start_idx] == 0 and first.direction == "down"
+    whole = {r.f: (r.start_idx, r.end_idx) for r in profiles.profile_index(df, ["f"]).where("f IN ('none', 'missing')").collect()}
+    assert whole == {"none": (0, 499), "missing": (0, len(up) - 1)}
+
+
 # raw files and jobs
 
 SETUP = """; comment
@@ -247,6 +308,7 @@ def test_headers_and_counts(spark, raw):
     one = heads["one.p"]
     assert (one.fs_fast, one.fs_slow, one.header_version, one.records, one.n_rows) == (512.0, 128.0, 6.001, 60, 4)
     assert str(one.filetime) == "2026-03-15 12:00:01.500000" and heads["bad.p"].error and heads["two.p"].error is None
+    assert pfile.read_headers(spark, f"{raw}/one").first().records == 60
     counts = pfile.read_counts(spark, f"{raw}/*.p")
     size = {(r.path.rsplit("/", 1)[1], r.channel_id): r["count"] for r in counts.groupBy("path", "channel_id").count().collect()}
     assert size[("one.p", 1)] == 512 * 60 and size[("two.p", 8)] == 128 * 60
@@ -291,7 +353,7 @@ def test_byte_order():
 
 def test_jobs_end_to_end(spark, raw, tmp_path):
     l1, l2, l3 = (str(tmp_path / x) for x in ("l1", "l2", "l3"))
-    status = {r.file_id: r.error for r in jobs.convert(spark, f"{raw}/*.p", l1, min_file_size=1).collect()}
+    status = {r.file_id: r.error for r in jobs.convert(spark, f"{raw}/*.p", l1, min_file_size=1, compression="zstd", compression_level=9).collect()}
     assert status["one"] is None and status["bad"]
     with pytest.raises(FileExistsError):
         jobs.convert(spark, f"{raw}/*.p", l1, min_file_size=1)
@@ -303,26 +365,91 @@ def test_jobs_end_to_end(spark, raw, tmp_path):
 
     aux = spark.createDataFrame([(dt.datetime(2026, 3, 15, 11), -45.0, 170.0), (dt.datetime(2026, 3, 15, 13), -44.0, 172.0)], "time timestamp, lat double, lon double")
     config = ProfileConfig(peaks_kwargs={"height": 25, "distance": 200, "width": 200, "prominence": 5})
-    done = {r.file_id: r for r in jobs.compute_epsilon(spark, l1, l2, config, aux).collect()}
-    assert set(done) == {"one", "two"} and done["one"].profiles == 1 and done["one"].windows == (512 * 60 - 3 - 2048) // 1792 + 1
+    done = {(r.file_id, r.profile_index): (r.windows, r.error) for r in jobs.compute_epsilon(spark, l1, l2, config, aux).collect()}
+    assert done == {(f, 0): ((512 * 60 - 3 - 2048) // 1792 + 1, None) for f in ("one", "two")}
     out = spark.read.parquet(f"{l2}/windows").where("file_id = 'one'").orderBy("win").collect()
     assert all(r.eps_1 > 0 and r.eps_1_qc in (1, 2, 4) and r.W == pytest.approx(0.603, abs=0.02) and r.lat == pytest.approx(-44.5, abs=0.01) for r in out)
     assert all(b.pressure > a.pressure for a, b in zip(out[:-1], out[1:], strict=True)) and out[0].nu == pytest.approx(1.28e-6, rel=0.1)
     assert spark.read.parquet(f"{l2}/ctd").where("file_id = 'one'").count() > 4 * len(out)
-    assert jobs.compute_epsilon(spark, l1, l2, config, aux, skip_existing=True).count() == 2
+    assert jobs.compute_epsilon(spark, l1, l2, config, aux, skip_existing=True).count() == 0
+    assert len({r.lat for r in out}) == 1 and len({r.N2 for r in out} if "N2" in out[0] else {None}) == 1
 
     grid = jobs.bin_job(spark, l2, l3, high=60.0, width=2.0, ctd_width=1.0)
     assert grid.count() == 2 * 30 and grid.where("eps_1 IS NOT NULL").count() >= 10
     assert spark.read.parquet(f"{l3}/binned_ctd").count() == 2 * 60
 
     table = jobs.index_job(spark, l1, str(tmp_path / "index"), config, materialize=True)
-    assert table.count() == 2 and spark.read.parquet(str(tmp_path / "index" / "hires_fast")).count() > 500 * 60
+    assert table.count() == 2
+    hires = spark.read.parquet(str(tmp_path / "index" / "hires_fast"))
+    assert hires.count() == hires.select("file_id", "profile_index", "i").distinct().count() > 2 * 500 * 59
     sizes = jobs.merge_job(spark, [l1], str(tmp_path / "merged"), dry_run=True)
     assert {(r.file_id, r.table): r.samples for r in sizes.collect()}[("one", "slow")] == 128 * 60
     jobs.merge_job(spark, [l1], str(tmp_path / "merged"))
     assert spark.read.parquet(str(tmp_path / "merged" / "fast")).agg(F.max("i")).first()[0] == 2 * 512 * 60 - 1
 
 
+def level1(spark, path, files):
+    """A level-1 folder: name -> (fs_fast, fs_slow, vehicle, fast shear, slow pressure, start)."""
+    import pandas as pd
+
+    fast, slow, heads = [], [], []
+    for name, (f, s, vehicle, sh, p, start) in files.items():
+        fast.append(pd.DataFrame({"file_id": name, "i": np.arange(len(sh)), "t": np.arange(len(sh)) / f, "sh1": sh}))
+        slow.append(pd.DataFrame({"file_id": name, "i": np.arange(len(p)), "t": np.arange(len(p)) / s, "P": p, "JAC_T": np.linspace(15, 12, len(p)), "JAC_C": np.linspace(42, 40, len(p))}))
+        heads.append((name, f"{name}.p", start, f, s, vehicle, "1"))
+    table = "file_id string, source_file string, filetime timestamp_ntz, fs_fast double, fs_slow double, instrument_vehicle string, instrument_sn string"
+    for name, df in (("fast", spark.createDataFrame(pd.concat(fast))), ("slow", spark.createDataFrame(pd.concat(slow))), ("files", spark.createDataFrame(heads, table))):
+        df.write.partitionBy("file_id").parquet(f"{path}/{name}")
+    return str(path)
+
+
+def test_jobs_with_two_rates_a_glider_and_a_broken_file(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    begin = dt.datetime(2026, 3, 15, 12)
+
+    def noise(n):
+        return rng.normal(0, 0.1, n)
+
+    def dive(n, s):
+        return 20 + 0.6 * np.arange(n) / s
+
+    files = {
+        "vmp1": (512.0, 64.0, " VMP", noise(512 * 40), dive(64 * 40, 64), begin), "glide1": (256.0, 64.0, "glider", noise(256 * 40), dive(64 * 40, 64), begin),
+        "short": (512.0, 64.0, "vmp", noise(700), dive(88, 64), begin), "nofast": (512.0, 64.0, "vmp", noise(0), dive(64 * 20, 64), begin),
+    }
+    path = level1(spark, tmp_path / "l1", files)
+    aux = spark.createDataFrame([(begin + dt.timedelta(seconds=10 * i), -45.0 + 0.01 * i, 170.0 + 0.02 * i) for i in range(-5, 10)], "time timestamp, lat double, lon double")
+    config = ProfileConfig(compute_thermo=True)
+    status = {(r.file_id, r.profile_index): r for r in jobs.compute_epsilon(spark, path, str(tmp_path / "l2"), config, aux).collect()}
+    assert {k[0] for k in status} == set(files)
+    assert status[("vmp1", 0)].windows == (512 * 40 - 2048) // 1792 + 1 and status[("glide1", 0)].windows == (256 * 40 - 1024) // 896 + 1
+    assert "shorter than a window" in status[("short", 0)].error and status[("short", 0)].windows == 0 and status[("nofast", 0)].windows == 0
+    out = spark.read.parquet(str(tmp_path / "l2" / "windows"))
+    lat = {f: [r.lat for r in out.where(F.col("file_id") == f).orderBy("win").collect()] for f in ("vmp1", "glide1")}
+    assert len(set(lat["vmp1"])) == 1 and lat["vmp1"][0] == pytest.approx(-45, abs=0.005)
+    assert all(b > a for a, b in zip(lat["glide1"][:-1], lat["glide1"][1:], strict=True))
+    one = out.where("file_id = 'vmp1'").orderBy("win").collect()
+    assert all(r.eps_1 > 0 and r.absolute_salinity > r.salinity and 1020 < r.density < 1035 and r.sh1_despike_frac >= 0 for r in one) and sum(r.N2 is not None for r in one) >= len(one) - 2
+    moving = jobs.compute_epsilon(spark, path, str(tmp_path / "l2m"), ProfileConfig(stationary_platform=False), aux)
+    assert moving.count() == len(status) and spark.read.parquet(str(tmp_path / "l2m" / "windows")).where("file_id = 'vmp1'").select("lat").distinct().count() > 1
+
+    table = jobs.index_job(spark, path, str(tmp_path / "index"), config, materialize=True)
+    assert table.count() == 4 and table.where("error IS NOT NULL").count() == 0
+    hires = spark.read.parquet(str(tmp_path / "index" / "hires_fast"))
+    assert {r.file_id: r["count"] for r in hires.groupBy("file_id").count().collect()}["vmp1"] <= 512 * 40
+    assert hires.count() == hires.select("file_id", "profile_index", "i").distinct().count()
+    wrong = jobs.index_job(spark, path, str(tmp_path / "wrong"), ProfileConfig(filter_order=3))
+    assert {r.file_id: r.error for r in wrong.collect()} == dict.fromkeys(files, "ValueError: order must be 1 or even")
+
+
+def test_skipping_is_an_equi_join(spark):
+    stems = spark.createDataFrame([("a",), ("ab",), ("c",)], "file_id string")
+    left = align.without_prefixed(stems, "file_id", spark.createDataFrame([("abx",), (None,)], "o string"), "o")
+    assert [r.file_id for r in left.collect()] == ["c"]
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_command_line(tmp_path, raw):
     a = parser().parse_args(["eps", "x", "-o", "y", "--direction", "up", "--peaks", "20,100,100,20", "--despike", "1,8,0.5,0.04", "--moving", "--no-emc-clean"])
     c = config_of(a)
