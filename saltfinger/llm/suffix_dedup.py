@@ -58,7 +58,7 @@ SAMPLE = 16
 #: Bytes of a passage of some fifty words of four letters, with room for short words.
 PASSAGE = 200
 #: Bytes of the contexts of a run.
-_RUN_BYTES = 8 << 20
+_RUN_BYTES = 6 << 20
 #: Bytes of rows whose anchors are looked for at once, or one row.
 _AT_ONCE = 1 << 19
 

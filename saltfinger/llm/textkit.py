@@ -6,6 +6,7 @@ holds more than one chunk (plus one row, if that row alone is larger).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -66,6 +68,14 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system. Python workers live on from task to
+    task, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) pieces of at most ``limit`` bytes, or one row."""
     data, at = utf8(column)
@@ -74,6 +84,7 @@ def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iter
         end = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
         yield first, end, data[at[first] : at[end]], at[first : end + 1] - at[first]
         first = end
+    release()
 
 
 def rolling(data: np.ndarray, code: np.ndarray = _BYTE_CODE) -> np.ndarray:
