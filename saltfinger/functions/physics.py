@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -173,42 +174,49 @@ def absolute_salinity(salinity: Number) -> Column:
     return _c(salinity) * (_SSO / 35)
 
 
-def _let(fn, *values: Number) -> Column:
-    """fn of the values, each evaluated once: it gets lambda variables, so that long
-    formulas do not repeat what their arguments are made of."""
-    if not values:
-        return fn()
-    return F.transform(F.array(_c(values[0]).cast("double")), lambda x: _let(lambda *rest: fn(x, *rest), *values[1:]))[0]
+def _on_arrays(fn):
+    """fn of arrays as a function of columns, by Arrow batches. Formulas of hundreds of
+    terms are slow to plan as columns, and are asked of windows and bins only."""
 
+    def three(a, b, c):
+        return pd.Series(fn(*(v.to_numpy(float) for v in (a, b, c))))
 
-def _entropy_part(sa: Column, t: Column, p: Column) -> Column:
-    return _let(lambda x, y, z: _nested(ENTROPY, x, y, z) * -0.025, F.sqrt(_SALT * sa), t * 0.025, p * 1e-4)
+    def seven(a, b, c, d, e, f, g):
+        return pd.Series(fn(*(v.to_numpy(float) for v in (a, b, c, d, e, f, g))))
 
+    def run(*values: Number) -> Column:
+        udf = F.pandas_udf(three if len(values) == 3 else seven, "double")
+        return F.nanvl(udf(*(_c(v).cast("double") for v in values)), F.lit(None).cast("double"))
 
-def conservative_temperature(sa: Number, t: Number, p: Number) -> Column:
-    """Conservative temperature of absolute salinity, in-situ temperature and
-    pressure. The potential temperature with the same entropy comes by Newton steps
-    with the heat capacity's approximate slope; five reach the last digits."""
+    return run
 
-    def of(sa: Column, t: Column, p: Column) -> Column:
-        def step(pt: Column, entropy: Column) -> Column:
-            slope = _CP0 / ((273.15 + pt) * (1 - 0.05 * (1 - sa / _SSO)))
-            return pt - (_entropy_part(sa, pt, F.lit(0.0)) - entropy) / slope
 
-        potential = lambda entropy: F.aggregate(F.sequence(F.lit(1), F.lit(5)), t, lambda pt, _: step(pt, entropy))
-        heat = lambda x, y: _nested(ENTHALPY, x, y) / _CP0
-        return _let(heat, F.sqrt(_SALT * sa), _let(potential, _entropy_part(sa, t, p)) * 0.025)
+def _entropy_part(sa, t, p):
+    return _nested(ENTROPY, (_SALT * sa) ** 0.5, t * 0.025, p * 1e-4) * -0.025
 
-    return _let(of, sa, t, p)
 
+def _conservative_temperature(sa, t, p):
+    pt, entropy = t, _entropy_part(sa, t, p)
+    for _ in range(5):
+        slope = _CP0 / ((273.15 + pt) * (1 - 0.05 * (1 - sa / _SSO)))
+        pt = pt - (_entropy_part(sa, pt, p * 0) - entropy) / slope
+    return _nested(ENTHALPY, (_SALT * sa) ** 0.5, pt * 0.025) / _CP0
 
-def _volume_arguments(sa: Number, ct: Number, p: Number) -> tuple[Column, Column, Column]:
-    return F.sqrt(_SALT * _c(sa) + _SALT_SHIFT), _c(ct) * 0.025, _c(p) * 1e-4
+
+def _volume_arguments(sa, ct, p):
+    return (_SALT * sa + _SALT_SHIFT) ** 0.5, ct * 0.025, p * 1e-4
+
+
+def conservative_temperature(sa: Number, t: Number, p: Number) -> Column:
+    """Conservative temperature of absolute salinity, in-situ temperature and
+    pressure. The potential temperature with the same entropy comes by Newton steps
+    with the heat capacity's approximate slope; five reach the last digits."""
+    return _on_arrays(_conservative_temperature)(sa, t, p)
 
 
 def density(sa: Number, ct: Number, p: Number) -> Column:
     """In-situ density (kg/m^3) of absolute salinity, conservative temperature and pressure."""
-    return _let(lambda s, y, z: 1 / _nested(VOLUME, s, y, z), *_volume_arguments(sa, ct, p))
+    return _on_arrays(lambda sa, ct, p: 1 / _nested(VOLUME, *_volume_arguments(sa, ct, p)))(sa, ct, p)
 
 
 def _surface_gravity(latitude: Number) -> Column:
@@ -233,11 +241,12 @@ _BY_ROOT = {(i - 1, j, k): c * i for (i, j, k), c in VOLUME.items() if i}
 _BY_HEAT = {(i, j - 1, k): c * j for (i, j, k), c in VOLUME.items() if j}
 
 
-def squared_buoyancy(sa: Number, ct: Number, p: Number, d_sa: Number, d_ct: Number, d_p: Number, g: Number) -> Column:
-    """N^2 (1/s^2) from middle values and steps of a pair of neighbours."""
+def _squared_buoyancy(sa, ct, p, d_sa, d_ct, d_p, g):
+    own = _volume_arguments(sa, ct, p)
+    change = _nested(_BY_ROOT, *own) * (_SALT / 2) / own[0] * d_sa + _nested(_BY_HEAT, *own) * 0.025 * d_ct
+    return -g * g * change / (_nested(VOLUME, *own) ** 2 * np.where(d_p == 0, np.nan, d_p) * 1e4)
 
-    def of(s: Column, y: Column, z: Column) -> Column:
-        change = _nested(_BY_ROOT, s, y, z) * (_SALT / 2) / s * _c(d_sa) + _nested(_BY_HEAT, s, y, z) * 0.025 * _c(d_ct)
-        return _let(lambda volume: -change / (volume * volume), _nested(VOLUME, s, y, z))
 
-    return F.try_divide(_c(g) * _c(g) * _let(of, *_volume_arguments(sa, ct, p)), _c(d_p) * 1e4)
+def squared_buoyancy(sa: Number, ct: Number, p: Number, d_sa: Number, d_ct: Number, d_p: Number, g: Number) -> Column:
+    """N^2 (1/s^2) from middle values and steps of a pair of neighbours."""
+    return _on_arrays(_squared_buoyancy)(sa, ct, p, d_sa, d_ct, d_p, g)

@@ -250,9 +250,13 @@ def without_existing(spark: SparkSession, files: DataFrame, output: str) -> Data
 def _indexed(spark: SparkSession, ready: DataFrame, config: ProfileConfig, path: str, mode: str) -> DataFrame:
     """The profile table of prepared samples, written and read again: the samples of
     both rates are cut by it, and peaks are looked for once."""
-    good = ready.where("error IS NULL")
-    _stamped(index_profiles(good, config), config).write.mode(mode).partitionBy("file_id").parquet(path)
-    return spark.read.parquet(path).withColumn("file_id", F.col("file_id").cast("string"))
+    return _written(spark, _stamped(index_profiles(ready.where("error IS NULL"), config), config), path, mode)
+
+
+def _written(spark: SparkSession, df: DataFrame, path: str, mode: str) -> DataFrame:
+    """df, written by file and read again; without rows there may be no file."""
+    df.write.mode(mode).partitionBy("file_id").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def compute_epsilon(spark: SparkSession, level1: str, output: str, config: ProfileConfig | None = None, aux: DataFrame | None = None, overwrite: bool = False, skip_existing: bool = False) -> DataFrame:
@@ -274,8 +278,7 @@ def compute_epsilon(spark: SparkSession, level1: str, output: str, config: Profi
         ready = attach_auxiliary(ready, files, aux, config)
     table = _indexed(spark, ready, config, f"{output}/profiles", mode).join(files.select("file_id"), "file_id", "left_semi")
 
-    spectra_of_profiles(fast, table, config).write.mode(mode).partitionBy("file_id").parquet(f"{output}/frequency_spectra")
-    raw = spark.read.parquet(f"{output}/frequency_spectra").withColumn("file_id", F.col("file_id").cast("string")).join(files.select("file_id"), "file_id", "left_semi")
+    raw = _written(spark, spectra_of_profiles(fast, table, config), f"{output}/frequency_spectra", mode).join(files.select("file_id"), "file_id", "left_semi")
     scalar, fine = hydrography_of_profiles(ready, fast, table, config)
     out, power = dissipation(scalar, raw.where("error IS NULL").drop("error"), files, config)
     info = files.select("file_id", "source_file", "instrument_vehicle", "instrument_sn", "filetime")
