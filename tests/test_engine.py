@@ -438,8 +438,13 @@ def test_jobs_with_two_rates_a_glider_and_a_broken_file(spark, tmp_path):
     hires = spark.read.parquet(str(tmp_path / "index" / "hires_fast"))
     assert {r.file_id: r["count"] for r in hires.groupBy("file_id").count().collect()}["vmp1"] <= 512 * 40
     assert hires.count() == hires.select("file_id", "profile_index", "i").distinct().count()
+
+
+def test_a_file_that_fails_is_a_row_of_the_index(spark, tmp_path):
+    files = {"one": (512.0, 64.0, "vmp", np.zeros(512), 20 + np.arange(640) / 100, dt.datetime(2026, 3, 15))}
+    path = level1(spark, tmp_path / "l1", files)
     wrong = jobs.index_job(spark, path, str(tmp_path / "wrong"), ProfileConfig(filter_order=3))
-    assert {r.file_id: r.error for r in wrong.collect()} == dict.fromkeys(files, "ValueError: order must be 1 or even")
+    assert [(r.file_id, r.profile_index, r.error) for r in wrong.collect()] == [("one", None, "ValueError: order must be 1 or even")]
 
 
 def test_skipping_is_an_equi_join(spark):
