@@ -120,6 +120,36 @@ def words(data: np.ndarray, at: np.ndarray, solid: np.ndarray = _SOLID) -> tuple
     return hashes, np.searchsorted(start, at, "left")
 
 
+def runs(data: np.ndarray, at: np.ndarray, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of each run of bytes that the 256-entry table solid has; runs
+    end with their row."""
+    n = len(data)
+    if n == 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    inside = np.empty(n + 1, dtype=bool)
+    inside[:n] = solid[data]
+    inside[n] = False
+    first = inside[:n].copy()
+    first[1:] &= ~inside[: n - 1]
+    edge = at[(at > 0) & (at < n)]
+    first[edge] = inside[edge]
+    last = inside[:n] & ~inside[1:]
+    last[edge - 1] = inside[edge - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray, solid: np.ndarray) -> pa.Array:
+    """Arrow strings of all runs of bytes that solid has."""
+    offsets = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=offsets[1:])
+    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data[solid[data]]))
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased."""
+    return _LOWER[data]
+
+
 def shingles(hashes: np.ndarray, at: np.ndarray, n: int) -> Iterator[np.ndarray]:
     """Sorted distinct hashes of the n-word shingles of each row. A row with
     fewer words is one shingle of them all, a row without words has none."""
