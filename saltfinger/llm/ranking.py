@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from .screen import cut, input_bytes
 
 
+def range_parts(df: DataFrame, each: int, most: int = 1 << 16) -> int:
+    """How many ranges of about ``each`` input bytes to deal df out to: the number of
+    shuffle partitions at least, and just that where the size is not known."""
+    size, least = input_bytes(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least if size >= 1 << 50 else max(least, min(most, size // each))
+
+
 def ranked(df: DataFrame, order: list[Column], groups: list[str] | None = None, name: str = "rank", each: int = 8 << 20) -> DataFrame:
     """df with its rows' places, from 1, in the given order, as column ``name``;
     with groups, within each group (order then begins with these columns, ascending).
@@ -17,7 +24,7 @@ def ranked(df: DataFrame, order: list[Column], groups: list[str] | None = None,
     only a row for each range and group meets in one place, for the places before it.
     """
     groups = groups or []
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 14, input_bytes(df) // each))
+    n = range_parts(df, each)
     dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     dealt = cut(dealt.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
     sizes = dealt.groupBy(F.col("__part").alias("__p"), *(F.col(g).alias(f"__{g}") for g in groups)).agg(F.min("__row").alias("__first"), F.count("*").alias("__n"))

@@ -1,10 +1,10 @@
 """Token ids in Arrow stream files with fixed-size-list batches (operator 12).
 
-``encode`` turns texts into ids with a tokenizer file. ``write_sequences`` deals the
-encoded documents out by range of doc_id, and each task writes its range as one Arrow
-stream file: record batches of ``per_batch`` sequences, each a fixed-size list of
-``length`` ids and one of as many mask bytes (0 padding, 1 a token, 2 the end id). The
-ids of a range follow each other without gaps; only a file's last sequence is padded.
+``write_sequences`` deals the documents out by range of doc_id; each task encodes its
+range with a tokenizer file and writes it as one Arrow stream file: record batches of
+``per_batch`` sequences, each a fixed-size list of ``length`` ids and one of as many mask
+bits (not set where padding is). The ids of a range follow each other without gaps;
+only a file's last sequence is padded.
 Batches have no nulls and no compression, so all but the last of a file have the same
 number of bytes: ``Sequences`` finds any sequence by arithmetic in the memory-mapped
 file and gives views of it, not copies. A second stream file beside each has doc_id,
@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -38,27 +39,33 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .screen import input_bytes, new_folder
+from .ranking import range_parts
+from .screen import new_folder
 from .textkit import release, runs, strings, utf8
 
 END_ID = 1
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
 #: Distinct units whose ids a worker keeps (some 150 bytes each).
 KEEP_UNITS = 600_000
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _SOLID = ~_BLANK
-_SMALL = np.zeros(256, dtype=bool)
-_SMALL[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+#: Second bytes of the letters from U+00C0 to U+00FF, whose first byte is 0xC3.
+_LATIN = np.zeros(256, dtype=bool)
+_LATIN[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: ASCII marks at which a unit may end; the apostrophe and the signs of special tokens are not among them.
 _MARK = np.zeros(256, dtype=bool)
 _MARK[[*b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"]] = True
 
-#: The normaliser and pre-tokenizer for which texts may be cut into units.
+#: The normaliser, split and word end for which texts may be cut into units.
 _CUT_AT_WORDS = (
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
     {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    "</w>",
 )
 
 _WORKER: dict = {}
@@ -68,7 +75,7 @@ class Encoder:
     """A tokenizer and what it has encoded before.
 
     A tokenizer that drops white space and splits at it encodes the pieces between
-    blanks on their own; so it does where ASCII letters meet a plain ASCII mark. Such
+    blanks on their own; so it does where Latin letters meet a plain ASCII mark. Such
     units repeat a lot, and only new ones go to the tokenizer. Texts for any other
     kind of tokenizer are encoded whole.
     """
@@ -80,8 +87,12 @@ class Encoder:
         own = json.loads(spec)
         splits = (own.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
         self.tokenizer = Tokenizer.from_str(spec)
-        self.by_unit = (own.get("normalizer"), splits[0]) == _CUT_AT_WORDS and own.get("post_processor") is None
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+        self.by_unit = (own.get("normalizer"), splits[0], own["model"].get("end_of_word_suffix")) == _CUT_AT_WORDS and own.get("post_processor") is None
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.kind = np.uint16 if size <= 1 << 16 else np.uint32
+        if self.by_unit:
+            self.last = np.zeros(size, dtype=bool)  # ids that end a word
+            self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(_CUT_AT_WORDS[2])]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -97,25 +108,35 @@ class Encoder:
         get = self.known.get
         number = np.fromiter((get(u, -1) for u in units), np.int64, len(units))
         new = np.flatnonzero(number < 0)
-        if len(new):
-            fresh = [units[i] for i in new.tolist()]
-            own = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            self.known.update(zip(fresh, range(self.n, self.n + len(fresh)), strict=True))
-            number[new] = np.arange(self.n, self.n + len(fresh))
-            ends = self.at[self.n] + np.cumsum([len(x) for x in own])
-            self.at = _room(self.at, self.n + len(fresh) + 1)
-            self.at[self.n + 1 : self.n + len(fresh) + 1] = ends
-            self.ids = _room(self.ids, int(ends[-1]))
-            self.ids[self.at[self.n] : ends[-1]] = np.fromiter((i for x in own for i in x), self.kind)
-            self.n += len(fresh)
+        # words of letters alone go to the tokenizer many at a time, since each ends with an id that ends words
+        plain = np.fromiter((_PLAIN.fullmatch(units[i]) is not None for i in new.tolist()), bool, len(new))
+        words, rest = ([units[i] for i in new[ok].tolist()] for ok in (plain, ~plain))
+        lines = self._ids([" ".join(words[a : a + 500]) for a in range(0, len(words), 500)])[0]
+        self._store(words, lines, np.flatnonzero(self.last[lines]) + 1)
+        self._store(rest, *self._ids(rest))
+        number[new] = [get(units[i]) for i in new.tolist()]
         return number
 
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's end)."""
+        own = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.empty(0, self.kind), *own]), np.cumsum([len(x) for x in own], dtype=np.int64)
+
+    def _store(self, units: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        if len(units) != len(ends):
+            raise ValueError("the tokenizer does not end each word with an id of its own")
+        n, used = self.n + len(units), int(self.at[self.n])
+        self.known.update(zip(units, range(self.n, n), strict=True))
+        self.at, self.ids = _room(self.at, n + 1), _room(self.ids, used + len(ids))
+        self.at[self.n + 1 : n + 1] = used + ends
+        self.ids[used : used + len(ids)] = ids
+        self.n = n
+
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, offsets of the rows' ids)."""
         if not self.by_unit:
-            texts = [bytes(data[a:b]).decode() for a, b in zip(at[:-1], at[1:], strict=True)]
-            own = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            return np.fromiter((i for x in own for i in x), self.kind), np.concatenate(([0], np.cumsum([len(x) for x in own], dtype=np.int64)))
+            ids, ends = self._ids([bytes(data[a:b]).decode() for a, b in zip(at[:-1], at[1:], strict=True)])
+            return ids, np.concatenate(([0], ends))
         start, end = self.units(data, at)
         coded = strings(data, start, end, _SOLID).dictionary_encode()
         number = self._learn(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
@@ -127,16 +148,20 @@ class Encoder:
 
     @staticmethod
     def units(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, end) of the units: runs without blanks, cut where an ASCII letter and
-        a mark meet."""
-        start, end = runs(data, at, _SOLID)
-        if not len(data):
-            return start, end
-        small, mark = _SMALL[data], _MARK[data]
-        cut = np.flatnonzero((small[:-1] & mark[1:]) | (mark[:-1] & small[1:])) + 1
-        edges = at[1:-1]
-        cut = np.setdiff1d(cut, edges, assume_unique=False) if len(edges) else cut
-        return np.sort(np.concatenate((start, cut))), np.sort(np.concatenate((end, cut)))
+        """(start, end) of the units: runs without blanks, cut where a letter and a mark meet."""
+        n = len(data)
+        if not n:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        inside, mark, before = np.zeros(n + 2, dtype=bool), _MARK[data], _LETTER[data]
+        inside[1:-1] = _SOLID[data]
+        after = before.copy()
+        latin = (data[:-1] == 0xC3) & _LATIN[data[1:]]
+        before[1:] |= latin  # a letter's last byte
+        after[:-1] |= latin  # a letter's first byte
+        edge = np.zeros(n + 1, dtype=bool)
+        edge[at] = True
+        edge[1:n] |= (before[:-1] & mark[1:]) | (mark[:-1] & after[1:])
+        return np.flatnonzero(inside[1:-1] & (edge[:-1] | ~inside[:-2])), np.flatnonzero(inside[1:-1] & (edge[1:] | ~inside[2:])) + 1
 
 
 def _room(x: np.ndarray, n: int) -> np.ndarray:
@@ -161,28 +186,9 @@ def _bundles(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
     release()
 
 
-def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, key, n, ids) of docs(doc_id, text): ids are packed little-endian, two
-    bytes each (four beyond 65,536 ids), without end id; key is the text's hash."""
-    with open(tokenizer, encoding="utf-8") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(spec.value)
-        for batch in batches:
-            for a, b, data, at in _bundles(batch.column(2)):
-                ids, offsets = encoder.encode(data, at)
-                raw, width = pa.py_buffer(np.ascontiguousarray(ids)), ids.itemsize
-                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(offsets * width), raw]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(np.diff(offsets)), packed], names=["doc_id", "key", "n", "ids"])
-
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return own.mapInArrow(run, "doc_id bigint, key bigint, n bigint, ids binary")
-
-
 def _sequence_schema(kind: pa.DataType, length: int) -> pa.Schema:
     item = lambda t: pa.list_(pa.field("item", t, nullable=False), length)
-    return pa.schema([pa.field("ids", item(kind), nullable=False), pa.field("mask", item(pa.uint8()), nullable=False)], metadata={"length": str(length)})
+    return pa.schema([pa.field("ids", item(kind), nullable=False), pa.field("mask", item(pa.bool_()), nullable=False)], metadata={"length": str(length)})
 
 
 _DOCS = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n", pa.int64())])
@@ -198,23 +204,24 @@ class _Writer:
         self.schema, self.kind = _sequence_schema(pa.from_numpy_dtype(kind), length), kind
         self.files = [pa.ipc.new_stream(o, s) for o, s in zip(self.outs, (self.schema, _DOCS), strict=True)]
         self.length, self.per_batch, self.head, self.batch_bytes = length, per_batch, 0, 0
-        self.rest: list[tuple[np.ndarray, np.ndarray]] = []
+        self.rest: list[np.ndarray] = []
         self.waiting = self.n = self.sequences = self.docs = 0
 
-    def add(self, doc_id: pa.Array, ids: np.ndarray, mask: np.ndarray, n: np.ndarray) -> None:
+    def add(self, doc_id: pa.Array, ids: np.ndarray, n: np.ndarray) -> None:
+        """The ids of some more documents, n of each."""
         first = self.n + np.cumsum(n) - n
         self.files[1].write_batch(pa.record_batch([doc_id, pa.array(first), pa.array(n)], schema=_DOCS))
         self.n, self.docs = self.n + len(ids), self.docs + len(n)
-        self.rest.append((ids, mask))
+        self.rest.append(ids)
         self.waiting += len(ids)
         if self.waiting >= self.length * self.per_batch:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
-        ids, mask = (np.concatenate(x) for x in zip(*self.rest, strict=True))
+        ids, step = np.concatenate(self.rest), self.length * self.per_batch
+        mask = np.ones(len(ids), dtype=bool)
         if last and (gap := -len(ids) % self.length):
-            ids, mask = np.append(ids, np.zeros(gap, ids.dtype)), np.append(mask, np.zeros(gap, np.uint8))
-        step = self.length * self.per_batch
+            ids, mask = np.append(ids, np.zeros(gap, ids.dtype)), np.append(mask, np.zeros(gap, dtype=bool))
         whole = len(ids) if last else len(ids) - len(ids) % step
         for a in range(0, whole, step):
             b = min(a + step, whole)
@@ -225,7 +232,7 @@ class _Writer:
                 self.batch_bytes = pa.ipc.get_record_batch_size(batch)
                 self.head = self.outs[0].tell() - self.batch_bytes
             self.sequences += (b - a) // self.length
-        self.rest = [(ids[whole:], mask[whole:])]
+        self.rest = [ids[whole:]]
         self.waiting = len(ids) - whole
 
     def close(self) -> None:
@@ -239,37 +246,32 @@ _FILE = "part int, file string, n bigint, sequences bigint, documents bigint, he
 
 
 def write_sequences(docs: DataFrame, path: str, tokenizer: str, length: int = 2048, per_batch: int = 32, end_id: int = END_ID, file_bytes: int = 32 << 20) -> DataFrame:
-    """Write the ids of docs(doc_id, text) below path in ascending doc_id; the manifest.
-    A file gets what file_bytes of encoded input come to, about."""
+    """Write the ids of docs(doc_id, text) below path in ascending doc_id, each document
+    with end_id; the manifest. A file gets some file_bytes of the input."""
     spark = docs.sparkSession
-    encode(docs, tokenizer).withColumn("tie", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(f"{path}/encoded")
-    own = spark.read.parquet(f"{path}/encoded")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 16, input_bytes(own) // file_bytes))
-    order = [F.asc("doc_id"), F.asc("key"), F.asc("tie")]
     with open(tokenizer, encoding="utf-8") as f:
-        kind = Encoder(f.read()).kind
+        spec = spark.sparkContext.broadcast(f.read())
+    text = F.col("text").cast("string")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("tie"))
+    n = range_parts(own, file_bytes)
+    order = [F.asc("doc_id"), F.asc("key"), F.asc("tie")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, out, name = TaskContext.get().partitionId(), None, ""
+        part, out, name, encoder = TaskContext.get().partitionId(), None, "", None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if out is None:
-                name = f"part-{part:05d}-{uuid.uuid4().hex}"
-                out = _Writer(f"{path}/sequences", name, kind, length, per_batch)
-            raw, at = utf8(batch.column(2))
-            ends = at[1:] // kind().itemsize + np.arange(batch.num_rows)
-            ids = np.insert(raw.view(kind), at[1:] // kind().itemsize, end_id)
-            mask = np.ones(len(ids), np.uint8)
-            mask[ends] = 2
-            out.add(batch.column(0), ids, mask, batch.column(1).to_numpy() + 1)
+            for a, b, data, at in _bundles(batch.column(1)):
+                if out is None:
+                    name, encoder = f"part-{part:05d}-{uuid.uuid4().hex}", _encoder(spec.value)
+                    out = _Writer(f"{path}/sequences", name, encoder.kind, length, per_batch)
+                ids, offsets = encoder.encode(data, at)
+                out.add(batch.column(0)[a:b], np.insert(ids, offsets[1:], end_id), np.diff(offsets) + 1)
         if out is not None:
             out.close()
             row = (part, name, out.n, out.sequences, out.docs, out.head, out.batch_bytes, length, per_batch)
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _KINDS, strict=True)], names=_NAMES)
         release()
 
-    written = own.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "n", "ids").mapInArrow(run, _FILE)
+    written = own.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, _FILE)
     written.write.parquet(f"{path}/written")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = spark.read.parquet(f"{path}/written").withColumns({f"{c}_before": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("n", "sequences")})
@@ -311,7 +313,7 @@ def _digests(sequences: pa.RecordBatchReader, docs: pa.RecordBatchReader, before
             while left:
                 if first + n - left == at + len(ids):
                     at, batch = at + len(ids), sequences.read_next_batch()
-                    ids = batch.column(0).flatten().to_numpy()[batch.column(1).flatten().to_numpy() > 0].astype("<u4")
+                    ids = batch.column(0).flatten().to_numpy()[batch.column(1).flatten().to_numpy(zero_copy_only=False)].astype("<u4")
                 a = first + n - left - at
                 piece = ids[a : a + left]
                 value, left = zlib.crc32(piece, value), left - len(piece)
@@ -331,8 +333,8 @@ class Sequences:
     def __len__(self) -> int:
         return sum(r["sequences"] for r in self.files)
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, mask) of sequence i."""
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """(ids, mask) of sequence i: a NumPy view and an Arrow view."""
         if not 0 <= i < len(self):
             raise IndexError(i)
         k = int(np.searchsorted(self.before, i, "right")) - 1
@@ -344,8 +346,8 @@ class Sequences:
         batch, at = divmod(i - row["sequences_before"], row["per_batch"])
         message = pa.ipc.read_message(data.slice(row["head"] + batch * row["batch_bytes"]))
         own = pa.ipc.read_record_batch(message, schema)
-        n = row["length"]
-        return tuple(own.column(c).flatten().to_numpy()[at * n : (at + 1) * n] for c in (0, 1))
+        ids, mask = (own.column(c).flatten().slice(at * row["length"], row["length"]) for c in (0, 1))
+        return ids.to_numpy(), mask
 
 
 def op12_query(spark, sf_dir: str) -> DataFrame:
