@@ -260,3 +260,20 @@ def op11_query(spark, sf_dir: str) -> DataFrame:
     """Contract: every document's weight and score towards benchmark, and the draw."""
     docs, target = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return scores(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP11_SQL = r"""
+WITH crc_table AS (SELECT list(c ORDER BY i) t FROM (SELECT i, list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) c FROM range(256) r(i))),
+texts AS (SELECT row_number() OVER () row, doc_id, text, true AS corpus FROM documents UNION ALL SELECT -row_number() OVER (), NULL, text, false FROM benchmark),
+listed AS (SELECT row, doc_id, corpus, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM texts),
+featured AS (SELECT row, corpus, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) f FROM listed),
+codes AS (SELECT f, hex(f) h FROM (SELECT DISTINCT f FROM featured)),
+buckets AS (SELECT f, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(0, len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::UBIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT) % 10000 b FROM codes, crc_table),
+placed AS (SELECT row, corpus, b FROM featured JOIN buckets USING (f)),
+counted AS (SELECT b, count(*) FILTER (corpus) s, count(*) FILTER (NOT corpus) t FROM placed GROUP BY b),
+gained AS (SELECT b, floor(1000 * ln(((t + 1)::DOUBLE * ((SELECT sum(s) FROM counted) + 10000)::DOUBLE) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM counted) + 10000)::DOUBLE))) g FROM counted),
+weighed AS (SELECT row, count(*) n, floor(sum(g) / count(*))::BIGINT weight FROM placed JOIN gained USING (b) WHERE corpus GROUP BY row),
+scored AS (SELECT l.row, doc_id, len(w) n_words, coalesce(n, 0) n_features, coalesce(weight, 0) weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 8))::UBIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT score FROM listed l LEFT JOIN weighed x ON x.row = l.row WHERE corpus),
+placed_ranks AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM scored s LEFT JOIN placed_ranks r ON r.row = s.row
+"""

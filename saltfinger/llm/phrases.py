@@ -35,7 +35,7 @@ from .ranking import ranked
 from .screen import Screen, input_bytes, new_folder
 from .textkit import lowered, mix, release, rolling, runs, signed, span_hash, strings, utf8
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Counters of a segment, the piece in which a task's counters are sent on.
 SEGMENT = 1 << 14
 #: Tasks whose counters are added up in one group.
@@ -287,7 +287,8 @@ def op13_query(spark, sf_dir: str) -> DataFrame:
 
 OP13_SQL = r"""
 WITH pieces AS (SELECT coalesce(lang, 'und') lang, doc_id, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) piece FROM documents),
+-
+]')) piece FROM documents),
 listed AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') w FROM pieces),
 words AS (SELECT lang, unnest(w) w1, unnest(list_append(w[2:], NULL)) w2, unnest(list_concat(w[3:], [NULL, NULL])[1:len(w)]) w3 FROM listed WHERE len(w) > 0),
 f1 AS (SELECT lang, w1 p, count(*)::BIGINT f FROM words GROUP BY ALL),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op2_query
 from .fingerprint import op4_query
-from .importance import op11_query
+from .importance import OP11_SQL, op11_query
 from .jaccard_join import op5_query
 from .language_id import op9_query
 from .licenses import OP1_SQL, op1_query
@@ -35,5 +35,6 @@ QUERIES = {
 ORACLES = {
     "op1_license_scan": OP1_SQL,
     "op6_preference_format": OP6_SQL,
+    "op11_importance_resampling": OP11_SQL,
     "op13_phrase_mining": OP13_SQL,
 }

@@ -16,6 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from saltfinger.llm import importance, phrases, ranking, token_files
+from saltfinger.llm.queries import ORACLES, QUERIES
 from saltfinger.llm.screen import new_folder
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -286,8 +287,12 @@ def test_products_beyond_64_bits(spark):
     assert row.s == 1000000 * 30000000001**2 // (50000000000 * 40000000000)
 
 
-def test_phrases_equal_their_sql(spark, small):
+@pytest.mark.parametrize("name", ["op11_importance_resampling", "op13_phrase_mining"])
+def test_queries_equal_their_sql(spark, small, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{small}/documents.parquet')")
-    want = con.execute(phrases.OP13_SQL).fetchall()
-    assert sorted(tuple(r) for r in phrases.op13_query(spark, small).collect()) == sorted(want)
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{small}/{t}.parquet')")
+    got = QUERIES[name](spark, small)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]})").fetchall()
+    key = lambda r: [str(x) for x in r]
+    assert sorted(map(key, got.collect())) == sorted(map(key, want))
