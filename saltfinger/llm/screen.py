@@ -109,7 +109,7 @@ def cut(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        return df.checkpoint()
+        return df.select("*").checkpoint()  # Spark reads the setting when a DataFrame is made
     finally:
         spark.conf.set(_CLEANUP, before)
 
