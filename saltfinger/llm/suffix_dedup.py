@@ -46,7 +46,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .merge_runs import front_code, merge
 from .screen import Screen, cut, parts
-from .textkit import chunks, mix, rolling, signed, span_hash
+from .textkit import chunks, mix, release, rolling, signed, span_hash
 
 #: Bytes whose hash chooses the anchors.
 ANCHOR = 64
@@ -59,6 +59,8 @@ SAMPLE = 16
 PASSAGE = 200
 #: Bytes of the contexts of a run.
 _RUN_BYTES = 6 << 20
+#: Rows whose texts are taken out of a batch at once.
+SLICE = 512
 #: Bytes of rows whose anchors are looked for at once, or one row.
 _AT_ONCE = 1 << 19
 
@@ -412,17 +414,23 @@ def _with_spans(docs: DataFrame, lengths: tuple[int, ...], run, schema) -> DataF
     def may_have(batch: pa.RecordBatch) -> np.ndarray:
         return screen.may_hold(batch.column("__key").to_numpy(zero_copy_only=False))
 
+    def sliced(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, SLICE):
+                yield batch.slice(a, SLICE)
+            release()
+
     def passing(batches):
-        return (batch.filter(pa.array(may_have(batch))) for batch in batches)
+        return (batch.filter(pa.array(may_have(batch))) for batch in sliced(batches))
 
     def others(batches):
-        return run(batch.filter(pa.array(~may_have(batch))) for batch in batches)
+        return run(batch.filter(pa.array(~may_have(batch))) for batch in sliced(batches))
 
     here = [c for c in spans.columns if c.startswith("spans")]
     right = spans.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__tk"), *(F.col(c).alias(f"__{c}") for c in here))
     some = keyed.mapInArrow(passing, keyed.schema)
     some = some.join(right, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__text_key") == F.col("__tk")), "left")
-    return some.mapInArrow(run, schema).unionAll(keyed.mapInArrow(others, schema))
+    return some.mapInArrow(lambda batches: run(sliced(batches)), schema).unionAll(keyed.mapInArrow(others, schema))
 
 
 def _spans_of(batch: pa.RecordBatch, which: int = 0) -> list[list[tuple[int, int]]]:
