@@ -60,7 +60,7 @@ PASSAGE = 200
 #: Bytes of the contexts of a run.
 _RUN_BYTES = 6 << 20
 #: Rows whose texts are taken out of a batch at once.
-SLICE = 512
+SLICE = 1024
 #: Bytes of rows whose anchors are looked for at once, or one row.
 _AT_ONCE = 1 << 19
 
@@ -112,6 +112,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
+def _sliced(batches):
+    """The batches in pieces of ``SLICE`` rows."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, SLICE):
+            yield batch.slice(a, SLICE)
+        release()
+
+
 def _repeated(docs: DataFrame, shape: Shape) -> DataFrame:
     """(h, c): hashes of anchors that occur more than once, with their number."""
 
@@ -185,13 +193,13 @@ def _runs(docs: DataFrame, screen: Screen, splitters: np.ndarray, shape: Shape)
 
 
 def _places(docs: DataFrame, screen: Screen, shape: Shape) -> DataFrame:
-    """(c1, c2, places): where each context of the screened anchors stands. A batch
-    gives a row for each of its contexts, so that one which a third of all rows have
-    is as many rows as there are batches with it."""
+    """(c1, c2, places): where each context of the screened anchors stands. A slice of
+    a batch gives a row for each of its contexts, so that one which a third of all rows
+    have is as many rows as there are slices with it."""
 
     def run(batches):
         kind = pa.struct([("doc", pa.int64()), ("key", pa.int64()), ("at", pa.int64())])
-        for batch in batches:
+        for batch in _sliced(batches):
             ids = batch.column(0).fill_null(_NULL_ID).to_pylist()
             keys = batch.column(1).to_pylist()
             found: dict[tuple[int, int], dict[tuple[int, int, int], None]] = {}
@@ -414,23 +422,17 @@ def _with_spans(docs: DataFrame, lengths: tuple[int, ...], run, schema) -> DataF
     def may_have(batch: pa.RecordBatch) -> np.ndarray:
         return screen.may_hold(batch.column("__key").to_numpy(zero_copy_only=False))
 
-    def sliced(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, SLICE):
-                yield batch.slice(a, SLICE)
-            release()
-
     def passing(batches):
-        return (batch.filter(pa.array(may_have(batch))) for batch in sliced(batches))
+        return (batch.filter(pa.array(may_have(batch))) for batch in _sliced(batches))
 
     def others(batches):
-        return run(batch.filter(pa.array(~may_have(batch))) for batch in sliced(batches))
+        return run(batch.filter(pa.array(~may_have(batch))) for batch in _sliced(batches))
 
     here = [c for c in spans.columns if c.startswith("spans")]
     right = spans.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__tk"), *(F.col(c).alias(f"__{c}") for c in here))
     some = keyed.mapInArrow(passing, keyed.schema)
     some = some.join(right, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__text_key") == F.col("__tk")), "left")
-    return some.mapInArrow(lambda batches: run(sliced(batches)), schema).unionAll(keyed.mapInArrow(others, schema))
+    return some.mapInArrow(lambda batches: run(_sliced(batches)), schema).unionAll(keyed.mapInArrow(others, schema))
 
 
 def _spans_of(batch: pa.RecordBatch, which: int = 0) -> list[list[tuple[int, int]]]:
