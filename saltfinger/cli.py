@@ -1,4 +1,4 @@
-"""Command line: p2l1, cut, eps, profiles, bin, merge. Errors end with status 1."""
+"""Command line: p2l1, mat, cut, eps, profiles, bin, merge. Errors end with status 1."""
 
 from __future__ import annotations
 
@@ -44,6 +44,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--overwrite", action="store_true")
     p.add_argument("--despike", help="passes,thresh,smooth,replace_sec")
 
+    p = commands.add_parser("mat", help="MATLAB cast files to level 1")
+    p.add_argument("files", nargs="+")
+    p.add_argument("-o", "--output", required=True)
+    p.add_argument("--compress", metavar="CODEC", nargs="?", const="zstd")
+    p.add_argument("--compression-level", type=int, help="of zstd")
+    p.add_argument("--overwrite", action="store_true")
+
     p = commands.add_parser("cut", help="copy a range of records")
     p.add_argument("input")
     p.add_argument("-o", "--output", required=True)
@@ -129,6 +136,8 @@ def main(argv: list[str] | None = None) -> int:
         if a.command == "p2l1":
             despike = jobs.parse_list(a.despike, "--despike", DESPIKE) if a.despike else None
             done = jobs.convert(spark, a.files, a.output, overwrite=a.overwrite, min_file_size=a.min_file_size, compression=a.compress, despike=despike, compression_level=a.compression_level)
+        elif a.command == "mat":
+            done = jobs.import_mat(spark, a.files, a.output, a.overwrite, a.compress, a.compression_level)
         elif a.command == "eps":
             aux = spark.read.parquet(a.aux) if a.aux else None
             done = jobs.compute_epsilon(spark, a.level1, a.output, config_of(a), aux, a.overwrite, a.skip_existing)

@@ -247,6 +247,13 @@ def units_of(kind: str, params: Mapping | None = None) -> str:
     return own if own is not None else str((params or {}).get("units", "")).removeprefix("[").removesuffix("]")
 
 
+def channel_units(kind: str | None, own: str | None) -> str:
+    """Units of a channel's values after ``convert_by_type``, where its type may be
+    unknown; own is what its section says."""
+    known = ALIASES.get(kind or "", kind or "") in CONVERTERS
+    return units_of(kind, {"units": own or ""}) if known else "counts"
+
+
 def convert(x: Column, kind: str, params: Mapping | Column) -> Column:
     """x in physical units by the converter of a type."""
     if (own := ALIASES.get(kind.lower(), kind.lower())) not in CONVERTERS:

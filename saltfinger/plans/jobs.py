@@ -15,9 +15,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.calibration import convert_by_type
+from ..functions.calibration import channel_units, convert_by_type
 from ..operators import align, binning, profiles, quality, series, spectra, thermo, windows
-from ..sources import pfile
+from ..sources import matfile, pfile
+from .attributes import described
 from .config import ProfileConfig
 
 KEYS = ("file_id", "profile_index")
@@ -87,11 +88,27 @@ def convert(spark: SparkSession, path: str | Sequence[str], output: str, variabl
     files = heads.where("error IS NULL").join(info, "file_id", "left").select("file_id", F.col("path").alias("source_file"), "filetime", "fs_fast", "fs_slow", "header_version", "n_rows", "fast_cols", "slow_cols", get("vehicle").alias("instrument_vehicle"), get("model").alias("instrument_model"), get("sn").alias("instrument_sn"), "setup")
     mode = "overwrite" if overwrite else "errorifexists"
     options = _compression(compression, compression_level)
+    own = used.groupBy("channel").agg(F.min_by("type", "file_id").alias("type"), F.min_by(F.try_element_at("params", F.lit("units")), "file_id").alias("units"))
+    units = {r["channel"]: channel_units(r["type"], r["units"]) for r in own.collect()}  # a row for each channel name
     for name, df in (("fast", fast.drop("fs_fast", "fs_slow")), ("slow", table(False).drop("fs_fast", "fs_slow")), ("files", files)):
-        df.write.mode(mode).options(**options).partitionBy("file_id").parquet(f"{output}/{name}")
+        described(df, units).write.mode(mode).options(**options).partitionBy("file_id").parquet(f"{output}/{name}")
     return heads.select("file_id", "error")
 
 
+def import_mat(spark: SparkSession, path: str | Sequence[str], output: str, overwrite: bool = False, compression: str | None = None, compression_level: int | None = None) -> DataFrame:
+    """MATLAB cast files as a level-1 folder. Returns (file_id, error). Such files
+    have no start time and no instrument: filetime and the instrument's columns are null."""
+    if not overwrite and _there(spark, f"{output}/files"):
+        raise FileExistsError(output)
+    fast, slow, files = matfile.level1(spark, path)
+    empty = {"filetime": F.lit(None).cast("timestamp_ntz")} | {f"instrument_{c}": F.lit(None).cast("string") for c in ("vehicle", "model", "sn")}
+    mode, options = "overwrite" if overwrite else "errorifexists", _compression(compression, compression_level)
+    known = files.where("error IS NULL").drop("error").withColumns(empty)
+    for name, df in (("fast", fast), ("slow", slow), ("files", known)):
+        described(df).write.mode(mode).options(**options).partitionBy("file_id").parquet(f"{output}/{name}")
+    return files.select("file_id", "error")
+
+
 def _deconvolved(pre: DataFrame, low: DataFrame, params: DataFrame, kinds: Sequence[str], gradient: str) -> DataFrame:
     """(file_id, channel, i, value) of the high-resolution signals, calibrated as
     their base channels, and of the gradients of thermistors. A pre-emphasised
@@ -282,10 +299,10 @@ def compute_epsilon(spark: SparkSession, level1: str, output: str, config: Profi
     scalar, fine = hydrography_of_profiles(ready, fast, table, config)
     out, power = dissipation(scalar, raw.where("error IS NULL").drop("error"), files, config)
     info = files.select("file_id", "source_file", "instrument_vehicle", "instrument_sn", "filetime")
-    _stamped(out.join(info, "file_id"), config).write.mode(mode).partitionBy("file_id").parquet(f"{output}/windows")
-    power.drop("spikes").write.mode(mode).partitionBy("file_id").parquet(f"{output}/spectra")
+    described(_stamped(out.join(info, "file_id"), config)).write.mode(mode).partitionBy("file_id").parquet(f"{output}/windows")
+    described(power.drop("spikes")).write.mode(mode).partitionBy("file_id").parquet(f"{output}/spectra")
     if fine is not None:
-        fine.write.mode(mode).partitionBy("file_id").parquet(f"{output}/ctd")
+        described(fine).write.mode(mode).partitionBy("file_id").parquet(f"{output}/ctd")
 
     status = raw.groupBy(*KEYS).agg(F.count_distinct("win").alias("windows"), F.max("error").alias("error"))
     status = table.select(*KEYS).join(status, list(KEYS), "left").withColumn("windows", F.coalesce("windows", F.lit(0)))
@@ -305,7 +322,7 @@ def index_job(spark: SparkSession, level1: str, output: str, config: ProfileConf
     if materialize:
         options = _compression(compression, compression_level)
         for name, df in (("slow", ready.drop("error")), ("fast", fast)):
-            windows.samples_of(df, table, ["file_id"]).write.mode(mode).options(**options).partitionBy(*KEYS).parquet(f"{output}/hires_{name}")
+            described(windows.samples_of(df, table, ["file_id"])).write.mode(mode).options(**options).partitionBy(*KEYS).parquet(f"{output}/hires_{name}")
     broken = ready.groupBy("file_id").agg(F.max("error").alias("error")).where("error IS NOT NULL")
     return table.withColumn("error", F.lit(None).cast("string")).unionByName(broken, allowMissingColumns=True)
 
@@ -318,12 +335,12 @@ def bin_job(spark: SparkSession, level2: str, output: str | None = None, overwri
     made = binning.bin_product(out.withColumn("time", absolute), KEYS, low, high, width, variables, latitude, questionable, bad, ctd, ctd_width)
     grid, fine = made if isinstance(made, tuple) else (made, None)
     info = out.select("file_id", "instrument_sn", "instrument_vehicle").distinct()
-    grid = grid.join(F.broadcast(info) if info.count() < 100_000 else info, "file_id", "left")
+    grid = described(grid.join(F.broadcast(info) if info.count() < 100_000 else info, "file_id", "left"))
     if output:
         mode = "overwrite" if overwrite else "errorifexists"
         grid.write.mode(mode).parquet(f"{output}/binned")
         if fine is not None:
-            fine.write.mode(mode).parquet(f"{output}/binned_ctd")
+            described(fine).write.mode(mode).parquet(f"{output}/binned_ctd")
     return grid
 
 
