@@ -99,6 +99,10 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Rows that Python gets at once in such a query: whole texts are some thousand bytes each.
+_BATCH, _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there. The shuffle
     files that df was made from are of no more use and go at once, so that rounds of
@@ -106,12 +110,14 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    before = spark.conf.get(_CLEANUP)
+    before = {name: spark.conf.get(name) for name in (_CLEANUP, _BATCH)}
     spark.conf.set(_CLEANUP, "true")
+    spark.conf.set(_BATCH, str(min(int(before[_BATCH]), _BATCH_ROWS) if int(before[_BATCH]) > 0 else _BATCH_ROWS))
     try:
-        return df.select("*").checkpoint()  # Spark reads the setting when a DataFrame is made
+        return df.select("*").checkpoint()  # Spark reads the first setting when a DataFrame is made
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
