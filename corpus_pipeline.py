@@ -15,23 +15,36 @@ from saltfinger.llm import decontaminate, jaccard_join, language_id, mixing, suf
 from saltfinger.llm.screen import new_folder
 
 
+def _sized(spark: SparkSession) -> None:
+    """Python gets at most 2000 whole texts at once, also where a stage's rows are
+    written after its function has returned."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= 2000:
+        spark.conf.set(name, "2000")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _sized(spark)
     return language_id.known(docs, language_id.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _sized(spark)
     return jaccard_join.keep_one(docs, n=5, percent=80)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _sized(spark)
     return suffix_dedup.drop_repeats(docs, suffix_dedup.PASSAGE)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _sized(spark)
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _sized(spark)
     return mixing.sample(docs)
 
 
