@@ -16,11 +16,12 @@ from saltfinger.llm.screen import new_folder
 
 
 def _sized(spark: SparkSession) -> None:
-    """Python gets at most 2000 whole texts at once, also where a stage's rows are
-    written after its function has returned."""
+    """Python gets at most 2000 whole texts, and batches of some 16 MB, at once, also
+    where a stage's rows are written after its function has returned."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= 2000:
         spark.conf.set(name, "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

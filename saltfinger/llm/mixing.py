@@ -95,8 +95,11 @@ def fit_topics(docs: DataFrame, axes: int = AXES) -> Topics:
 
 def with_cells(docs: DataFrame, topics: Topics, columns: list[str] | None = None) -> DataFrame:
     """docs (or these columns of it) with __source, __lang, __topic and __tokens."""
+    names = docs.columns if columns is None else columns
     keyed = docs.withColumns({"__source": F.col("source").cast("string"), "__lang": F.col("lang").cast("string"), "__text": F.col("text").cast("string")})
-    keyed = keyed.select(*(docs.columns if columns is None else columns), "__source", "__lang", "__text")
+    # a text among the columns goes to Python once
+    once = "text" in names and docs.schema["text"].dataType == StringType()
+    keyed = keyed.select(*(n for n in names if not (once and n == "text")), "__source", "__lang", "__text")
     held = docs.sparkSession.sparkContext.broadcast(topics)
 
     def run(batches):
@@ -104,10 +107,13 @@ def with_cells(docs: DataFrame, topics: Topics, columns: list[str] | None = None
             tokens, topic = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, -1)
             for first, end, own, shares in _shares(batch.column(batch.num_columns - 1)):
                 tokens[first:end], topic[first:end] = own, held.value.of(own, shares)
-            names = pa.array(["none", *(f"t{i}" for i in range(1 << held.value.axes.shape[1]))]).take(pa.array(topic + 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], names, pa.array(tokens)], names=[*batch.schema.names[:-1], "__topic", "__tokens"])
+            topics_of = pa.array(["none", *(f"t{i}" for i in range(1 << held.value.axes.shape[1]))]).take(pa.array(topic + 1))
+            kept = batch if once else batch.select(batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays([*kept.columns, topics_of, pa.array(tokens)], names=[*kept.schema.names, "__topic", "__tokens"])
 
-    return keyed.mapInArrow(run, StructType([*keyed.drop("__text").schema, StructField("__topic", StringType()), StructField("__tokens", LongType())]))
+    made = (keyed if once else keyed.drop("__text")).schema
+    out = keyed.mapInArrow(run, StructType([*made, StructField("__topic", StringType()), StructField("__tokens", LongType())]))
+    return out.select(*(F.col("__text").alias(n) if once and n == "text" else n for n in names), "__source", "__lang", "__topic", "__tokens")
 
 
 def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
