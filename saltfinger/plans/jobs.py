@@ -53,9 +53,9 @@ def convert(spark: SparkSession, path: str | Sequence[str], output: str, variabl
     sections = pfile.setup_sections(heads.where("error IS NULL").select("file_id", "setup"), "file_id")
     params = pfile.channel_params(sections, "file_id").withColumn("type", F.lower(F.coalesce(F.try_element_at("params", F.lit("type")), F.lit(""))))
     info = sections.where("section = 'instrument_info'").groupBy("file_id").agg(F.min_by("params", "section_idx").alias("info"))
-    counts = pfile.read_counts(spark, path, min_file_size).withColumn("file_id", file_id()).drop("path")
+    counts = pfile.read_channels(spark, path, min_file_size, tuple(exclude_types), KEPT_COUNTS).withColumn("file_id", file_id()).drop("path")
     used = params.where(~F.col("type").isin(*exclude_types) | F.col("channel").isin(*KEPT_COUNTS))
-    named = pfile.channels(counts, used.select("file_id", "channel", "params"), "file_id").join(used, ["file_id", "channel"])
+    named = counts.join(used, ["file_id", "channel"])
     kinds = sorted(r["type"] for r in used.select("type").distinct().collect())  # channel types: a few dozen at most
     rates = heads.where("error IS NULL").select("file_id", "fs_fast", "fs_slow", F.col("n_rows").alias("__rows"))
 

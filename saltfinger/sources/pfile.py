@@ -1,14 +1,15 @@
 """Raw instrument files: header, setup text and multiplexed 16-bit records.
 
 ``read_counts`` loads files with Spark's binaryFile reader and emits one row for
-each sample of each channel; pairing of 32-bit channels and signs are column
-expressions. ``setup_sections`` parses the setup text in Spark SQL. ``encode``
+each sample of each channel id, whose pairing and signs ``channels`` does in column expressions;
+``read_channels`` gives named channels at once, without a join. ``setup_sections`` parses the setup text in Spark SQL. ``encode``
 writes the format, for tests and segments; ``cut`` copies a range of records.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import re
 import struct
 import warnings
 from collections.abc import Iterator, Mapping, Sequence
@@ -120,6 +121,55 @@ def read_counts(spark: SparkSession, path: str | Sequence[str], min_bytes: int =
     return _files(spark, path, min_bytes).select("path", "content").mapInArrow(run, schema)
 
 
+def _ids(text: str | None) -> list[int | None]:
+    """The channel ids of 'even' or 'even,odd'; what is no number is None."""
+    return [int(x) if re.fullmatch(r"\s*[+-]?\d+\s*", x) else None for x in (text or "").split(",")]
+
+
+def _named(content: bytes, exclude_types: Sequence[str], always: Sequence[str]) -> Iterator[tuple[str, np.ndarray]]:
+    """(channel, counts in order) of the first channel section of each name, by the
+    rules of ``channel_params`` and ``channels``. A file has its own setup, so that
+    nothing is joined."""
+    own = Layout(content)
+    words = np.frombuffer(content, f"{own.endian}i2", offset=own.first, count=own.records * own.block_bytes // 2).reshape(own.records, -1)
+    data, flat = words[:, HEADER_WORDS:].reshape(-1, own.rows * (own.fast + own.slow)), own.matrix.ravel()
+    counts = lambda c: data[:, flat == c].astype(np.int64).ravel()
+    seen = set()
+    for section, params in parse_setup(own.setup):
+        name = params.get("name") if section == "channel" else None
+        if name is None or name.lower() in seen:
+            continue
+        seen.add(name.lower())
+        even, odd = [*_ids(params.get("id")), None][:2]
+        if even not in flat or (odd is not None and odd not in flat) or (params.get("type", "").lower() in exclude_types and name not in always):
+            continue
+        x = counts(even)
+        if odd is not None:
+            high = counts(odd)
+            n = min(len(x), len(high))
+            x = (high[:n] % 65536 * 65536 + x[:n] % 65536 + 2**31) % 2**32 - 2**31
+        yield name, x
+
+
+def read_channels(spark: SparkSession, path: str | Sequence[str], min_bytes: int = 0, exclude_types: Sequence[str] = (), always: Sequence[str] = ()) -> DataFrame:
+    """(path, channel, i, count) of the files: what ``channels`` makes of
+    ``read_counts``, named and paired in the task that decodes a file. Channels of
+    ``exclude_types`` are not decoded unless ``always`` names them."""
+
+    def run(batches):
+        for batch in batches:
+            for p, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    for name, x in _named(content.as_py(), exclude_types, always):
+                        for a in range(0, len(x), 1 << 17):
+                            part = x[a : a + (1 << 17)]
+                            yield pa.RecordBatch.from_arrays([pa.array([p] * len(part)), pa.array([name] * len(part)), pa.array(np.arange(a, a + len(part))), pa.array(part)], names=["path", "channel", "i", "count"])
+                except (ValueError, struct.error):
+                    continue
+
+    return _files(spark, path, min_bytes).select("path", "content").mapInArrow(run, "path string, channel string, i long, count long")
+
+
 def read_headers(spark: SparkSession, path: str | Sequence[str], min_bytes: int = 0) -> DataFrame:
     """A row for each file: rates, size, start time, setup text, warning, error."""
     schema = "path string, fs_fast double, fs_slow double, header_version double, n_rows int, fast_cols int, slow_cols int, records long, filetime timestamp_ntz, setup string, warning string, error string"

@@ -111,3 +111,21 @@ def test_jobs_write_attributes(spark, tmp_path):
     jobs.convert(spark, f"{tmp_path}/a.p", str(tmp_path / "l1"), variables=["sh1", "P", "V_Bat"], min_file_size=1)
     fast, slow, _ = jobs.read_level1(spark, str(tmp_path / "l1"))
     assert describe(fast)["sh1"]["units"] == "m2 s-3" and describe(slow)["P"]["long_name"] == "Pressure" and describe(slow)["V_Bat"] == {"long_name": "V_Bat", "units": "V"}
+
+
+def test_named_channels_equal_the_joined_ones(spark, tmp_path):
+    setup = "[matrix]\nrow01 = 1 2 4 4\nrow02 = 1 3 5 5\n[channel]\nid=1\nname=sh1\ntype=shear\n[channel]\nid=2,3\nname=P\ntype=poly\n[channel]\nid=3\nname=p\ntype=poly\n[channel]\nid=4, 1\nname=U\ntype=poly\n[channel]\nid=9\nname=none\n[channel]\nid=2,9\nname=half\n[channel]\nid=x\nname=bad\n[channel]\nname=noid\n[channel]\nid=5,x\nname=five\n[channel]\nid=3\nname=ground\ntype=gnd\n[channel]\nid=3\nname=EM_Cur\ntype=gnd\n"
+    rng = np.random.default_rng(4)
+    for at, order in (("a", "<"), ("b", ">")):
+        data = {c: rng.integers(-(2**15), 2**15, 4000) for c in (1, 2, 3, 4, 5)}
+        (tmp_path / f"{at}.p").write_bytes(pfile.encode(setup, [[1, 2, 4, 4], [1, 3, 5, 5]], data, 3, 1, 100.0, dt.datetime(2026, 1, 1), 10, order))
+    (tmp_path / "c.p").write_bytes(b"\0" * 400)
+    path = f"{tmp_path}/*.p"
+    params = pfile.channel_params(pfile.setup_sections(pfile.read_headers(spark, path).where("error IS NULL")))
+    want = pfile.channels(pfile.read_counts(spark, path), params)
+    got = pfile.read_channels(spark, path)
+    key = lambda df: sorted(map(tuple, df.select("path", "channel", "i", "count").collect()))
+    assert key(got) == key(want) and got.where("channel = 'P'").agg(F.max("count")).first()[0] > 2**16
+    assert {r.channel for r in got.select("channel").distinct().collect()} == {"sh1", "P", "U", "five", "ground", "EM_Cur"}
+    fewer = pfile.read_channels(spark, path, exclude_types=("gnd",), always=("EM_Cur",))
+    assert key(fewer) == key(got.where("channel <> 'ground'"))
