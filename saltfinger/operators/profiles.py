@@ -48,12 +48,16 @@ def _range_minima(x: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarr
     return out
 
 
-def find_peaks(x: np.ndarray, height: float | None = None, distance: float | None = None, prominence: float | None = None, width: float | None = None) -> np.ndarray:
-    """Local maxima (middles of plateaus) that meet the criteria, in this order."""
+def find_peaks(x: np.ndarray, height: float | None = None, distance: float | None = None, prominence: float | None = None, width: float | None = None, plateau: tuple[int, int] | None = None) -> np.ndarray:
+    """Local maxima (middles of plateaus) that meet the criteria, in this order.
+    ``plateau`` bounds the samples of a flat top, both ends included, before all others."""
     change = np.flatnonzero(np.diff(x)) + 1
     starts, ends = np.concatenate(([0], change)), np.concatenate((change, [len(x)]))
     level = x[starts]
     top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
+    if plateau is not None:
+        flat = ends[top] - starts[top]
+        top = top[(flat >= plateau[0]) & (flat <= plateau[1])]
     peaks = (starts[top] + ends[top] - 1) // 2
     if height is not None:
         peaks = peaks[x[peaks] >= height]

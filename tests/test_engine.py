@@ -524,3 +524,19 @@ def test_entry_without_the_other_packages(spark):
 
     assert "bin_profiles" in __spark_entry__.queries() and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_detected_profiles_of_flat_tops_are_those_of_the_sql(spark, tmp_path):
+    """Two and three equal samples at a top are no peak in the SQL."""
+    import duckdb
+
+    values = [0, 300, 300, 0, 250, 10, 400, 20, 280, 280, 280, 5, 320, 0, 0, 0, 310, 1.0]
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, at + dt.timedelta(seconds=i), 1, "view", float(v), None) for i, v in enumerate(values)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in QUERIES["detect_profiles"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert got == sorted(con.execute(ORACLES["detect_profiles"]).fetchall()) and len(got) == 8
+    assert profiles.find_peaks(np.array(values)).tolist() == [1, 4, 6, 9, 12, 16]
+    assert profiles.find_peaks(np.array(values), plateau=(2, 2)).tolist() == [1]
