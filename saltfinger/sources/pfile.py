@@ -16,7 +16,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HEADER_WORDS = 64
@@ -205,23 +205,50 @@ def _files(spark: SparkSession, path: str | Sequence[str], min_bytes: int) -> Da
     return spark.read.format("binaryFile").load(paths).where(F.col("length") >= min_bytes)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), where value is made once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _params(lines: Column) -> Column:
+    """The parameters of a section's lines; of a repeated name the last counts."""
+    pair = lambda x: F.struct(F.lower(F.trim(F.substring_index(x, "=", 1))).alias("k"), F.trim(F.substr(x, F.instr(x, "=") + 1)).alias("v"))
+    later = lambda all_, x, i: F.exists(F.slice(all_, i + 2, F.size(all_)), lambda y: y["k"] == x["k"])
+    once = lambda all_: F.size(F.array_distinct(F.transform(all_, lambda x: x["k"]))) == F.size(all_)
+    return _let(
+        F.transform(F.filter(lines, lambda x: x.contains("=")), pair),
+        lambda all_: F.map_from_entries(F.when(once(all_), all_).otherwise(F.filter(all_, lambda x, i: ~later(all_, x, i)))),
+    )
+
+
+def sections_of(text: Column) -> Column:
+    """array of (section_idx, section, params): the sections of a setup text, in order.
+    A text is one row, so that nothing is shuffled or sorted."""
+    head = r"^\[([^\]]*)\]"
+    lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(F.when(x.contains(";"), F.regexp_replace(x, ";.*$", "")).otherwise(x)))
+
+    def of_lines(own: Column) -> Column:
+        heads = F.filter(F.transform(own, lambda x, i: F.when(x.startswith("[") & x.rlike(head), i)), lambda i: i.isNotNull())
+        return _let(F.concat(F.array(F.lit(0)), heads), lambda starts: of_starts(own, starts))
+
+    def of_starts(own: Column, starts: Column) -> Column:
+        def section(start: Column, i: Column) -> Column:
+            first = F.when(i == 0, start).otherwise(start + 1)
+            end = F.coalesce(F.get(starts, i + 1), F.size(own))
+            name = F.when(i == 0, F.lit("root")).otherwise(F.lower(F.trim(F.regexp_extract(F.get(own, start), head, 1))))
+            return F.struct(i.cast("long").alias("section_idx"), name.alias("section"), _params(F.slice(own, first + 1, end - first)).alias("params"))
+
+        # no line before the first head makes no section; a section without parameters goes when another follows it
+        there = lambda s: (s["section_idx"] > 0) | F.coalesce(F.get(starts, F.lit(1)) > 0, F.lit(True))
+        kept = lambda s: (F.size(s["params"]) > 0) | (s["section"] == "root") | (s["section_idx"] == F.size(starts) - 1)
+        return F.filter(F.transform(starts, section), lambda s: there(s) & kept(s))
+
+    return _let(lines, of_lines)
+
+
 def setup_sections(setups: DataFrame, key: str = "path", text: str = "setup") -> DataFrame:
     """(key, section_idx, section, params): the sections of setup texts in SQL."""
-    lines = setups.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("pos", "line"))
-    lines = lines.withColumn("line", F.trim(F.regexp_replace("line", ";.*$", "")))
-    head = F.regexp_extract("line", r"^\[([^\]]*)\]", 1)
-    is_head = F.col("line").rlike(r"^\[[^\]]*\]")
-    order = Window.partitionBy(key).orderBy("pos")
-    marked = lines.withColumn("section_idx", F.sum(is_head.cast("int")).over(order)).withColumn("head", F.when(is_head, F.lower(F.trim(head))))
-    pair = F.when(~is_head & F.col("line").contains("="), F.struct(F.lower(F.trim(F.substring_index("line", "=", 1))).alias("k"), F.trim(F.expr("substring(line, instr(line, '=') + 1)")).alias("v"), "pos"))
-    rows = marked.groupBy(key, "section_idx").agg(F.max("head").alias("section"), F.array_sort(F.collect_list(pair)).alias("__all"))
-    # of a repeated name in a section the last counts
-    last = F.aggregate("__all", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["k"]), F.map_from_arrays(F.array(x["k"]), F.array(x["v"]))))
-    by_pos = rows.withColumn("__all", F.array_sort("__all", lambda a, b: a["pos"] - b["pos"]))
-    out = by_pos.select(key, F.col("section_idx").cast("long"), F.coalesce("section", F.lit("root")).alias("section"), last.alias("params"))
-    # a section without parameters goes when another follows it
-    last = F.max("section_idx").over(Window.partitionBy(key))
-    return out.withColumn("__last", last).where((F.size("params") > 0) | (F.col("section") == "root") | (F.col("section_idx") == F.col("__last"))).drop("__last")
+    return setups.select(key, F.inline(sections_of(F.col(text))))
 
 
 def sections_like(sections: DataFrame, pattern: str = "") -> DataFrame:
@@ -230,10 +257,18 @@ def sections_like(sections: DataFrame, pattern: str = "") -> DataFrame:
 
 def setup_value(sections: DataFrame, section: str, parameter: str, default: str | None = None, index: int = 0, key: str = "path") -> DataFrame:
     """(key, value): the parameter of the index-th section of a name, or default."""
-    order = Window.partitionBy(key).orderBy("section_idx")
-    own = sections.where(F.lower("section") == section.lower()).withColumn("__n", F.row_number().over(order) - 1).where(F.col("__n") == index)
-    value = F.try_element_at("params", F.lit(parameter.lower()))
-    return sections.select(key).distinct().join(own.select(key, value.alias("value")), key, "left").select(key, F.coalesce("value", F.lit(default)).alias("value"))
+    own = F.when(F.lower("section") == section.lower(), F.struct("section_idx", F.try_element_at("params", F.lit(parameter.lower())).alias("value")))
+    rows = sections.select(key, own.alias("__own")).groupBy(key).agg(F.array_sort(F.collect_list("__own")).alias("__own"))
+    return rows.select(key, F.coalesce(F.get("__own", F.lit(index))["value"], F.lit(default)).alias("value"))
+
+
+def setup_values(setups: DataFrame, wanted: Mapping[str, tuple[str, str, int]], default: str | None = None, key: str = "path", text: str = "setup") -> DataFrame:
+    """(key, a column for each of wanted): what ``setup_value`` gives for its section,
+    parameter and index, of each setup text in its row."""
+    named = lambda section: F.filter("__s", lambda s: F.lower(s["section"]) == section.lower())
+    value = lambda section, parameter, index: F.try_element_at(F.get(named(section), F.lit(index))["params"], F.lit(parameter.lower()))
+    rows = setups.where(F.col(text).isNotNull()).select(key, sections_of(F.col(text)).alias("__s"))
+    return rows.select(key, *(F.coalesce(value(*x), F.lit(default)).alias(name) for name, x in wanted.items()))
 
 
 def channel_params(sections: DataFrame, key: str = "path") -> DataFrame:

@@ -329,6 +329,32 @@ def test_setup_in_sql_is_the_parser(spark, raw):
     assert wide.where("channel = 'Big'").first()["count"] == -2 * 65536 + 65536 * 65536 + 3 - 2**32
 
 
+def test_setup_texts_are_parsed_in_their_rows(spark):
+    """No shuffle and no sort, whatever the number of texts; the values are those of
+    the section table."""
+    rng = np.random.default_rng(5)
+    bits = ["[a]", "[A] x", " [b ]", "[]", "[c", "k=1", "K = 2 ; say", "j==3", "=4", "; k=5", "", "[root]", "k", "[d];k=6"]
+    texts = ["\n".join(bits[i] for i in rng.integers(0, len(bits), rng.integers(0, 14))) for _ in range(150)]
+    setups = spark.createDataFrame([*enumerate(texts), (len(texts), None)], "path long, setup string")
+    got = {}
+    for r in pfile.setup_sections(setups).orderBy("path", "section_idx").collect():
+        got.setdefault(r.path, []).append((r.section, r.params))
+    for i, text in enumerate(texts):
+        want = pfile.parse_setup(text)
+        own = got.get(i, [])
+        # texts that begin with a head have no rows before it
+        assert own == (want if own[:1] == want[:1] and len(own) == len(want) else want[1:]), text
+    assert len(texts) not in got
+    wanted = {"x": ("A", "K", 0), "y": ("a", "k", 1), "z": ("root", "j", 0)}
+    rows = pfile.setup_values(setups, wanted, "none")
+    values = {r.path: (r.x, r.y, r.z) for r in rows.collect()}
+    for at, (section, parameter, index) in enumerate(wanted.values()):
+        assert {r.path: r.value for r in pfile.setup_value(pfile.setup_sections(setups), section, parameter, "none", index).collect()} == {k: v[at] for k, v in values.items()}
+    for df in (rows, pfile.setup_sections(setups)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort" not in plan
+
+
 def test_cut():
     content = raw_file(records=10)
     own = pfile.Layout(pfile.cut(content, 2, 5))
