@@ -4,6 +4,7 @@ import re
 import pytest
 
 from saltfinger.llm import jaccard_join as J
+from saltfinger.llm import components
 from saltfinger.llm.components import connected_components
 
 from .conftest import words
@@ -102,6 +103,12 @@ def test_percent_is_checked():
         J.Threshold(20)
 
 
+def test_rounds_end_at_stars(spark):
+    stars = lambda edges: components._stars(spark.createDataFrame(edges, "u long, v long"))
+    assert stars([]) and stars([(2, 1), (3, 1), (5, 4)])
+    assert not stars([(2, 1), (3, 2)]) and not stars([(3, 1), (3, 2)])
+
+
 def test_connected_components(spark):
     chain = [(i, i + 1) for i in range(30)] + [(50, 40), (40, 60), (70, 70), (None, 3)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
